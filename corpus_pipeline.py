@@ -10,8 +10,7 @@ from loomline.llm.common import read, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the cascade keep."""
-    columns = tuple(docs.columns)
-    return quality.quality_cascade(docs, carry=columns).where("kept").select(*columns)
+    return quality.quality_filter(docs)
 
 
 STAGES = [

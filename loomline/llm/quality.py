@@ -135,30 +135,40 @@ def sample_texts(docs: DataFrame, id_col: str, text_col: str, n: int = SAMPLE) -
     return [(r[0] or "").encode() for r in rows]
 
 
-def quality_cascade(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """Base counts and the cascade's verdict for every document; `carry` names further columns to pass on."""
+def judged(texts: list[bytes | None], order: tuple[Rule, ...]) -> tuple[list[Doc], np.ndarray, list[bool], list[bool]]:
+    """Features, repeated words, the base rule's verdict and the cascade's."""
+    docs, repeats = features(texts)
+    failed = [base_failed(d.n_words, int(r)) for d, r in zip(docs, repeats)]
+    return docs, repeats, failed, [not f and not any(r.rejects(d) for r in order) for d, f in zip(docs, failed)]
+
+
+def quality_cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Base counts and the cascade's verdict for every document."""
     order = measured_order(sample_texts(docs, id_col, text_col), rules)
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for i, j in slices(texts):
-                ds, repeats = features(texts[i:j])
-                failed = [base_failed(d.n_words, int(r)) for d, r in zip(ds, repeats)]
-                kept = [not f and not any(r.rejects(d) for r in order) for d, f in zip(ds, failed)]
+                ds, repeats, failed, kept = judged(texts[i:j], order)
                 cols = [[d.n_words for d in ds], [d.word_chars for d in ds], [d.n_symbols for d in ds], [d.n_dup_lines for d in ds], repeats]
-                part = batch.slice(i, j - i)
-                arrays = [part.column(0), *(pa.array(c, pa.int64()) for c in cols), pa.array(failed), pa.array(kept)]
-                arrays += [part.column(k) for k in range(1 + (text_col not in carry), part.num_columns)]
-                yield pa.RecordBatch.from_arrays(arrays, names=out_names)
-
-    rest = [c for c in carry if c not in (id_col, text_col)]
-    picked = docs.select(id_col, text_col, *rest)
-    out_names = [id_col, *names, "base_failed", "kept", *([text_col] if text_col in carry else []), *rest]
-    kind = dict(picked.dtypes)
-    schema = f"`{id_col}` {kind[id_col]}, " + ", ".join(f"{n} bigint" for n in names) + ", base_failed boolean, kept boolean"
-    schema += "".join(f", `{c}` {kind[c]}" for c in out_names[8:])
+                arrays = [batch.column(0).slice(i, j - i), *(pa.array(c, pa.int64()) for c in cols), pa.array(failed), pa.array(kept)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *counts, "base_failed", "kept"])
+
+    picked = docs.select(id_col, text_col)
+    schema = f"`{id_col}` {picked.dtypes[0][1]}, " + ", ".join(f"{n} bigint" for n in counts) + ", base_failed boolean, kept boolean"
     return picked.mapInArrow(run, schema)
+
+
+def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows that the cascade keeps, all columns unchanged."""
+    order = measured_order(sample_texts(docs, id_col, text_col), rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(batch.schema.get_field_index(text_col)))
+            for i, j in slices(texts):
+                yield batch.slice(i, j - i).filter(pa.array(judged(texts[i:j], order)[3], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import quality
+from loomline.llm import licenses, packing, quality
 from loomline.llm.common import read
 
 
@@ -14,9 +14,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_cascade(read(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    at = public_tokenizers.path
+    return packing.best_fit(read(spark, sf_dir, "documents"), at("byte_bpe_50k.tiktoken"), at("byte_bpe_50k.json"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_license_scan": op10_license_scan,
     }
 
 
