@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import decontam, licenses, packing, quality
+from loomline.llm import decontam, html, licenses, packing, quality, sharding, warc
 from loomline.llm.common import read
 
 
@@ -14,10 +14,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_cascade(read(spark, sf_dir, "documents"))
 
 
+def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(read(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,7 +44,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_kd_sharding": op2_kd_sharding,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op6_html_extraction": op6_html_extraction,
+        "op8_warc_bundles": op8_warc_bundles,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_license_scan": op10_license_scan,
     }
