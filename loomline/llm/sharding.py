@@ -28,7 +28,7 @@ STEP = 12
 FINE = 0.0005
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     first: int  # its first shard
     leaves: int
@@ -87,10 +87,9 @@ def split_level(slim: DataFrame, root: Node, dims: list[str], fine: float) -> bo
         shift = {n.first: max(0, s["bits"] - STEP) for n, s in zip(left, at)}
 
         def bucket_of(n: Node) -> Column:
-            s = search[n.first]
-            if n.first not in shift or n.cut >= 0 or s["bits"] < 0:
+            if n not in left:
                 return F.lit(None).cast("bigint")
-            k = key(n.dim)
+            s, k = search[n.first], key(n.dim)
             inside = (k >= F.lit(s["low"])) & (k < F.lit(s["low"] + (1 << s["bits"])))
             return F.when(inside, F.shiftright(k - F.lit(s["low"]), shift[n.first]) + F.lit(n.first << (STEP + 1)))
 
