@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import decontam, html, licenses, packing, quality, sharding, warc
+from loomline.llm import decontam, html, licenses, packing, quality, sharding, substrings, suffixes, warc
 from loomline.llm.common import read
 
 
@@ -18,10 +18,18 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.word_repeats(read(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.byte_repeats(read(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
@@ -45,7 +53,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_kd_sharding": op2_kd_sharding,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_html_extraction": op6_html_extraction,
         "op8_warc_bundles": op8_warc_bundles,
         "op9_best_fit_packing": op9_best_fit_packing,
