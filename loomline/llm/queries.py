@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import decontam, html, licenses, packing, quality, sharding, substrings, suffixes, warc
+from loomline.llm import decontam, html, jaccard, licenses, packing, quality, sharding, substrings, suffixes, warc
 from loomline.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_ids(read(spark, sf_dir, "documents"))
+
+
 def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_html_extraction": op6_html_extraction,
+        "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_warc_bundles": op8_warc_bundles,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_license_scan": op10_license_scan,
