@@ -70,15 +70,14 @@ def slices(texts: list[bytes | None], most: int = SLICE_BYTES) -> Iterator[tuple
 
 
 class WordHash:
-    """64-bit word hashes, the same on every executor. The cache is emptied when it holds `most` words."""
+    """64-bit word hashes, the same on every executor. One cache a process, emptied when it holds MOST words."""
 
-    def __init__(self, most: int = 400_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
+    MOST = 300_000
+    known: dict[bytes, int] = {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
+        known = WordHash.known
+        if len(known) > self.MOST:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
