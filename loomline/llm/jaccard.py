@@ -267,3 +267,12 @@ def jaccard_components(
 def component_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     found = jaccard_components(docs, id_col, text_col, **options)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns unchanged, with the smallest id of each component (null ids last, then the first row);
+    rows without words all stay."""
+    found = jaccard_components(docs, id_col, text_col, **options)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    kept = found.groupBy("class").agg(first).select(F.col("first.row").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
