@@ -50,7 +50,7 @@ class Unit:
 
 def dealt(docs: DataFrame, groups: int) -> DataFrame:
     """The documents with a row number and a group. The rows must come in the same order each time, as from a table."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).withColumn(GROUP, F.pmod(F.xxhash64(ROW), F.lit(groups)).cast("int"))
+    return docs.withColumn(ROW, F.monotonically_increasing_id()).withColumn(GROUP, F.pmod(F.col(ROW), F.lit(groups)).cast("int"))
 
 
 def pieces(unit: Unit, texts: list[bytes | None]):
@@ -229,7 +229,7 @@ def repeats_of(unit: Unit, packed: list[bytes], hot: np.ndarray, pack_of: np.nda
 
 
 def bucket_spans(unit: Unit, sent: DataFrame, buckets: int, groups: int, keep_first: bool) -> DataFrame:
-    """Spans of repeated windows with the group of their row."""
+    """Spans of repeated windows, packed as (row, from, to) numbers for each group of documents."""
 
     def run(rows: pa.Table) -> pa.Table:
         index: dict[tuple[bool, bytes], int] = {}
@@ -239,11 +239,31 @@ def bucket_spans(unit: Unit, sent: DataFrame, buckets: int, groups: int, keep_fi
         row, start = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("rows", "starts"))
         hot = np.array([k[0] for k in index], bool)
         found = repeats_of(unit, [k[1] for k in index], hot, np.repeat(ids, lengths), row, start, keep_first)
-        return pa.table({"row": found[0], "from": found[1].astype(np.int64), "to": found[2].astype(np.int64)})
+        row, low, high = united(*found)
+        home = row % groups
+        order = np.argsort(home, kind="stable")
+        home, places = home[order], np.stack([row[order], low[order], high[order]], 1)
+        at = np.flatnonzero(np.concatenate([np.ones(min(1, len(home)), bool), home[1:] != home[:-1]]))
+        ends = np.append(at, len(home)).tolist()
+        return pa.table({"home": pa.array(home[at].astype(np.int32)), "spans": pa.array([places[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
 
     dealt_out = sent.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    spans = dealt_out.groupBy("bucket").applyInArrow(run, "row bigint, from bigint, to bigint")
-    return spans.withColumn("home", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
+    return dealt_out.groupBy("bucket").applyInArrow(run, "home int, spans binary")
+
+
+def united(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping and adjoining spans of a row as one."""
+    if not len(row):
+        return row, low, high
+    order = np.lexsort((low, row))
+    row, low, high = row[order], low[order], high[order]
+    _, number = np.unique(row, return_inverse=True)
+    lift = number * (int(high.max()) + 2)  # rows apart on one axis
+    top = np.maximum.accumulate(high + lift)
+    head = np.ones(len(row), bool)
+    head[1:] = (low + lift)[1:] > top[:-1]
+    at = np.flatnonzero(head)
+    return row[at], low[at], (top - lift)[np.append(at[1:], len(row)) - 1]
 
 
 def with_repeats(
@@ -257,10 +277,9 @@ def with_repeats(
     spans = bucket_spans(unit, shipped(unit, grouped, wanted, text_col), groups, groups, keep_first)
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        row = found.column("row").to_numpy()
-        order = np.argsort(row, kind="stable")
-        row = row[order]
-        pairs = np.stack([found.column("from").to_numpy()[order], found.column("to").to_numpy()[order]], 1)
+        places = np.frombuffer(b"".join(found.column("spans").to_pylist()), np.int64).reshape(-1, 3)
+        places = places[np.argsort(places[:, 0], kind="stable")]
+        row, pairs = places[:, 0], places[:, 1:]
         numbers = rows.column(ROW).to_numpy()
         a, b = np.searchsorted(row, numbers), np.searchsorted(row, numbers, "right")
         return finish(rows.drop_columns([ROW, GROUP]), [pairs[i:j] for i, j in zip(a.tolist(), b.tolist())])
