@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.plans import aggregates, graphs, joins, scalars, scans
+from loomline.plans.base import ORACLES, QUERIES
+
+MODULES = (scans, scalars, joins, aggregates, graphs)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
