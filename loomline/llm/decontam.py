@@ -101,11 +101,13 @@ class Items:
 
 
 def blocks_of(items: DataFrame, item_id: str, item_text: str, most: int) -> Iterator[list[tuple]]:
-    """The benchmark in blocks of about `most` bytes, dealt by a hash of the text so that equal items meet."""
+    """The benchmark in blocks of about `most` bytes; repeated rows of a larger one are dropped first, so that none fills a block."""
     picked = items.select(item_id, item_text)
     n = -(-octets(picked, item_text) // most) or 1
+    if n > 1:
+        picked = picked.distinct()
     for b in range(n):
-        part = picked if n == 1 else picked.where(F.pmod(F.xxhash64(item_text), F.lit(n)) == b)
+        part = picked if n == 1 else picked.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(n)) == b)
         yield [(r[0], r[1]) for r in part.collect()]
 
 
@@ -150,7 +152,7 @@ def decontaminate(
         found = None
         for block in blocks_of(items, item_id, item_text, block_bytes):
             part = find_hits(keyed, block, "key_", text_col)
-            found = part if found is None else found.unionByName(part)
+            found = part if found is None else found.unionByName(part.where(F.size("spans") > 0))
         merged = found.groupBy("key_").agg(
             F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
         )

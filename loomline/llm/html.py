@@ -179,6 +179,16 @@ LABELLED = (
     "<body><p>-Log in</p><p>+Bread needs flour, water, salt and time; everything else is a matter of taste and of what the shop had on that day.</p><p>-Share</p></body>",
     "<body><div><p>+The bridge was closed for two years while its arches were mended, and the town learned to walk the long way round.</p></div>"
     "<div><a>-Ten ways to make your garden grow faster this summer without any effort at all</a></div><div><a>-What the mayor said about the bridge when he thought that nobody was there to listen</a></div></body>",
+    "<body><ul><li><a>-Weather</a></li><li><a>-Traffic and roads</a></li></ul><table><tr><td>+The council voted on Monday to keep the old library open for at least another year while it looks for a cheaper roof.</td></tr>"
+    "<tr><td>+Readers had gathered more than four thousand names in its favour, the largest petition that the town has seen.</td></tr></table><p>-Print</p></body>",
+    "<body><main><p>+Add the onions.</p><p>+Stir.</p><p>+Leave the pot on a low flame until the water is gone and the rice has taken all of the colour.</p><nav><a>-Next recipe</a></nav></main>"
+    "<div class='promo'><p>-Order our cook book today and have it at your door before the weekend, with no charge for postage.</p></div></body>",
+    "<body><div id='sidebar'><p>-Our archive goes back to the very first issue and may be read by all members</p></div><article><p>+She left at dawn.</p><p><a>+Her diary of those days</a></p></article>"
+    "<div id='comments'><p>-What a fine piece, I read it twice and will pass it on to my sister who lives there.</p><p>-Agreed</p></div></body>",
+    "<body><div class='banner'>-This site is best seen on a large screen, please turn your phone on its side or come back later.</div><div><p>+In the spring the snow melts on the high meadows and the cattle are driven up by the whole village.</p>"
+    "<p>+They stay until the first frost.</p></div><p>-Top</p><div><a>-Five things that you did not know about cows, and one that you knew but had forgotten</a></div></body>",
+    "<body><form><p>-Search this site for words, names, places and dates of any kind here</p></form><article><h2>+Short news</h2><p>+Shop reopens.</p><p>+Bus late.</p></article><footer><p>-Written and printed by the school's own press club in the old gym hall since the war</p></footer></body>",
+    "<body><header><h1>-The Daily Example</h1><p>-News and views for all who live between the two rivers and beyond them</p></header><div><p>+A new well was dug behind the church last week, and by Friday its water ran clear and cold.</p><p>-Send</p></div></body>",
     "<body><nav>-All topics</nav><article><p>+One.</p></article><footer>-About the site and those who make it, with a long list of names that goes on for a while</footer></body>",
 )
 
