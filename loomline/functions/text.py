@@ -22,8 +22,8 @@ def squeeze(text: Column) -> Column:
 def normalize_transcript(text: Column) -> Column:
     """Lower case, apostrophes gone, punctuation to spaces, white space squeezed. Native: compatibility characters (ligatures,
     circled digits) stay as they are; use normalize_transcript_exact where they matter."""
-    plain = F.translate(F.lower(text), APOSTROPHES, "")
-    return squeeze(F.regexp_replace(plain, r"[^\p{L}\p{N}\p{M}_\s]", " "))
+    plain = F.regexp_replace(F.lower(text), f"[{APOSTROPHES}]+", "")
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}\p{M}_]+", " "))
 
 
 @F.pandas_udf(T.StringType())

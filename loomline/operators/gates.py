@@ -31,18 +31,21 @@ def quality_issues(limits: Limits = Limits(), text: str = "text") -> Column:
     """Ordered issues of a measured clip (error, channels, duration_s, clipping_fraction, peak) and its transcript. An error
     hides all others."""
     t, d = F.col(text), F.col("duration_s")
-    clean = F.length(strip_emphasis(t))
+
+    def text_issue(clean: Column) -> Column:  # bound once: the stripped text is not computed anew for each rule
+        return F.coalesce(
+            issue(t.isNull(), "no_transcript", F.lit("no transcript line")),
+            issue(clean == 0, "empty_transcript", F.lit("transcript is empty")),
+            issue(clean > limits.max_text_chars, "text_too_long", F.concat(F.length(t).cast("string"), F.lit(" characters"))),
+        )
+
     found = F.array(
         issue(~F.col("channels").eqNullSafe(1), "not_mono", F.concat(F.coalesce(F.col("channels").cast("string"), F.lit("None")), F.lit(" channels"))),
         issue(d < limits.min_duration_s, "too_short", F.format_string(f"%.2fs < {limits.min_duration_s}s", d)),
         issue(d > limits.max_duration_s, "too_long", F.format_string(f"%.2fs > {limits.max_duration_s}s", d)),
         issue(F.col("clipping_fraction") > limits.max_clipping_fraction, "clipping", F.format_string("%.4f%% of samples at full scale", F.col("clipping_fraction") * 100)),
         issue(F.col("peak") < limits.min_peak, "near_silent", F.concat(F.lit("peak "), F.col("peak").cast("string"))),
-        F.coalesce(
-            issue(t.isNull(), "no_transcript", F.lit("no transcript line")),
-            issue(clean == 0, "empty_transcript", F.lit("transcript is empty")),
-            issue(clean > limits.max_text_chars, "text_too_long", F.concat(F.length(t).cast("string"), F.lit(" characters"))),
-        ),
+        F.element_at(F.transform(F.array(F.length(strip_emphasis(t))), text_issue), 1),
     )
     rest = F.filter(found, lambda x: x.isNotNull())
     return F.when(F.col("error").isNotNull(), F.array(issue(F.lit(True), "corrupt", F.col("error")))).otherwise(rest)

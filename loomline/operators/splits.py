@@ -21,10 +21,12 @@ def group_examples(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """(id, group_id): rows connected by equal non-null values of any key; a group is named g_ and its smallest id.
 
     Each row is linked to the smallest id of its key's value, so a value with n rows makes n edges, not n squared."""
-    ids = df.select(id_col).distinct()
+    # Keys may be long or costly texts: they are read once, as digests.
+    slim = cut_lineage(df.select(id_col, *[F.unhex(F.md5(F.col(k).cast("string").cast("binary"))).alias(f"key{i}") for i, k in enumerate(keys)]))
+    ids = slim.select(id_col).distinct()
     edges = []
-    for k in keys:
-        with_key = df.where(F.col(k).isNotNull()).select(F.col(id_col).alias("a"), F.col(k).cast("string").alias("value"))
+    for i in range(len(keys)):
+        with_key = slim.where(f"key{i} is not null").select(F.col(id_col).alias("a"), F.col(f"key{i}").alias("value"))
         edges.append(with_key.join(with_key.groupBy("value").agg(F.min("a").alias("b")), "value").where("a <> b").select("a", "b"))
     linked = connected_components(reduce(DataFrame.unionByName, edges)).withColumnRenamed("node", id_col)
     grouped = ids.join(linked, id_col, "left")

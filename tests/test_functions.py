@@ -1,0 +1,139 @@
+"""Scalar functions, statistics and alignment on literal cases."""
+
+import math
+import unicodedata
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomline.functions import align, stats, text
+
+
+def values(spark, rows, schema, *columns):
+    return [r[0] if len(columns) == 1 else tuple(r) for r in spark.createDataFrame(rows, schema).coalesce(1).select(*columns).collect()]
+
+
+def test_normalize(spark):
+    said = ["Don’t  STOP, it’s `ok`!", "ﬁne ① Évé x", "", None, "snake_case 1,000", "‘quoted’ — dash"]
+
+    def plain(t):
+        t = unicodedata.normalize("NFKC", t).lower().replace("’", "'").replace("‘", "'")
+        return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", re.sub(r"['`]", "", t))).strip()
+
+    rows = [(t,) for t in said]
+    exact = values(spark, rows, "t string", text.normalize_transcript_exact("t"))
+    assert exact == [None if t is None else plain(t) for t in said]
+    native = values(spark, rows, "t string", text.normalize_transcript(F.col("t")))
+    assert [n for n, t in zip(native, said) if t and "ﬁ" not in t] == [e for e, t in zip(exact, said) if t and "ﬁ" not in t]
+
+
+def test_emphasis_and_lengths(spark):
+    rows = [(" a *b*  c ",), ("***",), (None,)]
+    assert values(spark, rows, "t string", text.strip_emphasis(F.col("t"))) == ["a b c", "", None]
+    assert values(spark, rows, "t string", text.stripped_length(F.col("t"))) == [8, 3, 0]
+
+
+def test_stems(spark):
+    rows = [("ex01_default_00010",), ("ex01_default_emphasis_more_7",), ("ex01_7",), ("a-b_sad_1",), ("x",)]
+    found = values(spark, rows, "s string", text.parse_stem(F.col("s")))
+    assert found[0] == ("ex01", "default", None, "00010") and found[1] == ("ex01", "default", "emphasis_more", "7") and found[2] is None and found[4] is None
+
+
+def test_displays(spark):
+    assert values(spark, [(999,), (1500,), (38441031680,)], "n long", text.human_bytes(F.col("n"))) == ["999 B", "1.5 kB", "38.4 GB"]
+    assert values(spark, [(0.0,), (3725.9,), (59.99,)], "s double", text.hours_minutes_seconds(F.col("s"))) == ["0:00:00", "1:02:05", "0:00:59"]
+    assert values(spark, [(0.125,), (0.5,)], "s double", text.whole_percent(F.col("s"))) == ["12%", "50%"]
+    assert values(spark, [("._a.wav",), (".DS_Store",), ("a.wav",)], "n string", text.is_junk(F.col("n"))) == [True, True, False]
+
+
+def test_argmax_takes_the_first(spark):
+    assert values(spark, [({"b": 1.0, "a": 1.0},), ({"c": 2.0},), ({},)], "m map<string,double>", text.argmax_first(F.col("m"), ["a", "b", "c"])) == ["a", "c", "a"]
+
+
+def test_lower_rank(spark):
+    df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 10)] + [("a", None), ("b", 5.0)], "k string, x double")
+    assert {r.k: r.p for r in df.groupBy("k").agg(stats.lower_rank("x").alias("p")).collect()} == {"a": 3.0, "b": 5.0}
+    assert {r.k: r.p95 for r in stats.lower_rank_frame(df, ["k"], "x").collect()} == {"a": 3.0, "b": 5.0}
+
+
+def test_wilson(spark):
+    low, high = stats.wilson(F.col("k"), F.col("n"))
+    (a, b), (c, d) = values(spark, [(8, 60), (0, 5)], "k long, n long", low, high)
+    assert (round(a, 3), round(b, 3)) == (0.069, 0.242) and c == 0 and 0 < d < 0.5
+
+
+def test_auc_and_spearman(spark):
+    df = spark.createDataFrame([(1.0, False), (2.0, False), (2.0, True), (3.0, True), (None, True)], "x double, y boolean")
+    assert stats.auc(df, "x", "y").first().auc == pytest.approx(0.875)
+    assert stats.auc(df.where("y"), "x", "y").first().auc is None
+    pairs = spark.createDataFrame([(1.0, 3.0), (2.0, 3.0), (3.0, 1.0), (4.0, 0.0)], "x double, y double")
+    ranks = np.corrcoef([1, 2, 3, 4], [3.5, 3.5, 2, 1])[0, 1]
+    assert stats.spearman(pairs, "x", "y").first().rho == pytest.approx(ranks)
+
+
+def test_robust_z(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 9.0), ("b", 4.0), ("b", 4.0)], "k string, x double")
+    found = {(r.k, r.x): r.z for r in stats.robust_z(df, ["k"], "x").collect()}
+    assert found["a", 9.0] == pytest.approx(0.6745 * 6.5 / 1.0) and found["b", 4.0] == 0
+
+
+def test_binomial_tail():
+    assert stats.binomial_tail(13, 14) == 15 / 2**14
+
+
+def words(t):
+    return re.findall(r"[a-z0-9']+", t.lower())
+
+
+def test_trailing_missing():
+    assert align.missing_at_end(words("well that is one way to look at it"), ["well"]) == 8
+    assert align.missing_at_end(words("we sat there and nobody ever asked us to be anywhere else"), words("we sat there and no one")) == 6
+    assert align.missing_at_end(words("it starts at six forty five am"), words("it starts at 6 45 a m")) == 0
+    assert align.missing_at_end(["a", "b"], []) == 2 and align.missing_at_end([], ["a"]) == 0
+
+
+def test_word_errors(spark):
+    def slow(r, h):
+        row = list(range(len(h) + 1))
+        for i, a in enumerate(r, 1):
+            last, row[0] = row[0], i
+            for j, b in enumerate(h, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+        return row[-1]
+
+    rng = np.random.default_rng(0)
+    rows = [tuple([f"w{x}" for x in rng.integers(0, 6, rng.integers(0, 9))] for _ in range(2)) for _ in range(100)]
+    rows.append(([f"a{i}" for i in range(150)], [f"a{i}" for i in range(0, 150, 2)]))
+    want = [slow(r, h) for r, h in rows]
+    schema = "r array<string>, h array<string>"
+    assert values(spark, rows, schema, align.word_errors(F.col("r"), F.col("h"))) == want
+    assert values(spark, rows, schema, align.word_errors_native(F.col("r"), F.col("h"))) == [*want[:-1], None]
+
+
+def test_completeness(spark):
+    rows = [(2, 12, None, 0), (1, 3, None, 0), (1, 12, None, 0), (0, 12, "too_long", 9), (0, 12, "cut_off", 0), (0, 12, None, 3), (0, 12, None, 2)]
+    flag = align.completeness(F.col("m"), F.col("w"), F.col("p"), F.col("e"))
+    assert values(spark, rows, "m int, w int, p string, e int", flag) == ["incomplete", "incomplete", None, "check", "incomplete", "check", None]
+
+
+def test_audio_problem(spark):
+    rows = [(10.0, 2.0), (20.0, 0.9), (20.0, 6.1), (20.0, 6.0), (15.0, 1.0)]
+    found = values(spark, rows, "g double, d double", align.audio_problem(F.col("g"), F.col("d"), F.lit(30), F.lit(15.0)))
+    assert found == ["cut_off", "too_short", "too_long", None, None]
+
+
+def test_pieces():
+    assert align.pieces("Short one. And two!") == [("Short one.", 0.45), ("And two!", 0.45)]
+    long = "So, " + " ".join(f"w{i}" for i in range(10)) + " because " + " ".join(f"v{i}" for i in range(9))
+    found = [p for p, _ in align.pieces(long)]
+    assert " ".join(found) == long and all(len(p.split()) <= 14 for p in found) and found[1].startswith("because")
+    assert align.pieces("a, b, c") == [("a, b, c", 0.15)]
+    assert all(len(p.split()) <= 14 for p, _ in align.pieces(" ".join(["x"] * 100)))
+
+
+def test_levels(spark):
+    assert values(spark, [(0.0,), (1.0,)], "x double", text.decibels(F.col("x"))) == [-200.0, 0.0]
+    assert values(spark, [(100.0, 200.0)], "a double, b double", text.semitones(F.col("a"), F.col("b"))) == [12.0]
+    assert math.isclose(values(spark, [(4.0,)], "e double", text.frame_cap(F.col("e"), 86, 2580))[0], 86 * 11.5 + 10)
