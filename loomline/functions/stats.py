@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.components import cut_lineage
+
 #: The 97.5 % point of the standard normal distribution.
 Z95 = 1.959963984540054
 
@@ -16,10 +18,12 @@ def lower_rank(x: Column, share: float = 0.95) -> Column:
 
 
 def lower_rank_frame(df: DataFrame, keys: list[str], x: str, share: float = 0.95) -> DataFrame:
-    """The same for groups of any size: the rows are ranked, no group is gathered into one value."""
+    """The same for groups of any size: equal values are counted before they are ranked, no group is gathered."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("ties_"))
     w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(x).isNotNull()).withColumn("at_", F.row_number().over(w.orderBy(x)) - 1).withColumn("n_", F.count("*").over(w))
-    return ranked.where(F.col("at_") == F.floor(share * (F.col("n_") - 1))).select(*keys, F.col(x).alias("p95"))
+    upto = counts.withColumn("upto_", F.sum("ties_").over(w.orderBy(x))).withColumn("n_", F.sum("ties_").over(w))
+    at = F.floor(share * (F.col("n_") - 1))
+    return upto.where((F.col("upto_") > at) & (F.col("upto_") - F.col("ties_") <= at)).select(*keys, F.col(x).alias("p95"))
 
 
 def wilson(k: Column, n: Column) -> tuple[Column, Column]:
@@ -30,13 +34,26 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     return F.greatest(middle - half, F.lit(0.0)), F.least(middle + half, F.lit(1.0))
 
 
+def running_total(df: DataFrame, x: str, amount: str, out: str) -> DataFrame:
+    """Sum of `amount` over all rows with a smaller x (distinct values), without one task that sees them all: range
+    partitions are summed, the sums accumulated, and each partition adds its own."""
+    cut = cut_lineage(df.repartitionByRange(F.col(x)).withColumn("range_", F.spark_partition_id()))
+    sums = cut.groupBy("range_").agg(F.sum(amount).alias("sum_"))
+    before = F.sum("sum_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    inside = F.sum(amount).over(Window.partitionBy("range_").orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select("range_", F.coalesce(before, F.lit(0)).alias("start_"))
+    return cut.withColumn("in_", F.coalesce(inside, F.lit(0))).join(starts, "range_").withColumn(out, F.col("in_") + F.col("start_")).drop("range_", "in_", "start_")
+
+
 def average_ranks(df: DataFrame, x: str, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Ranks with ties averaged. Without keys the ranks come from counts per distinct value, so only those, not all rows,
-    meet in one sort; equal values join back on their value."""
+    """Ranks with ties averaged, from counts per distinct value; rows join back on their value."""
     counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("ties_"))
-    below = F.sum("ties_").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn(out, F.coalesce(below, F.lit(0)) + (F.col("ties_") + 1) / 2).drop("ties_")
-    return df.join(ranks, [*keys, x])
+    if keys:
+        below = F.sum("ties_").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
+        counts = counts.withColumn("below_", F.coalesce(below, F.lit(0)))
+    else:
+        counts = running_total(counts, x, "ties_", "below_")
+    return df.join(counts.select(*keys, x, (F.col("below_") + (F.col("ties_") + 1) / 2).alias(out)), [*keys, x])
 
 
 def auc(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) -> DataFrame:

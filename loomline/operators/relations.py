@@ -52,9 +52,10 @@ def duplicate_groups(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the given total order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("nth_", F.row_number().over(w)).where("nth_ = 1").drop("nth_")
+    """The first row of each key in the given total order; summed before the shuffle, so large groups are no hot spots."""
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first_"))
+    return first.select(*keys, "first_.*").select(*df.columns)
 
 
 def mark_duplicates(df: DataFrame, key: str, id_col: str) -> DataFrame:

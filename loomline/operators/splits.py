@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.operators.components import connected_components, cut_lineage
@@ -75,9 +75,14 @@ def place_groups(
     ordered = sorted(classes, key=lambda c: (-c["size"], str(c["shape"])))
     table = spark.createDataFrame([(i, c["size"], c["shape"]) for i, c in enumerate(ordered)], spark.createDataFrame([], "class int").schema.add("size", "long").add("shape", groups.schema["shape"].dataType))
     placed = spark.createDataFrame(runs or [(0, 0, 0, "")], "class int, low long, high long, split string").limit(len(runs))
-    from pyspark.sql import Window
-
-    ranked = groups.join(table, ["size", "shape"]).withColumn("rank_", F.row_number().over(Window.partitionBy("class").orderBy("order_", group)) - 1)
+    # Ranks by the seeded hash: a slice of hash values is ranked by itself and starts after the slices before it, so a class of
+    # any size is spread over tasks.
+    sliced = groups.join(table, ["size", "shape"]).withColumn("slice_", F.substring("order_", 1, 3))
+    sizes = sliced.groupBy("class", "slice_").agg(F.count("*").alias("rows_"))
+    before = F.sum("rows_").over(Window.partitionBy("class").orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("class", "slice_", F.coalesce(before, F.lit(0)).alias("start_"))
+    inside = F.row_number().over(Window.partitionBy("class", "slice_").orderBy("order_", group)) - 1
+    ranked = sliced.withColumn("inside_", inside).join(starts, ["class", "slice_"]).withColumn("rank_", F.col("inside_") + F.col("start_"))
     return ranked.join(placed, (ranked["class"] == placed["class"]) & F.col("rank_").between(F.col("low"), F.col("high"))).select(group, "split")
 
 
