@@ -174,3 +174,41 @@ def o9_6_history(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("event_id").alias("at"), F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("file"), "user_id")
     there = log.join(table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("user_id")), "user_id", "left_semi").select("file")
     return history(log.select("at", "file"), there)
+
+
+@query("o1_11_json_document", "SELECT user_id, cast(count(*) AS bigint) AS labels, max(event_id) AS newest FROM events GROUP BY user_id")
+def o1_11_json_document(spark, sf_dir):
+    """Nested documents (one a user, written as one JSON map) exploded to rows again."""
+    doc = table(spark, sf_dir, "events").groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), "event_type")))).alias("doc"))
+    rows = doc.select("user_id", F.explode(F.from_json("doc", "map<string,string>")).alias("label", "answer"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("labels"), F.max(F.col("label").cast("bigint")).alias("newest"))
+
+
+@query("o1_15_single_rate", "SELECT lang, cast(count(DISTINCT 48000 + 0 * doc_id) AS bigint) AS rates, cast(48000 AS bigint) AS rate FROM documents GROUP BY lang")
+def o1_15_single_rate(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").withColumn("rate", F.lit(48000).cast("bigint") + F.col("doc_id") * 0)
+    return rows.groupBy("lang").agg(F.countDistinct("rate").alias("rates"), F.max("rate").alias("rate"))
+
+
+@query(
+    "o3_12_checkpoints_with_weights",
+    f"WITH {EVALS_SQL}, last AS (SELECT step, arg_max(loss, line) AS loss FROM evals GROUP BY step) SELECT step, loss FROM last WHERE step % 2 = 0",
+)
+def o3_12_checkpoints_with_weights(spark, sf_dir):
+    losses = files.eval_losses(table(spark, sf_dir, "events").selectExpr(*EVALS))
+    last = losses.groupBy("step").agg(F.max_by("loss", "line").alias("loss"))
+    return last.join(spark.range(0, 400, 2).withColumnRenamed("id", "step"), "step")
+
+
+@query("o3_13_assertions", "SELECT cast(count(*) AS bigint) AS rows, cast(0 AS bigint) AS without_language FROM documents")
+def o3_13_assertions(spark, sf_dir):
+    """A violated rule ends the query: the check sits in the plan."""
+    docs = table(spark, sf_dir, "documents")
+    checked = docs.select(F.when(F.col("lang").isNull(), F.raise_error(F.lit("a document has no language")).cast("int")).otherwise(0).alias("bad"))
+    return checked.agg(F.count("*").alias("rows"), F.sum(F.col("bad").cast("bigint")).alias("without_language"))
+
+
+@query("o2_3_summary_report", "SELECT lang, '| ' || lang || ' | ' || count(*) || ' | ' || max(n_chars) || ' |' AS line FROM documents GROUP BY lang")
+def o2_3_summary_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.max("n_chars").alias("most"))
+    return rows.select("lang", F.format_string("| %s | %d | %d |", "lang", "n", "most").alias("line"))
