@@ -11,14 +11,9 @@ from loomline.operators.components import cut_lineage
 Z95 = 1.959963984540054
 
 
-def lower_rank(x: Column, share: float = 0.95) -> Column:
-    """Aggregate: element floor(share (n - 1)) of the sorted non-null values, counted from 0."""
-    values = F.sort_array(F.collect_list(x))
-    return F.element_at(values, F.greatest(F.floor(share * (F.count(x) - 1)), F.lit(0)).cast("int") + 1)
-
-
 def lower_rank_frame(df: DataFrame, keys: list[str], x: str, share: float = 0.95) -> DataFrame:
-    """The same for groups of any size: equal values are counted before they are ranked, no group is gathered."""
+    """Per group, element floor(share (n - 1)) of the sorted non-null values, counted from 0. Equal values are counted before
+    they are ranked, so no group is gathered."""
     counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("ties_"))
     w = Window.partitionBy(*keys)
     upto = counts.withColumn("upto_", F.sum("ties_").over(w.orderBy(x))).withColumn("n_", F.sum("ties_").over(w))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,31 +49,34 @@ def place_groups(
     classes = groups.groupBy("size", "shape").agg(F.count("*").alias("groups")).limit(most_classes + 1).collect()
     if len(classes) > most_classes:
         raise ValueError(f"more than {most_classes} kinds of groups: too many for one fold")
-    held = {(r[0], r[1]): r[2] for r in have.groupBy("split", "style").agg(F.sum("n")).collect()} if have is not None else {}
-    totals: dict[str, int] = {}
-    for c in classes:
+    held = have.groupBy("split", "style").agg(F.sum("n")).collect() if have is not None else []  # splits times styles
+    names = np.array([s for s in SPLITS if s in ratios] + sorted(set(ratios) - set(SPLITS)))
+    ordered = sorted(classes, key=lambda c: (-c["size"], str(c["shape"])))
+    styles = sorted({s["style"] for c in ordered for s in c["shape"]} | {r[1] for r in held}, key=str)
+    brings = np.zeros((len(ordered), len(styles)))
+    for k, c in enumerate(ordered):
         for s in c["shape"]:
-            totals[s["style"]] = totals.get(s["style"], 0) + s["n"] * c["groups"]
-    for (_, s), n in held.items():
-        totals[s] = totals.get(s, 0) + n
-    names = [s for s in SPLITS if s in ratios] + [s for s in ratios if s not in SPLITS]
-    target = {(sp, s): totals[s] * ratios[sp] for sp in names for s in totals}
-    now = {k: float(held.get(k, 0)) for k in target}
-    runs = []  # (class, first rank, last rank, split)
-    for number, c in enumerate(sorted(classes, key=lambda c: (-c["size"], str(c["shape"])))):
+            brings[k, styles.index(s["style"])] = s["n"]
+    now = np.zeros((len(names), len(styles)))
+    for split, kind, n in held:
+        now[names == split, styles.index(kind)] += n
+    share = np.array([ratios[s] for s in names])
+    total = now.sum(axis=0) + np.array([c["groups"] for c in ordered]) @ brings if ordered else now.sum(axis=0)
+    target = np.outer(share, total)
+    runs: list[list] = []  # class, first rank, last rank, split
+    for number, c in enumerate(ordered):
         block = max(1, c["groups"] // BLOCKS)
         for rank in range(0, c["groups"], block):
             many = min(block, c["groups"] - rank)
-            lack = {sp: sum((target[sp, s["style"]] - now[sp, s["style"]]) / max(target[sp, s["style"]], 1e-9) * s["n"] for s in c["shape"]) for sp in names}
-            best = max(names, key=lambda sp: (lack[sp], ratios[sp]))
-            for s in c["shape"]:
-                now[best, s["style"]] += s["n"] * many
-            if runs and runs[-1][0] == number and runs[-1][3] == best:
+            lack = ((target - now) / np.maximum(target, 1e-9)) @ brings[number]
+            neediest = np.lexsort((np.arange(len(names)), -share, -lack))[0]
+            now[neediest] += brings[number] * many
+            to = str(names[neediest])
+            if runs and runs[-1][0] == number and runs[-1][3] == to:
                 runs[-1][2] = rank + many - 1
             else:
-                runs.append([number, rank, rank + many - 1, best])
+                runs.append([number, rank, rank + many - 1, to])
     spark = examples.sparkSession
-    ordered = sorted(classes, key=lambda c: (-c["size"], str(c["shape"])))
     table = spark.createDataFrame([(i, c["size"], c["shape"]) for i, c in enumerate(ordered)], spark.createDataFrame([], "class int").schema.add("size", "long").add("shape", groups.schema["shape"].dataType))
     placed = spark.createDataFrame(runs or [(0, 0, 0, "")], "class int, low long, high long, split string").limit(len(runs))
     # Ranks by the seeded hash: a slice of hash values is ranked by itself and starts after the slices before it, so a class of

@@ -121,7 +121,15 @@ def o9_7_content_hashes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(raw, 256).alias("sha256"), F.md5(raw).alias("md5"))
 
 
-@query("o9_8_fingerprint")
+FINGER = "concat_ws(chr(31), cast(doc_id AS string), text, lang, source)"
+
+
+@query(
+    "o9_8_fingerprint",
+    f"WITH h AS (SELECT sha256({FINGER}) AS h FROM documents) SELECT cast(count(*) AS bigint) AS rows, sha256(concat_ws('|', cast(count(*) AS string), "
+    + ", ".join(f"cast(sum(cast('0x' || substr(h, {1 + 8 * k}, 8) AS bigint)) AS string)" for k in range(8))
+    + ")) AS digest FROM h",
+)
 def o9_8_fingerprint(spark, sf_dir):
     from loomline.operators.relations import fingerprint
 
