@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows a round's table holds per file: small graphs don't pay for many tasks and files in every round.
+PART_ROWS = 250_000
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df under spark.checkpoint.dir (this machine's temp folder only where that is unset) and read it back."""
     spark = df.sparkSession
@@ -27,13 +31,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     label, so long chains halve. The smallest labels are pre-aggregated before they are shuffled; stars are not collected."""
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("next")))
     both = cut_lineage(both.where("node is not null and next is not null and node <> next").distinct())
+    parts = both.count() // PART_ROWS + 1
+    cut = lambda df: cut_lineage(df.coalesce(parts))
     loops = edges.where(f"`{a}` = `{b}`").select(F.col(a).alias("node"), F.col(a).alias("component"))
-    labels = cut_lineage(both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("component")))
+    labels = cut(both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("next"), F.col("component").alias("theirs")), "next").groupBy("node").agg(F.min("theirs").alias("theirs"))
         stepped = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "theirs").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        moved = cut_lineage(stepped.join(jump, "component").select("node", "was", F.least("component", "root").alias("component")))
+        moved = cut(stepped.join(jump, "component").select("node", "was", F.least("component", "root").alias("component")))
         labels = moved.select("node", "component")
         if moved.where("component <> was").isEmpty():
             return labels.unionByName(loops.join(labels, "node", "left_anti").distinct())
