@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, ODD, WordHash, as_bytes, gram_hash, mix, octets, slices, written
+from loomline.llm.common import LOWER, ODD, WordHash, gram_hash, mix, octets, written
 from loomline.operators.components import connected_components
 
 SHINGLE = 3
@@ -57,26 +57,6 @@ def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def classes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """Per row: id, row number, digest of its words, number of shingles."""
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHash()
-        for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for i, j in slices(texts):
-                digests, sizes = [], []
-                for t in texts[i:j]:
-                    words = (t or b"").translate(LOWER).split()
-                    digests.append(hashlib.md5(b" ".join(words), usedforsecurity=False).digest() if words else None)
-                    sizes.append(len(shingles(words, hashed, k)))
-                columns = [batch.column(c).slice(i, j - i) for c in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], names=["id", "row", "digest", "n"])
-
-    return picked.mapInArrow(run, f"id {picked.dtypes[0][1]}, row bigint, digest binary, n bigint")
-
-
 def packed_counts(tokens: np.ndarray, group: int, buckets: int) -> pa.Table:
     """A group's distinct tokens and how many of its documents hold each, packed by bucket of the token."""
     values, counts = np.unique(tokens, return_counts=True)
@@ -140,37 +120,38 @@ def frequency_of(tokens: np.ndarray, shared: tuple[np.ndarray, np.ndarray]) -> n
     return np.where(keys[at] == tokens, counts[at], 1).astype(np.int64)
 
 
-def survivors(docs: DataFrame, text_col: str, groups: int, k: int, percent: int) -> DataFrame:
-    """Row number and tokens of the documents that order 0 leaves."""
-    rows = docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    grouped = rows.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
+def survivors(docs: DataFrame, id_col: str, text_col: str, groups: int, k: int, percent: int) -> DataFrame:
+    """Per row: row number, id, digest of its words, number of shingles and, where order 0 leaves the document, its tokens.
 
-    def sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    The texts are shuffled once and read twice: to count the slice's tokens, and with the counts at hand."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    grouped = rows.withColumn("grp", F.pmod("row", F.lit(groups)).cast("int"))
+
+    def sets(rows: pa.Table) -> Iterator[tuple[list[bytes], np.ndarray]]:
         hashed = WordHash()
-        for t in texts:
-            yield shingles((t or b"").translate(LOWER).split(), hashed, k)
+        for text in rows.column("text").cast(pa.binary()).to_pylist():
+            words = (text or b"").translate(LOWER).split()
+            yield words, shingles(words, hashed, k)
 
     def in_slice(tokens: np.ndarray) -> np.ndarray:
         return tokens[tokens % np.uint64(SLICE) == 0]
 
     def count(rows: pa.Table) -> pa.Table:
-        texts = rows.column("text").cast(pa.binary()).to_pylist()
-        tokens = [in_slice(s) for s in sets(texts)]
-        return packed_counts(np.concatenate(tokens), rows.column("grp")[0].as_py(), groups)
+        return packed_counts(np.concatenate([in_slice(s) for _, s in sets(rows)]), rows.column("grp")[0].as_py(), groups)
 
     def keep(rows: pa.Table, shared: pa.Table) -> pa.Table:
-        table, row, tokens = known(shared), [], []
-        texts = rows.column("text").cast(pa.binary()).to_pylist()
-        for number, s in zip(rows.column("row").to_pylist(), sets(texts)):
-            if len(s) and (frequency_of(in_slice(s), table) == 1).sum() < prefix_length(len(s), percent):
-                row.append(number)
-                tokens.append(s.view(np.int64))
-        lengths = np.cumsum([0, *map(len, tokens)])
-        flat = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64), pa.int64())
-        return pa.table({"row": pa.array(row, pa.int64()), "tokens": pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)})
+        table, digests, sizes, tokens = known(shared), [], [], []
+        for words, s in sets(rows):
+            digests.append(hashlib.md5(b" ".join(words), usedforsecurity=False).digest() if words else None)
+            sizes.append(len(s))
+            live = len(s) and (frequency_of(in_slice(s), table) == 1).sum() < prefix_length(len(s), percent)
+            tokens.append(s.tobytes() if live else None)
+        columns = {"row": rows.column("row"), "id": rows.column("id"), "digest": pa.array(digests, pa.binary()), "n": pa.array(sizes, pa.int64())}
+        return pa.table(columns | {"tokens": pa.array(tokens, pa.binary())})
 
     shared = shared_tokens(grouped.groupBy("grp").applyInArrow(count, PACKED))
-    return grouped.groupBy("grp").cogroup(shared.groupBy("home")).applyInArrow(keep, "row bigint, tokens array<bigint>")
+    schema = f"row bigint, id {dict(rows.dtypes)['id']}, digest binary, n bigint, tokens binary"
+    return grouped.groupBy("grp").cogroup(shared.groupBy("home")).applyInArrow(keep, schema)
 
 
 def order_keys(tokens: np.ndarray, frequency: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +165,8 @@ def prefixes(sets: DataFrame, groups: int, percent: int) -> DataFrame:
     grouped = sets.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
 
     def flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        lists = rows.column("tokens").combine_chunks()
-        return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+        parts = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
+        return np.concatenate([np.empty(0, np.uint64), *parts]), np.cumsum([0, *map(len, parts)])
 
     def count(rows: pa.Table) -> pa.Table:
         return packed_counts(flat(rows)[0], rows.column("grp")[0].as_py(), groups)
@@ -218,8 +199,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
     left = sets.select(F.col("row").alias("a"), F.col("tokens").alias("at"))
     right = sets.select(F.col("row").alias("b"), F.col("tokens").alias("bt"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("at", "bt")).alias("i"), (F.size("at") + F.size("bt")).alias("s"))
-    return both.where(F.col("i") * (100 + percent) >= F.col("s") * percent).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.sort(np.concatenate([x, y]))
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(shared * (100 + percent) >= (len(x) + len(y)) * percent)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "at", "bt").mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_components(
@@ -227,12 +218,12 @@ def jaccard_components(
 ) -> DataFrame:
     """(row, id, n, digest, component) with one row per input row; `component` is the smallest id of its component."""
     groups = -(-octets(docs, text_col) // group_bytes) or 1
-    rows = written(classes(docs, id_col, text_col, shingle), "classes")
+    rows = written(survivors(docs, id_col, text_col, groups, shingle, percent), "token-sets")
     heads = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("head"), F.min("id").alias("least"))
-    sets = survivors(docs, text_col, groups, shingle, percent).join(heads.select(F.col("head").alias("row")), "row", "left_semi")
-    sets = written(sets, "token-sets")
-    tokens = sets.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-    posts = written(prefixes(sets, -(-8 * tokens // set_bytes) or 1, percent), "postings")
+    live = rows.where("tokens is not null").select("row", "tokens")
+    sets = written(live.join(heads.select(F.col("head").alias("row")), "row", "left_semi"), "class-sets")
+    tokens = sets.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0]
+    posts = written(prefixes(sets, -(-tokens // set_bytes) or 1, percent), "postings")
 
     first = posts.where("order = 0")
     best = first.groupBy("token").agg(F.min(F.struct("place", "row", "n")).alias("best"), F.count("*").alias("held")).where("held > 1")
@@ -259,7 +250,7 @@ def jaccard_components(
     placed = heads.join(parts.select(F.col("node").alias("head"), "component"), "head", "left").withColumn("component", F.coalesce("component", "head"))
     names = placed.groupBy("component").agg(F.min("least").alias("name"))
     named_heads = placed.join(names, "component").select("digest", "name", "head", "component")
-    return rows.join(named_heads, "digest", "left").select(
+    return rows.drop("tokens").join(named_heads, "digest", "left").select(
         "row", "id", "n", "digest", F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component"), F.coalesce("component", "row").alias("class")
     )
 
