@@ -265,5 +265,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows without words all stay."""
     found = jaccard_components(docs, id_col, text_col, **options)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    kept = found.groupBy("class").agg(first).select(F.col("first.row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    kept = found.groupBy("class").agg(first).select(F.col("first.row").alias("__loomline_row"))
+    return docs.withColumn("__loomline_row", F.monotonically_increasing_id()).join(kept, "__loomline_row", "left_semi").drop("__loomline_row")

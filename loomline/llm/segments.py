@@ -29,7 +29,7 @@ from loomline.llm.common import gram_hash, octets, sliding_min
 
 GROUP_BYTES = 4 << 20
 HOT = 8192
-ROW, GROUP = "__row", "__group"
+ROW, GROUP = "__loomline_row", "__loomline_group"
 #: Units handled at once; longer documents are cut into pieces that overlap by a window less one unit.
 PIECE = 1 << 20
 
