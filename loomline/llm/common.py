@@ -47,6 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_BYTES, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "67108864")
+
+
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Let this session send texts to Python in batches of about `most` instead of 64 MB, unless it was set by hand. Both
+    sides hold a batch several times over, so this bounds an executor's memory."""
+    if spark.conf.get(ARROW_BYTES, ARROW_DEFAULT[0]) in ARROW_DEFAULT:
+        spark.conf.set(ARROW_BYTES, most)
+
+
 def octets(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a column, null as none: one aggregate that sizes partitions and checks broadcasts."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]

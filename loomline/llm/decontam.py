@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import ALNUM, WordHash, as_bytes, gram_hash, octets, slices, sliding_min
+from loomline.llm.common import ALNUM, WordHash, as_bytes, bounded_batches, gram_hash, octets, slices, sliding_min
 
 SPAN = 10
 K = 4
@@ -113,6 +113,7 @@ def blocks_of(items: DataFrame, item_id: str, item_text: str, most: int) -> Iter
 
 def find_hits(docs: DataFrame, block: list[tuple], id_col: str, text_col: str) -> DataFrame:
     """Per row: its number of words, hit spans and the ids of found items."""
+    bounded_batches(docs.sparkSession)
     picked = docs.select(id_col, text_col)
     names = [id_col, "n_words", "spans", "items"]
     schema = f"`{id_col}` {picked.dtypes[0][1]}, n_words bigint, spans array<struct<a:bigint,b:bigint>>, items array<string>"
@@ -177,6 +178,7 @@ def decontaminate(
 
 def clean_rows(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs without any hit, all columns unchanged; a pass per block of the benchmark."""
+    bounded_batches(docs.sparkSession)
     for block in blocks_of(items, item_id, item_text, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:

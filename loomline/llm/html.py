@@ -22,6 +22,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomline.llm.common import bounded_batches
+
 #: HTML's raw-text and void elements, and elements that flow within a line of text.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -238,6 +240,7 @@ def main_text(html: str | None, tree) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    bounded_batches(pages.sparkSession)
     tree = train(*labelled())
     names = [id_col, url_col, "text", "n_chars"]
 

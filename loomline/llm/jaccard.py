@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, ODD, WordHash, gram_hash, mix, octets, written
+from loomline.llm.common import LOWER, ODD, WordHash, bounded_batches, gram_hash, mix, octets, written
 from loomline.operators.components import connected_components
 
 SHINGLE = 3
@@ -217,6 +217,7 @@ def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, group_bytes: int = GROUP_BYTES, set_bytes: int = SET_BYTES
 ) -> DataFrame:
     """(row, id, n, digest, component) with one row per input row; `component` is the smallest id of its component."""
+    bounded_batches(docs.sparkSession)
     groups = -(-octets(docs, text_col) // group_bytes) or 1
     rows = written(survivors(docs, id_col, text_col, groups, shingle, percent), "token-sets")
     heads = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("head"), F.min("id").alias("least"))

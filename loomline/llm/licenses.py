@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import ALNUM, as_bytes
+from loomline.llm.common import ALNUM, as_bytes, bounded_batches
 
 #: Phrase -> label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -120,6 +120,7 @@ def license_scan(
 ) -> DataFrame:
     """Per document: words, phrase places, labels of phrases and of templates contained in one of its lines; `score` is
     the largest containment found, 0 where no template meets the threshold."""
+    bounded_batches(docs.sparkSession)
     sets = {n: set(words_of(t.encode())) for n, t in templates.items()}
     index = ContainmentIndex(sets, token_counts(docs, text_col, set().union(*sets.values(), set())), threshold)
     wanted = {tuple(words_of(p.encode())): label for p, label in phrases.items()}

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import written
+from loomline.llm.common import bounded_batches, written
 
 CAPACITY = 1024
 END_TOKEN = 2
@@ -128,6 +128,7 @@ def best_fit(
     docs: DataFrame, ranks_path: str, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END_TOKEN
 ) -> DataFrame:
     """Pieces of all documents with their sequence and offset."""
+    bounded_batches(docs.sparkSession)
     pieces = written(token_pieces(docs, id_col, text_col, capacity, end, ranks_path, vocabulary_path), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("rows_"))
     before = F.sum("rows_").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import MIX, ODD, WHITE, as_bytes, gram_hash, mix, slices
+from loomline.llm.common import MIX, ODD, WHITE, as_bytes, bounded_batches, gram_hash, mix, slices
 
 SYMBOLS = b"#*$%&|<>"
 #: Documents whose texts are read, whole, to measure the rules.
@@ -144,6 +144,7 @@ def judged(texts: list[bytes | None], order: tuple[Rule, ...]) -> tuple[list[Doc
 
 def quality_cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Base counts and the cascade's verdict for every document."""
+    bounded_batches(docs.sparkSession)
     order = measured_order(sample_texts(docs, id_col, text_col), rules)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -163,6 +164,7 @@ def quality_cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that the cascade keeps, all columns unchanged."""
+    bounded_batches(docs.sparkSession)
     order = measured_order(sample_texts(docs, id_col, text_col), rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

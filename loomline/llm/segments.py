@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import gram_hash, octets, sliding_min
+from loomline.llm.common import bounded_batches, gram_hash, octets, sliding_min
 
 GROUP_BYTES = 4 << 20
 HOT = 8192
@@ -270,6 +270,7 @@ def with_repeats(
     docs: DataFrame, unit: Unit, finish: Callable, schema, text_col: str = "text", keep_first: bool = False, group_bytes: int = GROUP_BYTES, hot: int = HOT
 ) -> DataFrame:
     """finish(table of a group's rows, list of (n, 2) span arrays by row) -> table of `schema`."""
+    bounded_batches(docs.sparkSession)
     groups = -(-octets(docs, text_col) // group_bytes) or 1
     grouped = dealt(docs, groups)
     counted = minimisers(unit, grouped, text_col).withColumn("total", F.sum("n").over(Window.partitionBy("least")))
