@@ -18,15 +18,22 @@ CUT_OFF_DB, SHORT, LONG, LONG_S = 15.0, 0.5, 2.5, 1.0
 NATIVE_WORDS = 127
 
 
+def numbered(ref: list[str], hyp: list[str]) -> tuple[list[int], np.ndarray]:
+    """Both word lists with equal numbers for equal words."""
+    number: dict[str, int] = {}
+    r, h = ([number.setdefault(w, len(number)) for w in side] for side in (ref, hyp))
+    return r, np.array(h, np.int64)
+
+
 def distances(ref: list[str], hyp: list[str]) -> np.ndarray:
     """Edit distances between all prefixes of two word lists, row by row."""
     table = np.zeros((len(ref) + 1, len(hyp) + 1), np.int64)
     table[:, 0] = np.arange(len(ref) + 1)
     table[0] = np.arange(len(hyp) + 1)
-    words = np.array(hyp, object)
+    r, words = numbered(ref, hyp)
     steps = np.arange(len(hyp) + 1)
-    for i, w in enumerate(ref, 1):
-        best = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (words != w)) if len(hyp) else np.empty(0, np.int64)
+    for i, w in enumerate(r, 1):
+        best = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (words != w))
         row = np.concatenate([[i], best])
         table[i] = np.minimum.accumulate(row - steps) + steps  # insertions run along the row
     return table
@@ -41,9 +48,19 @@ def word_errors_native(ref: Column, hyp: Column) -> Column:
     return F.when(F.size(words) <= NATIVE_WORDS, F.coalesce(empty, F.levenshtein(spell(ref), spell(hyp))))
 
 
+def word_distance(ref: list[str], hyp: list[str]) -> int:
+    """Edit distance of two word lists, of whose table one row is kept."""
+    r, words = numbered(ref, hyp)
+    row = steps = np.arange(len(hyp) + 1)
+    for i, w in enumerate(r, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (words != w))
+        row = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps  # insertions run along the row
+    return int(row[-1])
+
+
 @F.pandas_udf(T.IntegerType())
 def word_errors_any(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([int(distances(list(r), list(h))[-1, -1]) for r, h in zip(ref, hyp)], dtype="int32")
+    return pd.Series([word_distance(list(r), list(h)) for r, h in zip(ref, hyp)], dtype="int32")
 
 
 def word_errors(ref: Column, hyp: Column) -> Column:
@@ -51,6 +68,14 @@ def word_errors(ref: Column, hyp: Column) -> Column:
     return word_errors_any(ref, hyp)
 
 
+def word_errors_mixed(ref: Column, hyp: Column) -> Column:
+    """word_errors_native where it holds; pairs of more distinct words go to word_errors_any, which gets empty lists for the
+    others."""
+    large = F.size(F.array_distinct(F.concat(ref, hyp))) > NATIVE_WORDS
+    none = F.array().cast("array<string>")
+    return F.coalesce(word_errors_native(ref, hyp), word_errors_any(F.when(large, ref).otherwise(none), F.when(large, hyp).otherwise(none)))
+
+
 #: Alignment steps in the order in which equal costs are told apart: name, cost, words of the reference and heard words used.
 STEPS = (("match", 0, 1, 1), ("swap", 1, 1, 1), ("lost", 1, 1, 0), ("added", 1, 0, 1))
 

@@ -158,7 +158,7 @@ SIDES = (
 
 
 def turn_pairs(spark, sf_dir):
-    words = lambda c: F.slice(F.split(F.trim(c), r"\s+"), 1, 30)
+    words = lambda c: F.split(F.trim(c), r"\s+")
     rows = table(spark, sf_dir, "conversations")
     later = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), words("text").alias("h"))
     return rows.select("conv_id", "turn", words("text").alias("r")).join(later, ["conv_id", "turn"])
@@ -171,7 +171,7 @@ def o9_11_word_errors(spark, sf_dir):
 
 @query("o9_11_word_errors_native", f"WITH {SIDES} SELECT conv_id, turn, cast(levenshtein(rs, hs) AS int) AS errors FROM coded")
 def o9_11_word_errors_native(spark, sf_dir):
-    return turn_pairs(spark, sf_dir).select("conv_id", "turn", align.word_errors_native(F.col("r"), F.col("h")).alias("errors"))
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", align.word_errors_mixed(F.col("r"), F.col("h")).alias("errors"))
 
 
 @query("o9_12_trailing_missing")
