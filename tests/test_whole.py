@@ -46,3 +46,17 @@ def test_word_errors_of_whole_texts(spark, turns):
 
 def test_missing_words_are_judged_at_the_end(spark, turns):
     assert {r[:2]: r[2] for r in found(spark, "o9_12_trailing_missing")} == {k: align.missing_at_end(r, h) for k, (r, h) in turns.items()}
+
+
+def test_edge_components_of_all_orders(spark):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for order, customer in rows_of(spark, "orders", ["o_orderkey", "o_custkey"]):
+        a, b = sorted((root(order), root(customer * 100 + 7)))
+        parent[b] = a
+    assert sorted(found(spark, "o10_1_edge_components")) == sorted((x, root(x)) for x in parent)
