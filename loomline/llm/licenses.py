@@ -5,7 +5,10 @@ A block that holds at least ceil(threshold x |T|) of the |T| distinct tokens of
 |T| - ceil(threshold x |T|) + 1 tokens (prefix filter), has at least ceil(threshold x |T|) tokens (length filter), and the
 first shared token's place leaves enough tokens after it (positional filter). Candidates are verified exactly, so every
 block that meets the threshold is found. Templates are a fixed list, so their index travels with the task; blocks are
-the lines of a document, whole and never cut, and stay where they are: nothing is shuffled but the token counts.
+the lines of a document, whole and never cut, and in paragraphs of several lines also every window of as many words as the
+template has, so a notice is found however its lines are broken. Lines without words part paragraphs. Blocks stay where
+they are: nothing is shuffled but the token counts. A paragraph's windows hold no more than the paragraph, so the same
+filters, on the paragraph's tokens, say which templates need a sweep over windows.
 
 Cases: a null text is empty and has no words, places or labels; equal texts give equal rows; an empty table gives an empty
 result; only the id and the text are read.
@@ -14,8 +17,9 @@ result; only the id and the text are read.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,6 +71,7 @@ class ContainmentIndex:
         self.rank = {t: i for i, t in enumerate(sorted(set().union(*templates.values(), set()), key=lambda t: (frequency.get(t, 0), t)))}
         self.templates = {n: sorted(self.rank[t] for t in s) for n, s in templates.items() if s}
         self.need = {n: max(1, math.ceil(threshold * len(s) - 1e-9)) for n, s in self.templates.items()}
+        self.tokens = templates
         self.prefix: dict[int, list[tuple[str, int]]] = {}
         for n, s in self.templates.items():
             for place, token in enumerate(s[: len(s) - self.need[n] + 1]):
@@ -94,6 +99,36 @@ class ContainmentIndex:
                     out[name] = shared / size
         return out
 
+    def window_matches(self, words: list[bytes], lengths: dict[str, int]) -> dict[str, float]:
+        """The largest containment in a window of lengths[name] words, of every template that meets the threshold in one."""
+        out = {}
+        for name in self.matches(set(words)):
+            tokens, length, best = self.tokens[name], lengths[name], 0
+            held: Counter[bytes] = Counter()
+            inside: deque[int] = deque()
+            for at, word in enumerate(words):
+                if word not in tokens:
+                    continue
+                inside.append(at)
+                held[word] += 1
+                while inside[0] <= at - length:
+                    gone = words[inside.popleft()]
+                    held[gone] -= 1
+                    if not held[gone]:
+                        del held[gone]
+                best = max(best, len(held))
+            if best >= self.need[name]:
+                out[name] = best / len(tokens)
+        return out
+
+
+def paragraphs(lines: list[list[bytes]]) -> Iterator[list[bytes]]:
+    """The words of every run of two or more lines that have words."""
+    for filled, run in groupby(lines, bool):
+        run = list(run)
+        if filled and len(run) > 1:
+            yield list(chain.from_iterable(run))
+
 
 def token_counts(docs: DataFrame, text_col: str, vocabulary: set[bytes]) -> dict[bytes, int]:
     """How often each token of the vocabulary stands in the corpus: over all documents, pre-summed by task."""
@@ -118,10 +153,12 @@ def license_scan(
     templates: dict[str, str] = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Per document: words, phrase places, labels of phrases and of templates contained in one of its lines; `score` is
-    the largest containment found, 0 where no template meets the threshold."""
+    """Per document: words, phrase places, labels of phrases and of templates contained in one of its lines or in
+    a window of the template's length that runs over line ends; `score` is the largest containment found, 0 where no
+    template meets the threshold."""
     bounded_batches(docs.sparkSession)
     sets = {n: set(words_of(t.encode())) for n, t in templates.items()}
+    lengths = {n: len(words_of(t.encode())) for n, t in templates.items()}
     index = ContainmentIndex(sets, token_counts(docs, text_col, set().union(*sets.values(), set())), threshold)
     wanted = {tuple(words_of(p.encode())): label for p, label in phrases.items()}
     names = [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
@@ -138,11 +175,11 @@ def license_scan(
                 base = {label for _, label in places}
                 found: dict[str, float] = {}
                 if not keys.isdisjoint(words):
-                    for line in (text or b"").split(b"\n"):
-                        block = set(words_of(line))
-                        if not keys.isdisjoint(block):
-                            for name, share in index.matches(block).items():
-                                found[name] = max(share, found.get(name, 0.0))
+                    lines = [words_of(line) for line in (text or b"").split(b"\n")]
+                    shares = [index.matches(set(line)) for line in lines if not keys.isdisjoint(line)]
+                    shares += [index.window_matches(p, lengths) for p in paragraphs(lines) if not keys.isdisjoint(p)]
+                    for name, share in chain.from_iterable(s.items() for s in shares):
+                        found[name] = max(share, found.get(name, 0.0))
                 rows.append(
                     (
                         len(words),
