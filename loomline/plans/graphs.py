@@ -77,12 +77,12 @@ BLIND = "SELECT 'c' || substr(sha256('page|' || doc_id), 1, 7) AS label, doc_id,
 
 @query("o10_4_blinded_trials", f"SELECT label, n_chars FROM ({BLIND}) JOIN documents USING (doc_id)")
 def o10_4_blinded_trials(spark, sf_dir):
-    return relations.blinded(table(spark, sf_dir, "documents").where("doc_id % 6 = 0"), "doc_id", "page", ["n_chars"])[0]
+    return relations.blinded(table(spark, sf_dir, "documents"), "doc_id", "page", ["n_chars"])[0]
 
 
 @query("o10_4_blinding_key", BLIND)
 def o10_4_blinding_key(spark, sf_dir):
-    key = relations.blinded(table(spark, sf_dir, "documents").where("doc_id % 6 = 0"), "doc_id", "page", ["n_chars"])[1]
+    key = relations.blinded(table(spark, sf_dir, "documents"), "doc_id", "page", ["n_chars"])[1]
     return key.select("label", "doc_id", F.col("source").alias("run"))
 
 

@@ -60,3 +60,12 @@ def test_edge_components_of_all_orders(spark):
         a, b = sorted((root(order), root(customer * 100 + 7)))
         parent[b] = a
     assert sorted(found(spark, "o10_1_edge_components")) == sorted((x, root(x)) for x in parent)
+
+
+def test_all_documents_are_blinded(spark):
+    docs = {i: (n, s) for i, n, s in rows_of(spark, "documents", ["doc_id", "n_chars", "source"])}
+    key = {r["label"]: r["doc_id"] for r in registry.queries()["o10_4_blinding_key"](spark, DATA).collect()}
+    assert sorted(key.values()) == sorted(docs)
+    trials = registry.queries()["o10_4_blinded_trials"](spark, DATA).collect()
+    assert sorted(r["label"] for r in trials) == sorted(key)
+    assert all(r["n_chars"] == docs[key[r["label"]]][0] for r in trials)
