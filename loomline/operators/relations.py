@@ -78,9 +78,13 @@ def stratified_sample(df: DataFrame, strata: list[str], id_col: str, k: int, see
 
 
 def shuffled_labels(df: DataFrame, id_col: str, secret: str, length: int = 8) -> DataFrame:
-    """Opaque labels, and an order by them, that tell nothing about the rows."""
-    label = F.concat(F.lit("c"), F.substring(F.sha2(F.concat_ws("|", F.lit(secret), F.col(id_col).cast("string")).cast("binary"), 256), 1, length - 1))
-    return df.withColumn("label", label)
+    """Opaque labels, and an order by them, that tell nothing about the rows. Ids whose hashes begin alike get the whole hash
+    as their label, so no two ids share one; rows of one id do."""
+    hashed = df.withColumn("hash_", F.sha2(F.concat_ws("|", F.lit(secret), F.col(id_col).cast("string")).cast("binary"), 256))
+    hashed = hashed.withColumn("label", F.concat(F.lit("c"), F.substring("hash_", 1, length - 1)))
+    shared = hashed.groupBy("label").agg(F.min("hash_").alias("a_"), F.max("hash_").alias("b_")).where("a_ <> b_").select("label", F.lit(True).alias("shared_"))
+    whole = F.when(F.col("shared_"), F.concat(F.lit("c"), F.col("hash_"))).otherwise(F.col("label"))
+    return hashed.join(shared, "label", "left").select(*[F.col(f"`{c}`") for c in df.columns if c != "label"], whole.alias("label"))
 
 
 def label_clashes(labelled: DataFrame) -> DataFrame:
