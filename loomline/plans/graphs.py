@@ -236,5 +236,5 @@ def o11_8_vector_similarity(spark, sf_dir):
 @query("o11_11_style_classifier")
 def o11_11_style_classifier(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    _, found = evaluation.style_classifier(rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0"), "embedding", "label", folds=3, regs=(0.01,))
+    _, found = evaluation.style_classifier(rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0"), "embedding", "label")
     return found.select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))

@@ -69,3 +69,22 @@ def test_all_documents_are_blinded(spark):
     trials = registry.queries()["o10_4_blinded_trials"](spark, DATA).collect()
     assert sorted(r["label"] for r in trials) == sorted(key)
     assert all(r["n_chars"] == docs[key[r["label"]]][0] for r in trials)
+
+
+def test_the_classifier_query_takes_the_whole_grid(spark, monkeypatch):
+    """Five folds and the operator's ten strengths: the query hands over neither."""
+    import inspect
+
+    from loomline.operators import evaluation
+
+    real, taken = inspect.signature(evaluation.style_classifier), []
+
+    def seen(*args, **named):
+        bound = real.bind(*args, **named)
+        bound.apply_defaults()
+        taken.append((bound.arguments["folds"], bound.arguments["regs"]))
+        return None, bound.arguments["held_out"].withColumn("prediction", bound.arguments["held_out"]["label"])
+
+    monkeypatch.setattr(evaluation, "style_classifier", seen)
+    registry.queries()["o11_11_style_classifier"](spark, DATA)
+    assert taken == [(5, None)]
