@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,89 +13,55 @@ from pyspark.sql import types as T
 #: Fixed values of the completeness rule.
 MISSING_WORDS, MISSING_SHARE, CHECK_RATE = 2, 1 / 3, 0.25
 CUT_OFF_DB, SHORT, LONG, LONG_S = 15.0, 0.5, 2.5, 1.0
-#: Distinct words of a pair that can be told apart as single characters by both engines.
-NATIVE_WORDS = 127
-
-
-def numbered(ref: list[str], hyp: list[str]) -> tuple[list[int], np.ndarray]:
-    """Both word lists with equal numbers for equal words."""
-    number: dict[str, int] = {}
-    r, h = ([number.setdefault(w, len(number)) for w in side] for side in (ref, hyp))
-    return r, np.array(h, np.int64)
-
-
-def distances(ref: list[str], hyp: list[str]) -> np.ndarray:
-    """Edit distances between all prefixes of two word lists, row by row."""
-    table = np.zeros((len(ref) + 1, len(hyp) + 1), np.int64)
-    table[:, 0] = np.arange(len(ref) + 1)
-    table[0] = np.arange(len(hyp) + 1)
-    r, words = numbered(ref, hyp)
-    steps = np.arange(len(hyp) + 1)
-    for i, w in enumerate(r, 1):
-        best = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (words != w))
-        row = np.concatenate([[i], best])
-        table[i] = np.minimum.accumulate(row - steps) + steps  # insertions run along the row
-    return table
+#: Distinct words of a pair become the characters from here on, beyond the surrogates; so many there are.
+FIRST_CHAR = 0x10000
+NATIVE_WORDS = 0x110000 - FIRST_CHAR
 
 
 def word_errors_native(ref: Column, hyp: Column) -> Column:
     """Word-level edit distance of two word arrays through the character-level builtin: each distinct word becomes one
-    character. For pairs with at most NATIVE_WORDS distinct words; null beyond."""
+    character. More than NATIVE_WORDS distinct words in a pair raise an error."""
     words = F.array_distinct(F.concat(ref, hyp))
-    spell = lambda side: F.array_join(F.transform(side, lambda w: F.char(F.array_position(words, w))), "")
+    digits = lambda w: F.lpad(F.hex(F.array_position(words, w) + (FIRST_CHAR - 1)), 8, "0")
+    spell = lambda side: F.decode(F.unhex(F.array_join(F.transform(side, digits), "")), "UTF-32")
     empty = F.when(F.size(ref) == 0, F.size(hyp)).when(F.size(hyp) == 0, F.size(ref))
-    return F.when(F.size(words) <= NATIVE_WORDS, F.coalesce(empty, F.levenshtein(spell(ref), spell(hyp))))
-
-
-def word_distance(ref: list[str], hyp: list[str]) -> int:
-    """Edit distance of two word lists, of whose table one row is kept."""
-    r, words = numbered(ref, hyp)
-    row = steps = np.arange(len(hyp) + 1)
-    for i, w in enumerate(r, 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (words != w))
-        row = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps  # insertions run along the row
-    return int(row[-1])
-
-
-@F.pandas_udf(T.IntegerType())
-def word_errors_any(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([word_distance(list(r), list(h)) for r, h in zip(ref, hyp)], dtype="int32")
-
-
-def word_errors(ref: Column, hyp: Column) -> Column:
-    """Word-level edit distance of two word arrays of any vocabulary."""
-    return word_errors_any(ref, hyp)
+    fits = F.when(F.size(words) > NATIVE_WORDS, F.raise_error(F.lit("too many distinct words in a pair")).cast("int"))
+    return F.coalesce(empty, fits, F.levenshtein(spell(ref), spell(hyp)))
 
 
-def word_errors_mixed(ref: Column, hyp: Column) -> Column:
-    """word_errors_native where it holds; pairs of more distinct words go to word_errors_any, which gets empty lists for the
-    others."""
-    large = F.size(F.array_distinct(F.concat(ref, hyp))) > NATIVE_WORDS
-    none = F.array().cast("array<string>")
-    return F.coalesce(word_errors_native(ref, hyp), word_errors_any(F.when(large, ref).otherwise(none), F.when(large, hyp).otherwise(none)))
+def aligned(ref: list[str], hyp: list[str]) -> tuple[int, int]:
+    """Edit distance of two word lists, and by how many words the reference is ahead where an optimal alignment last matches
+    a word exactly (0 where it matches none).
 
-
-#: Alignment steps in the order in which equal costs are told apart: name, cost, words of the reference and heard words used.
-STEPS = (("match", 0, 1, 1), ("swap", 1, 1, 1), ("lost", 1, 1, 0), ("added", 1, 0, 1))
-
-
-def steps_from_end(ref: list[str], hyp: list[str]) -> Iterator[tuple[str, int, int]]:
-    """The alignment read backwards: (step, reference words after it, heard words after it), until one side is used up."""
-    table = distances(ref, hyp)
-    after_ref = after_hyp = 0
-    while after_ref < len(ref) and after_hyp < len(hyp):
-        i, j = len(ref) - after_ref, len(hyp) - after_hyp
-        for name, cost, di, dj in STEPS:
-            if (name != "match" or ref[i - 1] == hyp[j - 1]) and table[i - di, j - dj] + cost == table[i, j]:
-                break
-        yield name, after_ref, after_hyp
-        after_ref, after_hyp = after_ref + di, after_hyp + dj
+    One forward pass; of the table only the last row is kept, as two numbers a cell: its cost, and the lead at the last match
+    of the alignment that ends there. Of steps of equal cost a match goes before a swap, a lost word and an added word."""
+    number: dict[str, int] = {}
+    left, right = (np.fromiter((number.setdefault(w, len(number)) for w in side), np.int64, len(side)) for side in (ref, hyp))
+    place = np.arange(len(hyp) + 1)
+    cost, lead = place, np.zeros(len(hyp) + 1, np.int64)
+    for i, word in enumerate(left.tolist(), 1):
+        same = right == word
+        swapped = cost[:-1] + ~same
+        short = np.concatenate([[i], np.minimum(cost[1:] + 1, swapped)])
+        now = np.minimum.accumulate(short - place) + place  # added words run along the row
+        via_swap = now[1:] == swapped
+        # Where a cell's step is an added word, its lead is that of the nearest cell before it whose step is another.
+        own = np.concatenate([[True], via_swap | (now[1:] == cost[1:] + 1)])
+        from_above = np.where(same, i - place[1:], np.where(via_swap, lead[:-1], lead[1:]))
+        lead = np.concatenate([[0], from_above])[np.maximum.accumulate(np.where(own, place, 0))]
+        cost = now
+    return int(cost[-1]), int(lead[-1])
 
 
 def missing_at_end(ref: list[str], hyp: list[str]) -> int:
     """Reference words after the last matched one, less the heard words after it."""
-    last = next((s for s in steps_from_end(ref, hyp) if s[0] == "match"), ("", len(ref), len(hyp)))
-    return max(0, last[1] - last[2])
+    return max(0, len(ref) - len(hyp) - aligned(ref, hyp)[1])
+
+
+@F.pandas_udf(T.IntegerType())
+def word_errors(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Word-level edit distance of two word arrays of any vocabulary."""
+    return pd.Series([aligned(list(r), list(h))[0] for r, h in zip(ref, hyp)], dtype="int32")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -134,43 +99,50 @@ PAUSES = {",": 0.25, ";": 0.3, ":": 0.3, ".": 0.45, "!": 0.45, "?": 0.45}
 PAUSE_ELSE = 0.15
 
 
-def halves(words: list[str], most: int = MOST_WORDS) -> Iterator[list[str]]:
-    """Words cut in two before the listed word nearest the middle (else in the middle), and again while a part is too long."""
-    if len(words) <= most:
-        yield words
-        return
-    middle = len(words) // 2
-    inner = range(LEAST_EDGE, len(words) - LEAST_EDGE + 1)
-    at = min((i for i in inner if words[i].lower() in CUT_BEFORE), key=lambda i: abs(i - middle), default=middle)
-    for part in (words[:at], words[at:]):
-        yield from halves(part, most)
-
-
-def sentence_parts(sentence: str, most: int) -> Iterator[list[str]]:
-    """Clauses of a sentence, neighbours together while they fit; a clause too long by itself is halved, taking along a
-    lead-in of one or two words."""
-    waiting: list[str] = []
-    for words in map(str.split, re.split(r"(?<=[,;:])\s+", sentence)):
-        if len(waiting) + len(words) <= most:
-            waiting = waiting + words
+SENTENCE_END, CLAUSE_END = ".!?", ",;:"
+
+
+def middle_cut(words: list[str], a: int, b: int) -> int:
+    """Where to cut words a to b in two: looking outwards from the middle, the first listed word, else the middle."""
+    middle = a + (b - a) // 2
+    outwards = (k for away in range(b - a) for k in (middle - away, middle + away))
+    return next((k for k in outwards if a + LEAST_EDGE <= k <= b - LEAST_EDGE and words[k].lower() in CUT_BEFORE), middle)
+
+
+def cut_places(words: list[str], most: int) -> list[int]:
+    """Ends of the pieces, from one pass over the places where a word ends a clause.
+
+    A piece stays open while its next clause fits. A clause too long by itself is cut in the middle until its parts fit; what
+    is open goes along with it if that is a lead-in of one or two words."""
+    ends: set[int] = set()
+    begun = clause = 0
+    for end in range(1, len(words) + 1):
+        last = words[end - 1][-1]
+        if last not in SENTENCE_END + CLAUSE_END and end < len(words):
             continue
-        lead = waiting if len(words) > most and len(waiting) <= LEAD_IN else []
-        if waiting and not lead:
-            yield waiting
-        if len(words) > most:
-            yield from halves(lead + words, most)
-            waiting = []
-        else:
-            waiting = words
-    if waiting:
-        yield waiting
+        if end - begun > most:
+            if end - clause <= most or clause - begun > LEAD_IN:
+                ends.add(clause)
+                begun = clause
+            wide = [(begun, end)] if end - begun > most else []
+            for a, b in wide:  # grows while it is read
+                at = middle_cut(words, a, b)
+                ends.add(at)
+                wide += [(x, y) for x, y in ((a, at), (at, b)) if y - x > most]
+            if wide:
+                begun = end
+        if last in SENTENCE_END or end == len(words) or begun == end:
+            ends.add(end)
+            begun = end
+        clause = end
+    return sorted(ends - {0})
 
 
 def pieces(text: str, most: int = MOST_WORDS) -> list[tuple[str, float]]:
     """Short pieces of a text with the pause after each."""
-    out = []
-    for sentence in re.split(r"(?<=[.!?])\s+", text.strip()):
-        out += [" ".join(words) for words in sentence_parts(sentence, most)]
+    words = text.split()
+    ends = cut_places(words, most)
+    out = [" ".join(words[a:b]) for a, b in zip([0, *ends], ends)]
     return [(p, PAUSES.get(p[-1:], PAUSE_ELSE)) for p in out]
 
 

@@ -256,7 +256,10 @@ def o7_7_listening_pack(spark, sf_dir):
     return relations.stratified_sample(table(spark, sf_dir, "documents").where("n_chars between 200 and 600"), ["lang"], "doc_id", 6, "pack").select("doc_id")
 
 
-@query("o7_8_opaque_labels", "SELECT doc_id, 'c' || substr(sha256('secret|' || doc_id), 1, 7) AS label FROM documents")
+@query(
+    "o7_8_opaque_labels",
+    "SELECT doc_id, 'c' || CASE WHEN count(*) OVER (PARTITION BY substr(h, 1, 7)) > 1 THEN h ELSE substr(h, 1, 7) END AS label FROM (SELECT doc_id, sha256('secret|' || doc_id) AS h FROM documents)",
+)
 def o7_8_opaque_labels(spark, sf_dir):
     return relations.shuffled_labels(table(spark, sf_dir, "documents"), "doc_id", "secret").select("doc_id", "label")
 

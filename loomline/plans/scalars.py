@@ -151,10 +151,17 @@ def o9_10_cue_scores(spark, sf_dir):
 
 
 SIDES = (
-    "sides AS (SELECT a.conv_id, a.turn, string_split_regex(trim(a.text), '\\s+')[1:30] AS r, string_split_regex(trim(b.text), '\\s+')[1:30] AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), "
-    "spelt AS (SELECT *, list_distinct(list_concat(r, h)) AS v FROM sides), "
-    "coded AS (SELECT *, array_to_string(list_transform(r, lambda x: chr(list_position(v, x)::int)), '') AS rs, array_to_string(list_transform(h, lambda x: chr(list_position(v, x)::int)), '') AS hs FROM spelt)"
+    "sides AS (SELECT a.conv_id, a.turn, string_split_regex(trim(a.text), '\\s+') AS r, string_split_regex(trim(b.text), '\\s+') AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), "
+    # Row i of the alignment table of every pair at once: d is the cost, lead the reference's lead at the last exact match.
+    "cells AS (SELECT conv_id, turn, 0 AS i, j, j AS d, cast(0 AS bigint) AS lead FROM (SELECT conv_id, turn, unnest(range(0, len(h) + 1)) AS j FROM sides) UNION ALL "
+    "SELECT conv_id, turn, i, j, d, last_value(f IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY j ROWS UNBOUNDED PRECEDING) FROM ("
+    "SELECT *, CASE WHEN j = 0 THEN 0 WHEN same THEN i - j WHEN d = diag + 1 THEN diag_lead WHEN d = up + 1 THEN up_lead END AS f FROM ("
+    "SELECT *, j + min(CASE WHEN j = 0 THEN i ELSE least(up + 1, diag + CASE WHEN same THEN 0 ELSE 1 END) END - j) OVER (PARTITION BY conv_id, turn ORDER BY j ROWS UNBOUNDED PRECEDING) AS d FROM ("
+    "SELECT conv_id, turn, i + 1 AS i, j, d AS up, lead AS up_lead, lag(d) OVER w AS diag, lag(lead) OVER w AS diag_lead, r[i + 1] = h[j] AS same "
+    "FROM cells JOIN sides USING (conv_id, turn) WHERE i < len(r) WINDOW w AS (PARTITION BY conv_id, turn ORDER BY j))))), "
+    "ends AS (SELECT conv_id, turn, len(r) AS n, len(h) AS m, cells.* EXCLUDE (conv_id, turn) FROM sides JOIN cells USING (conv_id, turn) WHERE i = len(r) AND j = len(h))"
 )
+ERRORS = f"WITH RECURSIVE {SIDES} SELECT conv_id, turn, cast(d AS int) AS errors FROM ends"
 
 
 def turn_pairs(spark, sf_dir):
@@ -164,17 +171,17 @@ def turn_pairs(spark, sf_dir):
     return rows.select("conv_id", "turn", words("text").alias("r")).join(later, ["conv_id", "turn"])
 
 
-@query("o9_11_word_errors", f"WITH {SIDES} SELECT conv_id, turn, cast(levenshtein(rs, hs) AS int) AS errors FROM coded")
+@query("o9_11_word_errors", ERRORS)
 def o9_11_word_errors(spark, sf_dir):
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", align.word_errors(F.col("r"), F.col("h")).alias("errors"))
 
 
-@query("o9_11_word_errors_native", f"WITH {SIDES} SELECT conv_id, turn, cast(levenshtein(rs, hs) AS int) AS errors FROM coded")
+@query("o9_11_word_errors_native", ERRORS)
 def o9_11_word_errors_native(spark, sf_dir):
-    return turn_pairs(spark, sf_dir).select("conv_id", "turn", align.word_errors_mixed(F.col("r"), F.col("h")).alias("errors"))
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", align.word_errors_native(F.col("r"), F.col("h")).alias("errors"))
 
 
-@query("o9_12_trailing_missing")
+@query("o9_12_trailing_missing", f"WITH RECURSIVE {SIDES} SELECT conv_id, turn, cast(greatest(0, n - m - lead) AS int) AS missing FROM ends")
 def o9_12_trailing_missing(spark, sf_dir):
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", align.trailing_missing(F.col("r"), F.col("h")).alias("missing"))
 
