@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 #: Rows a round's table holds per file: small graphs don't pay for many tasks and files in every round.
 PART_ROWS = 250_000
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df under spark.checkpoint.dir (this machine's temp folder only where that is unset) and read it back."""
+@lru_cache(maxsize=1)
+def own_dir() -> str:
+    return tempfile.mkdtemp(prefix="loomline-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir. A local master has one machine, whose temp folder will do where
+    that is unset; on a cluster each executor would write to its own disk, so there it must be set."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return own_dir()
+
+
+def cut_lineage(df: DataFrame, name: str = "loop") -> DataFrame:
+    """Write df under the shared folder and read it back."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/loop-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
