@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomline.operators.components import cut_lineage
 
 #: What `bytes.split()` and the class [^\x20\x09-\x0D] call white space.
 WHITE = b" \t\n\r\x0b\f"
@@ -29,34 +32,49 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of this machine only where that is unset."""
-    sc = spark.sparkContext
-    set_to = sc._jsc.sc().getCheckpointDir()
-    if set_to.isDefined():
-        return set_to.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: it cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the folder that all executors share, read back: it cuts lineage and outlives executors."""
+    return cut_lineage(df, name)
 
 
 ARROW_BYTES, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "67108864")
 
 
 def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
-    """Let this session send texts to Python in batches of about `most` instead of 64 MB, unless it was set by hand. Both
-    sides hold a batch several times over, so this bounds an executor's memory."""
+    """Let this session send texts to Python in batches of about `most` instead of its default of 64 MB; another value stays.
+    Both sides hold a batch several times over, so this bounds an executor's memory. The setting is read when a plan runs,
+    which is after the operator has returned, so it stays for the session's later queries."""
     if spark.conf.get(ARROW_BYTES, ARROW_DEFAULT[0]) in ARROW_DEFAULT:
         spark.conf.set(ARROW_BYTES, most)
 
 
+ROW, GROUP = "__loomline_row", "__loomline_group"
+
+
+def dealt(docs: DataFrame, text_col: str, group_bytes: int, name: str = "numbered") -> DataFrame:
+    """The documents with a row number and a group, in a written table: the numbers stay whatever is computed anew. A group is
+    a run of neighbouring rows with `group_bytes` of text; a longer text is its group's last."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(ROW, T.LongType()), T.StructField(GROUP, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        row, group, held = first, first, 0
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0).to_numpy()
+            groups = []
+            for n in sizes.tolist():
+                if held >= group_bytes:
+                    group, held = group + 1, 0
+                groups.append(group)
+                held += n
+            numbers = np.arange(row, row + len(sizes))
+            row += len(sizes)
+            columns = [*batch.columns, pa.array(numbers), pa.array(groups, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, ROW, GROUP])
+
+    return written(docs.mapInArrow(run, schema), name)
+
+
 def octets(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a column, null as none: one aggregate that sizes partitions and checks broadcasts."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]

@@ -27,7 +27,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.byte_repeats(read(spark, sf_dir, "documents"))
+    return suffixes.byte_repeats(read(spark, sf_dir, "documents"), keep_first=False)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

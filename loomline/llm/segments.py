@@ -3,33 +3,36 @@
 A window is W consecutive units (words or bytes) of one document; its minimiser is the smallest hash among its grams.
 Consecutive windows that share a minimiser form a segment (a super-k-mer). Equal windows have equal minimisers, so:
 
-1. documents are dealt into groups of about GROUP_BYTES (one shuffle of the texts, read three times);
-2. each group counts its minimisers' places; those with one place in the corpus can't hold a repeat and are dropped;
-3. the others' segments travel, packed as one string each and equal ones of a group merged, to their minimiser's bucket;
-4. a bucket orders the windows of its distinct segments, which shows the windows that start more than once;
+1. the rows are numbered in a written table, in which about GROUP_BYTES of neighbouring texts are a group;
+2. each group's minimisers and their places are counted where the table is read; those with one place in the corpus can't
+   hold a repeat and are dropped;
+3. the groups' texts are shuffled, once, to meet what they need; the other minimisers' segments travel, packed as one string each and equal ones of a group merged, to their minimiser's bucket;
+4. a bucket compares the windows of its distinct segments, which shows the windows that start more than once;
 5. the spans so found go back to the documents' groups.
 
-A minimiser with more than HOT places would overfill a bucket: its windows are dealt by 128-bit digests of their own
-instead, so no bucket holds more than one key's merged rows. Nothing is capped or dropped.
+A minimiser with more than HOT places would overfill a bucket, so its segments are cut into windows (segments whose
+minimiser is the whole window). Those are packed strings as well, equal ones of a group merged; they are counted by
+Spark's own aggregate over the strings, which combines before it shuffles, and the counts are joined with the groups that hold
+them, so no task gathers a hot window's places. Windows are compared by their units on both ways; nothing is capped.
+
+Longer texts than PIECE units are hashed piece by piece, so a text costs a small multiple of itself.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import bounded_batches, gram_hash, octets, sliding_min
+from loomline.llm.common import GROUP, ROW, as_bytes, bounded_batches, dealt, gram_hash, octets, sliding_min, written
 
 GROUP_BYTES = 4 << 20
-HOT = 8192
-ROW, GROUP = "__loomline_row", "__loomline_group"
+HOT = 32_768
 #: Units handled at once; longer documents are cut into pieces that overlap by a window less one unit.
 PIECE = 1 << 20
 
@@ -37,20 +40,15 @@ PIECE = 1 << 20
 @dataclass(frozen=True)
 class Unit:
     """What windows are made of. `split`: a text's units; `hashes`: 64 bits a unit; `pack`: units as one string;
-    `order`: for distinct packed strings, (windows before each string, order, same) where `order` sorts all windows so
-    that equal ones adjoin and same[i] tells whether order[i] equals order[i + 1]."""
+    `repeats`: for distinct packed strings, how often each occurs, and the row and start of its first place: (windows before
+    each string, windows that occur anywhere else, windows that occur at an earlier place)."""
 
     window: int
     gram: int
     split: Callable
     hashes: Callable
     pack: Callable
-    order: Callable
-
-
-def dealt(docs: DataFrame, groups: int) -> DataFrame:
-    """The documents with a row number and a group. The rows must come in the same order each time, as from a table."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).withColumn(GROUP, F.pmod(F.col(ROW), F.lit(groups)).cast("int"))
+    repeats: Callable
 
 
 def pieces(unit: Unit, texts: list[bytes | None]):
@@ -71,9 +69,8 @@ def pieces(unit: Unit, texts: list[bytes | None]):
         units = unit.split(text or b"")
         if len(units) < w:
             continue
-        h = unit.hashes(units)
-        for a in range(0, len(h) - w + 1, PIECE):
-            part = h[a : a + PIECE + w - 1]
+        for a in range(0, len(units) - w + 1, PIECE):
+            part = unit.hashes(units[a : a + PIECE + w - 1])
             batch.append((row, a, len(part)))
             parts.append(part)
             held += len(part)
@@ -104,20 +101,28 @@ def segments(unit: Unit, texts: list[bytes | None]):
 
 def minimisers(unit: Unit, grouped: DataFrame, text_col: str) -> DataFrame:
     """Per group and minimiser the number of its places. Two equal windows hold their minimiser at two places, in whatever
-    documents or segments they lie, so a minimiser with one place in the corpus has no repeat."""
+    documents or segments they lie, so a minimiser with one place in the corpus has no repeat. A group that two batches
+    hold gives two rows."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        found = []
-        for _, grams, least, valid, _ in pieces(unit, rows.column(text_col).cast(pa.binary()).to_pylist()):
+    def count(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.empty(0, np.uint64)]
+        for _, grams, least, valid, _ in pieces(unit, texts):
             pad = np.zeros(unit.window - unit.gram, np.uint64)
             low = np.concatenate([pad, np.where(valid, least, np.uint64(0)), pad])
             # Of the windows that hold a gram, the largest minimum equals the gram if it is a minimum itself.
             found.append(grams[~sliding_min(~low, unit.window - unit.gram + 1) == grams])
-        values, counts = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
-        group = rows.column(GROUP)[0].as_py()
-        return pa.table({"least": values.view(np.int64), "n": counts.astype(np.int64), GROUP: pa.array(np.full(len(values), group, np.int32))})
+        return np.unique(np.concatenate(found), return_counts=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, texts = batch.column(0).to_numpy(), as_bytes(batch.column(1))
+            edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1)).tolist()
+            for a, b in zip(edges, edges[1:]):
+                values, counts = count(texts[a:b])
+                columns = [pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(np.full(len(values), group[a]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["least", "n", GROUP])
 
-    return grouped.groupBy(GROUP).applyInArrow(run, f"least bigint, n bigint, {GROUP} int")
+    return grouped.select(GROUP, text_col).mapInArrow(run, f"least bigint, n bigint, {GROUP} bigint")
 
 
 def shipped(unit: Unit, grouped: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
@@ -137,12 +142,8 @@ def shipped(unit: Unit, grouped: DataFrame, wanted: DataFrame, text_col: str) ->
                 continue
             units, number = unit.split(texts[row]), int(numbers[row])
             for s, n, m, heavy in zip(start[hit].tolist(), size[hit].tolist(), least[hit].view(np.int64).tolist(), hot[at[hit]].tolist()):
-                if not heavy:
-                    places[m, False, unit.pack(units[s : s + n + unit.window - 1])].append((number, s))
-                    continue
-                for a in range(s, s + n):
-                    digest = xxhash.xxh3_128_digest(unit.pack(units[a : a + unit.window]))
-                    places[int.from_bytes(digest[:8], "big", signed=True), True, digest].append((number, a))
+                for a, many in ((a, 1) for a in range(s, s + n)) if heavy else ((s, n),):
+                    places[m, heavy, unit.pack(units[a : a + many + unit.window - 1])].append((number, a))
         spots = list(places.values())
         ends = pa.array(np.cumsum([0, *map(len, spots)]), pa.int32())
         lists = [pa.ListArray.from_arrays(ends, pa.array([p[k] for s in spots for p in s], pa.int64())) for k in (0, 1)]
@@ -153,10 +154,11 @@ def shipped(unit: Unit, grouped: DataFrame, wanted: DataFrame, text_col: str) ->
                 "packed": pa.array([k[2] for k in places], pa.binary()),
                 "rows": lists[0],
                 "starts": lists[1],
+                "home": pa.array(np.full(len(places), rows.column(GROUP)[0].as_py() if rows.num_rows else 0, np.int64)),
             }
         )
 
-    schema = "key bigint, hot boolean, packed binary, rows array<bigint>, starts array<bigint>"
+    schema = "key bigint, hot boolean, packed binary, rows array<bigint>, starts array<bigint>, home bigint"
     return grouped.groupBy(GROUP).cogroup(wanted.groupBy("wanted_by")).applyInArrow(run, schema)
 
 
@@ -175,80 +177,69 @@ def runs(flags: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[flags[a]], b[flags[a]]
 
 
-def repeats_of(unit: Unit, packed: list[bytes], hot: np.ndarray, pack_of: np.ndarray, row: np.ndarray, start: np.ndarray, keep_first: bool):
+def repeats_of(unit: Unit, packed: list[bytes], pack_of: np.ndarray, row: np.ndarray, start: np.ndarray, keep_first: bool):
     """Spans (row, from, to) of the bucket's repeated windows. packed: distinct; pack_of, row, start: every occurrence."""
     by = np.lexsort((start, row, pack_of))
     pack_of, row, start = pack_of[by], row[by], start[by]
     weight = np.bincount(pack_of, minlength=len(packed))
     first = np.cumsum(weight) - weight  # each string's earliest occurrence
-    cold = np.flatnonzero(~hot)
-    before, order, same = unit.order([packed[i] for i in cold.tolist()])
-    windows = np.ones(len(packed), np.int64)
-    windows[cold] = np.diff(before)
-    # All windows, cold ones first, then one for each hot string.
-    heat = np.flatnonzero(hot)
-    pack = np.concatenate([np.repeat(cold, np.diff(before)), heat])
-    offset = np.concatenate([spread(np.zeros(len(cold), np.int64), np.diff(before)), np.zeros(len(heat), np.int64)])
-    order = np.concatenate([order, np.arange(len(order), len(pack))])
-    new = np.ones(len(order), bool)
-    new[1 : 1 + len(same)] = ~same
-    head = np.flatnonzero(new)
-    if not len(head):
-        return row[:0], start[:0], start[:0]
-    total = np.add.reduceat(weight[pack[order]], head)
-    dup = np.empty(len(pack), bool)
-    dup[order] = np.repeat(total > 1, np.diff(np.append(head, len(order))))
-    spare = dup
-    if keep_first:
-        # The earliest place of each class of equal windows is not a repeat.
-        group = np.cumsum(new) - 1
-        o = order
-        rank = np.lexsort((start[first[pack[o]]] + offset[o], row[first[pack[o]]], group))
-        lead = np.ones(len(o), bool)
-        lead[1:] = group[rank][1:] != group[rank][:-1]
-        spare = dup.copy()
-        spare[o[rank[lead]]] = False
+    before, anywhere, earlier = unit.repeats(packed, weight, row[first], start[first])
+    pack = np.repeat(np.arange(len(packed)), np.diff(before))
+    offset = np.arange(len(pack)) - before[pack]
+    earliest = np.zeros(len(pack_of), bool)
+    earliest[first] = True
     out = []
-    others = np.ones(len(pack_of), bool)
-    if keep_first:
-        others[first] = False
-    for flags, take in ((dup, others), (spare, ~others)):
-        if not take.any():
-            continue
+    for flags, take in ((anywhere, ~earliest if keep_first else np.ones(len(pack_of), bool)), (earlier, earliest & keep_first)):
+        occ = np.flatnonzero(take)
         a, b = runs(flags, pack)
         many = np.bincount(pack[a], minlength=len(packed))
-        # Cold windows lie in order of their strings and hot ones after them, so spans are sorted by string only within each.
-        sort = np.argsort(pack[a], kind="stable")
-        a, b = a[sort], b[sort]
         lead = np.cumsum(many) - many
-        occ = np.flatnonzero(take)
         which = spread(lead[pack_of[occ]], many[pack_of[occ]])
         rep = np.repeat(occ, many[pack_of[occ]])
         out.append((row[rep], start[rep] + offset[a[which]], start[rep] + offset[b[which] - 1] + unit.window))
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
-def bucket_spans(unit: Unit, sent: DataFrame, buckets: int, groups: int, keep_first: bool) -> DataFrame:
+def bucket_spans(unit: Unit, sent: DataFrame, buckets: int, keep_first: bool) -> DataFrame:
     """Spans of repeated windows, packed as (row, from, to) numbers for each group of documents."""
 
     def run(rows: pa.Table) -> pa.Table:
-        index: dict[tuple[bool, bytes], int] = {}
-        ids = np.array([index.setdefault(k, len(index)) for k in zip(rows.column("hot").to_pylist(), rows.column("packed").to_pylist())], np.int64)
+        index: dict[bytes, int] = {}
+        ids = np.array([index.setdefault(k, len(index)) for k in rows.column("packed").to_pylist()], np.int64)
         lists = rows.column("rows").combine_chunks()
         lengths = np.diff(lists.offsets.to_numpy())
         row, start = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("rows", "starts"))
-        hot = np.array([k[0] for k in index], bool)
-        found = repeats_of(unit, [k[1] for k in index], hot, np.repeat(ids, lengths), row, start, keep_first)
+        found = repeats_of(unit, list(index), np.repeat(ids, lengths), row, start, keep_first)
+        known, at = np.unique(row, return_index=True)
+        homes = np.repeat(rows.column("home").to_numpy(), lengths)[at]
         row, low, high = united(*found)
-        home = row % groups
+        home = homes[np.searchsorted(known, row)]
         order = np.argsort(home, kind="stable")
         home, places = home[order], np.stack([row[order], low[order], high[order]], 1)
         at = np.flatnonzero(np.concatenate([np.ones(min(1, len(home)), bool), home[1:] != home[:-1]]))
         ends = np.append(at, len(home)).tolist()
-        return pa.table({"home": pa.array(home[at].astype(np.int32)), "spans": pa.array([places[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
+        return pa.table({"home": pa.array(home[at]), "spans": pa.array([places[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
 
     dealt_out = sent.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    return dealt_out.groupBy("bucket").applyInArrow(run, "home int, spans binary")
+    return dealt_out.groupBy("bucket").applyInArrow(run, "home bigint, spans binary")
+
+
+def hot_spans(unit: Unit, windows: DataFrame, keep_first: bool) -> DataFrame:
+    """The same for windows of hot minimisers, which the groups hold one by one: counts go to the places, not places to a task."""
+    first = F.array_min(F.transform(F.arrays_zip("rows", "starts"), lambda p: F.struct(p["rows"].alias("r"), p["starts"].alias("s"))))
+    counted = windows.groupBy("packed").agg(F.sum(F.size("rows")).alias("n"), F.min(first).alias("first")).where("n > 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for rows, starts, r, s in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
+                row, start = np.array(rows, np.int64), np.array(starts, np.int64)
+                later = ~((row == r) & (start == s)) if keep_first else np.ones(len(row), bool)
+                spans.append(np.stack([row, start, start + unit.window], 1)[later].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary())], names=["home", "spans"])
+
+    held = windows.join(counted, "packed").select("home", "rows", "starts", "first.r", "first.s")
+    return held.mapInArrow(run, "home bigint, spans binary")
 
 
 def united(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,11 +262,17 @@ def with_repeats(
 ) -> DataFrame:
     """finish(table of a group's rows, list of (n, 2) span arrays by row) -> table of `schema`."""
     bounded_batches(docs.sparkSession)
-    groups = -(-octets(docs, text_col) // group_bytes) or 1
-    grouped = dealt(docs, groups)
-    counted = minimisers(unit, grouped, text_col).withColumn("total", F.sum("n").over(Window.partitionBy("least")))
-    wanted = counted.where("total > 1").select("least", F.col(GROUP).alias("wanted_by"), (F.col("total") > hot).alias("hot"))
-    spans = bucket_spans(unit, shipped(unit, grouped, wanted, text_col), groups, groups, keep_first)
+    grouped = dealt(docs, text_col, group_bytes)
+    buckets = -(-octets(grouped, text_col) // group_bytes) or 1
+    counted = written(minimisers(unit, grouped, text_col), "minimisers")
+    totals = counted.groupBy("least").agg(F.sum("n").alias("total")).where("total > 1")
+    wanted = counted.join(totals, "least").select("least", F.col(GROUP).alias("wanted_by"), (F.col("total") > hot).alias("hot"))
+    sent = shipped(unit, grouped, wanted, text_col)
+    if totals.where(F.col("total") > hot).isEmpty():
+        spans = bucket_spans(unit, sent, buckets, keep_first)
+    else:
+        sent = written(sent, "segments")
+        spans = bucket_spans(unit, sent.where("not hot"), buckets, keep_first).unionByName(hot_spans(unit, sent.where("hot"), keep_first))
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         places = np.frombuffer(b"".join(found.column("spans").to_pylist()), np.int64).reshape(-1, 3)

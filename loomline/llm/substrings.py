@@ -3,8 +3,9 @@
 Windows of `window` words are partitioned by minimiser (see segments.py); in a bucket the windows of the distinct packed
 strings are sorted, which counts every window exactly, and the words of windows that occur more than once are removed.
 
-Cases: null and empty texts have no words; texts shorter than a window keep every word; repeated rows are repeats of each
-other; an empty table gives an empty result; further columns are carried by `remove_words` and ignored by `word_repeats`.
+Cases: null and empty texts have no words; texts shorter than a window keep every word; a very long text is hashed piece by
+piece and its own repeats count; repeated rows are repeats of each other; with keep_first ties between equal rows go by row
+number; an empty table gives an empty result; further columns are carried by `remove_words` and ignored by `word_repeats`.
 """
 
 from __future__ import annotations
@@ -48,9 +49,26 @@ def sorted_windows(packed: list[bytes], window: int, hashed: WordHash):
         salt += np.uint64(0x9E3779B97F4A7C15)  # two windows shared a hash: hash anew
 
 
+def counted_windows(packed: list[bytes], weight: np.ndarray, row: np.ndarray, start: np.ndarray, window: int, hashed: WordHash):
+    """Which windows of the packed strings occur anywhere else, and which at an earlier place."""
+    before, order, same = sorted_windows(packed, window, hashed)
+    n = len(order)
+    anywhere, earlier = np.zeros(n, bool), np.zeros(n, bool)
+    if n:
+        head = np.flatnonzero(np.concatenate([[True], ~same]))
+        of = np.repeat(np.arange(len(packed)), np.diff(before))
+        total = np.add.reduceat(weight[of[order]], head)
+        anywhere[order] = np.repeat(total > 1, np.diff(np.append(head, n)))
+        group = np.empty(n, np.int64)
+        group[order] = np.cumsum(np.concatenate([[True], ~same]))
+        at = np.lexsort((start[of] + np.arange(n) - before[of], row[of], group))
+        earlier[at[1:]] = group[at[1:]] == group[at[:-1]]
+    return before, anywhere, earlier
+
+
 def words(window: int = WINDOW, gram: int = GRAM) -> Unit:
     hashed = WordHash()
-    return Unit(window, gram, bytes.split, hashed, b" ".join, lambda packed: sorted_windows(packed, window, hashed))
+    return Unit(window, gram, bytes.split, hashed, b" ".join, lambda *strings: counted_windows(*strings, window, hashed))
 
 
 def word_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_first: bool = False, **sizes) -> DataFrame:

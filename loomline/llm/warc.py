@@ -27,7 +27,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import octets, shared_dir
+from loomline.llm.common import octets
+from loomline.operators.components import shared_dir
 
 BUNDLE_BYTES = 8 << 20
 FRAME_BYTES = 256 << 10

@@ -32,16 +32,61 @@ def classes_of(order, same):
     return group.tolist()
 
 
+def shared(x, y):
+    return next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+
+
+STRINGS = st.lists(st.binary(max_size=60).map(lambda b: bytes(c % 3 for c in b)), max_size=8)
+
+
 @settings(max_examples=60)
-@given(st.lists(st.binary(max_size=60).map(lambda b: bytes(c % 3 for c in b)), max_size=8), st.sampled_from([8, 9, 17, 24]))
+@given(STRINGS, st.sampled_from([8, 9, 17, 24]))
 def test_suffix_order(strings, window):
     strings = list(dict.fromkeys(strings))
-    before, order, same = suffixes.suffix_order(strings, window)
+    before, order, common = suffixes.suffix_order(strings, window)
     windows = [s[i : i + window] for s in strings for i in range(len(s) - window + 1)]
     assert before[-1] == len(windows) and sorted(order.tolist()) == list(range(len(windows)))
-    assert [windows[i] for i in order] == sorted(windows)
-    groups = classes_of(order, same)
-    assert all((groups[i] == groups[j]) == (windows[i] == windows[j]) for i in range(len(windows)) for j in range(i))
+    ranked = [windows[i] for i in order]
+    assert ranked == sorted(windows)
+    assert common.tolist() == [shared(x, y) for x, y in zip(ranked, ranked[1:])]
+
+
+@settings(max_examples=120)
+@given(st.binary(max_size=70).map(lambda b: bytes(c % 2 for c in b)), st.sampled_from([8, 11, 16]), st.integers(0, 3))
+def test_longest_previous_factor(text, window, jumps):
+    """Against the definition, in quadratic time; with few jumps the stack sweep takes over."""
+    _, order, common = suffixes.suffix_order([text], window)
+    had, suffixes.JUMPS = suffixes.JUMPS, jumps
+    try:
+        exact = suffixes.longest_previous(order, common)
+        bounded = suffixes.longest_previous(order, common, window)
+        after = suffixes.longest_previous(len(order) - order, common)
+    finally:
+        suffixes.JUMPS = had
+    w = [text[i : i + window] for i in range(len(text) - window + 1)]
+    assert exact.tolist() == [max((shared(w[i], w[j]) for j in range(i)), default=0) for i in order]
+    assert after.tolist() == [max((shared(w[i], w[j]) for j in range(i + 1, len(w))), default=0) for i in order]
+    assert (bounded >= window).tolist() == (exact >= window).tolist()
+
+
+@settings(max_examples=60)
+@given(STRINGS, st.sampled_from([8, 13]), st.booleans())
+def test_repeats_of_packed_strings(strings, window, words):
+    """anywhere and earlier flags by both ways of comparing windows; each string's first place is a row of its own."""
+    if words:
+        strings = [b" ".join(b"%d" % c for c in s) for s in strings]
+    strings = [s for s in dict.fromkeys(strings) if s]
+    weight = np.array([1 + len(s) % 5 // 4 for s in strings], np.int64)
+    row = np.array([(7 * k) % 11 for k in range(len(strings))], np.int64)
+    start = np.arange(len(strings), dtype=np.int64)
+    unit = substrings.words(window, 3) if words else suffixes.octet_unit(window, 3)
+    before, anywhere, earlier = unit.repeats(strings, weight, row, start)
+    places = [(tuple(u[i : i + window]), row[k], start[k] + i, weight[k]) for k, u in enumerate(map(unit.split, strings)) for i in range(len(u) - window + 1)]
+    assert before[-1] == len(places)
+    for (w, r, s, n), any_, early in zip(places, anywhere, earlier):
+        same = [p for p in places if p[0] == w]
+        assert any_ == (sum(p[3] for p in same) > 1)
+        assert early == any((p[1], p[2]) < (r, s) for p in same)
 
 
 @settings(max_examples=60)

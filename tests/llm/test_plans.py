@@ -10,7 +10,7 @@ def final_plan(df):
 
 def test_texts_are_shuffled_once(docs):
     for found in (substrings.word_repeats(docs), suffixes.byte_repeats(docs)):
-        assert final_plan(found).count("ReusedExchange") == 2
+        assert final_plan(found).count("ReusedExchange") == 1
 
 
 def test_sharding_is_native(docs):
