@@ -86,10 +86,11 @@ SELECT page_id, cast(n AS bigint) AS payload_bytes, {BASE32} AS payload_digest,
 
 
 def _templates() -> str:
+    """label, tokens, words of a block, and the phrases (each between spaces) as SQL rows."""
     rows = []
-    for name, text in licenses.TEMPLATES.items():
-        tokens = sorted({w.decode() for w in licenses.words_of(text.encode())})
-        rows.append(f"('{name}', {tokens!r})")
+    for t in licenses.templates():
+        w = licenses.spelt(t.text).split()
+        rows.append(f"('{t.label}', {sorted(set(w))!r}, {licenses.block_words(len(w))}, {[f' {p} ' for p in t.phrases]!r})")
     return ", ".join(rows)
 
 
@@ -101,11 +102,13 @@ def _phrase(words_: str) -> str:
 _PLACES = {label: _phrase(p) for p, label in licenses.PHRASES.items()}
 
 OP10 = f"""
-WITH t(name, tokens) AS (VALUES {_templates()}), d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {plain_words('text')} AS w FROM documents),
+WITH t(name, tokens, n, phrases) AS (VALUES {_templates()}), d AS (SELECT row_number() OVER () AS r, doc_id, {plain_words('text')} AS w FROM documents),
 b AS (SELECT *, list_concat({', '.join(_PLACES.values())}) AS places, list_filter([{', '.join(f"CASE WHEN len({x}) > 0 THEN '{n}' END" for n, x in _PLACES.items())}], lambda x: x IS NOT NULL) AS base FROM d),
-lines AS (SELECT DISTINCT r, list_distinct({plain_words('line')}) AS s FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
-m AS (SELECT r, name, max(len(list_intersect(s, tokens)) / len(tokens)) AS share FROM lines, t WHERE len(s) > 0 GROUP BY 1, 2),
-f AS (SELECT r, list(name) AS names, max(share) AS score FROM m WHERE share >= {licenses.THRESHOLD}e0 GROUP BY r)
+p AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS whole FROM d),
+c AS (SELECT r, w, t.* FROM p JOIN t ON len(list_filter(phrases, lambda x: NOT contains(whole, x))) = 0),
+k AS (SELECT r, name, tokens, phrases, w[greatest(1, i - n + 1):i] AS block FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c)),
+m AS (SELECT r, name, max(len(list_intersect(list_distinct(block), tokens)) / len(tokens)) AS share FROM k WHERE len(list_filter(phrases, lambda x: NOT contains(' ' || array_to_string(block, ' ') || ' ', x))) = 0 GROUP BY 1, 2),
+f AS (SELECT r, list(DISTINCT name) AS names, max(share) AS score FROM m WHERE share >= {licenses.THRESHOLD}e0 GROUP BY r)
 SELECT doc_id, len(w) AS n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(base, coalesce(names, [])))), ',') AS labels, coalesce(score, 0e0) AS score FROM b LEFT JOIN f USING (r)
 """

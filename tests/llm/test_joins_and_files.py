@@ -81,21 +81,25 @@ def test_one_of_each(docs, rows):
     assert left[300] == 0 and left[200] == 1 and left[303] == left[304] == 1
 
 
-def plain_licenses(text):
+def plain_licenses(text, templates=None, threshold=licenses.THRESHOLD):
     split = lambda t: (t or "").encode().translate(ALNUM).split()
     w = split(text)
     places, base, found = [], set(), {}
+    stands = lambda p, ws: any(ws[i : i + len(p)] == p for i in range(len(ws) - len(p) + 1))
     for phrase, label in licenses.PHRASES.items():
         p = split(phrase)
         at = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
         places += at
         base |= {label} if at else set()
-    for line in (text or "").split("\n"):
-        s = set(split(line))
-        for name, template in licenses.TEMPLATES.items():
-            t = set(split(template))
-            if len(s & t) >= licenses.THRESHOLD * len(t):
-                found[name] = max(found.get(name, 0), len(s & t) / len(t))
+    for t in templates or licenses.templates():
+        if not all(stands(split(p), w) for p in t.phrases):
+            continue
+        tokens, n = set(split(t.text)), licenses.block_words(len(split(t.text)))
+        for i in range(len(w)):
+            block = w[max(0, i - n + 1) : i + 1]
+            share = len(tokens.intersection(block)) / len(tokens)
+            if share >= threshold and all(stands(split(p), block) for p in t.phrases):
+                found[t.label] = max(share, found.get(t.label, 0))
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(found))), max(found.values(), default=0.0)
 
 
@@ -108,14 +112,23 @@ def test_licenses(docs, rows):
 
 
 def test_containment_index_misses_nothing():
+    """Random templates, some with phrases, in random texts, against blocks tried one by one."""
     rng = np.random.default_rng(3)
-    words = [b"w%d" % i for i in range(30)]
-    templates = {f"t{k}": set(rng.choice(words, rng.integers(1, 9)).tolist()) for k in range(12)}
-    index = licenses.ContainmentIndex(templates, {w: int(rng.integers(1, 50)) for w in words}, 0.8)
+    words = [f"w{i}" for i in range(14)]
+    hits = 0
     for _ in range(300):
-        block = set(rng.choice(words, rng.integers(1, 20)).tolist())
-        want = {n: len(t & block) / len(t) for n, t in templates.items() if len(t & block) >= 0.8 * len(t) - 1e-9}
-        assert index.matches(block) == want
+        made = []
+        for k in range(6):
+            w = rng.choice(words, rng.integers(1, 9)).tolist()
+            at = int(rng.integers(0, len(w)))
+            made.append(licenses.Template(f"t{k % 4}", " ".join(w), (" ".join(w[at : at + 2]),) if rng.random() < 0.5 else ()))
+        index = licenses.ContainmentIndex(tuple(made), {w.encode(): int(rng.integers(1, 50)) for w in words}, 0.8)
+        text = " ".join(rng.choice([*words, "x", "y", "z"], rng.integers(0, 40)))
+        found = index.matches(text.encode().split())
+        want = plain_licenses(text, made, 0.8 - 1e-9)
+        assert (",".join(sorted(found)), max(found.values(), default=0.0)) == want[5:]
+        hits += len(found)
+    assert hits > 100
 
 
 def best_fit_bins(lengths, capacity):
