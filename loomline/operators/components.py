@@ -34,7 +34,7 @@ def cut_lineage(df: DataFrame, name: str = "loop") -> DataFrame:
     """Write df under the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
