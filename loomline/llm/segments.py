@@ -11,28 +11,32 @@ Consecutive windows that share a minimiser form a segment (a super-k-mer). Equal
 5. the spans so found go back to the documents' groups.
 
 A minimiser with more than HOT places would overfill a bucket, so its segments are cut into windows (segments whose
-minimiser is the whole window). Those are packed strings as well, equal ones of a group merged; they are counted by
-Spark's own aggregate over the strings, which combines before it shuffles, and the counts are joined with the groups that hold
-them, so no task gathers a hot window's places. Windows are compared by their units on both ways; nothing is capped.
+minimiser is the whole window) and step 2 is repeated for these: their digests are counted, and only windows whose digest
+occurs more than once travel. They travel as packed strings, equal ones of a group merged; they are counted by Spark's own
+aggregate over the strings, which combines before it shuffles, and the counts are joined with the groups that hold them, so no
+task gathers a hot window's places. Windows are compared by their units on both ways; nothing is capped.
 
 Longer texts than PIECE units are hashed piece by piece, so a text costs a small multiple of itself.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.common import GROUP, ROW, as_bytes, bounded_batches, dealt, gram_hash, octets, sliding_min, written
 
 GROUP_BYTES = 4 << 20
-HOT = 32_768
+#: Places of one minimiser that a bucket gathers: some 25 MB of packed strings, were all of them different.
+HOT = 65_536
 #: Units handled at once; longer documents are cut into pieces that overlap by a window less one unit.
 PIECE = 1 << 20
 
@@ -125,28 +129,71 @@ def minimisers(unit: Unit, grouped: DataFrame, text_col: str) -> DataFrame:
     return grouped.select(GROUP, text_col).mapInArrow(run, f"least bigint, n bigint, {GROUP} bigint")
 
 
+def needed_segments(unit: Unit, texts: list[bytes | None], keys: np.ndarray, hot: np.ndarray):
+    """(text's index, its units, start, windows, minimiser, hot) of each segment whose minimiser is among the keys."""
+    order = np.argsort(keys)
+    keys, hot = keys[order], hot[order]
+    for row, start, size, least in segments(unit, texts) if len(keys) else ():
+        at = np.minimum(np.searchsorted(keys, least), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == least)
+        if len(hit):
+            units = unit.split(texts[row])
+            for s, n, m, heavy in zip(start[hit].tolist(), size[hit].tolist(), least[hit].view(np.int64).tolist(), hot[at[hit]].tolist()):
+                yield row, units, s, n, m, heavy
+
+
+def asked(wants: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys = wants.column("least").to_numpy().view(np.uint64)
+    return keys, wants.column("hot").to_numpy(zero_copy_only=False).astype(bool)
+
+
+def window_digests(unit: Unit, grouped: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """Per group and window of a hot minimiser the number of its places, the window as a digest."""
+
+    def run(rows: pa.Table, wants: pa.Table) -> pa.Table:
+        found: Counter[bytes] = Counter()
+        if wants.num_rows and rows.num_rows:
+            texts = as_bytes(rows.column(text_col))
+            for _, units, s, n, _, _ in needed_segments(unit, texts, *asked(wants)):
+                found.update(xxhash.xxh3_128_digest(unit.pack(units[a : a + unit.window])) for a in range(s, s + n))
+        home = rows.column(GROUP)[0].as_py() if rows.num_rows else 0
+        return pa.table({"digest": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64()), "home": pa.array(np.full(len(found), home))})
+
+    schema = "digest binary, n bigint, home bigint"
+    return grouped.groupBy(GROUP).cogroup(wanted.groupBy("wanted_by")).applyInArrow(run, schema)
+
+
+def repeated(counted: DataFrame, key: str, home: str) -> DataFrame:
+    """The rows of keys with more than one place, and `total`. The rows are shuffled once, for the sums and for the join."""
+    # Both readers of the shuffle ask the same of it, or it would be made twice.
+    dealt_out = counted.where(F.col(key).isNotNull() & F.col(home).isNotNull()).repartition(key)
+    totals = dealt_out.groupBy(key).agg(F.sum("n").alias("total"), F.min(home).alias("some_")).where("total > 1 and some_ is not null")
+    return dealt_out.join(totals.select(key, "total", "some_"), key).where(F.col(home) >= F.col("some_")).select(key, home, "total")
+
+
 def shipped(unit: Unit, grouped: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """The packed segments of wanted minimisers: equal ones of a group as one row with their places."""
+    """The packed segments of wanted minimisers, and the packed windows of wanted digests, of hot ones: equal ones of a group as
+    one row with their places."""
 
     def run(rows: pa.Table, wants: pa.Table) -> pa.Table:
-        keys = wants.column("least").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, hot = keys[order], wants.column("hot").to_numpy(zero_copy_only=False)[order]
         numbers = rows.column(ROW).to_numpy()
+        again = set(wants.column("digest").drop_null().to_pylist())
         places: dict[tuple[int, bool, bytes], list[tuple[int, int]]] = defaultdict(list)
-        texts = rows.column(text_col).cast(pa.binary()).to_pylist() if len(keys) else []
-        for row, start, size, least in segments(unit, texts):
-            at = np.minimum(np.searchsorted(keys, least), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == least)
-            if not len(hit):
+        mins = wants.filter(pc.is_valid(wants.column("least")))
+        texts = as_bytes(rows.column(text_col)) if mins.num_rows else []
+        for row, units, s, n, m, heavy in needed_segments(unit, texts, *asked(mins)):
+            number = int(numbers[row])
+            if not heavy:
+                places[m, False, unit.pack(units[s : s + n + unit.window - 1])].append((number, s))
                 continue
-            units, number = unit.split(texts[row]), int(numbers[row])
-            for s, n, m, heavy in zip(start[hit].tolist(), size[hit].tolist(), least[hit].view(np.int64).tolist(), hot[at[hit]].tolist()):
-                for a, many in ((a, 1) for a in range(s, s + n)) if heavy else ((s, n),):
-                    places[m, heavy, unit.pack(units[a : a + many + unit.window - 1])].append((number, a))
+            for a in range(s, s + n) if again else ():
+                packed = unit.pack(units[a : a + unit.window])
+                if xxhash.xxh3_128_digest(packed) in again:
+                    places[xxhash.xxh3_64_intdigest(packed) - (1 << 63), True, packed].append((number, a))
         spots = list(places.values())
         ends = pa.array(np.cumsum([0, *map(len, spots)]), pa.int32())
         lists = [pa.ListArray.from_arrays(ends, pa.array([p[k] for s in spots for p in s], pa.int64())) for k in (0, 1)]
+        home = rows.column(GROUP)[0].as_py() if rows.num_rows else 0
         return pa.table(
             {
                 "key": pa.array([k[0] for k in places], pa.int64()),
@@ -154,7 +201,7 @@ def shipped(unit: Unit, grouped: DataFrame, wanted: DataFrame, text_col: str) ->
                 "packed": pa.array([k[2] for k in places], pa.binary()),
                 "rows": lists[0],
                 "starts": lists[1],
-                "home": pa.array(np.full(len(places), rows.column(GROUP)[0].as_py() if rows.num_rows else 0, np.int64)),
+                "home": pa.array(np.full(len(places), home)),
             }
         )
 
@@ -200,7 +247,7 @@ def repeats_of(unit: Unit, packed: list[bytes], pack_of: np.ndarray, row: np.nda
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
-def bucket_spans(unit: Unit, sent: DataFrame, buckets: int, keep_first: bool) -> DataFrame:
+def bucket_spans(unit: Unit, sent: DataFrame, keep_first: bool) -> DataFrame:
     """Spans of repeated windows, packed as (row, from, to) numbers for each group of documents."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -220,14 +267,15 @@ def bucket_spans(unit: Unit, sent: DataFrame, buckets: int, keep_first: bool) ->
         ends = np.append(at, len(home)).tolist()
         return pa.table({"home": pa.array(home[at]), "spans": pa.array([places[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
 
-    dealt_out = sent.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    return dealt_out.groupBy("bucket").applyInArrow(run, "home bigint, spans binary")
+    return sent.groupBy("bucket").applyInArrow(run, "home bigint, spans binary")
 
 
 def hot_spans(unit: Unit, windows: DataFrame, keep_first: bool) -> DataFrame:
     """The same for windows of hot minimisers, which the groups hold one by one: counts go to the places, not places to a task."""
     first = F.array_min(F.transform(F.arrays_zip("rows", "starts"), lambda p: F.struct(p["rows"].alias("r"), p["starts"].alias("s"))))
-    counted = windows.groupBy("packed").agg(F.sum(F.size("rows")).alias("n"), F.min(first).alias("first")).where("n > 1")
+    windows = windows.where("packed is not null and home is not null").repartition("packed")
+    counted = windows.groupBy("packed").agg(F.sum(F.size("rows")).alias("n"), F.min(first).alias("first"), F.min("home").alias("some_"))
+    counted = counted.where("n > 1 and some_ is not null").drop("n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +286,7 @@ def hot_spans(unit: Unit, windows: DataFrame, keep_first: bool) -> DataFrame:
                 spans.append(np.stack([row, start, start + unit.window], 1)[later].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary())], names=["home", "spans"])
 
-    held = windows.join(counted, "packed").select("home", "rows", "starts", "first.r", "first.s")
+    held = windows.join(counted, "packed").where("home >= some_").select("home", "rows", "starts", "first.r", "first.s")
     return held.mapInArrow(run, "home bigint, spans binary")
 
 
@@ -264,15 +312,16 @@ def with_repeats(
     bounded_batches(docs.sparkSession)
     grouped = dealt(docs, text_col, group_bytes)
     buckets = -(-octets(grouped, text_col) // group_bytes) or 1
-    counted = written(minimisers(unit, grouped, text_col), "minimisers")
-    totals = counted.groupBy("least").agg(F.sum("n").alias("total")).where("total > 1")
-    wanted = counted.join(totals, "least").select("least", F.col(GROUP).alias("wanted_by"), (F.col("total") > hot).alias("hot"))
-    sent = shipped(unit, grouped, wanted, text_col)
-    if totals.where(F.col("total") > hot).isEmpty():
-        spans = bucket_spans(unit, sent, buckets, keep_first)
-    else:
-        sent = written(sent, "segments")
-        spans = bucket_spans(unit, sent.where("not hot"), buckets, keep_first).unionByName(hot_spans(unit, sent.where("hot"), keep_first))
+    counted = written(minimisers(unit, grouped, text_col), "minimisers").withColumnRenamed(GROUP, "wanted_by")
+    wanted = written(repeated(counted, "least", "wanted_by").select("least", "wanted_by", (F.col("total") > hot).alias("hot")), "wanted-minimisers")
+    heavy = wanted.where("hot")
+    wants = wanted.withColumn("digest", F.lit(None).cast("binary"))
+    sent = shipped(unit, grouped, wants.where("not hot"), text_col)
+    spans = bucket_spans(unit, sent.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")), keep_first)
+    if not heavy.isEmpty():
+        again = repeated(window_digests(unit, grouped, heavy, text_col), "digest", "home")
+        wants = wants.where("hot").unionByName(again.select(F.lit(None).cast("bigint").alias("least"), F.col("home").alias("wanted_by"), F.lit(True).alias("hot"), "digest"))
+        spans = spans.unionByName(hot_spans(unit, shipped(unit, grouped, wants, text_col).select("packed", "rows", "starts", "home"), keep_first))
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         places = np.frombuffer(b"".join(found.column("spans").to_pylist()), np.int64).reshape(-1, 3)
