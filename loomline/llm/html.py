@@ -1,14 +1,15 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut at block-level tags into flat text blocks. Each block carries its word count and link density, those of
-the blocks before and after it, and what the markup says about its place (inside an article, inside a navigation or
-other side region, a notice, advert, form or comment by class or id). A decision tree trained here on a small labelled
-table of blocks decides which blocks are main text. Word counts and link densities alone can't tell a three-word
-paragraph of an article from a three-word advert, so the tree also sees the place.
+A page is cut at block-level tags into flat text blocks. Each block carries its word count and link density, those of the
+blocks before and after it, its share of the page's unlinked words, and what the markup hints at: whether it lies in an
+element that is named, by tag or by a whole word of its class, id or role, as an article's or as a side region's. A name is a hint,
+no verdict: `body` and `html` give none, names such as has-sidebar say nothing of the element itself, and an element that
+holds the article or nearly all text is a wrapper, whatever its name. A decision tree trained here on a labelled table of
+blocks (labelled.py) decides which blocks are main text.
 
 Cases: null or empty html gives an empty text and 0 characters; unclosed and stray tags, comments, and script or style
-text with tags inside are handled; repeated rows give a row each; an empty table gives an empty result; only the id, url
-and html are read.
+text with tags inside are handled; a very long page is scanned once, tag by tag; equal rows give equal rows, a row each;
+an empty table gives an empty result; only the id, url and html are read.
 """
 
 from __future__ import annotations
@@ -23,114 +24,179 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomline.llm.common import bounded_batches
+from loomline.llm.labelled import labelled_pages
 
 #: HTML's raw-text and void elements, and elements that flow within a line of text.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q",
           "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
-#: Regions that hold, or never hold, an article's text.
+#: Tags and names of regions that hold an article's text, or other text.
 MAIN_TAGS = {"article", "main"}
 SIDE_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "head", "fieldset"}
-MAIN_NAMES = re.compile(r"\b(article|main|content|post|entry|story|body-?text)\b", re.I)
-SIDE_NAMES = re.compile(
-    r"(^|[\s_-])(ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|signup|nav\w*|menu\w*|breadcrumb\w*"
-    r"|side-?bar|widget|related|recommend\w*|share|social|comment\w*|respond|repl(y|ies)|discuss\w*|footer|foot|header|masthead|toolbar|login|search|pager|pagination|copyright|legal|disclaimer)($|[\s_-]|\d)",
-    re.I,
-)
+MAIN_NAMES = {"article", "main", "content", "post", "entry", "hentry", "story", "bodytext", "mainbody"}
+SIDE_NAMES = {
+    "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "header", "masthead", "banner", "footer", "foot", "sidebar", "aside", "widget", "contentinfo", "complementary",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "newsletter",
+    "subscribe", "signup", "related", "recommended", "recommendations", "share", "sharing", "social", "toolbar", "login", "search", "pager", "pagination", "copyright", "paywall",
+}
+TALK_NAMES = {"comment", "comments", "respond", "reply", "replies", "discussion", "disqus"}
+#: Last words of a name that leave the meaning to the word before, and first words that turn it away from the element.
+PART_NAMES = {"list", "box", "wrapper", "wrap", "container", "inner", "area", "section", "block", "unit", "item", "form", "text", "body", "title", "links", "message", "panel", "thread", "row", "top"}
+TURNING_NAMES = {"has", "no", "with", "without", "is", "not", "category", "tag", "type", "format", "layout", "template", "hide", "show"}
+HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+PARTS = re.compile(r"[^a-z]+")
 COMMENTS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 SPACE = re.compile(r"\s+")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+
+@lru_cache(maxsize=4096)
+def hint(called: str) -> tuple[bool, bool, bool]:
+    """Whether one of the names says main, side or reader comments; the last word of a name that has a meaning counts."""
+    main = side = talk = False
+    for name in called.split():
+        parts = [x for x in PARTS.split(HUMPS.sub("-", name).lower()) if x]
+        if not parts or parts[0] in TURNING_NAMES:
+            continue
+        while len(parts) > 1 and parts[-1] in PART_NAMES:
+            parts.pop()
+        main |= parts[-1] in MAIN_NAMES and not any(x in SIDE_NAMES or x in TALK_NAMES for x in parts)
+        talk |= parts[-1] in TALK_NAMES or (parts[-1] in MAIN_NAMES and any(x in TALK_NAMES for x in parts))
+        side |= parts[-1] in SIDE_NAMES or (parts[-1] in MAIN_NAMES and any(x in SIDE_NAMES for x in parts))
+    return main and not side and not talk, side, talk
+
+
+class Region:
+    """An element hinted to be a side region."""
+
+    def __init__(self, talk: bool):
+        self.talk, self.words, self.holds_main = talk, 0, False
+
+    def wraps(self, total: int) -> bool:
+        """An element around the article, or around nearly all text, is no side region; one of comments holds articles of its own."""
+        return self.words >= 0.9 * total or (self.holds_main and not self.talk)
 
 
 @dataclass
 class Block:
     text: str
     words: int
-    links: float
+    linked: int
     in_main: bool
-    in_side: bool
+    regions: tuple[Region, ...]
     heading: bool
 
 
-def blocks(html: str) -> list[Block]:
-    """Flat text blocks in page order."""
-    out: list[Block] = []
-    parts: list[str] = []
-    linked = [0]
-    open_tags: list[tuple[str, bool, bool]] = []
-    state = {"a": 0}
-
-    def flush() -> None:
-        if not parts:
-            return
-        text = SPACE.sub(" ", "".join(parts)).strip()
-        if text:
-            n = text.count(" ") + 1
-            out.append(Block(text, n, min(1.0, linked[0] / n), any(t[1] for t in open_tags), any(t[2] for t in open_tags), any(re.fullmatch("h[1-6]", t[0]) for t in open_tags)))
-        parts.clear()
-        linked[0] = 0
+class Element:
+    __slots__ = ("name", "main", "region")
+
+    def __init__(self, name: str, main: bool, region: Region | None):
+        self.name, self.main, self.region = name, main, region
+
+
+class Page:
+    """A page's flat text blocks, gathered tag by tag."""
+
+    def __init__(self, html: str):
+        self.blocks: list[Block] = []
+        self.parts: list[str] = []
+        self.linked = self.mains = self.headings = 0
+        self.in_link = False
+        self.open: list[Element] = []
+        self.regions: list[Region] = []
+        html = html if "<!" not in html and "<?" not in html else without_comments(html)
+        at = 0
+        while m := TAG.search(html, at):
+            self.add(html[at : m.start()])
+            at = self.tag(html, m[1], m[2].lower(), m[3], m.end())
+        self.add(html[at:])
+        self.flush()
 
-    def add(raw: str) -> None:
+    def add(self, raw: str) -> None:
         if raw:
             text = unescape(raw)
-            parts.append(text)
-            if state["a"]:
-                linked[0] += len(text.split())
+            self.parts.append(text)
+            if self.in_link:
+                self.linked += len(text.split())
 
-    html = html if "<!" not in html and "<?" not in html else without_comments(html)
-    at = 0
-    while True:
-        m = TAG.search(html, at)
-        if not m:
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        closing, name, rest = m[1], m[2].lower(), m[3]
+    def flush(self) -> None:
+        text = SPACE.sub(" ", "".join(self.parts)).strip()
+        if text:
+            n = text.count(" ") + 1
+            for r in self.regions:
+                r.words += n
+            self.blocks.append(Block(text, n, min(self.linked, n), self.mains > 0, tuple(self.regions), self.headings > 0))
+        self.parts, self.linked = [], 0
+
+    def push(self, name: str, rest: str) -> None:
+        called = " ".join(x.strip("\"'") for x in NAME.findall(rest)) if rest and name not in ("html", "body") else ""
+        main, side, talk = hint(called) if called else (False, False, False)
+        side = (side or talk or name in SIDE_TAGS) and not (name == "header" and self.mains)
+        main = (main or name in MAIN_TAGS) and not side
+        region = Region(talk) if side else None
+        if main:
+            for r in self.regions:
+                r.holds_main = True
+        if region:
+            self.regions.append(region)
+        self.mains += main
+        self.headings += name in HEADINGS
+        self.open.append(Element(name, main, region))
+
+    def pop(self, k: int, last: int | None = None) -> None:
+        """Close the elements from place k on (or k alone)."""
+        for e in self.open[k:last]:
+            self.mains -= e.main
+            self.headings -= e.name in HEADINGS
+            if e.region:
+                self.regions.remove(e.region)
+        del self.open[k:last]
+
+    def tag(self, html: str, closing: str, name: str, rest: str, at: int) -> int:
+        """Take a tag in; returns where the text after it begins."""
+        empty = rest.rstrip().endswith("/")
         if name in RAW and not closing:
-            flush()
-            if not rest.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-            continue
+            self.flush()
+            if empty:
+                return at
+            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+            return end.end() if end else len(html)
         if name == "a":
-            state["a"] = 0 if closing else 1
+            self.in_link = not closing
         if name == "br":
-            parts.append(" ")
+            self.parts.append(" ")
         inline = name in INLINE
         if not inline:
-            flush()
-        if name in VOID:
-            continue
+            self.flush()
+        if name in VOID or (empty and not closing):
+            return at
         if closing:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
-                    if inline:
-                        del open_tags[k]
-                    else:
-                        del open_tags[k:]
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k].name == name:
+                    self.pop(k, k + 1 if inline else None)
                     break
-        elif not rest.rstrip().endswith("/"):
+        else:
             if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):
-                close_implied(open_tags, name)
-            called = " ".join(x.strip("\"'") for x in NAME.findall(rest)) if rest else ""
-            side = name in SIDE_TAGS or bool(called and SIDE_NAMES.search(called))
-            main = name in MAIN_TAGS or bool(called and not side and MAIN_NAMES.search(called))
-            open_tags.append((name, main, side))
-    add(html[at:])
-    flush()
-    return out
-
-
-def close_implied(open_tags: list[tuple[str, bool, bool]], name: str) -> None:
-    """A new paragraph, item or cell ends the last one of its kind that is still open, up to the next container."""
-    for k in range(len(open_tags) - 1, -1, -1):
-        if open_tags[k][0] == name:
-            del open_tags[k:]
-            return
-        if open_tags[k][0] not in INLINE:
-            return
+                self.close_implied(name)
+            self.push(name, rest)
+        return at
+
+    def close_implied(self, name: str) -> None:
+        """A new paragraph, item or cell ends the last one of its kind that is still open, up to the next container."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k].name == name:
+                self.pop(k)
+                return
+            if self.open[k].name not in INLINE:
+                return
+
+
+def blocks(html: str) -> list[Block]:
+    """Flat text blocks in page order."""
+    return Page(html).blocks
 
 
 def without_comments(html: str) -> str:
@@ -153,79 +219,52 @@ def without_comments(html: str) -> str:
 
 
 def feature_rows(page: list[Block]) -> list[tuple[float, ...]]:
-    none = Block("", 0, 0.0, False, False, False)
+    none = Block("", 0, 0, False, (), False)
     around = [none, *page, none]
+    total, plain = sum(b.words for b in page), sum(b.words - b.linked for b in page) or 1
     anywhere = float(any(b.in_main for b in page))
+    links = lambda b: b.linked / b.words if b.words else 0.0
     return [
-        (b.words, b.links, p.words, p.links, n.words, n.links, float(b.in_main), float(b.in_side), anywhere, float(b.heading))
+        (b.words, links(b), p.words, links(p), n.words, links(n), float(b.in_main), float(any(not r.wraps(total) for r in b.regions)), anywhere, float(b.heading), (b.words - b.linked) / plain)
         for p, b, n in zip(around, around[1:], around[2:])
     ]
 
 
-#: The labelled table: pages in which each block's text begins with + (main text) or - (not).
-LABELLED = (
-    "<body><nav><ul><li><a href='/'>-Home</a></li><li><a href='/n'>-News of the day</a></li></ul></nav><div class='ad'>-Buy two pairs and get the third one free.</div>"
-    "<article><h1>+A short walk by the river</h1><p>+We went out early.<p>+It rained.</p><p>+The path along the water was empty but for a heron, and we walked it to the end without a word.</p></article>"
-    "<footer>-Copyright of the site, all rights reserved by its owner</footer></body>",
-    "<body><header><a href='/'>-Site</a> <p>-The paper of record since long ago</p></header><main><h2>+Storm warning</h2><p>+Winds of great force are expected on the coast tonight, said the <a href='#'>weather office</a>.</p>"
-    "<aside><p>-Read also what happened last year when the storm came</p></aside><form><p>-Your mail address please</p></form><p>+Stay in.</p></main><div class='comments'><p>-I do not believe a word of this, as usual they exaggerate everything</p></div></body>",
-    "<body><div id='menu'><a>-One</a> <a>-Two</a></div><div><p>+The committee met for a full day and heard from fourteen speakers, none of whom agreed with the last.</p>"
-    "<p>+It will meet again in spring, when the report on the harbour and its cost to the town is due.</p><p>+Members thanked the chair for her patience during a long and at times heated session of questions.</p></div>"
-    "<div class='footer'>-Contact and imprint</div></body>",
-    "<body><ul><li><a>-Sports</a></li><li><a>-Money</a></li><li><a>-Travel and more</a></li></ul><div>+A long paragraph without any region around it tells of the early days of the railway and of the men who built it by hand.</div>"
-    "<div>+The line was opened in the autumn, and within a year carried more people than all the coaches of the county together.</div><p><a>-Next page</a></p><p>-Terms</p></body>",
-    "<body><article><p>+No.</p><p>+Yes, said the boy, and he went.</p><div class='newsletter'>-Get our best stories in your mail box every single morning, free of charge.</div>"
-    "<p>+They ate.</p><p><a href='#'>+The whole paragraph is one link to a source</a></p></article><div class='sidebar'><p>-Most read this week by our members and by other readers</p></div></body>",
-    "<body><div class='cookie-notice'><p>-We and our partners keep small files on your device to remember what you like and to count visits to this site.</p></div>"
-    "<article><h1>+Title</h1><p>+Body text of some length that speaks of nothing much in particular.</p><section class='comments'><p>-First!</p><p>-Great piece, thanks for writing it down so clearly for all of us.</p></section></article></body>",
-    "<body><p>-Log in</p><p>+Bread needs flour, water, salt and time; everything else is a matter of taste and of what the shop had on that day.</p><p>-Share</p></body>",
-    "<body><div><p>+The bridge was closed for two years while its arches were mended, and the town learned to walk the long way round.</p></div>"
-    "<div><a>-Ten ways to make your garden grow faster this summer without any effort at all</a></div><div><a>-What the mayor said about the bridge when he thought that nobody was there to listen</a></div></body>",
-    "<body><ul><li><a>-Weather</a></li><li><a>-Traffic and roads</a></li></ul><table><tr><td>+The council voted on Monday to keep the old library open for at least another year while it looks for a cheaper roof.</td></tr>"
-    "<tr><td>+Readers had gathered more than four thousand names in its favour, the largest petition that the town has seen.</td></tr></table><p>-Print</p></body>",
-    "<body><main><p>+Add the onions.</p><p>+Stir.</p><p>+Leave the pot on a low flame until the water is gone and the rice has taken all of the colour.</p><nav><a>-Next recipe</a></nav></main>"
-    "<div class='promo'><p>-Order our cook book today and have it at your door before the weekend, with no charge for postage.</p></div></body>",
-    "<body><div id='sidebar'><p>-Our archive goes back to the very first issue and may be read by all members</p></div><article><p>+She left at dawn.</p><p><a>+Her diary of those days</a></p></article>"
-    "<div id='comments'><p>-What a fine piece, I read it twice and will pass it on to my sister who lives there.</p><p>-Agreed</p></div></body>",
-    "<body><div class='banner'>-This site is best seen on a large screen, please turn your phone on its side or come back later.</div><div><p>+In the spring the snow melts on the high meadows and the cattle are driven up by the whole village.</p>"
-    "<p>+They stay until the first frost.</p></div><p>-Top</p><div><a>-Five things that you did not know about cows, and one that you knew but had forgotten</a></div></body>",
-    "<body><form><p>-Search this site for words, names, places and dates of any kind here</p></form><article><h2>+Short news</h2><p>+Shop reopens.</p><p>+Bus late.</p></article><footer><p>-Written and printed by the school's own press club in the old gym hall since the war</p></footer></body>",
-    "<body><header><h1>-The Daily Example</h1><p>-News and views for all who live between the two rivers and beyond them</p></header><div><p>+A new well was dug behind the church last week, and by Friday its water ran clear and cold.</p><p>-Send</p></div></body>",
-    "<body><nav>-All topics</nav><article><p>+One.</p></article><footer>-About the site and those who make it, with a long list of names that goes on for a while</footer></body>",
-)
+def train(rows: list[tuple[float, ...]], labels: list[bool], least: int = 3, depth: int = 8):
+    """A binary decision tree by Gini impurity: (feature, threshold, left, right) or a leaf's label."""
+    n, yes = len(labels), sum(labels)
+    best = None
+    if depth and 0 < yes < n >= 2 * least:
+        for f in range(len(rows[0])):
+            left = left_yes = 0
+            ordered = sorted(zip((r[f] for r in rows), labels))
+            for (value, label), (after, _) in zip(ordered, ordered[1:]):
+                left, left_yes = left + 1, left_yes + label
+                if value == after or min(left, n - left) < least:
+                    continue
+                impure = sum(y * (m - y) / m for m, y in ((left, left_yes), (n - left, yes - left_yes)))
+                if best is None or impure < best[0] - 1e-12:
+                    best = (impure, f, (value + after) / 2)
+    if best is None or best[0] >= yes * (n - yes) / n - 1e-12:
+        return yes * 2 > n
+    _, f, cut = best
+    sides = [[(r, y) for r, y in zip(rows, labels) if (r[f] <= cut) == low] for low in (True, False)]
+    return (f, cut, *(train([r for r, _ in s], [y for _, y in s], least, depth - 1) for s in sides))
 
 
-@lru_cache(maxsize=1)
-def labelled() -> tuple[list[tuple[float, ...]], list[bool]]:
+def labelled(pages: list[str]) -> tuple[list[tuple[float, ...]], list[bool]]:
+    """Features and labels of pages in which each block's text begins with + (main text) or - (not)."""
     rows, labels = [], []
-    for page in LABELLED:
+    for page in pages:
         found = blocks(page)
         rows += feature_rows(found)
         labels += [b.text[0] == "+" for b in found]
     return rows, labels
 
 
-def train(rows: list[tuple[float, ...]], labels: list[bool], least: int = 1, depth: int = 8):
-    """A binary decision tree by Gini impurity: (feature, threshold, left, right) or a leaf's label."""
-    if depth == 0 or len(set(labels)) < 2 or len(labels) < 2 * least:
-        return sum(labels) * 2 > len(labels)
-    best = None
-    for f in range(len(rows[0])):
-        values = sorted({r[f] for r in rows})
-        for low, high in zip(values, values[1:]):
-            cut = (low + high) / 2
-            left = [y for r, y in zip(rows, labels) if r[f] <= cut]
-            right = [y for r, y in zip(rows, labels) if r[f] > cut]
-            if min(len(left), len(right)) < least:
-                continue
-            impure = sum(len(s) * (1 - (sum(s) / len(s)) ** 2 - (1 - sum(s) / len(s)) ** 2) for s in (left, right))
-            if best is None or impure < best[0] - 1e-12:
-                best = (impure, f, cut)
-    if best is None:
-        return sum(labels) * 2 > len(labels)
-    _, f, cut = best
-    sides = [[(r, y) for r, y in zip(rows, labels) if (r[f] <= cut) == low] for low in (True, False)]
-    return (f, cut, *(train([r for r, _ in s], [y for _, y in s], least, depth - 1) for s in sides))
+@lru_cache(maxsize=1)
+def trained():
+    return train(*labelled(labelled_pages()))
 
 
 def is_main(tree, row: tuple[float, ...]) -> bool:
@@ -241,7 +280,7 @@ def main_text(html: str | None, tree) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     bounded_batches(pages.sparkSession)
-    tree = train(*labelled())
+    tree = trained()
     names = [id_col, url_col, "text", "n_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

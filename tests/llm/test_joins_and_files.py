@@ -234,27 +234,11 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
 
 
 def test_main_text():
-    tree = html.train(*html.labelled())
+    tree = html.trained()
     assert html.main_text(PAGE, tree) == "Headér\nOne two three four\nFive <six>.\nSeven."
     assert html.main_text(None, tree) == html.main_text("", tree) == html.main_text("<p", tree) == ""
 
 
-def test_held_out_blocks():
-    """Trained without a page, the tree still gets that page's blocks right."""
-    wrong = total = 0
-    for k in range(len(html.LABELLED)):
-        rows, labels = [], []
-        for page in html.LABELLED[:k] + html.LABELLED[k + 1 :]:
-            found = html.blocks(page)
-            rows += html.feature_rows(found)
-            labels += [b.text[0] == "+" for b in found]
-        tree = html.train(rows, labels)
-        found = html.blocks(html.LABELLED[k])
-        wrong += sum(html.is_main(tree, r) != (b.text[0] == "+") for r, b in zip(html.feature_rows(found), found))
-        total += len(found)
-    assert wrong <= 0.15 * total
-
-
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "v", "<div>" * 3000 + "deep", "x"), (3, "w", "<p>" + "word " * 50000, "x")], "page_id long, url string, html string, text string")
     found = {r.page_id: r for r in html.extract(pages).collect()}
