@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from loomline.llm.common import GROUP, ROW, as_bytes, bounded_batches, dealt, gram_hash, octets, sliding_min, written
 
 GROUP_BYTES = 4 << 20
-#: Places of one minimiser that a bucket gathers: some 25 MB of packed strings, were all of them different.
-HOT = 65_536
+#: Places of one minimiser that a bucket gathers: some 50 MB of packed strings, were all of them different.
+HOT = 131_072
 #: Units handled at once; longer documents are cut into pieces that overlap by a window less one unit.
 PIECE = 1 << 20
 
@@ -168,7 +168,7 @@ def repeated(counted: DataFrame, key: str, home: str) -> DataFrame:
     # Both readers of the shuffle ask the same of it, or it would be made twice.
     dealt_out = counted.where(F.col(key).isNotNull() & F.col(home).isNotNull()).repartition(key)
     totals = dealt_out.groupBy(key).agg(F.sum("n").alias("total"), F.min(home).alias("some_")).where("total > 1 and some_ is not null")
-    return dealt_out.join(totals.select(key, "total", "some_"), key).where(F.col(home) >= F.col("some_")).select(key, home, "total")
+    return dealt_out.join(totals.select(key, "total", "some_"), key).where((F.col(home) >= F.col("some_")) & (F.col("n") > 0)).select(key, home, "total")
 
 
 def shipped(unit: Unit, grouped: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
