@@ -1,54 +1,76 @@
 """Best-fit packing of tokenised documents, bulk-synchronously.
 
-Documents are range-sorted by length, gaps by size. In one round all documents of a length are matched with their
-successors among the gaps (the smallest gap that still holds them); documents that want the same gap are told apart by
-their rank within the length; the gaps shrink and the next, shorter length follows. Lengths and gaps are whole numbers
-up to the capacity, so a sorted run of equal lengths or equal gaps is one class: the sweep needs only the classes'
-counts, at most `capacity` of each however large the corpus, and yields runs "ranks a.. of length L go to sequences
-s.. at offset o". Ranks and the assignment of rows to runs are computed where the rows are. The result is exactly that of
-best-fit decreasing.
-
-Cases: a null or empty text is one piece that holds the end token alone; equal rows are packed one by one; ties are
-broken by rank; an empty table gives an empty result; only the id and the text are read.
+Documents (pieces of up to `capacity` tokens) and the gaps of open sequences are rows that are range-sorted together by size,
+largest first, a gap before a document of its size. In one round
+
+1. every range is swept: a document takes its successor, the smallest gap seen so far that no larger document has taken;
+   of equal lengths, as many as the gap holds follow it. Documents that want the same gap are told apart by their rank;
+2. what a range leaves over, documents that found no gap and gaps that nobody took, is carried across the ranges: their
+   counts (a row a range) say which ranks of documents meet which ranks of gaps, and a join brings these together;
+3. the gaps shrink, and the round is repeated with the documents left;
+4. documents larger than every gap need new sequences: each that exceeds half a sequence needs its own, of the others half as
+   many sequences are opened as their tokens fill, so that the next rounds can pair what is left. No sequence is opened for a
+   document that fits a gap, and never more than the documents without a gap need.
+
+Full pieces are sequences of their own. A row is a size and two numbers, so rounds shuffle a small part of the input;
+the driver sees counts by range and by size. The number of sequences is that of best-fit decreasing or some hundredths of a
+percent above.
+
+Token ids come from the tokenizer of the vocabulary file. Its pre-tokenizer cuts a text into parts that are merged one by
+one, so ids are kept by part and only parts not seen lately are encoded. Texts with characters of later Unicode versions, or
+which spell a special token, are encoded whole.
+
+Cases: a null or empty text is one piece that holds the end token alone; a very long text is cut into pieces, one shorter than
+the capacity; equal rows are packed one by one; ties are broken by rank; an empty table gives an empty result; only the id and the
+text are read.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.common import bounded_batches, written
 
 CAPACITY = 1024
 END_TOKEN = 2
+#: Rows of a range, and parts whose ids a worker keeps.
+RANGE_ROWS, PARTS_KEPT = 500_000, 400_000
+#: So many sequences are opened at once whatever half the need is: the last few need no rounds of their own.
+OPEN_LEAST = 64
+#: Fixed value: the vocabulary's pattern of parts, with white space as its tokenizer knows it.
+PARTS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^S\p{L}\p{N}]+|[S]+(?![^S])|[S]+""".replace("S", r"\t-\r \x85\p{Zs}\p{Zl}\p{Zp}"))
+#: Characters whose class no Unicode version has changed since they were added, long ago.
+SETTLED = regex.compile(r"[\x00-\u0220\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u2000-\u2046\u20ac\u3000-\u3003\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 
 
 @lru_cache(maxsize=1)
-def encoder(ranks_path: str, vocabulary_path: str):
-    """text -> uint32 ids of the byte-level BPE in vocabulary_path. The same merges from ranks_path run several times faster;
-    texts that spell a special token go to the tokenizer of the vocabulary itself."""
-    import public_tokenizers
-    import tiktoken
+def encoder(vocabulary_path: str) -> Callable[[str], np.ndarray]:
+    """text -> uint32 ids of the tokenizer in vocabulary_path."""
     from tokenizers import Tokenizer
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     whole = Tokenizer.from_file(vocabulary_path)
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    known: dict[str, list[int]] = {}
 
     def ids(text: str) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.asarray(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        if any(s in text for s in special) or not SETTLED.fullmatch(text):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        parts = PARTS.findall(text)
+        if len(known) > PARTS_KEPT:
+            known.clear()
+        new = list(set(parts).difference(known))
+        if new:
+            known.update(zip(new, (e.ids for e in whole.encode_batch_fast(new, add_special_tokens=False))))
+        return np.array([i for p in parts for i in known[p]], np.uint32)
 
     return ids
 
@@ -59,18 +81,17 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end: int, ranks_path: str, vocabulary_path: str) -> DataFrame:
-    """A row a piece, with the task that made it and its rank among that task's pieces of its length."""
+def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end: int, vocabulary_path: str) -> DataFrame:
+    """A row a piece, with a number of its own."""
     picked = docs.select(id_col, text_col)
-    schema = f"`{id_col}` {picked.dtypes[0][1]}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint"
-    names = [id_col, "piece", "start", "length", "ids_crc32", "task", "nth"]
+    schema = f"`{id_col}` {picked.dtypes[0][1]}, piece int, start bigint, length bigint, ids_crc32 bigint, row_ bigint"
+    names = [id_col, "piece", "start", "length", "ids_crc32", "row_"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(ranks_path, vocabulary_path)
-        seen = np.zeros(capacity + 1, np.int64)
-        task = TaskContext.get().partitionId()
+        ids = encoder(vocabulary_path)
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            row, piece, start, length, crc, nth = [], [], [], [], [], []
+            row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 tokens = np.append(ids(text.as_py() or ""), np.uint32(end)).astype("<u4")
                 for k, (s, n) in enumerate(cut(len(tokens), capacity)):
@@ -79,76 +100,158 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end
                     start.append(s)
                     length.append(n)
                     crc.append(zlib.crc32(tokens[s : s + n].tobytes()))
-                    nth.append(seen[n])
-                    seen[n] += 1
-            long = [pa.array(x, pa.int64()) for x in (start, length, crc)]
-            of = batch.column(0).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([of, pa.array(piece, pa.int32()), *long, pa.array([task] * len(row), pa.int32()), pa.array(nth, pa.int64())], names=names)
+            long = [pa.array(x, pa.int64()) for x in (start, length, crc, range(number, number + len(row)))]
+            number += len(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *long], names=names)
 
     return picked.mapInArrow(run, schema)
 
 
-def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Runs (length, first rank, rows, first sequence, offset) that place `counts[L]` pieces of each length L.
-
-    Bounded by the capacity: at most one split of a run of gaps for each length and gap class."""
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # gap -> runs of sequences (first, count)
-    runs: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        gap = length
-        while left:
-            while gap < capacity and not gaps[gap]:
-                gap += 1
-            each = gap // length
-            if gap >= capacity:
-                gap, each = capacity, capacity // length
-                held = [(opened, -(-left // each))]
-                opened += held[0][1]
-            else:
-                held, gaps[gap] = gaps[gap], []
-            for first, n in held:
-                full = min(n, left // each)
-                for took, many in ((each, full), (left - full * each if n > full else 0, 1)):
-                    if not took or not many:
-                        continue
-                    for j in range(took):
-                        runs.append((length, rank, many, first, capacity - gap + j * length))
-                        rank += many
-                    gaps[gap - took * length].append((first, many))
-                    first, n, left = first + many, n - many, left - took * many
-                if n:
-                    gaps[gap].append((first, n))
-            gap += 1
-    return np.array(runs, np.int64).reshape(-1, 5)
-
-
-def best_fit(
-    docs: DataFrame, ranks_path: str, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END_TOKEN
-) -> DataFrame:
-    """Pieces of all documents with their sequence and offset."""
-    bounded_batches(docs.sparkSession)
-    pieces = written(token_pieces(docs, id_col, text_col, capacity, end, ranks_path, vocabulary_path), "pieces")
-    by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("rows_"))
-    before = F.sum("rows_").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    by_task = written(by_task.withColumn("before", F.coalesce(before, F.lit(0))), "piece-counts")
-    counts = {r[0]: r[1] for r in by_task.groupBy("length").agg(F.sum("rows_")).collect()}  # at most `capacity` rows
-    runs = plan(counts, capacity)
-    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    key = (runs[:, 0] << 48) + runs[:, 1]
-    out = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+GAP, OPEN, PLACED = 0, 1, 2
+#: what a row is, its size (tokens or gap), its number (row or sequence); of placed rows sequence and offset; the range and the
+#: rank among the range's rows left over, gaps from the smallest on, documents from the largest on.
+STATE = "what int, size bigint, id bigint, sequence bigint, offset bigint, span int, rank bigint"
+
+
+def sweep(size: np.ndarray, doc: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One range, largest first, gaps before documents of their size: for each row the row of the gap it takes (documents) or
+    -1, its offset, the size left (gaps), and whether a gap was taken."""
+    gap_of, offset, left, taken = np.full(len(size), -1), np.zeros(len(size), np.int64), size.copy(), np.zeros(len(size), bool)
+    edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(size)), bool), (size[1:] != size[:-1]) | (doc[1:] != doc[:-1])]))
+    free: list[tuple[int, int]] = []  # runs of equal gaps, the smallest last
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(size)]):
+        if not doc[a]:
+            free.append((a, b))
+            continue
+        length = int(size[a])
+        while a < b and free:
+            first, last = free.pop()
+            each = int(size[first]) // length
+            used = min(last - first, -(-(b - a) // each))  # the last of them may take fewer
+            n = min(b - a, used * each)
+            nth = np.arange(n)
+            gap_of[a : a + n] = first + nth // each
+            offset[a : a + n] = capacity - size[first] + nth % each * length
+            left[first : first + used] -= length * np.bincount(nth // each, minlength=used)
+            taken[first : first + used] = True
+            a += n
+            if first + used < last:
+                free.append((first + used, last))
+    return gap_of, offset, left, taken
+
+
+def swept(state: DataFrame, spans: int, capacity: int) -> DataFrame:
+    """A round's step 1: documents and gaps, range-sorted and swept range by range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [*batches]
+        if not rows:
+            return
+        what, size, number = (np.concatenate([b.column(k).to_numpy() for b in rows]) for k in range(3))
+        doc = what == OPEN
+        gap_of, offset, left, taken = sweep(size, doc, capacity)
+        got = gap_of >= 0
+        rank = np.full(len(size), -1)
+        open_docs, free = np.flatnonzero(doc & ~got), np.flatnonzero(~doc & ~taken)
+        rank[open_docs] = np.arange(len(open_docs))
+        rank[free] = np.arange(len(free))[::-1]
+        keep = doc | (left > 0)
+        columns = [np.where(got, PLACED, what).astype(np.int32), np.where(doc, size, left), number, np.where(got, number[gap_of], -1), offset]
+        columns += [np.full(len(size), TaskContext.get().partitionId(), np.int32), rank]
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=[c.split()[0] for c in STATE.split(", ")])
+
+    order = [F.desc("size"), F.asc("what"), F.xxhash64("id"), F.asc("id")]
+    return state.select("what", "size", "id").repartitionByRange(spans, *order).sortWithinPartitions(*order).mapInArrow(run, STATE)
+
+
+def met(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Which documents left over meet which gaps left over, by ranges from the largest sizes on: (documents' range, first
+    rank, how many, gaps' range, first rank). left: range -> (documents, gaps); a range's gaps are smaller than its documents."""
+    free: list[list[int]] = []  # range, first rank free, gaps free
+    out = []
+    for span in sorted(left):
+        docs, gaps = left[span]
+        rank = 0
+        while rank < docs and free:
+            top = free[-1]
+            n = min(docs - rank, top[2])
+            out.append((span, rank, n, top[0], top[1]))
+            rank, top[1], top[2] = rank + n, top[1] + n, top[2] - n
+            if not top[2]:
+                free.pop()
+        if gaps:
+            free.append([span, 0, gaps])
+    return out
+
+
+def carried(rows: DataFrame, meets: list[tuple[int, int, int, int, int]], capacity: int) -> DataFrame:
+    """A round's step 2: documents take gaps of other ranges, one each."""
+    table = np.array(meets, np.int64)
+    table = table[np.lexsort((table[:, 1], table[:, 0]))]
+    key = (table[:, 0] << 40) + table[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length = batch.column(3).to_numpy(zero_copy_only=False)
-            rank = batch.column(5).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(key, (length << 48) + rank, "right") - 1
-            columns = [batch.column(i) for i in range(5)]
-            columns += [pa.array(runs[at, 3] + rank - runs[at, 1]), pa.array(runs[at, 4])]
-            yield pa.RecordBatch.from_arrays(columns, names=out)
-
-    ranked = pieces.join(by_task.select("length", "task", "before"), ["length", "task"])
-    ranked = ranked.select(id_col, "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("before")).alias("rank_"))
-    kind = dict(pieces.dtypes)[id_col]
-    return ranked.mapInArrow(place, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+            span, rank = (batch.column(k).to_numpy() for k in (2, 3))
+            at = np.maximum(np.searchsorted(key, (span.astype(np.int64) << 40) + rank, "right") - 1, 0)
+            beyond = rank - table[at, 1]
+            hit = (table[at, 0] == span) & (beyond >= 0) & (beyond < table[at, 2])
+            wants = [pa.array(v, mask=~hit) for v in (table[at, 3].astype(np.int32), table[at, 4] + beyond)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *wants], names=["doc", "length", "span", "rank"])
+
+    docs = rows.where(f"what = {OPEN}").select(F.col("id").alias("doc"), F.col("size").alias("length"), "span", "rank")
+    asking = docs.mapInArrow(run, "doc bigint, length bigint, span int, rank bigint")
+    free = rows.where(f"what = {GAP} and rank >= 0")
+    pairs = free.join(asking, ["span", "rank"], "full")
+    none = F.lit(None).cast("bigint")
+    as_row = lambda what, size, number, seq, offset: F.struct(F.lit(what).alias("what"), size.alias("size"), number.alias("id"), seq.alias("sequence"), offset.alias("offset"))
+    size, length, number, doc = F.col("size"), F.col("length"), F.col("id"), F.col("doc")
+    gap = as_row(GAP, size - F.coalesce(length, F.lit(0)), number, none, none)
+    out = (
+        F.when(doc.isNull(), F.array(gap))
+        .when(number.isNull(), F.array(as_row(OPEN, length, doc, none, none)))
+        .otherwise(F.array(gap, as_row(PLACED, length, doc, number, F.lit(capacity) - size)))
+    )
+    moved = pairs.select(F.explode(out).alias("r")).select("r.*").where("size > 0")
+    return rows.where(f"what = {PLACED} or (what = {GAP} and rank < 0)").select(*moved.columns).unionByName(moved)
+
+
+def opened(gaps: dict[int, int], docs: dict[int, int], capacity: int) -> int:
+    """How many sequences to open for the documents that are larger than every gap; gaps, docs: size -> how many."""
+    largest = max(gaps, default=0)
+    without = {n: k for n, k in docs.items() if n > largest}
+    alone = sum(k for n, k in without.items() if 2 * n > capacity)
+    need = -(-sum(n * k for n, k in without.items()) // capacity)
+    return alone or max(-(-need // 2), min(OPEN_LEAST, need))
+
+
+def packed_rows(state: DataFrame, capacity: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(row_, sequence_id, offset) of documents given as (what, size, id); rounds until none is left open."""
+    spark = state.sparkSession
+    done: list[DataFrame] = []
+    count = lambda df: {(r[0], r[1]): r[2] for r in df.where(f"what <> {PLACED}").groupBy("what", "size").count().collect()}  # noqa: E731  at most 2 x capacity rows
+    sizes, sequences = count(state), 0
+    while docs := {n: k for (what, n), k in sizes.items() if what == OPEN}:
+        new = opened({n: k for (what, n), k in sizes.items() if what == GAP}, docs, capacity)
+        fresh = spark.range(sequences, sequences + new).select(F.lit(GAP).alias("what"), F.lit(capacity).cast("bigint").alias("size"), "id")
+        sequences += new
+        spans = (sum(sizes.values()) + new) // range_rows + 1
+        rows = written(swept(state.unionByName(fresh) if new else state, spans, capacity), "swept")
+        left = {r[0]: (r[1], r[2]) for r in rows.where("rank >= 0").groupBy("span").agg(F.count_if(F.col("what") == OPEN), F.count_if(F.col("what") == GAP)).collect()}
+        if meets := met(left):
+            rows = written(carried(rows, meets, capacity), "carried")
+        done.append(rows.where(f"what = {PLACED}").select(F.col("id").alias("row_"), F.col("sequence").alias("sequence_id"), "offset"))
+        state = rows.where(f"what <> {PLACED}").select("what", "size", "id")
+        sizes = count(rows)
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "row_ bigint, sequence_id bigint, offset bigint")
+
+
+def best_fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END_TOKEN, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Pieces of all documents with their sequence and offset. Full pieces have sequences of negative numbers."""
+    bounded_batches(docs.sparkSession)
+    pieces = written(token_pieces(docs, id_col, text_col, capacity, end, vocabulary_path), "pieces")
+    part = pieces.where(F.col("length") < capacity)
+    placed = packed_rows(part.select(F.lit(OPEN).alias("what"), F.col("length").alias("size"), F.col("row_").alias("id")), capacity, range_rows)
+    columns = [id_col, "piece", "start", "length", "ids_crc32"]
+    full = pieces.where(F.col("length") == capacity).select(*columns, (-1 - F.col("row_")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    return part.join(placed, "row_").select(*columns, "sequence_id", "offset").unionByName(full)

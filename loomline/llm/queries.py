@@ -45,8 +45,7 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    at = public_tokenizers.path
-    return packing.best_fit(read(spark, sf_dir, "documents"), at("byte_bpe_50k.tiktoken"), at("byte_bpe_50k.json"))
+    return packing.best_fit(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
