@@ -32,8 +32,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in training sequences."""
     import public_tokenizers
 
-    at = public_tokenizers.path
-    return packing.best_fit(docs, at("byte_bpe_50k.tiktoken"), at("byte_bpe_50k.json"))
+    return packing.best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
