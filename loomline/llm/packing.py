@@ -3,14 +3,16 @@
 Documents (pieces of up to `capacity` tokens) and the gaps of open sequences are rows that are range-sorted together by size,
 largest first, a gap before a document of its size. In one round
 
-1. every range is swept: a document takes its successor, the smallest gap seen so far that no larger document has taken;
-   of equal lengths, as many as the gap holds follow it. Documents that want the same gap are told apart by their rank;
-2. what a range leaves over, documents that found no gap and gaps that nobody took, is carried across the ranges: their
-   counts (a row a range) say which ranks of documents meet which ranks of gaps, and a join brings these together;
-3. the gaps shrink, and the round is repeated with the documents left;
-4. documents larger than every gap need new sequences: each that exceeds half a sequence needs its own, of the others half as
-   many sequences are opened as their tokens fill, so that the next rounds can pair what is left. No sequence is opened for a
-   document that fits a gap, and never more than the documents without a gap need.
+1. every range is swept: a document takes its successor, the smallest gap that holds it of those seen so far; documents that
+   want the same gap are told apart by their rank; what is left of a gap comes up again where its size is due. In the first
+   range, above which there are no gaps, a document without a gap opens a sequence;
+2. what a range leaves over, documents that found no gap and gaps that can hold any document of the ranges below, is carried
+   across the ranges: their counts (a row a range) say which ranks of documents meet which ranks of gaps, and a join brings
+   these together;
+3. the gaps shrink, those smaller than every open document are closed, and the round is repeated with the documents left;
+4. while there are several ranges, documents larger than every gap need new sequences in all of them: one each for those of
+   over half a sequence, and for the others half as many as their tokens fill, so that the next rounds can pair what is left.
+   Never more sequences are opened than the documents without a gap need.
 
 Full pieces are sequences of their own. A row is a size and two numbers, so rounds shuffle a small part of the input;
 the driver sees counts by range and by size. The number of sequences is that of best-fit decreasing or some hundredths of a
@@ -42,8 +44,10 @@ from loomline.llm.common import bounded_batches, written
 
 CAPACITY = 1024
 END_TOKEN = 2
-#: Rows of a range, and parts whose ids a worker keeps.
-RANGE_ROWS, PARTS_KEPT = 500_000, 400_000
+#: Rows of a range while there are few ranges, and from some two thousand ranges on.
+RANGE_ROWS, RANGE_ROWS_MOST = 20_000, 2_000_000
+#: Parts whose ids a worker keeps.
+PARTS_KEPT = 400_000
 #: So many sequences are opened at once whatever half the need is: the last few need no rounds of their own.
 OPEN_LEAST = 64
 #: Fixed value: the vocabulary's pattern of parts, with white space as its tokenizer knows it.
@@ -108,62 +112,97 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end
 
 
 GAP, OPEN, PLACED = 0, 1, 2
+#: Numbers of sequences: of full pieces below 0, of those opened in all ranges from 0 on, of those that a document opened from here on.
+OPENED = 1 << 62
 #: what a row is, its size (tokens or gap), its number (row or sequence); of placed rows sequence and offset; the range and the
 #: rank among the range's rows left over, gaps from the smallest on, documents from the largest on.
 STATE = "what int, size bigint, id bigint, sequence bigint, offset bigint, span int, rank bigint"
 
 
-def sweep(size: np.ndarray, doc: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One range, largest first, gaps before documents of their size: for each row the row of the gap it takes (documents) or
-    -1, its offset, the size left (gaps), and whether a gap was taken."""
-    gap_of, offset, left, taken = np.full(len(size), -1), np.zeros(len(size), np.int64), size.copy(), np.zeros(len(size), bool)
-    edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(size)), bool), (size[1:] != size[:-1]) | (doc[1:] != doc[:-1])]))
-    free: list[tuple[int, int]] = []  # runs of equal gaps, the smallest last
-    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(size)]):
-        if not doc[a]:
-            free.append((a, b))
-            continue
-        length = int(size[a])
-        while a < b and free:
-            first, last = free.pop()
-            each = int(size[first]) // length
+def sweep(size: np.ndarray, doc: np.ndarray, capacity: int, opens: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One range, largest first, gaps before documents of their size: for each document the row of the gap it takes (of the
+    document that opened its sequence; -1: none) and its offset, and for each gap, and each document that opened a sequence, the
+    size that is left."""
+    n = len(size)
+    gap_of, offset = np.full(n, -1), np.zeros(n, np.int64)
+    left = np.where(doc, 0, size)
+    edges = np.flatnonzero(np.concatenate([np.ones(min(1, n), bool), (size[1:] != size[:-1]) | (doc[1:] != doc[:-1])]))
+    due: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by size: runs of rows of equal gaps
+    docs: dict[int, tuple[int, int]] = {}
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), n]):
+        if doc[a]:
+            docs[int(size[a])] = (a, b)
+        else:
+            due[int(size[a])].append((a, b))
+    free: list[tuple[int, int, int]] = []  # gaps seen, the smallest last: first row, last row, size
+    for length in range(capacity, 0, -1):
+        free += [(x, y, length) for x, y in due[length]]
+        a, b = docs.get(length, (0, 0))
+        while a < b and (free or opens):
+            if free:
+                first, last, room = free.pop()
+            else:  # the documents that come first open a sequence each
+                first, last, room = a, a + -(-(b - a) // (capacity // length)), capacity
+                took = last - first
+                gap_of[first:last] = np.arange(first, last)
+                a, room, last = last, capacity - length, last
+                each = capacity // length - 1
+                if not each:
+                    left[first:last] = room
+                    due[room].append((first, last))
+                    continue
+            each = room // length
             used = min(last - first, -(-(b - a) // each))  # the last of them may take fewer
-            n = min(b - a, used * each)
-            nth = np.arange(n)
-            gap_of[a : a + n] = first + nth // each
-            offset[a : a + n] = capacity - size[first] + nth % each * length
-            left[first : first + used] -= length * np.bincount(nth // each, minlength=used)
-            taken[first : first + used] = True
-            a += n
+            took = min(b - a, used * each)
+            nth = np.arange(took)
+            gap_of[a : a + took] = first + nth // each
+            offset[a : a + took] = capacity - room + nth % each * length
+            a += took
+            whole = took // each
+            left[first : first + whole] = room - each * length
+            due[room - each * length].append((first, first + whole))
             if first + used < last:
-                free.append((first + used, last))
-    return gap_of, offset, left, taken
+                left[first + used : last] = room
+                free.append((first + used, last, room))
+            if whole < used:
+                left[first + whole] = rest = room - took % each * length
+                free.append((first + whole, first + used, rest))
+    return gap_of, offset, left
 
 
 def swept(state: DataFrame, spans: int, capacity: int) -> DataFrame:
     """A round's step 1: documents and gaps, range-sorted and swept range by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [*batches]
+        rows = [b for b in batches if b.num_rows]
         if not rows:
             return
+        span = TaskContext.get().partitionId()
         what, size, number = (np.concatenate([b.column(k).to_numpy() for b in rows]) for k in range(3))
         doc = what == OPEN
-        gap_of, offset, left, taken = sweep(size, doc, capacity)
+        gap_of, offset, left = sweep(size, doc, capacity, span == 0)
         got = gap_of >= 0
+        open_docs, gaps = np.flatnonzero(doc & ~got), np.flatnonzero(left > 0)
+        spare = gaps[left[gaps] >= size[-1]]
         rank = np.full(len(size), -1)
-        open_docs, free = np.flatnonzero(doc & ~got), np.flatnonzero(~doc & ~taken)
-        rank[open_docs] = np.arange(len(open_docs))
-        rank[free] = np.arange(len(free))[::-1]
-        keep = doc | (left > 0)
-        columns = [np.where(got, PLACED, what).astype(np.int32), np.where(doc, size, left), number, np.where(got, number[gap_of], -1), offset]
-        columns += [np.full(len(size), TaskContext.get().partitionId(), np.int32), rank]
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=[c.split()[0] for c in STATE.split(", ")])
+        rank[spare[np.argsort(left[spare], kind="stable")]] = np.arange(len(spare))
+        # A document that opened a sequence is two rows: itself, placed, and its gap, whose number is the document's.
+        sequence = np.where(got & ~doc[gap_of], number[gap_of], number[gap_of] + OPENED)
+        yield table_of(span, np.full(len(gaps), GAP), left[gaps], number[gaps] + np.where(doc[gaps], OPENED, 0), rank=rank[gaps])
+        yield table_of(span, np.full(len(open_docs), OPEN), size[open_docs], number[open_docs], rank=np.arange(len(open_docs)))
+        at = np.flatnonzero(got)
+        yield table_of(span, np.full(len(at), PLACED), size[at], number[at], sequence[at], offset[at])
 
     order = [F.desc("size"), F.asc("what"), F.xxhash64("id"), F.asc("id")]
     return state.select("what", "size", "id").repartitionByRange(spans, *order).sortWithinPartitions(*order).mapInArrow(run, STATE)
 
 
+def table_of(span: int, what: np.ndarray, size: np.ndarray, number: np.ndarray, sequence=None, offset=None, rank=None) -> pa.RecordBatch:
+    fill = lambda x: np.full(len(what), -1) if x is None else x
+    columns = [what.astype(np.int32), size, number, fill(sequence), fill(offset), np.full(len(what), span, np.int32), fill(rank)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in STATE.split(", ")])
+
+
 def met(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
     """Which documents left over meet which gaps left over, by ranges from the largest sizes on: (documents' range, first
     rank, how many, gaps' range, first rank). left: range -> (documents, gaps); a range's gaps are smaller than its documents."""
@@ -232,17 +271,20 @@ def packed_rows(state: DataFrame, capacity: int, range_rows: int = RANGE_ROWS) -
     count = lambda df: {(r[0], r[1]): r[2] for r in df.where(f"what <> {PLACED}").groupBy("what", "size").count().collect()}  # noqa: E731  at most 2 x capacity rows
     sizes, sequences = count(state), 0
     while docs := {n: k for (what, n), k in sizes.items() if what == OPEN}:
-        new = opened({n: k for (what, n), k in sizes.items() if what == GAP}, docs, capacity)
-        fresh = spark.range(sequences, sequences + new).select(F.lit(GAP).alias("what"), F.lit(capacity).cast("bigint").alias("size"), "id")
-        sequences += new
-        spans = (sum(sizes.values()) + new) // range_rows + 1
-        rows = written(swept(state.unionByName(fresh) if new else state, spans, capacity), "swept")
-        left = {r[0]: (r[1], r[2]) for r in rows.where("rank >= 0").groupBy("span").agg(F.count_if(F.col("what") == OPEN), F.count_if(F.col("what") == GAP)).collect()}
+        gaps = {n: k for (what, n), k in sizes.items() if what == GAP and n >= min(docs)}
+        rows = sum(docs.values()) + sum(gaps.values())
+        spans = max(min(rows // range_rows, 2_000), rows // RANGE_ROWS_MOST) + 1
+        if spans > 1 or done:
+            new = opened(gaps, docs, capacity)
+            fresh = spark.range(sequences, sequences + new).select(F.lit(GAP).alias("what"), F.lit(capacity).cast("bigint").alias("size"), "id")
+            state, sequences = state.unionByName(fresh), sequences + new
+        round_ = written(swept(state.where(F.col("size") >= min(docs)), spans, capacity), "swept")
+        left = {r[0]: (r[1], r[2]) for r in round_.where("rank >= 0").groupBy("span").agg(F.count_if(F.col("what") == OPEN), F.count_if(F.col("what") == GAP)).collect()}
         if meets := met(left):
-            rows = written(carried(rows, meets, capacity), "carried")
-        done.append(rows.where(f"what = {PLACED}").select(F.col("id").alias("row_"), F.col("sequence").alias("sequence_id"), "offset"))
-        state = rows.where(f"what <> {PLACED}").select("what", "size", "id")
-        sizes = count(rows)
+            round_ = written(carried(round_, meets, capacity), "carried")
+        done.append(round_.where(f"what = {PLACED}").select(F.col("id").alias("row_"), F.col("sequence").alias("sequence_id"), "offset"))
+        state = round_.where(f"what <> {PLACED}").select("what", "size", "id")
+        sizes = count(round_)
     return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "row_ bigint, sequence_id bigint, offset bigint")
 
 

@@ -144,33 +144,30 @@ def best_fit_bins(lengths, capacity):
 
 
 def test_sweep_of_one_range():
-    """Every document takes the smallest gap that holds it and that no larger one has taken; equal lengths share a gap."""
+    """Every document takes the smallest gap that holds it; where sequences may be opened that is best-fit decreasing."""
     rng = np.random.default_rng(1)
-    for _ in range(300):
-        capacity = int(rng.integers(2, 40))
-        n = int(rng.integers(0, 30))
-        size, doc = rng.integers(1, capacity + 1, n), rng.random(n) < 0.6
+    for k in range(400):
+        capacity, n, opens = int(rng.integers(2, 40)), int(rng.integers(0, 30)), bool(k % 2)
+        size, doc = rng.integers(1, capacity + 1, n), rng.random(n) < 0.7
         by = np.lexsort((doc, -size))
         size, doc = size[by], doc[by]
-        gap_of, offset, left, taken = packing.sweep(size, doc, capacity)
-        free, want = [], {}
-        for i in range(n):
-            if not doc[i]:
-                free.append(i)
-        held = {i: int(size[i]) for i in free}
-        owner: dict[int, int] = {}  # a gap taken in this round holds one length only
-        for i in (k for k in range(n) if doc[k]):
-            fits = [g for g in free if size[g] >= size[i] and (g not in owner or (owner[g] == size[i] and held[g] >= size[i]))]
+        gap_of, offset, left = packing.sweep(size, doc, capacity, opens)
+        gaps, placed = [int(x) for x, d in zip(size, doc) if not d], 0
+        for length in (int(x) for x, d in zip(size, doc) if d):
+            fits = [g for g in gaps if g >= length] or ([capacity] if opens else [])
             if fits:
-                least = min(size[g] for g in fits)
-                at_least = [g for g in fits if size[g] == least]
-                g = min(at_least, key=lambda g: (g not in owner, g))
-                want[i] = (int(least), capacity - held[g])
-                owner[g] = int(size[i])
-                held[g] -= int(size[i])
-        assert {i: (int(size[gap_of[i]]), int(offset[i])) for i in range(n) if gap_of[i] >= 0} == want
-        assert sorted(int(x) for x, d in zip(left, doc) if not d) == sorted(held.values())
-        assert sorted(size[i] for i in np.flatnonzero(taken)) == sorted(size[g] for g in owner)
+                placed += 1
+                if min(fits) in gaps:
+                    gaps.remove(min(fits))
+                gaps.append(min(fits) - length)
+        assert placed == (gap_of >= 0).sum()
+        assert sorted(left[left > 0].tolist()) == sorted(g for g in gaps if g)
+        for at in set(gap_of[gap_of >= 0].tolist()):
+            end = capacity - int(size[at]) if not doc[at] else 0
+            for o, length in sorted((int(offset[i]), int(size[i])) for i in np.flatnonzero(gap_of == at)):
+                assert o == end
+                end += length
+            assert end + left[at] == capacity
 
 
 @pytest.mark.parametrize("kind, range_rows", [("uniform", 10**6), ("uniform", 300), ("small", 200), ("third", 250), ("one length", 100)])
