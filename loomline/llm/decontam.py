@@ -1,192 +1,173 @@
 """Benchmark decontamination by winnowing.
 
 Of every `window` consecutive k-gram hashes the smallest is kept as a fingerprint, on both sides. A shared span of
-window + k - 1 words holds one shared window of hashes, so at least one fingerprint of it is kept on either side: with
-k = 4 and window = 7 no shared span of 10 words is missed. Fingerprints are joined, and each hit is extended along its
-diagonal (the same offset between document and item) by comparing words, which finds every occurrence of an item's window.
-Items of fewer than 10 words are one window: their whole n-gram is their fingerprint (k = n, window = 1).
-
-The benchmark is joined in blocks of bounded bytes: equal items are merged first, a benchmark under BLOCK_BYTES is one
-block that travels with the tasks, a larger one takes a pass over the documents per block, whose hits are then united.
-
-Cases: null or empty texts have no words and no hits, null or empty items no windows; repeated rows of `docs` give a row
-each; repeated item ids count once; null item ids mark words but are not listed; an empty benchmark marks nothing; only
-the ids and texts are read.
+window + k - 1 words holds one shared window of hashes, so its smallest hash is a fingerprint on either side: with k = 4 and
+window = 7 no shared span of 10 words is missed. An item of fewer than 10 words is one window, its whole n-gram the fingerprint.
+
+1. The benchmark's windows, each with its fingerprint and the ids of the items that hold it, become a table.
+2. Documents are read once. Where a fingerprint may be one of the benchmark's, it is extended to the windows that it
+   stands for, and these leave as rows with their words. A bitmap of the benchmark's fingerprints says which may be: up to
+   FILTER_BITS bits however large the benchmark; with more fingerprints than that suits it lets more rows through, none less.
+3. Spark joins both on fingerprint and words, so equality is decided word by word. The benchmark's side is broadcast if it is
+   measured at BROADCAST_BYTES or less; a larger one is joined without a hint, shuffled by fingerprint.
+4. Hits go back to their documents by row number, and unite to spans.
+
+Cases: null or empty texts have no words and no hits, null or empty items no windows; a very long text costs its windows that
+pass the bitmap, others nothing; repeated rows of `docs` give a row each; repeated item ids count once; null item ids mark words but
+are not listed; windows that several items hold count for each; an empty benchmark marks nothing; only the ids and texts are read.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomline.llm.common import ALNUM, WordHash, as_bytes, bounded_batches, gram_hash, octets, slices, sliding_min
+from loomline.llm.common import ALNUM, ROW, WordHash, as_bytes, bounded_batches, gram_hash, sliding_min, written
 
 SPAN = 10
 K = 4
-BLOCK_BYTES = 32 << 20
+FILTER_BITS = 1 << 26
+BROADCAST_BYTES = 32 << 20
+FOUND = "__loomline_found"
 
 
-def winnowed(g: np.ndarray, window: int) -> np.ndarray:
-    """Which hashes are the smallest of a window that holds them; ties are all kept."""
-    if len(g) < window:
-        return np.zeros(len(g), bool)
-    least = sliding_min(g, window)
-    pad = np.zeros(window - 1, g.dtype)
-    return -np.int64(1) - sliding_min(~np.concatenate([pad, least, pad]), window).view(np.int64) == g.view(np.int64)
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(ALNUM).split()
 
 
-class Items:
-    """A block of the benchmark: its distinct word sequences, who bears them, and their fingerprints."""
+def fingerprints(h: np.ndarray, n: int, span: int = SPAN, k: int = K) -> np.ndarray:
+    """For the word hashes of a text, the fingerprint of each window of n words: the smallest k-gram hash in it, for windows shorter
+    than the span the hash of all of it."""
+    if n < span:
+        return gram_hash(h, n) ^ np.uint64(n)
+    return sliding_min(gram_hash(h, k), n - k + 1)
 
-    def __init__(self, rows: list[tuple], span: int = SPAN, k: int = K):
-        self.span, self.k = span, k
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item_id, text in rows:
-            words = tuple((text or "").encode().translate(ALNUM).split())
-            if words:
-                owners[words].update([] if item_id is None else [str(item_id)])
-        self.owners = [sorted(o) for o in owners.values()]
-        hashed = WordHash()
-        self.words = [hashed(list(w)) for w in owners]
-        self.need = [min(len(w), span) for w in self.words]
-        places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for item, w in enumerate(self.words):
-            if len(w) < span:
-                places[len(w)][int(gram_hash(w, len(w))[0])].append((item, 0))
-                continue
-            g = gram_hash(w, k)
-            for at in np.flatnonzero(winnowed(g, span - k + 1)):
-                places[0][int(g[at])].append((item, int(at)))
-        #: By n-gram width (0: winnowed k-grams): sorted hashes and their places.
-        self.keys = {n: np.array(sorted(x), np.uint64) for n, x in places.items()}
-        self.places = {n: [x[int(h)] for h in self.keys[n]] for n, x in places.items()}
-
-    def hits(self, h: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
-        """Spans of a document's words inside an item's window, and the items; h: the document's word hashes."""
-        seen: set[tuple[int, int]] = set()
-        spans, found = [], set()
-        for n, keys in self.keys.items():
-            g = gram_hash(h, n or self.k)
-            if not len(g):
-                continue
-            among = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            hit = keys[among] == g
-            if hit.any() and not n:
-                hit &= winnowed(g, self.span - self.k + 1)
-            for at in np.flatnonzero(hit):
-                for item, place in self.places[n][among[at]]:
-                    if (item, at - place) in seen:
-                        continue
-                    seen.add((item, int(at - place)))
-                    new = self.along(h, item, int(at - place))
-                    if new:
-                        spans += new
-                        found.add(item)
-        return spans, found
-
-    def along(self, h: np.ndarray, item: int, shift: int) -> list[tuple[int, int]]:
-        """Runs of at least a window's words that the item and the document share at this shift."""
-        w = self.words[item]
-        a, b = max(0, shift), min(len(h), shift + len(w))
-        if b - a < self.need[item]:
-            return []
-        same = np.concatenate([[False], h[a:b] == w[a - shift : b - shift], [False]])
-        edge = np.flatnonzero(same[1:] != same[:-1])
-        return [(a + int(s), a + int(e)) for s, e in zip(edge[::2], edge[1::2]) if e - s >= self.need[item]]
-
-
-def blocks_of(items: DataFrame, item_id: str, item_text: str, most: int) -> Iterator[list[tuple]]:
-    """The benchmark in blocks of about `most` bytes; repeated rows of a larger one are dropped first, so that none fills a block."""
-    picked = items.select(item_id, item_text)
-    n = -(-octets(picked, item_text) // most) or 1
-    if n > 1:
-        picked = picked.distinct()
-    for b in range(n):
-        part = picked if n == 1 else picked.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(n)) == b)
-        yield [(r[0], r[1]) for r in part.collect()]
-
-
-def find_hits(docs: DataFrame, block: list[tuple], id_col: str, text_col: str) -> DataFrame:
-    """Per row: its number of words, hit spans and the ids of found items."""
-    bounded_batches(docs.sparkSession)
-    picked = docs.select(id_col, text_col)
-    names = [id_col, "n_words", "spans", "items"]
-    schema = f"`{id_col}` {picked.dtypes[0][1]}, n_words bigint, spans array<struct<a:bigint,b:bigint>>, items array<string>"
-    spans_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+def item_windows(items: DataFrame, item_id: str, item_text: str, span: int = SPAN) -> DataFrame:
+    """(n, fp, win, items): the distinct windows of all items, the ids that hold them as strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, hashed = Items(block), WordHash()
+        hashed = WordHash()
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for i, j in slices(texts):
-                n, spans, ids = [], [], []
-                for text in texts[i:j]:
-                    h = hashed((text or b"").translate(ALNUM).split())
-                    s, found = items.hits(h)
-                    n.append(len(h))
-                    spans.append([{"a": a, "b": b} for a, b in s])
-                    ids.append(sorted({x for f in found for x in items.owners[f]}))
-                arrays = [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(spans, spans_type), pa.array(ids, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+                words = words_of(text)
+                n = min(len(words), span)
+                fps = fingerprints(hashed(words), n, span).view(np.int64).tolist() if n else []
+                rows += {(item, n, fp, b" ".join(words[s : s + n])) for s, fp in enumerate(fps)}
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["item", "n", "fp", "win"])
+
+    rows = items.select(F.col(item_id).cast("string").alias("item"), item_text).mapInArrow(run, "item string, n int, fp bigint, win binary")
+    return written(rows.groupBy("n", "fp", "win").agg(F.collect_set("item").alias("items")), "benchmark-windows")
+
+
+def slots(fp: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(fp >> np.uint64(shift)) & np.uint64(bits - 1) for shift in (0, 32)]
+
+
+def bitmap(windows: DataFrame) -> tuple[int, np.ndarray, list[int]]:
+    """(bits, the bitmap of all fingerprints, two bits each, and the widths of windows there are). What is collected is bounded by
+    FILTER_BITS, not by the benchmark."""
+    widths = {r[0]: r[1] for r in windows.groupBy("n").agg(F.count("*")).collect()}
+    bits = min(1 << 16, FILTER_BITS)
+    while bits < min(FILTER_BITS, 32 * sum(widths.values())):
+        bits *= 2
+    at = windows.selectExpr(f"explode(array(fp & {bits - 1}L, shiftrightunsigned(fp, 32) & {bits - 1}L)) AS at")
+    found = at.groupBy(F.expr("at div 8").alias("octet")).agg(F.expr("bit_or(shiftleft(1, cast(at % 8 AS int)))").alias("flags"))
+    held = np.zeros(bits // 8, np.uint8)
+    table = found.toArrow()
+    held[table.column("octet").to_numpy()] = table.column("flags").to_numpy().astype(np.uint8)
+    return bits, held, sorted(widths)
 
-    return picked.mapInArrow(run, schema)
+
+CANDIDATES = T.ArrayType(T.StructType().add("start", "integer").add("n", "integer").add("fp", "long").add("win", "binary"))
+
+
+def candidates(docs: DataFrame, windows: DataFrame, text_col: str, span: int = SPAN) -> DataFrame:
+    """The rows of docs, written, with a number, their count of words and the windows whose fingerprints pass the bitmap."""
+    bits, held, widths = bitmap(windows)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("fp", pa.int64()), ("win", pa.binary())]))
+    schema = T.StructType([*docs.schema.fields, T.StructField(ROW, T.LongType()), T.StructField("__loomline_words", T.LongType()), T.StructField(FOUND, CANDIDATES)])
+
+    def may_be(fp: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(fp), bool)
+        for at in slots(fp, bits):
+            ok &= (held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return np.flatnonzero(ok)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed, number = WordHash(), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            counts, found = [], []
+            for text in as_bytes(batch.column(batch.schema.get_field_index(text_col))):
+                words = words_of(text)
+                h = hashed(words)
+                rows = []
+                for n in widths:
+                    fp = fingerprints(h, n, span)
+                    rows += [{"start": s, "n": n, "fp": fp[s].view(np.int64), "win": b" ".join(words[s : s + n])} for s in may_be(fp).tolist()]
+                counts.append(len(words))
+                found.append(rows)
+            numbers = pa.array(np.arange(number, number + len(counts)))
+            number += len(counts)
+            columns = [*batch.columns, numbers, pa.array(counts, pa.int64()), pa.array(found, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return written(docs.mapInArrow(run, schema), "candidates")
+
+
+def hits(found: DataFrame, windows: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """(row, start, n, items) of every window that the benchmark holds as well."""
+    size = windows.agg(F.coalesce(F.sum(F.octet_length("win") + 24 * F.size("items") + 64), F.lit(0))).first()[0]
+    side = F.broadcast(windows) if size <= broadcast_bytes else windows
+    asked = found.select(ROW, F.explode(FOUND).alias("c")).select(ROW, "c.start", "c.n", "c.fp", "c.win")
+    return asked.join(side, ["fp", "n", "win"]).select(ROW, "start", "n", "items")
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Per document: words, words hit, items found and whether it is contaminated.
-
-    `items` counts distinct item ids; with several blocks a row of `docs` is told from its repeats by its task's numbering,
-    so `docs` must then be a table (or a plan that yields the same rows in the same order each time)."""
-    blocks = list(blocks_of(items, item_id, item_text, block_bytes)) if octets(items, item_text) <= block_bytes else None
-    if blocks is not None:
-        merged = find_hits(docs, blocks[0], id_col, text_col)
-    else:
-        rows = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("row_"))
-        keyed = rows.select(F.struct(id_col, "row_").alias("key_"), text_col)
-        found = None
-        for block in blocks_of(items, item_id, item_text, block_bytes):
-            part = find_hits(keyed, block, "key_", text_col)
-            found = part if found is None else found.unionByName(part.where(F.size("spans") > 0))
-        merged = found.groupBy("key_").agg(
-            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
-        )
-        merged = merged.select(F.col(f"key_.{id_col}").alias(id_col), "n_words", "spans", "items")
-    names = F.concat_ws(",", F.array_sort("items"))
-    # Spans in order; the fold carries the words covered so far and where the last span ended.
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
-    step = lambda s, x: F.struct(
-        (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["end"]))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")
-    )
-    n_hit = F.aggregate(F.array_sort("spans"), start, step, lambda s: s["n"])
+    """Per document: words, words hit, items found, whether it is contaminated, the items' ids and the spans of its words that are
+    hit. `items` counts distinct item ids."""
+    bounded_batches(docs.sparkSession)
+    windows = item_windows(items, item_id, item_text)
+    found = candidates(docs.select(id_col, text_col), windows, text_col)
+    span = F.struct(F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("n")).cast("bigint").alias("b"))
+    per_row = hits(found, windows, broadcast_bytes).groupBy(ROW).agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    # Windows in order; the fold joins those that overlap or adjoin.
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    last = lambda s: F.element_at(s, -1)
+    join = lambda s, x: F.when(
+        (F.size(s) > 0) & (F.try_element_at(s, F.lit(-1))["b"] >= x["a"]),
+        F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(last(s)["a"].alias("a"), F.greatest(last(s)["b"], x["b"]).alias("b")))),
+    ).otherwise(F.concat(s, F.array(x)))
+    per_row = per_row.withColumn("spans", F.aggregate("spans", none, join))
+    merged = found.select(id_col, ROW, F.col("__loomline_words").alias("n_words")).join(per_row, ROW, "left")
+    listed, spans = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("spans", none)
+    names = F.concat_ws(",", F.array_sort(listed))
     return merged.select(
         id_col,
         "n_words",
-        n_hit.alias("n_hit"),
-        F.size("items").cast("bigint").alias("n_items"),
+        F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, x: n + x["b"] - x["a"]).alias("n_hit"),
+        F.size(listed).cast("bigint").alias("n_items"),
         F.sha2(names.cast("binary"), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"),
-        "items",
+        (F.size(spans) > 0).alias("contaminated"),
+        listed.alias("items"),
+        spans.alias("spans"),
     )
 
 
-def clean_rows(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs without any hit, all columns unchanged; a pass per block of the benchmark."""
+def clean_rows(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs without any hit, all columns unchanged."""
     bounded_batches(docs.sparkSession)
-    for block in blocks_of(items, item_id, item_text, block_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            found, hashed = Items(block), WordHash()
-            for batch in batches:
-                texts = as_bytes(batch.column(batch.schema.get_field_index(text_col)))
-                keep = [not found.hits(hashed((t or b"").translate(ALNUM).split()))[0] for t in texts]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    windows = item_windows(items, item_id, item_text)
+    found = candidates(docs, windows, text_col)
+    bad = hits(found, windows, broadcast_bytes).select(ROW).distinct()
+    return found.join(bad, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

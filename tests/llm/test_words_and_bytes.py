@@ -119,29 +119,36 @@ def plain_hits(rows, items):
         yield i, len(w), len(hit), len([x for x in found if x is not None]), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 300])
-def test_decontamination(spark, docs, rows, block):
+@pytest.mark.parametrize("options, bits", [({}, decontam.FILTER_BITS), ({"broadcast_bytes": 0}, 1 << 16), ({}, 64)])
+def test_decontamination(spark, docs, rows, options, bits, monkeypatch):
+    monkeypatch.setattr(decontam, "FILTER_BITS", bits)
     texts = dict(rows)
     cut = lambda i, a, b: " ".join(texts[i].split()[a:b])
     items = [(1, cut(0, 0, 12)), (2, cut(1, 3, 40).upper()), (2, cut(1, 3, 40)), (10, cut(100, 30, 45)), (3, "two words"), (4, None), (5, ""), (None, "one"), (6, cut(310, 5000, 5010)), (7, cut(5, 0, 9))]
     table = spark.createDataFrame(items, "item_id long, text string")
-    found = decontam.decontaminate(docs, table, block_bytes=block).drop("items").collect()
+    whole = decontam.decontaminate(docs, table, **options)
+    found = whole.collect()
     want = ordered(plain_hits(rows, items))
-    assert ordered(found) == want and sum(w[5] for w in want) > 8
-    clean = decontam.clean_rows(docs, table, block_bytes=block)
+    assert ordered(r[:6] for r in found) == want and sum(w[5] for w in want) > 8
+    assert all(sum(s.b - s.a for s in r.spans) == r.n_hit and all(x.b < y.a for x, y in zip(r.spans, r.spans[1:])) for r in found)
+    clean = decontam.clean_rows(docs, table, **options)
     assert clean.columns == docs.columns
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((w[0] for w in want if not w[5]), key=str)
 
 
 def test_winnowing_guarantee():
+    """Equal windows have equal fingerprints, wherever they stand, and a fingerprint is one of the window's own k-grams."""
     import numpy as np
 
+    from loomline.llm.common import gram_hash
+
     rng = np.random.default_rng(1)
     for _ in range(50):
-        g = rng.integers(0, 40, 60).astype(np.uint64)
-        keep = decontam.winnowed(g, 7)
-        assert all(keep[a : a + 7].any() for a in range(54))
-        assert all(g[a : a + 7].min() in g[a : a + 7][keep[a : a + 7]] for a in range(54))
+        h = rng.integers(0, 40, 60).astype(np.uint64)
+        g, fp = gram_hash(h, decontam.K), decontam.fingerprints(h, decontam.SPAN)
+        assert len(fp) == 51 and all(fp[a] == g[a : a + 7].min() for a in range(51))
+        shared = np.concatenate([rng.integers(50, 90, 9).astype(np.uint64), h[20:32]])
+        assert (decontam.fingerprints(shared, decontam.SPAN)[9:] == fp[20:23]).all()
 
 
 def test_empty_tables(docs):
