@@ -1,18 +1,24 @@
 """K-d tree partitioning into shards of near equal bytes, with DataFrame functions only.
 
-A node that still stands for k > 1 shards is split along its widest metadata dimension at the weighted quantile that
-leaves floor(k/2)/k of its bytes on one side. A quantile is found by histograms over the key's bits: every pass sums the
-bytes of 4,096 equal key ranges for all open nodes at once and goes on inside the range that holds the quantile, so a
-pass shuffles only partial sums and the driver sees at most 4,096 rows a node. Keys are a dimension's code followed by
-the text's checksum (equal texts lie together), a hash of the id and a hash of the row, so that a value, or a group of
-copies, that outweighs a shard is split as well.
-
-Cases: null texts and ids, empty texts and null metadata are ordinary values; repeated rows are separate rows; fewer rows
-than shards leave shards empty; an empty table gives an empty result; only the id, the text and the dimensions are read.
+The target is the bytes of all rows over the number of shards (or a number of bytes that is given, which then sets the number
+of shards). A node that holds k > 1 times the target is split along its widest metadata dimension at the weighted quantile that
+leaves floor(k/2)/k of its bytes on one side, until leaves reach the target. Width is relative to the whole table: of a number its
+range on a logarithmic scale, of other values the logarithm of how many there are. A quantile is found by histograms over
+the key's bits: every pass sums the bytes of 4,096 equal key ranges for all open nodes at once and goes on inside the range
+that holds the quantile, so a pass shuffles only partial sums and the driver sees at most 4,096 rows a node.
+
+Equal texts are a group: they take the group's smallest dimensions for their own, and keys are a dimension's code followed by
+the text's checksum, so a group lies together in every order. A group of up to WHOLE of a shard is never cut; a heavier one is,
+wherever balance asks for it, by a hash of the id and a hash of the row.
+
+Cases: null texts and ids, empty texts and null metadata are ordinary values; a very long text is one row, whatever its size, so
+its shard may outweigh the target; ties on a key go the same way; repeated rows are separate rows; fewer rows than shards
+leave shards empty; an empty table gives an empty result; only the id, the text and the dimensions are read.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,9 +29,13 @@ from loomline.llm.common import written
 #: Bits of a key: a dimension's code, the checksum, the id's hash, the row's hash.
 CODE, CRC, ID, ROW = 14, 20, 14, 14
 TAIL = CRC + ID + ROW
+#: Bits below a dimension and a text.
+GROUPED = ID + ROW
 STEP = 12
 #: A key range that holds less than this share of a shard is not refined further.
 FINE = 0.0005
+#: Groups of equal texts of up to this share of a shard stay whole.
+WHOLE = 0.05
 
 
 @dataclass(eq=False)
@@ -42,10 +52,14 @@ class Node:
         return [self]
 
 
+def is_number(df: DataFrame, column: str) -> bool:
+    kind = dict(df.dtypes)[column]
+    return kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+
+
 def code(df: DataFrame, column: str) -> Column:
     """A dimension's 14-bit code: numbers by logarithm, other values by hash."""
-    kind = dict(df.dtypes)[column]
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+    if is_number(df, column):
         scaled = F.floor(F.log2(F.greatest(F.col(column).cast("double"), F.lit(0.0)) + 1) * 256)
         value = F.least(scaled, F.lit((1 << CODE) - 1))
     else:
@@ -65,26 +79,36 @@ def route(node: Node, leaf) -> Column:
     return F.when(key(node.dim) <= node.cut, left).otherwise(right)
 
 
-def split_level(slim: DataFrame, root: Node, dims: list[str], fine: float) -> bool:
-    """Split every open node that stands for more than one shard; False: there is none left."""
+def spread(numeric: bool, dim: str) -> Column:
+    """How far a dimension's codes reach: see `width`."""
+    return (F.max(dim) - F.min(dim) if numeric else F.approx_count_distinct(dim) - 1).alias(f"spread_{dim}")
+
+
+def width(numeric: bool, of: int, whole: int) -> float:
+    """A spread relative to that of the whole table."""
+    return 0.0 if not whole else of / whole if numeric else math.log1p(of) / math.log1p(whole)
+
+
+def split_level(slim: DataFrame, root: Node, dims: dict[str, bool], whole: dict[str, int], target: float, fine: float) -> bool:
+    """Split every open node that stands for more than one shard; False: there is none left. dims: name -> whether it is numeric."""
     nodes = [n for n in root.open() if n.leaves > 1]
     if not nodes:
         return False
-    ends = [f(c).alias(f"{f.__name__}_{c}") for c in dims for f in (F.min, F.max)]
+    ends = [spread(numeric, c) for c, numeric in dims.items()]
     stats = {r["node_"]: r for r in slim.groupBy(route(root, lambda n: F.lit(n.first)).alias("node_")).agg(F.sum("size").alias("bytes_"), *ends).collect()}
-    whole = {c: max((r[f"max_{c}"] for r in stats.values()), default=0) - min((r[f"min_{c}"] for r in stats.values()), default=0) for c in dims}
     search = {}
     for n in nodes:
         r = stats.get(n.first)
-        wide = lambda c: (r[f"max_{c}"] - r[f"min_{c}"]) / (whole[c] or 1)  # noqa: E731, B023
-        n.dim = max(dims, key=wide) if r else dims[0]
+        wide = lambda c: width(dims[c], r[f"spread_{c}"], whole[c])  # noqa: E731, B023
+        n.dim = max(dims, key=wide) if r else next(iter(dims))
         total = r["bytes_"] if r else 0
         search[n.first] = {"low": 0, "bits": CODE + TAIL, "before": 0, "goal": total * (n.leaves // 2) / n.leaves, "most": fine * total / n.leaves}
         if not r:
             n.cut, search[n.first]["bits"] = 0, -1
     while left := [n for n in nodes if search[n.first]["bits"] >= 0 and n.cut < 0]:
         at = [search[n.first] for n in left]
-        shift = {n.first: max(0, s["bits"] - STEP) for n, s in zip(left, at)}
+        # One pass stops at the bits that tell groups of equal texts apart.
+        shift = {n.first: max(GROUPED if s["bits"] > GROUPED else 0, s["bits"] - STEP) for n, s in zip(left, at)}
 
         def bucket_of(n: Node) -> Column:
             if n not in left:
@@ -106,7 +130,7 @@ def split_level(slim: DataFrame, root: Node, dims: list[str], fine: float) -> bo
                     run += size
                     continue
                 start = s["low"] + (bucket << sh)
-                if rows == 1 or sh == 0 or size <= s["most"]:
+                if rows == 1 or sh == 0 or size <= s["most"] or (sh == GROUPED and size <= WHOLE * target):
                     n.cut = start + (1 << sh) - 1 if run + size - s["goal"] <= s["goal"] - run else start - 1
                     n.cut = max(n.cut, 0)
                 else:
@@ -120,26 +144,45 @@ def split_level(slim: DataFrame, root: Node, dims: list[str], fine: float) -> bo
     return True
 
 
-def kd_shards(
-    docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("lang", "source", "n_chars"), overhead: int = 8, fine: float = FINE
-) -> DataFrame:
-    """Shard and slot of every row; sizes are UTF-8 bytes plus `overhead`."""
+def shard_keys(docs: DataFrame, id_col: str, text_col: str, dims: tuple[str, ...], overhead: int) -> tuple[DataFrame, dict[str, bool]]:
+    """What the tree needs of every row, written, and the names of its dimensions with whether they are numeric."""
     present = [c for c in dims if c in docs.columns]
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    names = [f"dim{i}_" for i in range(len(present))] or ["dim0_"]
+    names = {f"dim{i}_": is_number(docs, c) for i, c in enumerate(present)} or {"dim0_": True}
     codes = [code(docs, c).alias(n) for c, n in zip(present, names)] or [F.lit(0).cast("bigint").alias("dim0_")]
     base = docs.select(
         F.col(id_col).alias("id_"),
         (F.octet_length(raw) + F.lit(overhead)).cast("bigint").alias("size"),
         F.crc32(raw).alias("crc_"),
+        F.xxhash64(raw).alias("text_"),
         *codes,
         F.spark_partition_id().alias("task_"),
         F.monotonically_increasing_id().alias("row_"),
     )
+    copies = base.groupBy("text_", "crc_").agg(F.count("*").alias("copies_"), *[F.min(n).alias(f"least_{n}") for n in names]).where("copies_ > 1")
+    joined = base.join(copies, ["text_", "crc_"], "left")
     tail = F.shiftleft(F.shiftright("crc_", 32 - CRC), ID + ROW) + F.shiftleft(F.pmod(F.xxhash64("id_"), F.lit(1 << ID)), ROW) + F.pmod(F.xxhash64("row_"), F.lit(1 << ROW))
-    slim = written(base.withColumn("tail_", tail), "shard-keys")
+    keyed = joined.select("id_", "size", "crc_", "task_", "row_", *[F.coalesce(f"least_{n}", n).alias(n) for n in names], tail.alias("tail_"))
+    return written(keyed, "shard-keys"), names
+
+
+def kd_shards(
+    docs: DataFrame,
+    shards: int = 24,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    dims: tuple[str, ...] = ("lang", "source", "n_chars"),
+    overhead: int = 8,
+    fine: float = FINE,
+    target_bytes: int | None = None,
+) -> DataFrame:
+    """Shard and slot of every row; sizes are UTF-8 bytes plus `overhead`. With target_bytes there are as many shards as it takes."""
+    slim, names = shard_keys(docs, id_col, text_col, dims, overhead)
+    top = slim.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_"), *[spread(numeric, n) for n, numeric in names.items()]).first()
+    shards = max(1, -(-top["bytes_"] // target_bytes)) if target_bytes else shards
+    whole = {n: top[f"spread_{n}"] or 0 for n in names}
     root = Node(0, shards)
-    while split_level(slim, root, names, fine):
+    while split_level(slim, root, names, whole, top["bytes_"] / shards, fine):
         pass
     dealt = slim.select("id_", "size", "crc_", "task_", "row_", route(root, lambda n: F.lit(n.first)).alias("shard"))
     nth = F.row_number().over(Window.partitionBy("shard", "task_").orderBy("row_")) - 1

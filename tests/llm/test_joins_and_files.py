@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.llm import html, jaccard, licenses, packing, sharding, warc
 from loomline.llm.common import ALNUM, LOWER
@@ -39,6 +40,74 @@ def test_shard_bytes_are_near_equal(spark):
     assert len(sizes) == 24 and max(sizes) < 1.02 * min(sizes)
 
 
+def plain_tree(rows, dims, shards, target):
+    """The tree by its rules, on collected keys: sort, sum, cut between units nearest the goal. Returns row -> shard."""
+    spread = lambda part, c: (max(r[c] for r in part) - min(r[c] for r in part)) if dims[c] else len({r[c] for r in part}) - 1
+    whole = {c: spread(rows, c) for c in dims}
+    out = {}
+
+    def split(part, first, leaves):
+        if leaves == 1 or not part:
+            out.update((r["row_"], first) for r in part)
+            return
+        dim = max(dims, key=lambda c: sharding.width(dims[c], spread(part, c), whole[c]))
+        key = lambda r: (r[dim] << sharding.TAIL) + r["tail_"]
+        groups = defaultdict(list)
+        for r in part:
+            groups[key(r) >> sharding.GROUPED].append(r)
+        units = []
+        for _, g in sorted(groups.items()):
+            if sum(r["size"] for r in g) <= sharding.WHOLE * target:
+                units.append(g)
+            else:
+                single = defaultdict(list)
+                for r in g:
+                    single[key(r)].append(r)
+                units += [u for _, u in sorted(single.items())]
+        goal, run, cut = sum(r["size"] for r in part) * (leaves // 2) / leaves, 0, 0
+        for k, u in enumerate(units):
+            size = sum(r["size"] for r in u)
+            if run + size >= goal:
+                cut = k + 1 if run + size - goal <= goal - run else k
+                break
+            run += size
+        split([r for u in units[:cut] for r in u], first, leaves // 2)
+        split([r for u in units[cut:] for r in u], first + leaves // 2, leaves - leaves // 2)
+
+    split(rows, 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards", [5, 24])
+def test_shards_equal_a_plain_tree(spark, docs, shards):
+    more = docs.unionByName(docs.withColumn("lang", F.lit("fr")).withColumn("source", F.concat("source", (F.col("doc_id") % 7).cast("string"))).withColumn("doc_id", F.col("doc_id") + 1000))
+    slim, dims = sharding.shard_keys(more, "doc_id", "text", ("lang", "source", "n_chars"), 8)
+    rows = slim.collect()
+    want = Counter()
+    for r, shard in plain_tree(rows, dims, shards, sum(r["size"] for r in rows) / shards).items():
+        want[shard] += next(x["size"] for x in rows if x["row_"] == r)
+    found = Counter()
+    for r in sharding.kd_shards(more, shards, fine=0.0).collect():
+        found[r.shard] += r.size
+    assert found == want
+
+
+def test_equal_texts_share_a_shard(spark):
+    """Copies under other sources and languages lie together, but for a group that outweighs a shard."""
+    rows = [(i, f"text {i % 1500} " + "y" * (i % 1500 % 90), "ab"[i % 2], f"s{i % 11}", 10 + i % 5) for i in range(3000)] + [(9000 + i, "hot " * 20, "c", f"s{i % 3}", 80) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    shards = defaultdict(set)
+    total = Counter()
+    texts = {r[0]: r[1] for r in rows}
+    for r in sharding.kd_shards(docs).collect():
+        shards[texts[r.doc_id]].add(r.shard)
+        total[r.shard] += r.size
+    assert len(shards.pop("hot " * 20)) > 8
+    assert {len(s) for s in shards.values()} == {1}
+    assert max(total.values()) < 1.06 * min(total.values())
+    assert {r.shard for r in sharding.kd_shards(docs, target_bytes=50_000).collect()} == set(range(-(-sum(total.values()) // 50_000)))
+
+
 def plain_components(rows, k, percent):
     sets = []
     for _, t in rows:
