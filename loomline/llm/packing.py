@@ -29,7 +29,9 @@ text are read.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
@@ -47,7 +49,7 @@ END_TOKEN = 2
 #: Rows of a range while there are few ranges, and from some two thousand ranges on.
 RANGE_ROWS, RANGE_ROWS_MOST = 20_000, 2_000_000
 #: Parts whose ids a worker keeps.
-PARTS_KEPT = 400_000
+PARTS_KEPT = 150_000
 #: So many sequences are opened at once whatever half the need is: the last few need no rounds of their own.
 OPEN_LEAST = 64
 #: Fixed value: the vocabulary's pattern of parts, with white space as its tokenizer knows it.
@@ -59,11 +61,12 @@ SETTLED = regex.compile(r"[\x00-\u0220\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u0
 @lru_cache(maxsize=1)
 def encoder(vocabulary_path: str) -> Callable[[str], np.ndarray]:
     """text -> uint32 ids of the tokenizer in vocabulary_path."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(vocabulary_path)
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
-    known: dict[str, list[int]] = {}
+    known: dict[str, bytes] = {}
 
     def ids(text: str) -> np.ndarray:
         if any(s in text for s in special) or not SETTLED.fullmatch(text):
@@ -73,8 +76,8 @@ def encoder(vocabulary_path: str) -> Callable[[str], np.ndarray]:
             known.clear()
         new = list(set(parts).difference(known))
         if new:
-            known.update(zip(new, (e.ids for e in whole.encode_batch_fast(new, add_special_tokens=False))))
-        return np.array([i for p in parts for i in known[p]], np.uint32)
+            known.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, whole.encode_batch_fast(new, add_special_tokens=False)))
+        return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32)
 
     return ids
 
