@@ -90,11 +90,11 @@ def bitmap(windows: DataFrame) -> tuple[int, np.ndarray, list[int]]:
 CANDIDATES = T.ArrayType(T.StructType().add("start", "integer").add("n", "integer").add("fp", "long").add("win", "binary"))
 
 
-def candidates(docs: DataFrame, windows: DataFrame, text_col: str, span: int = SPAN) -> DataFrame:
-    """The rows of docs, written, with a number, their count of words and the windows whose fingerprints pass the bitmap."""
+def candidates(docs: DataFrame, windows: DataFrame, text_col: str, carried: list[str], span: int = SPAN) -> DataFrame:
+    """The carried columns of docs, written, with a number, the count of words and the windows whose fingerprints pass the bitmap."""
     bits, held, widths = bitmap(windows)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("fp", pa.int64()), ("win", pa.binary())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField(ROW, T.LongType()), T.StructField("__loomline_words", T.LongType()), T.StructField(FOUND, CANDIDATES)])
+    schema = T.StructType([*docs.select(*[f"`{c}`" for c in carried]).schema.fields, T.StructField(ROW, T.LongType()), T.StructField("__loomline_words", T.LongType()), T.StructField(FOUND, CANDIDATES)])
 
     def may_be(fp: np.ndarray) -> np.ndarray:
         ok = np.ones(len(fp), bool)
@@ -117,7 +117,7 @@ def candidates(docs: DataFrame, windows: DataFrame, text_col: str, span: int = S
                 found.append(rows)
             numbers = pa.array(np.arange(number, number + len(counts)))
             number += len(counts)
-            columns = [*batch.columns, numbers, pa.array(counts, pa.int64()), pa.array(found, kind)]
+            columns = [*(batch.column(batch.schema.get_field_index(c)) for c in carried), numbers, pa.array(counts, pa.int64()), pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return written(docs.mapInArrow(run, schema), "candidates")
@@ -138,7 +138,7 @@ def decontaminate(
     hit. `items` counts distinct item ids."""
     bounded_batches(docs.sparkSession)
     windows = item_windows(items, item_id, item_text)
-    found = candidates(docs.select(id_col, text_col), windows, text_col)
+    found = candidates(docs.select(id_col, text_col), windows, text_col, [id_col])
     span = F.struct(F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("n")).cast("bigint").alias("b"))
     per_row = hits(found, windows, broadcast_bytes).groupBy(ROW).agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     # Windows in order; the fold joins those that overlap or adjoin.
@@ -168,6 +168,6 @@ def clean_rows(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     """The rows of docs without any hit, all columns unchanged."""
     bounded_batches(docs.sparkSession)
     windows = item_windows(items, item_id, item_text)
-    found = candidates(docs, windows, text_col)
+    found = candidates(docs, windows, text_col, docs.columns)
     bad = hits(found, windows, broadcast_bytes).select(ROW).distinct()
     return found.join(bad, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
