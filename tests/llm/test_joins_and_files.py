@@ -139,6 +139,29 @@ def test_jaccard_components(docs, rows, shingle, percent, options):
     assert ordered(found) == ordered(plain_components(rows, shingle, percent))
 
 
+def test_links_that_no_star_shows(spark):
+    """Chains of texts near the threshold: many components share tokens, and links join them late."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for at in rng.integers(0, 60, rng.integers(0, 5)):
+            w[at] = f"x{rng.integers(0, 6)}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for shingle, percent in ((1, 92), (2, 85)):
+        found = jaccard.component_ids(docs, shingle=shingle, percent=percent, block=5).collect()
+        want = plain_components(rows, shingle, percent)
+        assert 3 < len({w[2] for w in want}) < 55
+        assert ordered(found) == ordered(want)
+
+
+def test_join_of_an_empty_table(docs):
+    assert jaccard.component_ids(docs.limit(0)).count() == 0
+    assert jaccard.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_one_of_each(docs, rows):
     kept = jaccard.one_of_each(docs, shingle=5, percent=80)
     assert kept.columns == docs.columns
