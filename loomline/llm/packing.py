@@ -18,9 +18,10 @@ Full pieces are sequences of their own. A row is a size and two numbers, so roun
 the driver sees counts by range and by size. The number of sequences is that of best-fit decreasing or some hundredths of a
 percent above.
 
-Token ids come from the tokenizer of the vocabulary file. Its pre-tokenizer cuts a text into parts that are merged one by
-one, so ids are kept by part and only parts not seen lately are encoded. Texts with characters of later Unicode versions, or
-which spell a special token, are encoded whole.
+Token ids come from the tokenizer of the vocabulary file. No token crosses the place before a single space, so a text is cut
+there and the ids of its words are kept, each with the space before it; only words not seen lately are encoded, plain ones by
+the tokenizer's model, which spares what it does around it. Texts in which that doesn't hold (a space between other white
+space, or a special token) are encoded whole.
 
 Cases: a null or empty text is one piece that holds the end token alone; a very long text is cut into pieces, one shorter than
 the capacity; equal rows are packed one by one; ties are broken by rank; an empty table gives an empty result; only the id and the
@@ -30,6 +31,7 @@ text are read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -37,7 +39,6 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,14 +49,12 @@ CAPACITY = 1024
 END_TOKEN = 2
 #: Rows of a range while there are few ranges, and from some two thousand ranges on.
 RANGE_ROWS, RANGE_ROWS_MOST = 20_000, 2_000_000
-#: Parts whose ids a worker keeps.
-PARTS_KEPT = 150_000
+#: A worker keeps the ids of so many words, and of as many that it looked up before them.
+WORDS_KEPT = 300_000
 #: So many sequences are opened at once whatever half the need is: the last few need no rounds of their own.
 OPEN_LEAST = 64
-#: Fixed value: the vocabulary's pattern of parts, with white space as its tokenizer knows it.
-PARTS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^S\p{L}\p{N}]+|[S]+(?![^S])|[S]+""".replace("S", r"\t-\r \x85\p{Zs}\p{Zl}\p{Zp}"))
-#: Characters whose class no Unicode version has changed since they were added, long ago.
-SETTLED = regex.compile(r"[\x00-\u0220\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u2000-\u2046\u20ac\u3000-\u3003\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
+#: A space among white space: there the place before it may lie inside a token. Whatever might count as white space is listed.
+UNCUT = re.compile(r"[S] (?:[S]|\Z)".replace("S", r"\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"))
 
 
 @lru_cache(maxsize=1)
@@ -66,18 +65,41 @@ def encoder(vocabulary_path: str) -> Callable[[str], np.ndarray]:
 
     whole = Tokenizer.from_file(vocabulary_path)
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
-    known: dict[str, bytes] = {}
+    merged = whole.model.tokenize
+    packed = lambda found: array("I", found).tobytes()
+    marks = {m: packed(whole.encode(m, add_special_tokens=False).ids) for m in ",.;:!?"}
+    known: dict[str, bytes] = {}  # a word, without the space before it -> ids
+    older: dict[str, bytes] = {}
+    openings: dict[str, bytes] = {}  # a text's first word -> ids
+
+    def learn(words: set[str]) -> None:
+        """The ids of words not known. Those of plain letters are one part each, a mark after them another."""
+        other = []
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+                continue
+            bare = w[:-1] if w[-1:] in marks else w
+            if not (bare.isascii() and bare.isalpha()):
+                other.append(w)
+                continue
+            found = known.get(bare) or older.get(bare) or packed([t.id for t in merged("\u0120" + bare)])
+            known[w] = found if bare is w else found + marks[w[-1]]
+        if other:
+            known.update((w, packed(e.ids)) for w, e in zip(other, whole.encode_batch_fast([" " + w for w in other], add_special_tokens=False)))
 
     def ids(text: str) -> np.ndarray:
-        if any(s in text for s in special) or not SETTLED.fullmatch(text):
+        nonlocal known, older
+        if UNCUT.search(text) or any(s in text for s in special):
             return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts = PARTS.findall(text)
-        if len(known) > PARTS_KEPT:
-            known.clear()
-        new = list(set(parts).difference(known))
-        if new:
-            known.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, whole.encode_batch_fast(new, add_special_tokens=False)))
-        return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32)
+        first, *words = text.split(" ")
+        if len(known) > WORDS_KEPT:
+            known, older = {}, known
+            openings.clear()
+        learn(set(words).difference(known))
+        if first not in openings:
+            openings[first] = packed(whole.encode(first, add_special_tokens=False).ids)
+        return np.frombuffer(openings[first] + b"".join(map(known.__getitem__, words)), np.uint32)
 
     return ids
 
@@ -244,18 +266,15 @@ def carried(rows: DataFrame, meets: list[tuple[int, int, int, int, int]], capaci
     docs = rows.where(f"what = {OPEN}").select(F.col("id").alias("doc"), F.col("size").alias("length"), "span", "rank")
     asking = docs.mapInArrow(run, "doc bigint, length bigint, span int, rank bigint")
     free = rows.where(f"what = {GAP} and rank >= 0")
-    pairs = free.join(asking, ["span", "rank"], "full")
-    none = F.lit(None).cast("bigint")
-    as_row = lambda what, size, number, seq, offset: F.struct(F.lit(what).alias("what"), size.alias("size"), number.alias("id"), seq.alias("sequence"), offset.alias("offset"))
-    size, length, number, doc = F.col("size"), F.col("length"), F.col("id"), F.col("doc")
-    gap = as_row(GAP, size - F.coalesce(length, F.lit(0)), number, none, none)
-    out = (
-        F.when(doc.isNull(), F.array(gap))
-        .when(number.isNull(), F.array(as_row(OPEN, length, doc, none, none)))
-        .otherwise(F.array(gap, as_row(PLACED, length, doc, number, F.lit(capacity) - size)))
-    )
-    moved = pairs.select(F.explode(out).alias("r")).select("r.*").where("size > 0")
-    return rows.where(f"what = {PLACED} or (what = {GAP} and rank < 0)").select(*moved.columns).unionByName(moved)
+    none, columns = F.lit(None).cast("bigint"), ["what", "size", "id", "sequence", "offset"]
+    row = lambda what, size, number, seq, offset: F.struct(*[c.alias(n) for c, n in zip((F.lit(what), size, number, seq, offset), columns)])
+    size, length = F.col("size"), F.col("length")
+    pairs = free.join(asking.where("span is not null"), ["span", "rank"], "left")
+    gap = row(GAP, size - F.coalesce(length, F.lit(0)), F.col("id"), none, none)
+    taken = row(PLACED, length, F.col("doc"), F.col("id"), F.lit(capacity) - size)
+    moved = pairs.select(F.explode(F.when(F.col("doc").isNull(), F.array(gap)).otherwise(F.array(gap, taken))).alias("r")).select("r.*").where("size > 0")
+    waiting = asking.where("span is null").select(F.lit(OPEN).alias("what"), F.col("length").alias("size"), F.col("doc").alias("id"), none.alias("sequence"), none.alias("offset"))
+    return rows.where(f"what = {PLACED} or (what = {GAP} and rank < 0)").select(*columns).unionByName(moved).unionByName(waiting)
 
 
 def opened(gaps: dict[int, int], docs: dict[int, int], capacity: int) -> int:
