@@ -2,13 +2,14 @@
 
 Records go to bundles by a hash of their id. In a bundle, runs of records form independent frames of about FRAME_BYTES; a
 skippable frame before them maps record ids to (frame, offset inside the frame, length), and the file ends with the
-seekable format's seek table, so one record is read by decompressing one frame. Of records with equal payloads that with
-the largest id is the response, the others are revisits that name it.
+seekable format's seek table, so one record is read by decompressing one frame. `write_index` gathers these maps into one
+table for the archive, sorted by id: a lookup reads that table's rows of the id and the one bundle they name. Of records with
+equal payloads that with the largest id is the response, the others are revisits that name it.
 
 Bundles are binary rows written by Spark's own text writer (one row a file; the constant end of the seek table is the line
 separator), so they reach any store Spark can write, under its commit protocol, and are read with the binaryFile source.
 
-Cases: a null payload is empty; null ids are allowed and rank below all others; of repeated rows (id and payload) the first
+Cases: a null payload is empty; a very long payload is a frame of its own; null ids are allowed and rank below all others; of repeated rows (id and payload) the first
 is the response and the rest revisit it; an empty table gives no bundle and an empty result; only the id, url and payload
 are read. Repeated rows of one id share a bundle.
 """
@@ -185,16 +186,42 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
-def lookup(spark: SparkSession, path: str, record_id: int) -> list[tuple[dict[str, str], bytes]]:
-    """One record's fields and payload: each bundle's index is read where the bundle is, one frame decompressed."""
+INDEX = "id bigint, file string, frame bigint, offset bigint, length bigint"
+
+
+def write_index(spark: SparkSession, path: str) -> None:
+    """The archive's own map of record ids to bundle, frame and place in the frame, as a Parquet table in range order of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                for fields, payload in Bundle(content.as_py()).find(record_id):
-                    yield pa.RecordBatch.from_arrays([pa.array([json.dumps(fields)]), pa.array([payload], pa.binary())], names=["fields", "payload"])
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = Bundle(content.as_py()).index
+                columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([columns[0], pa.array([file] * len(rows)), *columns[1:]], names=[c.split()[0] for c in INDEX.split(", ")])
 
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+    files.mapInArrow(run, INDEX).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/_index")
+
+
+def lookup(spark: SparkSession, path: str, ids: list[int | None]) -> list[tuple[dict[str, str], bytes]]:
+    """Fields and payloads of the records with these ids: their rows of the index, then the bundles these name, and of each
+    bundle the frames that hold them. What comes back grows with the ids asked for only."""
+    known = [i for i in ids if i is not None]
+    asked = F.col("id").isin(known) | (F.col("id").isNull() if None in ids else F.lit(False))
+    places: dict[str, list[tuple[int, int, int]]] = {}
+    for _, file, *place in spark.read.schema(INDEX).parquet(f"{path}/_index").where(asked).collect():
+        places.setdefault(file, []).append(tuple(place))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held = Bundle(content.as_py())
+                found = [held.at(*place) for place in sorted(places[file])]
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(f) for f, _ in found]), pa.array([p for _, p in found], pa.binary())], names=["fields", "payload"])
+
+    if not places:
+        return []
+    files = spark.read.format("binaryFile").load(list(places)).select("path", "content")
     return [(json.loads(r[0]), bytes(r[1])) for r in files.mapInArrow(run, "fields string, payload binary").collect()]
 
 

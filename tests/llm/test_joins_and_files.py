@@ -333,11 +333,27 @@ def test_archive_round_trip(spark, rows, tmp_path):
         ids = sorted(ids, key=lambda i: (i != last, str(i)))
         want += [(i, len(t.encode()), digest, "revisit" if k else "response", last if k else None) for k, i in enumerate(ids)]
     assert ordered(found) == ordered(want)
-    (fields, payload), *_ = warc.lookup(spark, path, 310)
+    warc.write_index(spark, path)
+    [(fields, payload)] = warc.lookup(spark, path, [310])
     assert payload.decode() == dict(rows)[310] and fields["WARC-Target-URI"] == "http://x/310%0A"
+    assert len(warc.lookup(spark, path, [301, 7, None])) == 2 + 1 + 2 and warc.lookup(spark, path, [123456]) == []
+    assert warc.read_back(spark, path).count() == len(rows)  # the index is no bundle
     assert warc.round_trip(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_files_hold_the_bundles_byte_by_byte(spark, tmp_path):
+    """The text writer with a line separator of the seek table's end must add, drop and re-encode nothing."""
+    path = str(tmp_path / "bytes")
+    payload = bytes(range(256)).decode("latin-1") + "\r\n\x00é€\n" * 50
+    warc.write(spark.createDataFrame([(k, "u", payload + str(k)) for k in range(40)], "page_id long, url string, html string"), path, bundle_bytes=4000)
+    files = [bytes(r[0]) for r in spark.read.format("binaryFile").load(path).where("length > 0").select("content").collect()]
+    assert len(files) > 3
+    for content in files:
+        held = warc.Bundle(content)
+        records = [(i, warc.record(i, "u", (payload + str(i)).encode(), None)) for i, *_ in held.index]
+        assert content == warc.bundle(records) + warc.TAIL
+
+
 def test_bundles_are_plain_zstandard():
     import zstandard
 
