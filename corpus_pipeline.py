@@ -1,4 +1,15 @@
-"""Stages from raw documents to packed training sequences; each stage's rows are written and read again."""
+"""Stages from raw documents to packed training sequences; each stage's rows are written and read again.
+
+Cases, of every stage but the last: columns beyond the id, the text and n_chars are carried whatever their names; an empty table
+gives an empty one with the same columns; repeated rows are rows of their own; a very long text is handled whole.
+
+* quality rules: null and empty texts have no words and go.
+* n-gram Jaccard join: rows without words are no copies and all stay; of a group the smallest id stays, null ids only where a
+  group has no other, and of equal ids the first row.
+* substring dedup: every copy of a repeated passage goes, so a text may become empty; null texts stay null.
+* benchmark decontamination: an item of under ten words is one window; null and empty texts and items hit nothing.
+* best-fit packing: null and empty texts are one piece, the end token.
+"""
 
 from __future__ import annotations
 
