@@ -48,15 +48,23 @@ from loomline.llm.common import bounded_batches, written
 CAPACITY = 1024
 END_TOKEN = 2
 #: Rows of a range while there are few ranges, and from some two thousand ranges on.
-RANGE_ROWS, RANGE_ROWS_MOST = 20_000, 2_000_000
+RANGE_ROWS, RANGE_ROWS_MOST = 100_000, 2_000_000
 #: A worker keeps the ids of so many words, and of as many that it looked up before them.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 500_000
 #: So many sequences are opened at once whatever half the need is: the last few need no rounds of their own.
 OPEN_LEAST = 64
 #: A space among white space: there the place before it may lie inside a token. Whatever might count as white space is listed.
 UNCUT = re.compile(r"[S] (?:[S]|\Z)".replace("S", r"\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"))
 
 
+#: How byte-level vocabularies spell bytes, printable ones as themselves, others from U+0100 on; the space so spelt.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+SPACE = ALPHABET[32]
+#: Letters up to here are letters in every Unicode version.
+LAST_LETTER = "\u024f"
+
+
 @lru_cache(maxsize=1)
 def encoder(vocabulary_path: str) -> Callable[[str], np.ndarray]:
     """text -> uint32 ids of the tokenizer in vocabulary_path."""
@@ -80,10 +88,13 @@ def encoder(vocabulary_path: str) -> Callable[[str], np.ndarray]:
                 known[w] = older[w]
                 continue
             bare = w[:-1] if w[-1:] in marks else w
-            if not (bare.isascii() and bare.isalpha()):
+            if not bare.isalpha() or max(bare) > LAST_LETTER:
                 other.append(w)
                 continue
-            found = known.get(bare) or older.get(bare) or packed([t.id for t in merged("\u0120" + bare)])
+            found = known.get(bare) or older.get(bare)
+            if not found:
+                spelt = bare if bare.isascii() else bare.encode().decode("latin-1").translate(ALPHABET)
+                found = packed([t.id for t in merged(SPACE + spelt)])
             known[w] = found if bare is w else found + marks[w[-1]]
         if other:
             known.update((w, packed(e.ids)) for w, e in zip(other, whole.encode_batch_fast([" " + w for w in other], add_special_tokens=False)))
@@ -219,7 +230,9 @@ def swept(state: DataFrame, spans: int, capacity: int) -> DataFrame:
         yield table_of(span, np.full(len(at), PLACED), size[at], number[at], sequence[at], offset[at])
 
     order = [F.desc("size"), F.asc("what"), F.xxhash64("id"), F.asc("id")]
-    return state.select("what", "size", "id").repartitionByRange(spans, *order).sortWithinPartitions(*order).mapInArrow(run, STATE)
+    state = state.select("what", "size", "id")
+    ranges = state.coalesce(1) if spans == 1 else state.repartitionByRange(spans, *order)
+    return ranges.sortWithinPartitions(*order).mapInArrow(run, STATE)
 
 
 def table_of(span: int, what: np.ndarray, size: np.ndarray, number: np.ndarray, sequence=None, offset=None, rank=None) -> pa.RecordBatch:
