@@ -11,14 +11,53 @@ from loomline.operators.components import cut_lineage
 Z95 = 1.959963984540054
 
 
-def lower_rank_frame(df: DataFrame, keys: list[str], x: str, share: float = 0.95) -> DataFrame:
-    """Per group, element floor(share (n - 1)) of the sorted non-null values, counted from 0. Equal values are counted before
-    they are ranked, so no group is gathered."""
+def counted_below(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """Per group and distinct non-null value: its `ties_`, the `below_` rows of the group with smaller values, and the group's `n_`.
+
+    Values are counted where they are, and the counts range-partitioned by group and value, so a group of any size is
+    spread over tasks; each range adds its own counts to the sum of those before it."""
     counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("ties_"))
-    w = Window.partitionBy(*keys)
-    upto = counts.withColumn("upto_", F.sum("ties_").over(w.orderBy(x))).withColumn("n_", F.sum("ties_").over(w))
-    at = F.floor(share * (F.col("n_") - 1))
-    return upto.where((F.col("upto_") > at) & (F.col("upto_") - F.col("ties_") <= at)).select(*keys, F.col(x).alias("p95"))
+    cut = cut_lineage(counts.repartitionByRange(*keys, x).withColumn("range_", F.spark_partition_id()))
+    of = Window.partitionBy(*[f"key{i}_" for i in range(len(keys))])
+    sums = cut.groupBy(F.col("range_").alias("of_"), *[F.col(k).alias(f"key{i}_") for i, k in enumerate(keys)]).agg(F.sum("ties_").alias("sum_"))
+    before = F.sum("sum_").over(of.orderBy("of_").rowsBetween(Window.unboundedPreceding, -1))  # a row a range that holds some of the group
+    starts = sums.withColumn("start_", F.coalesce(before, F.lit(0))).withColumn("n_", F.sum("sum_").over(of)).drop("sum_")
+    inside = F.sum("ties_").over(Window.partitionBy("range_", *keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
+    same = F.col("range_") == F.col("of_")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"key{i}_"))
+    joined = cut.withColumn("in_", F.coalesce(inside, F.lit(0))).join(starts, same)
+    return joined.select(*keys, x, "ties_", (F.col("in_") + F.col("start_")).alias("below_"), "n_")
+
+
+def places(df: DataFrame, keys: list[str], order: list[str], out: str = "place") -> DataFrame:
+    """(keys, order, out): each row's place, from 1, in its group's order; the order tells rows apart."""
+    found = counted_below(df.select(*keys, F.struct(*order).alias("at_")), keys, "at_")
+    return found.select(*keys, *[F.col(f"at_.{c}").alias(c) for c in order], (F.col("below_") + 1).alias(out))
+
+
+def order_statistics(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], lower: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, names): exact quantiles, name -> (column, share), nulls skipped. Between two values they are interpolated; names in
+    `lower` take the lower one, element floor(share (n - 1)) of the sorted values, counted from 0. Groups without values are left out."""
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)]))
+    ranked = counted_below(df.select(*keys, each.alias("v_")).select(*keys, F.col("v_.m").alias("m_"), F.col("v_.x").alias("x_")), [*keys, "m_"], "x_")
+    kinds, out = dict(df.dtypes), []
+    for name, (column, share) in wanted.items():
+        at = F.lit(share) * (F.col("n_") - 1)
+        here = lambda rank: F.max(F.when((F.col("m_") == columns.index(column)) & (F.col("below_") <= rank) & (rank < F.col("below_") + F.col("ties_")), F.col("x_")))  # noqa: B023, E731
+        low, high = here(F.floor(at)), here(F.ceil(at))
+        if name in lower:
+            out.append(low.cast(kinds[column]).alias(name))
+            continue
+        part = F.max(F.when(F.col("m_") == columns.index(column), at - F.floor(at)))
+        out.append(F.when(part == 0, low).otherwise((1 - part) * low + part * high).alias(name))
+    return ranked.groupBy(*keys).agg(*out)
+
+
+def lower_rank_frame(df: DataFrame, keys: list[str], x: str, share: float = 0.95) -> DataFrame:
+    """Per group, element floor(share (n - 1)) of the sorted non-null values, counted from 0."""
+    return order_statistics(df, keys, {"p95": (x, share)}, ("p95",))
 
 
 def wilson(k: Column, n: Column) -> tuple[Column, Column]:
@@ -29,25 +68,9 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     return F.greatest(middle - half, F.lit(0.0)), F.least(middle + half, F.lit(1.0))
 
 
-def running_total(df: DataFrame, x: str, amount: str, out: str) -> DataFrame:
-    """Sum of `amount` over all rows with a smaller x (distinct values), without one task that sees them all: range
-    partitions are summed, the sums accumulated, and each partition adds its own."""
-    cut = cut_lineage(df.repartitionByRange(F.col(x)).withColumn("range_", F.spark_partition_id()))
-    sums = cut.groupBy("range_").agg(F.sum(amount).alias("sum_"))
-    before = F.sum("sum_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
-    inside = F.sum(amount).over(Window.partitionBy("range_").orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select("range_", F.coalesce(before, F.lit(0)).alias("start_"))
-    return cut.withColumn("in_", F.coalesce(inside, F.lit(0))).join(starts, "range_").withColumn(out, F.col("in_") + F.col("start_")).drop("range_", "in_", "start_")
-
-
 def average_ranks(df: DataFrame, x: str, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Ranks with ties averaged, from counts per distinct value; rows join back on their value."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("ties_"))
-    if keys:
-        below = F.sum("ties_").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
-        counts = counts.withColumn("below_", F.coalesce(below, F.lit(0)))
-    else:
-        counts = running_total(counts, x, "ties_", "below_")
+    counts = counted_below(df, list(keys), x)
     return df.join(counts.select(*keys, x, (F.col("below_") + (F.col("ties_") + 1) / 2).alias(out)), [*keys, x])
 
 
@@ -68,9 +91,9 @@ def spearman(df: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> DataF
 
 def robust_z(df: DataFrame, keys: list[str], ratio: str, out: str = "z") -> DataFrame:
     """0.6745 (x - median) / MAD within each group; a MAD of 0 counts as 1e-9."""
-    middle = df.groupBy(*keys).agg(F.median(ratio).alias("median_"))
+    middle = order_statistics(df, keys, {"median_": (ratio, 0.5)})
     off = df.join(middle, keys).withColumn("off_", F.abs(F.col(ratio) - F.col("median_")))
-    spread = off.groupBy(*keys).agg(F.median("off_").alias("mad_"))
+    spread = order_statistics(off, keys, {"mad_": ("off_", 0.5)})
     z = F.lit(0.6745) * (F.col(ratio) - F.col("median_")) / F.when(F.col("mad_") == 0, F.lit(1e-9)).otherwise(F.col("mad_"))
     return off.join(spread, keys).withColumn(out, z).drop("off_", "median_", "mad_")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.stats import micro_rate, wilson
+from loomline.functions.stats import micro_rate, order_statistics, wilson
 from loomline.operators.relations import paired
 
 #: What a style's cue is and in which direction it counts.
@@ -28,7 +28,8 @@ def confusion(df: DataFrame, truth: str, found: str, classes: list) -> DataFrame
 
 def cell_summary(df: DataFrame, keys: list[str], medians: list[str], errors: str, words: str) -> DataFrame:
     """Size, medians and the micro-averaged error rate of each cell."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.median(m).alias(f"median_{m}") for m in medians], micro_rate(F.col(errors), F.col(words)).alias("wer"))
+    middle = order_statistics(df, keys, {f"median_{m}": (m, 0.5) for m in medians})
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), micro_rate(F.col(errors), F.col(words)).alias("wer")).join(middle, keys, "left")
 
 
 def paired_share(df: DataFrame, keys: list[str], style: str, base: str, value: str, run: str = "run") -> DataFrame:
@@ -40,7 +41,8 @@ def paired_share(df: DataFrame, keys: list[str], style: str, base: str, value: s
 def paired_ratio(df: DataFrame, keys: list[str], style: str, base: str, value: str, run: str = "run") -> DataFrame:
     """Per run the median and mean of value / base over pairs with a positive base."""
     both = paired(df, keys, style, base, value).where("base > 0").withColumn("ratio", F.col("value") / F.col("base"))
-    return both.groupBy(run).agg(F.count("*").alias("pairs"), F.median("ratio").alias("median_ratio"), F.avg("ratio").alias("mean_ratio"))
+    middle = order_statistics(both, [run], {"median_ratio": ("ratio", 0.5)})
+    return both.groupBy(run).agg(F.count("*").alias("pairs"), F.avg("ratio").alias("mean_ratio")).join(middle, run)
 
 
 def answers_crosstab(df: DataFrame, keys: list[str], answer: str) -> DataFrame:

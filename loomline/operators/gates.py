@@ -97,17 +97,13 @@ STYLE_MEASURES = ("noise_floor_median_dbfs", "noise_floor_p95_dbfs", "speech_lev
 
 def style_profile(clips: DataFrame, keys: tuple[str, ...] = ("speaker", "style")) -> DataFrame:
     """Medians (and the floor's lower-rank 95th percentile) per style; nulls are skipped."""
-    from loomline.functions.stats import lower_rank_frame
-
-    med = lambda c: F.round(F.median(c), 3)
-    middle = clips.groupBy(*keys).agg(
-        F.count("*").alias("clips"),
-        med("noise_floor_dbfs").alias("noise_floor_median_dbfs"),
-        *[med(c).alias(c) for c in STYLE_MEASURES[2:]],
-        F.count("voiced_fraction").alias("pitch_clips_measured"),
-    )
-    tail = lower_rank_frame(clips, list(keys), "noise_floor_dbfs").withColumn("p95", F.round("p95", 2)).withColumnRenamed("p95", "noise_floor_p95_dbfs")
-    return middle.join(tail, list(keys), "left")
+    from loomline.functions.stats import order_statistics
+
+    wanted = {"noise_floor_median_dbfs": ("noise_floor_dbfs", 0.5), "noise_floor_p95_dbfs": ("noise_floor_dbfs", 0.95), **{c: (c, 0.5) for c in STYLE_MEASURES[2:]}}
+    found = order_statistics(clips, list(keys), wanted, ("noise_floor_p95_dbfs",))
+    rounded = [F.round(m, 2 if m == "noise_floor_p95_dbfs" else 3).alias(m) for m in STYLE_MEASURES]
+    counts = clips.groupBy(*keys).agg(F.count("*").alias("clips"), F.count("voiced_fraction").alias("pitch_clips_measured"))
+    return counts.join(found.select(*keys, *rounded), list(keys), "left")
 
 
 def claim_checks(profile: DataFrame, styles: list[str], own_recording: list[str], limits: ClaimLimits = ClaimLimits()) -> DataFrame:

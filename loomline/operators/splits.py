@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.components import connected_components, cut_lineage
@@ -14,8 +16,6 @@ from loomline.operators.relations import hash_order, leaks
 SPLITS = ("train", "validation", "test")
 #: How far shares may be off, overall and per style.
 SHARE_TOLERANCE, STYLE_TOLERANCE = 0.02, 0.04
-#: A class of more groups than this is placed in so many blocks, so the fold's length doesn't follow the corpus.
-BLOCKS = 4096
 
 
 def group_examples(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
@@ -34,60 +34,38 @@ def group_examples(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     return grouped.select(id_col, F.concat(F.lit("g_"), F.coalesce("component", id_col).cast("string")).alias("group_id"))
 
 
-def place_groups(
-    examples: DataFrame, ratios: dict[str, float], seed: int, have: DataFrame | None = None, group: str = "group_id", style: str = "style", most_classes: int = 200_000
-) -> DataFrame:
+def place_groups(examples: DataFrame, ratios: dict[str, float], seed: int, have: DataFrame | None = None, group: str = "group_id", style: str = "style") -> DataFrame:
     """(group, split): whole groups, greedily to the split that lacks most of the styles they bring.
 
-    Groups alike in their counts per style are one class for the greedy rule, so the driver's fold sees classes, not groups;
-    in a class the split of each group follows from its rank. Larger groups go first, then the order of a seeded hash.
-    `have`: (split, style, n) already held."""
+    Each choice depends on all before it, so the groups, a slim row each, pass through one task in their order (larger first,
+    then a seeded hash). That task sorts on disk and holds a count per split and style; driver and task hold nothing that grows with the
+    number of groups. `have`: (split, style, n) already held."""
     counts = examples.groupBy(group, style).agg(F.count("*").alias("n"))
-    shape = F.array_sort(F.collect_list(F.struct(F.col(style).alias("style"), "n")))
-    groups = counts.groupBy(group).agg(F.sum("n").alias("size"), shape.alias("shape"))
-    groups = cut_lineage(groups.withColumn("order_", hash_order(str(seed), group)))
-    classes = groups.groupBy("size", "shape").agg(F.count("*").alias("groups")).limit(most_classes + 1).collect()
-    if len(classes) > most_classes:
-        raise ValueError(f"more than {most_classes} kinds of groups: too many for one fold")
-    held = have.groupBy("split", "style").agg(F.sum("n")).collect() if have is not None else []  # splits times styles
-    names = np.array([s for s in SPLITS if s in ratios] + sorted(set(ratios) - set(SPLITS)))
-    ordered = sorted(classes, key=lambda c: (-c["size"], str(c["shape"])))
-    styles = sorted({s["style"] for c in ordered for s in c["shape"]} | {r[1] for r in held}, key=str)
-    brings = np.zeros((len(ordered), len(styles)))
-    for k, c in enumerate(ordered):
-        for s in c["shape"]:
-            brings[k, styles.index(s["style"])] = s["n"]
-    now = np.zeros((len(names), len(styles)))
-    for split, kind, n in held:
-        now[names == split, styles.index(kind)] += n
-    share = np.array([ratios[s] for s in names])
-    total = now.sum(axis=0) + np.array([c["groups"] for c in ordered]) @ brings if ordered else now.sum(axis=0)
-    target = np.outer(share, total)
-    runs: list[list] = []  # class, first rank, last rank, split
-    for number, c in enumerate(ordered):
-        block = max(1, c["groups"] // BLOCKS)
-        for rank in range(0, c["groups"], block):
-            many = min(block, c["groups"] - rank)
-            lack = ((target - now) / np.maximum(target, 1e-9)) @ brings[number]
-            neediest = np.lexsort((np.arange(len(names)), -share, -lack))[0]
-            now[neediest] += brings[number] * many
-            to = str(names[neediest])
-            if runs and runs[-1][0] == number and runs[-1][3] == to:
-                runs[-1][2] = rank + many - 1
-            else:
-                runs.append([number, rank, rank + many - 1, to])
-    spark = examples.sparkSession
-    table = spark.createDataFrame([(i, c["size"], c["shape"]) for i, c in enumerate(ordered)], spark.createDataFrame([], "class int").schema.add("size", "long").add("shape", groups.schema["shape"].dataType))
-    placed = spark.createDataFrame(runs or [(0, 0, 0, "")], "class int, low long, high long, split string").limit(len(runs))
-    # Ranks by the seeded hash: a slice of hash values is ranked by itself and starts after the slices before it, so a class of
-    # any size is spread over tasks.
-    sliced = groups.join(table, ["size", "shape"]).withColumn("slice_", F.substring("order_", 1, 3))
-    sizes = sliced.groupBy("class", "slice_").agg(F.count("*").alias("rows_"))
-    before = F.sum("rows_").over(Window.partitionBy("class").orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("class", "slice_", F.coalesce(before, F.lit(0)).alias("start_"))
-    inside = F.row_number().over(Window.partitionBy("class", "slice_").orderBy("order_", group)) - 1
-    ranked = sliced.withColumn("inside_", inside).join(starts, ["class", "slice_"]).withColumn("rank_", F.col("inside_") + F.col("start_"))
-    return ranked.join(placed, (ranked["class"] == placed["class"]) & F.col("rank_").between(F.col("low"), F.col("high"))).select(group, "split")
+    shape = F.collect_list(F.struct(F.col(style).cast("string").alias("style"), "n"))  # a group's styles
+    groups = counts.groupBy(group).agg(F.sum("n").alias("size"), shape.alias("shape")).withColumn("order_", hash_order(str(seed), group))
+    now: dict[tuple[str, str], int] = {}
+    if have is not None:
+        now = {(r[0], r[1]): r[2] for r in have.groupBy("split", F.col("style").cast("string")).agg(F.sum("n")).collect()}  # splits times styles
+    total = Counter({r[0]: r[1] for r in examples.groupBy(F.col(style).cast("string")).count().collect()})  # a row a style
+    for (_, kind), n in now.items():
+        total[kind] += n
+    names = [s for s in SPLITS if s in ratios] + sorted(set(ratios) - set(SPLITS))
+    target = {(s, k): ratios[s] * n for s in names for k, n in total.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counter(now)
+        for batch in batches:
+            chosen = []
+            for shape in batch.column(1).to_pylist():
+                brings = sorted(((x["style"], x["n"]) for x in shape), key=str)
+                lack = {s: sum((target[s, k] - held[s, k]) / max(target[s, k], 1e-9) * n for k, n in brings) for s in names}
+                best = max(names, key=lambda s: (lack[s], ratios[s]))  # noqa: B023  the first of equals
+                held.update({(best, k): n for k, n in brings})
+                chosen.append(best)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, pa.string())], names=[group, "split"])
+
+    in_order = groups.repartition(1).sortWithinPartitions(F.desc("size"), "order_", group).select(group, "shape")
+    return in_order.mapInArrow(run, f"`{group}` {dict(groups.dtypes)[group]}, split string")
 
 
 def split_report(df: DataFrame, split: str = "split", style: str = "style") -> DataFrame:

@@ -34,7 +34,7 @@ def o5_1_inventory_summary(spark, sf_dir):
 
 @query("o5_2_medians", f"WITH {CLIPS} SELECT style, median(f0_median_hz) AS f0, median(n_chars) AS chars FROM clips GROUP BY style")
 def o5_2_medians(spark, sf_dir):
-    return clips(spark, sf_dir).groupBy("style").agg(F.median("f0_median_hz").alias("f0"), F.median("n_chars").alias("chars"))
+    return stats.order_statistics(clips(spark, sf_dir), ["style"], {"f0": ("f0_median_hz", 0.5), "chars": ("n_chars", 0.5)})
 
 
 @query("o5_3_lower_p95", "SELECT lang, n_chars AS p95 FROM (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE i = floor(0.95e0 * (n - 1))")
@@ -44,8 +44,8 @@ def o5_3_lower_p95(spark, sf_dir):
 
 @query("o5_4_linear_percentiles", "SELECT lang, round(quantile_cont(n_chars, 0.1), 6) AS p10, round(quantile_cont(n_chars, 0.9), 6) AS p90 FROM documents GROUP BY lang")
 def o5_4_linear_percentiles(spark, sf_dir):
-    p = lambda s: F.round(F.percentile("n_chars", s), 6)
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(p(0.1).alias("p10"), p(0.9).alias("p90"))
+    found = stats.order_statistics(table(spark, sf_dir, "documents").select("lang", "n_chars"), ["lang"], {"p10": ("n_chars", 0.1), "p90": ("n_chars", 0.9)})
+    return found.select("lang", F.round("p10", 6).alias("p10"), F.round("p90", 6).alias("p90"))
 
 
 PROFILE = (
@@ -249,9 +249,10 @@ def o5_22_duration_ratio(spark, sf_dir):
     return found.select("run", "pairs", F.round("median_ratio", 6).alias("median_ratio"), F.round("mean_ratio", 6).alias("mean_ratio"))
 
 
-@query("o5_23_calibration_medians", f"WITH {CLIPS} SELECT style, median(noise_floor_dbfs) AS floor_dbfs, round(median(voiced_fraction), 6) AS voiced FROM clips WHERE doc_id % 5 = 0 GROUP BY style")
+@query("o5_23_calibration_medians", f"WITH {CLIPS} SELECT style, median(noise_floor_dbfs) AS floor_dbfs, round(median(voiced_fraction), 6) AS voiced FROM clips GROUP BY style")
 def o5_23_calibration_medians(spark, sf_dir):
-    return clips(spark, sf_dir).where("doc_id % 5 = 0").groupBy("style").agg(F.median("noise_floor_dbfs").alias("floor_dbfs"), F.round(F.median("voiced_fraction"), 6).alias("voiced"))
+    found = stats.order_statistics(clips(spark, sf_dir), ["style"], {"floor_dbfs": ("noise_floor_dbfs", 0.5), "voiced": ("voiced_fraction", 0.5)})
+    return found.withColumn("voiced", F.round("voiced", 6))
 
 
 @query(

@@ -21,6 +21,20 @@ COMPONENTS = (
     "reach AS (SELECT id AS a, id AS b FROM ex UNION SELECT r.a, e.b FROM reach r JOIN links e ON e.a = r.b), comp AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a)"
 )
 KEYS = ["norm", "sha", "file"]
+#: The greedy placement, a group a step: counts per split and style are lists in the styles' order.
+PLACED = (
+    f"{COMPONENTS}, members AS (SELECT id, 'g_' || root AS group_id, style FROM comp JOIN ex USING (id)), "
+    "styles AS (SELECT style, row_number() OVER (ORDER BY style) AS k, count(*) AS n FROM members GROUP BY style), totals AS (SELECT list(n ORDER BY k) AS total, list_transform(list(n ORDER BY k), lambda x: 0e0) AS none FROM styles), "
+    "cells AS (SELECT group_id, k, count(m.style) AS n FROM (SELECT DISTINCT group_id FROM members) CROSS JOIN styles s LEFT JOIN members m USING (group_id, style) GROUP BY group_id, k), "
+    "queue AS (SELECT *, row_number() OVER (ORDER BY size DESC, md5('1234|' || group_id), group_id) AS i FROM (SELECT group_id, sum(n) AS size, list(n ORDER BY k) AS brings FROM cells GROUP BY group_id)), "
+    "fold AS (SELECT cast(0 AS bigint) AS i, '' AS group_id, '' AS split, none AS a, none AS b, none AS c FROM totals UNION ALL "
+    "SELECT i, group_id, split, CASE WHEN split = 'train' THEN list_transform(a, lambda x, j: x + brings[j]) ELSE a END, CASE WHEN split = 'validation' THEN list_transform(b, lambda x, j: x + brings[j]) ELSE b END, "
+    "CASE WHEN split = 'test' THEN list_transform(c, lambda x, j: x + brings[j]) ELSE c END FROM (SELECT *, CASE WHEN la >= lb AND la >= lc THEN 'train' WHEN lb >= lc THEN 'validation' ELSE 'test' END AS split FROM ("
+    "SELECT q.i, q.group_id, q.brings, f.a, f.b, f.c, "
+    + ", ".join(f"list_sum(list_transform(total, lambda t, j: ({r} * t - {x}[j]) / greatest({r} * t, 1e-9) * brings[j])) AS l{x}" for x, r in (("a", "0.8e0"), ("b", "0.1e0"), ("c", "0.1e0")))
+    + " FROM fold f JOIN queue q ON q.i = f.i + 1 CROSS JOIN totals))), "
+    "placed AS (SELECT group_id, split FROM fold WHERE i > 0), rows AS (SELECT * FROM members JOIN placed USING (group_id))"
+)
 
 
 def examples(spark, sf_dir):
@@ -51,25 +65,29 @@ def o10_1_edge_components(spark, sf_dir):
     return connected_components(edges)
 
 
-@query("o10_2_place_groups")
+@query("o10_2_place_groups", f"WITH RECURSIVE {PLACED} SELECT id, group_id, split FROM rows")
 def o10_2_place_groups(spark, sf_dir):
     return split_rows(spark, sf_dir).select("id", "group_id", "split")
 
 
-@query("o10_3_split_violations", "SELECT 'x' AS \"check\", 'x' AS detail WHERE false")
+@query(
+    "o10_3_split_violations",
+    f"WITH RECURSIVE {PLACED}, want(split, ratio) AS (VALUES ('train', 0.8e0), ('validation', 0.1e0), ('test', 0.1e0)), grid AS (SELECT style, s.n AS whole, split, ratio, count(r.id) AS n FROM styles s CROSS JOIN want LEFT JOIN rows r USING (style, split) GROUP BY ALL) "
+    "SELECT 'share of split' AS \"check\", split AS detail FROM want LEFT JOIN rows USING (split) GROUP BY split, ratio HAVING count(id) > 0 AND abs(count(id) / (SELECT count(*) FROM rows) - ratio) > 0.02e0 "
+    "UNION ALL SELECT 'style missing in split', split || '/' || style FROM grid WHERE n = 0 UNION ALL SELECT 'share of style', split || '/' || style FROM grid WHERE abs(n / whole - ratio) > 0.04e0 "
+    "UNION ALL SELECT 'key in two splits', k FROM (SELECT k FROM keys JOIN rows USING (id) GROUP BY k HAVING count(DISTINCT split) > 1)",
+)
 def o10_3_split_violations(spark, sf_dir):
-    rows = split_rows(spark, sf_dir)
-    found = splits.verify_splits(rows, RATIOS, [*KEYS, "group_id"])
-    return found.where("`check` not like 'share%'")
+    return splits.verify_splits(split_rows(spark, sf_dir), RATIOS, [*KEYS, "group_id"])
 
 
-@query("o10_3_balance", "SELECT s.split, true AS within FROM (VALUES ('train'), ('validation'), ('test')) s(split)")
+@query("o10_3_balance", f"WITH RECURSIVE {PLACED} SELECT split, cast(count(*) AS bigint) AS n, abs(count(*) / (SELECT count(*) FROM rows) - CASE split WHEN 'train' THEN 0.8e0 ELSE 0.1e0 END) <= 0.02e0 AS within FROM rows GROUP BY split")
 def o10_3_balance(spark, sf_dir):
     rows = split_rows(spark, sf_dir)
     wanted = F.element_at(F.create_map(*[F.lit(x) for kv in RATIOS.items() for x in kv]), F.col("split"))
     total = rows.agg(F.count("*").alias("all"))
-    shares = rows.groupBy("split").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))
-    return shares.select("split", (F.abs(F.col("n") / F.col("all") - wanted) <= splits.SHARE_TOLERANCE).alias("within"))
+    shares = rows.groupBy("split").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))  # one row
+    return shares.select("split", "n", (F.abs(F.col("n") / F.col("all") - wanted) <= splits.SHARE_TOLERANCE).alias("within"))
 
 
 BLIND = (
@@ -146,11 +164,15 @@ def o10_8_accepted_and_excluded(spark, sf_dir):
     return out.unionByName(scored.select("doc_id", F.when(F.abs("z") > 6, "outlier").otherwise("accepted").alias("reason")))
 
 
-@query("o10_9_same_assignment_twice", "SELECT cast(0 AS bigint) AS differing")
+@query("o10_9_same_assignment_twice", f"WITH RECURSIVE {PLACED} SELECT split, cast(count(*) AS bigint) AS rows, cast(0 AS bigint) AS differing FROM rows GROUP BY split")
 def o10_9_same_assignment_twice(spark, sf_dir):
-    a = split_rows(spark, sf_dir).select("id", "split")
-    b = split_rows(spark, sf_dir).repartition(7).select("id", "split")
-    return a.exceptAll(b).agg(F.count("*").alias("differing"))
+    """The assignment made again from rows in another order, per split of the first."""
+    rows = examples(spark, sf_dir)
+    rows = rows.join(splits.group_examples(rows, "id", KEYS), "id")
+    once = splits.place_groups(rows, RATIOS, 1234)
+    again = splits.place_groups(rows.repartition(7), RATIOS, 1234).withColumnRenamed("split", "again")
+    both = rows.select("id", "group_id").join(once, "group_id").join(again, "group_id", "left")
+    return both.groupBy("split").agg(F.count("*").alias("rows"), F.count_if(~F.col("split").eqNullSafe(F.col("again"))).alias("differing"))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -179,7 +201,7 @@ def o11_1_analyze_audio(spark, sf_dir):
     return m.select("doc_id", "format", "subtype", "sample_rate", "channels", "decoded_frames", "duration_s", F.round("peak", 2).alias("peak"))
 
 
-@query("o1_12_wav_header_problems", "SELECT doc_id, '16000 Hz' AS problems FROM labels")
+@query("o1_12_wav_header_problems", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '16000 Hz' WHEN doc_id % 7 = 0 THEN '16000 Hz' ELSE '16000 Hz' END AS problems FROM labels")
 def o1_12_wav_header_problems(spark, sf_dir):
     return tones(spark, sf_dir).select("doc_id", audio.header_problems(F.col("content")).alias("problems"))
 

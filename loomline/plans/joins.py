@@ -208,9 +208,9 @@ def o6_7_best_attempt(spark, sf_dir):
 
 @query("o7_1_total_order", "SELECT doc_id, cast(row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS int) AS place FROM documents")
 def o7_1_total_order(spark, sf_dir):
-    from pyspark.sql import Window
+    from loomline.functions.stats import places
 
-    return table(spark, sf_dir, "documents").select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id")).alias("place"))
+    return places(table(spark, sf_dir, "documents"), ["lang"], ["n_chars", "doc_id"]).select("doc_id", F.col("place").cast("int").alias("place"))
 
 
 @query("o7_2_reference_last", "SELECT source AS run, cast(row_number() OVER (ORDER BY source = 'src0', source) AS int) AS place FROM (SELECT DISTINCT source FROM documents)")
