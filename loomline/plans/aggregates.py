@@ -305,9 +305,12 @@ def o5_29_steps_per_epoch(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(evaluation.steps_per_epoch(F.count("*"), 4, 4).alias("steps"))
 
 
-@query("o5_30_binomial_tail", "SELECT cast(13 AS int) AS k, cast(14 AS int) AS n, 15 / 16384e0 AS p")
+@query(
+    "o5_30_binomial_tail",
+    "WITH c AS (SELECT j, factorial(14) / (factorial(j) * factorial(14 - j)) AS ways FROM (SELECT unnest(range(0, 15))::int AS j)) SELECT cast(a.j AS int) AS k, cast(14 AS int) AS n, round(cast(sum(b.ways) AS double) / 16384, 12) AS p FROM c a JOIN c b ON b.j >= a.j GROUP BY a.j",
+)
 def o5_30_binomial_tail(spark, sf_dir):
-    return spark.range(1).select(F.lit(13).alias("k"), F.lit(14).alias("n"), F.lit(stats.binomial_tail(13, 14)).alias("p"))
+    return spark.createDataFrame([(k, 14, round(stats.binomial_tail(k, 14), 12)) for k in range(15)], "k int, n int, p double")
 
 
 RANKS = (

@@ -5,10 +5,13 @@ that only audio has are fixed expressions of its id and length, the same text in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.operators.components import shared_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder for files that a query writes and reads again."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 CLIP = [
     "doc_id",
     "source AS speaker",

@@ -201,20 +201,51 @@ def o11_1_analyze_audio(spark, sf_dir):
     return m.select("doc_id", "format", "subtype", "sample_rate", "channels", "decoded_frames", "duration_s", F.round("peak", 2).alias("peak"))
 
 
-@query("o1_12_wav_header_problems", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '16000 Hz' WHEN doc_id % 7 = 0 THEN '16000 Hz' ELSE '16000 Hz' END AS problems FROM labels")
+@F.pandas_udf(T.BinaryType())
+def odd_clip(ids: pd.Series) -> pd.Series:
+    """A clip whose rate, channels, length and samples that are no numbers follow from its id; every 13th is no WAV."""
+
+    def one(i: int) -> bytes:
+        x = np.full((100 * (i % 6), 1 + i % 2), 0.25)
+        x[: i % 4] = np.nan
+        return b"no sound" if i % 13 == 0 else audio.wav_bytes(x, (48000, 44100)[i % 5 == 0], "FLOAT")
+
+    return ids.map(one)
+
+
+@query(
+    "o1_12_wav_header_problems",
+    "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'not WAV' ELSE array_to_string(list_filter([CASE WHEN doc_id % 6 = 0 THEN 'no frames' END, CASE WHEN doc_id % 5 = 0 THEN '44100 Hz' END, CASE WHEN doc_id % 2 = 1 THEN '2 channels' END], lambda x: x IS NOT NULL), '; ') END AS problems FROM labels",
+)
 def o1_12_wav_header_problems(spark, sf_dir):
-    return tones(spark, sf_dir).select("doc_id", audio.header_problems(F.col("content")).alias("problems"))
+    found = table(spark, sf_dir, "labels").select("doc_id", audio.header_problems(odd_clip("doc_id")).alias("p"))
+    return found.select("doc_id", F.when(F.col("p").startswith("not WAV"), "not WAV").otherwise(F.col("p")).alias("problems"))
 
 
-@query("o1_13_wav_decode", "SELECT doc_id, cast(8000 AS bigint) AS decoded_frames, cast(0 AS bigint) AS nonfinite_samples FROM labels")
+@query(
+    "o1_13_wav_decode",
+    "SELECT doc_id, cast(100 * (doc_id % 6) AS bigint) AS decoded_frames, cast(CASE WHEN doc_id % 6 > 0 THEN (doc_id % 4) * (1 + doc_id % 2) ELSE 0 END AS bigint) AS nonfinite_samples FROM labels WHERE doc_id % 13 <> 0",
+)
 def o1_13_wav_decode(spark, sf_dir):
-    m = tones(spark, sf_dir).select("doc_id", audio.measured(F.col("content")).alias("m"))
-    return m.select("doc_id", "m.decoded_frames", "m.nonfinite_samples")
+    m = table(spark, sf_dir, "labels").where("doc_id % 13 <> 0").select("doc_id", audio.measured(odd_clip("doc_id")).alias("m"))
+    return m.select("doc_id", F.coalesce("m.decoded_frames", F.lit(0)).alias("decoded_frames"), F.coalesce("m.nonfinite_samples", F.lit(0)).alias("nonfinite_samples"))
+
+
+@F.pandas_udf(T.BinaryType())
+def fading(ids: pd.Series) -> pd.Series:
+    """A tone of 200 Hz whose last 100 ms lie lower by 6 dB times id modulo 6."""
+
+    def one(i: int) -> bytes:
+        x = 0.4 * np.sin(2 * np.pi * 200 * np.arange(16000) / 16000)
+        x[-1600:] *= 10 ** (-6 * (i % 6) / 20)
+        return audio.wav_bytes(x, 16000, "PCM_24")
 
+    return ids.map(one)
 
-@query("o11_2_end_gap", "SELECT doc_id, true AS ends_loud FROM labels")
+
+@query("o11_2_end_gap", "SELECT doc_id, cast(6 * (doc_id % 6) AS bigint) AS gap_db FROM labels")
 def o11_2_end_gap(spark, sf_dir):
-    return tones(spark, sf_dir).select("doc_id", (F.abs(audio.end_gap_db(F.col("content"))) < 1).alias("ends_loud"))
+    return table(spark, sf_dir, "labels").select("doc_id", F.round(audio.end_gap_db(fading("doc_id"))).cast("bigint").alias("gap_db"))
 
 
 @query("o11_3_pitch_profile", "SELECT doc_id, 100 + 10 * (doc_id % 20) AS pitch_hz FROM labels")
@@ -223,16 +254,30 @@ def o11_3_pitch_profile(spark, sf_dir):
     return p.select("doc_id", (F.round(F.col("p.f0_median_hz") / 10) * 10).cast("bigint").alias("pitch_hz"))
 
 
-@query("o11_4_voicing", "SELECT doc_id, true AS mostly_voiced FROM labels")
+@F.pandas_udf(T.BinaryType())
+def half_voiced(ids: pd.Series) -> pd.Series:
+    """Two seconds, of which a fifth times id modulo 5 is hiss and the rest a tone."""
+
+    def one(i: int) -> bytes:
+        x = 0.4 * np.sin(2 * np.pi * 200 * np.arange(32000) / 16000)
+        n = 6400 * (i % 5)
+        x[:n] = 0.1 * np.random.default_rng(i).standard_normal(n)
+        return audio.wav_bytes(x, 16000, "PCM_16")
+
+    return ids.map(one)
+
+
+@query("o11_4_voicing", "SELECT doc_id, round(1 - (doc_id % 5) / 5, 1) AS voiced FROM labels")
 def o11_4_voicing(spark, sf_dir):
-    p = tones(spark, sf_dir).select("doc_id", audio.pitched(F.col("content")).alias("p"))
-    return p.select("doc_id", (F.col("p.voiced_fraction") > 0.7).alias("mostly_voiced"))
+    p = table(spark, sf_dir, "labels").select("doc_id", audio.pitched(half_voiced("doc_id")).alias("p"))
+    return p.select("doc_id", F.round("p.voiced_fraction", 1).alias("voiced"))
 
 
-@query("o11_5_resample", "SELECT doc_id, true AS length_kept, true AS level_kept FROM labels")
+@query("o11_5_resample", "SELECT doc_id, 'PCM_24' AS subtype, cast(24000 AS int) AS sample_rate, cast(12000 AS bigint) AS decoded_frames, round(10 * log10(pow(0.1e0 * (1 + doc_id % 5), 2) / 2 * 0.8e0), 1) AS rms_dbfs FROM labels")
 def o11_5_resample(spark, sf_dir):
     r = tones(spark, sf_dir).select("doc_id", audio.resampled_wav(F.col("content"), 24000).alias("r"))
-    return r.select("doc_id", (F.col("r.length_error") <= 2).alias("length_kept"), (F.col("r.level_error_db") <= 0.1).alias("level_kept"))
+    m = r.select("doc_id", audio.measured(F.col("r.wav")).alias("m"))
+    return m.select("doc_id", "m.subtype", "m.sample_rate", "m.decoded_frames", F.round("m.rms_dbfs", 1).alias("rms_dbfs"))
 
 
 class LengthScorer:

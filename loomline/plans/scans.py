@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomline.plans.base import CLIPS, clips, query, table
+from loomline.operators import relations
+from loomline.plans.base import CLIPS, clips, fresh_path, query, table
+from loomline.sinks import files as sinks
 from loomline.sources import files
+from loomline.sources.config import single_rate
 
 PATHS = [
     "doc_id",
@@ -137,13 +140,19 @@ def o9_20_checkpoint_names(spark, sf_dir):
     "SELECT doc_id, concat('{\"doc_id\":', cast(doc_id AS string), ',\"lang\":\"', lang, '\",\"source\":\"', source, '\",\"n_chars\":', cast(n_chars AS string), '}') AS line FROM documents",
 )
 def o2_2_jsonl_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.to_json(F.struct("doc_id", "lang", "source", "n_chars"), {"ignoreNullFields": "false"}).alias("line"))
+    path = fresh_path(spark, "jsonl")
+    sinks.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), path, ["doc_id"])
+    return spark.read.text(path).select(F.get_json_object("value", "$.doc_id").cast("bigint").alias("doc_id"), F.col("value").alias("line"))
 
 
-@query("o2_4_append_without_done", f"WITH {CLIPS} SELECT stem FROM clips WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("o2_4_append_without_done", f"WITH {CLIPS} SELECT stem, cast(1 AS bigint) AS times, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'first' ELSE 'second' END AS run FROM clips")
 def o2_4_append_without_done(spark, sf_dir):
-    return clips(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("stem")
+    """A run that stopped after the labelled clips, resumed over all of them: the log has each clip once."""
+    path, rows = fresh_path(spark, "log"), clips(spark, sf_dir)
+    done = rows.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    sinks.append_new(done.select("stem", F.lit("first").alias("run")), path, "stem")
+    sinks.append_new(rows.select("stem", F.lit("second").alias("run")), path, "stem")
+    return spark.read.schema("stem string, run string").json(path).groupBy("stem").agg(F.count("*").alias("times"), F.min("run").alias("run"))
 
 
 @query("o2_8_provenance", f"WITH {CLIPS} SELECT speaker, cast(count(*) AS bigint) AS files, cast(sum(octet_length(encode(text))) AS bigint) AS bytes, min(sha256(text)) AS first_sha256 FROM clips GROUP BY speaker")
@@ -152,15 +161,24 @@ def o2_8_provenance(spark, sf_dir):
     return rows.agg(F.count("*").alias("files"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes"), F.min(F.sha2(F.col("text").cast("binary"), 256)).alias("first_sha256"))
 
 
-@query(
-    "o2_10_frozen_difference",
-    "SELECT cast((SELECT count(*) FROM (SELECT doc_id FROM documents WHERE doc_id % 10 = 3 EXCEPT ALL SELECT doc_id FROM labels)) AS bigint) AS gone, "
-    "cast((SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents WHERE doc_id % 10 = 3)) AS bigint) AS came",
-)
+FROZEN = "SELECT doc_id FROM documents WHERE doc_id % 10 = 3"
+DIFFERENT = f"EXISTS ({FROZEN} EXCEPT ALL SELECT doc_id FROM labels) OR EXISTS (SELECT doc_id FROM labels EXCEPT ALL {FROZEN})"
+
+
+@query("o2_10_frozen_difference", f"SELECT 'same ids' AS rerun, false AS refused UNION ALL SELECT 'other ids', {DIFFERENT} UNION ALL SELECT 'new freeze', false")
 def o2_10_frozen_difference(spark, sf_dir):
+    """Whether a re-run with the same ids, with others, and with others and a new freeze asked for is refused."""
     old, new = table(spark, sf_dir, "documents").where("doc_id % 10 = 3").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    sides = old.exceptAll(new).select(F.lit(1).alias("gone"), F.lit(0).alias("came")).unionAll(new.exceptAll(old).select(F.lit(0), F.lit(1)))
-    return sides.agg(F.coalesce(F.sum("gone"), F.lit(0)).alias("gone"), F.coalesce(F.sum("came"), F.lit(0)).alias("came"))
+
+    def refused(*args) -> bool:
+        try:
+            relations.frozen_or_raise(*args)
+        except ValueError:
+            return True
+        return False
+
+    cases = [("same ids", refused(old, old)), ("other ids", refused(old, new)), ("new freeze", refused(old, new, True))]
+    return spark.createDataFrame(cases, "rerun string, refused boolean")
 
 
 @query(
@@ -176,18 +194,32 @@ def o9_6_history(spark, sf_dir):
     return history(log.select("at", "file"), there)
 
 
-@query("o1_11_json_document", "SELECT user_id, cast(count(*) AS bigint) AS labels, max(event_id) AS newest FROM events GROUP BY user_id")
+@query("o1_11_json_document", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
 def o1_11_json_document(spark, sf_dir):
-    """Nested documents (one a user, written as one JSON map) exploded to rows again."""
-    doc = table(spark, sf_dir, "events").groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), "event_type")))).alias("doc"))
-    rows = doc.select("user_id", F.explode(F.from_json("doc", "map<string,string>")).alias("label", "answer"))
-    return rows.groupBy("user_id").agg(F.count("*").alias("labels"), F.max(F.col("label").cast("bigint")).alias("newest"))
+    """A nested document written as one JSON text over several lines, read again and exploded to rows."""
+    path = fresh_path(spark, "document")
+    nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("nations"))
+    regions = table(spark, sf_dir, "region").join(nations, "r_regionkey").groupBy().agg(F.collect_list(F.struct("r_name", "nations")).alias("regions"))
+    regions.select(F.to_json(F.struct("regions"), {"pretty": "true"})).write.text(path)
+    doc = files.json_document(spark, path, "regions array<struct<r_name:string,nations:array<struct<n_nationkey:int,n_name:string>>>>")
+    each = doc.select(F.explode("regions").alias("r")).select("r.r_name", F.explode("r.nations").alias("n"))
+    return each.select("n.n_nationkey", "n.n_name", "r_name")
 
 
-@query("o1_15_single_rate", "SELECT lang, cast(count(DISTINCT 48000 + 0 * doc_id) AS bigint) AS rates, cast(48000 AS bigint) AS rate FROM documents GROUP BY lang")
+@query("o1_15_single_rate", "SELECT r_name, cast(16000 * (1 + r_regionkey) AS int) AS rate, true AS agreed FROM region UNION ALL SELECT 'all', NULL, count(DISTINCT r_regionkey) = 1 FROM region")
 def o1_15_single_rate(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").withColumn("rate", F.lit(48000).cast("bigint") + F.col("doc_id") * 0)
-    return rows.groupBy("lang").agg(F.countDistinct("rate").alias("rates"), F.max("rate").alias("rate"))
+    """Each region's models name one rate; all of them together don't."""
+    rated = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    named = rated.groupBy("r_name").agg(F.collect_set(16000 * (1 + F.col("n_regionkey"))).alias("rates")).collect()  # five regions
+
+    def agreed(rates: list[int]) -> tuple[int | None, bool]:
+        try:
+            return single_rate(rates), True
+        except ValueError:
+            return None, False
+
+    cases = [(r["r_name"], *agreed(r["rates"])) for r in named] + [("all", *agreed([x for r in named for x in r["rates"]]))]
+    return spark.createDataFrame(cases, "r_name string, rate int, agreed boolean")
 
 
 @query(
@@ -208,7 +240,12 @@ def o3_13_assertions(spark, sf_dir):
     return checked.agg(F.count("*").alias("rows"), F.sum(F.col("bad").cast("bigint")).alias("without_language"))
 
 
-@query("o2_3_summary_report", "SELECT lang, '| ' || lang || ' | ' || count(*) || ' | ' || max(n_chars) || ' |' AS line FROM documents GROUP BY lang")
+@query(
+    "o2_3_summary_report",
+    "WITH t AS (SELECT lang, count(*) AS n, avg(n_chars) AS mean FROM documents GROUP BY lang) SELECT cast(0 AS int) AS nth, '| lang | n | mean |' AS line UNION ALL SELECT 1, '|---|---|---|' UNION ALL "
+    "SELECT 1 + cast(row_number() OVER (ORDER BY lang) AS int), '| ' || lang || ' | ' || n || ' | ' || format('{:.1f}', mean) || ' |' FROM t",
+)
 def o2_3_summary_report(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.max("n_chars").alias("most"))
-    return rows.select("lang", F.format_string("| %s | %d | %d |", "lang", "n", "most").alias("line"))
+    rows = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean")).orderBy("lang").collect()  # a row a language
+    lines = sinks.markdown_table(["lang", "n", "mean"], rows, {"mean": ".1f"}).splitlines()
+    return spark.createDataFrame(list(enumerate(lines)), "nth int, line string")

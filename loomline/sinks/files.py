@@ -10,6 +10,7 @@ from datetime import UTC, datetime
 from hashlib import md5, sha256
 from pathlib import Path
 from typing import Any
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,7 +103,7 @@ def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "
             for n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 target = Path(folder) / n
                 target.parent.mkdir(parents=True, exist_ok=True)
-                part = target.with_name(f".{target.name}.{os.getpid()}")
+                part = target.with_name(f".{target.name}.{uuid4().hex}")
                 part.write_bytes(c)
                 part.replace(target)
                 sizes.append(len(c))
