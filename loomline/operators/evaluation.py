@@ -113,6 +113,25 @@ def similarity(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def extend_eval_set(items: DataFrame, references: DataFrame, history: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """A frozen evaluation set with more styles: the same items (item_id, refs: style -> reference id), each with the references
+    (item_id, style, ref) added, and the history (at, styles) with a row more. Raises if a style is there already, or if an item
+    would lack a reference."""
+    have = items.select(F.explode(F.map_keys("refs")).alias("style")).distinct()
+    new = references.select("style").distinct()
+    again = [r[0] for r in have.join(new, "style").collect()]  # a row a style
+    if again:
+        raise ValueError(f"the set has these styles already: {sorted(again)}")
+    added = references.groupBy("item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("style", "ref")))).alias("added"))
+    styles = new.count()
+    short = items.join(added.where(F.size("added") == styles), "item_id", "left_anti")
+    if not short.isEmpty():
+        raise ValueError(f"{short.count()} items lack a reference of a new style")
+    grown = items.join(added, "item_id").withColumn("refs", F.map_concat("refs", "added")).select(*items.columns)
+    line = new.agg(F.array_join(F.sort_array(F.collect_list("style")), ",").alias("styles")).select(F.lit(at).alias("at"), "styles")
+    return grown, history.unionByName(line)
+
+
 def best_attempt(df: DataFrame, keys: list[str]) -> DataFrame:
     """Of a clip's attempts (attempt, severity, heard) the one to keep: the lowest severity among those made, the earliest of
     equals. Trying stops after a clean attempt, or when severity 1 hears the same text twice running."""

@@ -163,3 +163,16 @@ def speaker_ranking(clips: DataFrame, styles: list[str], least_seconds: float, r
     ranked = per.withColumn("eligible", ok)
     order = Window.orderBy(F.col("eligible").desc(), F.col("least").desc(), F.col("total").desc(), "speaker")
     return ranked.withColumn("place", F.row_number().over(order)).select("place", "speaker", "eligible", "styles", "least", "total")
+
+
+def select_speaker(ranking: DataFrame, pinned: str | None = None) -> str:
+    """The best eligible speaker of a ranking, or the pinned one, who must be eligible. Raises where there is none."""
+    good = ranking.where("eligible")
+    if pinned is not None:
+        if good.where(F.col("speaker") == pinned).isEmpty():
+            raise ValueError(f"{pinned} is pinned but not eligible")
+        return pinned
+    best = good.orderBy("place").first()
+    if best is None:
+        raise ValueError("no speaker is eligible")
+    return best["speaker"]

@@ -123,6 +123,24 @@ def frozen_or_raise(old_ids: DataFrame, new_ids: DataFrame, refreeze: bool = Fal
         raise ValueError(f"the frozen test set would change: {gone.count()} ids gone, {came.count()} new")
 
 
+def rediscovered(old_ids: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """The items of the old ids. Raises unless each old id is found again, once."""
+    found = items.join(old_ids.select(key).distinct(), key, "left_semi")
+    lost = old_ids.select(key).distinct().join(items.select(key), key, "left_anti")
+    twice = found.groupBy(key).count().where("count > 1")
+    if not (lost.isEmpty() and twice.isEmpty()):
+        raise ValueError(f"{lost.count()} old ids are not found again, {twice.count()} are found more than once")
+    return found
+
+
+def fingerprint_or_raise(df: DataFrame, columns: list[str], recorded: str | None) -> str:
+    """The table's digest. Raises if another one is recorded for it."""
+    digest = fingerprint(df, columns).first()["digest"]
+    if recorded is not None and recorded != digest:
+        raise ValueError("the data are not those that were recorded: their digests differ")
+    return digest
+
+
 def missing_measures(clips: DataFrame, cache: DataFrame, measure: str) -> DataFrame:
     """Clips whose content has no cached value of a measure, one row a content."""
     have = cache.where(F.col("measure") == measure).select("sha256")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from loomline.functions.text import normalize_transcript
 from loomline.operators import audio, evaluation, gates, relations, scoring, splits
 from loomline.operators.components import connected_components
-from loomline.plans.aggregates import CLAIMS, claims
+from loomline.plans.aggregates import CLAIMS, RANKS, claims, gated
 from loomline.plans.base import norm, query, table
 
 RATIOS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -116,7 +116,7 @@ def o10_5_extension_invariants(spark, sf_dir):
 
     old = cut_lineage(split_rows(spark, sf_dir, "style <> 'es'").select("id", "style", *KEYS, "duration_s", "group_id", "split"))
     new = examples(spark, sf_dir).where("style = 'es'")
-    # A new row whose keys lie in two old splits is refused by the operator; such rows are left out here.
+    # The operator would refuse a new row whose keys lie in two old splits; the table has none.
     grown = cut_lineage(splits.extend_splits(old, new, KEYS, RATIOS, 1234))
     lost = relations.added_only(old, grown).agg(F.count("*").alias("old_changed"))
     bad = relations.leaks(grown, KEYS).agg(F.count("*").alias("leaks"))
@@ -130,14 +130,21 @@ def o10_5_extension_invariants(spark, sf_dir):
 )
 def o10_6_extended_eval_set(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.create_map(F.lit("en"), F.col("item_id") * 3).alias("refs"))
-    first = table(spark, sf_dir, "documents").where("lang = 'fr'").agg(F.min("doc_id").alias("f"))
-    grown = items.crossJoin(F.broadcast(first)).select("item_id", F.map_concat("refs", F.create_map(F.lit("fr"), F.col("f"))).alias("refs"))
+    first = table(spark, sf_dir, "documents").where("lang = 'fr'").groupBy(F.col("lang").alias("style")).agg(F.min("doc_id").alias("ref"))
+    references = items.select("item_id").crossJoin(F.broadcast(first))  # one row
+    history = spark.createDataFrame([("2024-01-01", "en")], "at string, styles string")
+    grown, _ = evaluation.extend_eval_set(items, references, history, "2024-06-01")
     return grown.select("item_id", F.array_join(F.sort_array(F.map_keys("refs")), ",").alias("styles"), F.concat_ws(",", F.col("refs")["en"].cast("string"), F.col("refs")["fr"].cast("string")).alias("refs"))
 
 
-@query("o10_7_eligible_speakers", f"{CLAIMS} SELECT speaker, cast(count(*) FILTER (WHERE c.ok = 'NOT supported') AS bigint) AS refuted FROM c WHERE c IS NOT NULL GROUP BY speaker")
+@query(
+    "o10_7_eligible_speakers",
+    f"{RANKS}, bad AS ({CLAIMS} SELECT DISTINCT speaker FROM c WHERE c.ok = 'NOT supported'), e AS (SELECT a.*, eligible AND bad.speaker IS NULL AS ok FROM a LEFT JOIN bad USING (speaker)) "
+    "SELECT cast(row_number() OVER (ORDER BY ok DESC, least DESC, total DESC, speaker) AS int) AS place, speaker, ok AS eligible FROM e",
+)
 def o10_7_eligible_speakers(spark, sf_dir):
-    return claims(spark, sf_dir).groupBy("speaker").agg(F.count_if(F.col("verdict") == "NOT supported").alias("refuted"))
+    good = gated(spark, sf_dir).where(gates.usable(F.col("issues")))
+    return gates.speaker_ranking(good, ["en", "fr"], 20.0, claims(spark, sf_dir)).select("place", "speaker", "eligible")
 
 
 ACCEPT = (

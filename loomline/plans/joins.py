@@ -65,7 +65,7 @@ def o4_8_new_by_hash(spark, sf_dir):
 
 @query("o4_9_rediscovered", f"WITH {CLIPS} SELECT stem FROM clips WHERE doc_id IN (SELECT doc_id FROM labels)")
 def o4_9_rediscovered(spark, sf_dir):
-    return clips(spark, sf_dir).join(labels(spark, sf_dir).select("doc_id"), "doc_id", "left_semi").select("stem")
+    return relations.rediscovered(labels(spark, sf_dir).select("doc_id"), clips(spark, sf_dir), "doc_id").select("stem")
 
 
 @query("o4_10_eval_absent", f"SELECT item_id FROM benchmark WHERE {norm('text')} NOT IN (SELECT {norm('text')} FROM documents)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import tempfile
 from collections.abc import Iterable
 from datetime import UTC, datetime
@@ -11,6 +12,7 @@ from hashlib import md5, sha256
 from pathlib import Path
 from typing import Any
 from uuid import uuid4
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,6 +114,31 @@ def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "
     return df.select(F.col(name), F.col(content)).mapInArrow(run, "name string, bytes bigint")
 
 
+def blinded_page(folder: str | Path, name: str, title: str, trials: list[dict[str, Any]], key: dict[str, Any], key_folder: str | Path, secrets: Iterable[str]) -> Path:
+    """An HTML page of blinded trials (label, text) and, in a folder outside the page's, the key that tells labels apart. Raises if
+    the key would lie inside the page's folder, or the page or its name would give one of the secret words away."""
+    page, keys = Path(folder) / f"{name}.html", Path(key_folder) / f"{name}.key.json"
+    if keys.resolve().is_relative_to(Path(folder).resolve()):
+        raise ValueError("the key must lie outside the page's folder")
+    rows = "".join(f"<li id={quoteattr(str(t['label']))}>{escape(str(t['text']))}</li>" for t in trials)
+    html = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><ol>{rows}</ol></body></html>\n"
+    if leaks := leaking_words(name + title, secrets):
+        raise ValueError(f"the page would give away {leaks}")
+    page.parent.mkdir(parents=True, exist_ok=True)
+    page.write_text(html, encoding="utf-8")
+    write_json(keys, key)
+    return page
+
+
+def remove_tree(path: str | Path, tries: int = 3) -> bool:
+    """Delete a folder; what vanishes or comes up meanwhile is no error. Returns whether it is gone."""
+    for _ in range(tries):
+        shutil.rmtree(path, ignore_errors=True)
+        if not Path(path).exists():
+            return True
+    return False
+
+
 def leaking_words(page: str, words: Iterable[str]) -> list[str]:
     """Run or style words that a page's name would give away."""
     low = page.lower()
