@@ -19,21 +19,30 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
-def normalize_transcript(text: Column) -> Column:
-    """Lower case, apostrophes gone, punctuation to spaces, white space squeezed. Native: compatibility characters (ligatures,
-    circled digits) stay as they are; use normalize_transcript_exact where they matter."""
+#: Characters that NFKC leaves as they are, next to any other of them, and that both engines fold and class alike.
+SETTLED = r"\x00-\x9F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u012F\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u0400-\u0482\u2013\u2014\u2018-\u201F\u20AC\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5"
+
+
+def normalize_native(text: Column) -> Column:
+    """Lower case, apostrophes gone, punctuation to spaces, white space squeezed; right for texts of settled characters."""
     plain = F.regexp_replace(F.lower(text), f"[{APOSTROPHES}]+", "")
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}\p{M}_]+", " "))
 
 
 @F.pandas_udf(T.StringType())
 def normalize_transcript_exact(text: pd.Series) -> pd.Series:
-    """The same after NFKC, by Python's own notion of a word character."""
+    """NFKC, then the same by Python's own notion of a word character."""
     folded = text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
     plain = folded.str.replace(f"[{APOSTROPHES}]", "", regex=True).str.replace(r"[^\w\s]", " ", regex=True)
     return plain.str.replace(r"\s+", " ", regex=True).str.strip()
 
 
+def normalize_transcript(text: Column) -> Column:
+    """The normal form that keys are made of: native where all characters are settled, and only the other texts go to Python."""
+    other = text.rlike(f"[^{SETTLED}]")
+    return F.when(other, normalize_transcript_exact(F.when(other, text))).otherwise(normalize_native(text))
+
+
 def strip_emphasis(text: Column) -> Column:
     """Without *emphasis* markers, white space squeezed."""
     return squeeze(F.regexp_replace(text, r"\*", ""))

@@ -25,8 +25,13 @@ def test_normalize(spark):
     rows = [(t,) for t in said]
     exact = values(spark, rows, "t string", text.normalize_transcript_exact("t"))
     assert exact == [None if t is None else plain(t) for t in said]
-    native = values(spark, rows, "t string", text.normalize_transcript(F.col("t")))
-    assert [n for n, t in zip(native, said) if t and "ﬁ" not in t] == [e for e, t in zip(exact, said) if t and "ﬁ" not in t]
+    assert values(spark, rows, "t string", text.normalize_transcript(F.col("t"))) == exact
+    rng = np.random.default_rng(5)
+    settled = [chr(c) for c in range(0x10000) if re.match(f"[{text.SETTLED}]", chr(c))]
+    assert all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in settled)
+    mixed = ["".join(rng.choice(settled, 40)) for _ in range(300)] + ["".join(chr(c) for c in rng.integers(1, 0xD7FF, 20)) for _ in range(100)]
+    rows = [(t,) for t in [*mixed, "".join(settled)]]
+    assert values(spark, rows, "t string", text.normalize_transcript(F.col("t"))) == values(spark, rows, "t string", text.normalize_transcript_exact("t"))
 
 
 def test_emphasis_and_lengths(spark):
