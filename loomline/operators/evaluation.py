@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.stats import micro_rate, order_statistics, wilson
+from loomline.operators.components import cut_lineage
 from loomline.operators.relations import paired
 
 #: What a style's cue is and in which direction it counts.
@@ -156,6 +157,10 @@ def real_time_factor(df: DataFrame, keys: list[str], audio_s: str, wall_s: str)
     return df.groupBy(*keys).agg((F.sum(audio_s) / F.sum(wall_s)).alias("rtf"))
 
 
+#: Rows of a partition, and fits that run side by side, while the classifier's strength is chosen.
+FIT_ROWS, FITS_AT_ONCE = 50_000, 8
+
+
 def style_classifier(train: DataFrame, held_out: DataFrame, vector: str, label: str, folds: int = 5, regs: tuple[float, ...] | None = None, seed: int = 0):
     """Standardised multinomial logistic regression, its regularisation chosen by stratified folds of the training rows only.
     Returns the model and the held-out rows with `probability` and `prediction`."""
@@ -169,10 +174,13 @@ def style_classifier(train: DataFrame, held_out: DataFrame, vector: str, label:
     as_rows = lambda d: d.withColumn("features_", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).withColumn("label", F.col(label).cast("double"))
     order = Window.partitionBy("label").orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(vector).cast("string"))))
     rows = as_rows(train).withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
-    lr = LogisticRegression(featuresCol="scaled_", labelCol="label", family="multinomial", standardization=False, maxIter=100)
+    # Every fit reads the rows many times: they are computed once, and few rows lie in few partitions.
+    rows = cut_lineage(rows.select("features_", "label", "fold"), "training-rows")
     n = rows.count()
+    rows = rows.coalesce(n // FIT_ROWS + 1)
+    lr = LogisticRegression(featuresCol="scaled_", labelCol="label", family="multinomial", standardization=False, maxIter=100)
     grid = ParamGridBuilder().addGrid(lr.regParam, list(regs or [1 / (10 ** (-4 + 8 * k / 9) * n) for k in range(10)])).build()
     pipe = Pipeline(stages=[StandardScaler(inputCol="features_", outputCol="scaled_", withMean=True, withStd=True), lr])
     check = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    model = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=check, foldCol="fold", numFolds=folds).fit(rows).bestModel
+    model = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=check, foldCol="fold", numFolds=folds, parallelism=FITS_AT_ONCE).fit(rows).bestModel
     return model, model.transform(as_rows(held_out))
