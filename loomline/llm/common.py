@@ -80,6 +80,16 @@ def octets(df: DataFrame, column: str) -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
+#: A list of row numbers of up to so many bytes travels to the rows; beyond it the rows are shuffled to meet it.
+LIST_BYTES = 32 << 20
+
+
+def without_rows(df: DataFrame, rows: DataFrame, list_bytes: int = LIST_BYTES) -> DataFrame:
+    """The rows of df whose number (ROW) is not among those of `rows`, a written table of distinct numbers."""
+    small = 16 * rows.count() <= list_bytes
+    return df.join(F.broadcast(rows) if small else rows, ROW, "left_anti")
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import ALNUM, ROW, WordHash, as_bytes, bounded_batches, gram_hash, sliding_min, written
+from loomline.llm.common import ALNUM, ROW, WordHash, as_bytes, bounded_batches, gram_hash, sliding_min, without_rows, written
 
 SPAN = 10
 K = 4
@@ -169,5 +169,5 @@ def clean_rows(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     bounded_batches(docs.sparkSession)
     windows = item_windows(items, item_id, item_text)
     found = candidates(docs, windows, text_col, docs.columns)
-    bad = hits(found, windows, broadcast_bytes).select(ROW).distinct()
-    return found.join(bad, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = written(hits(found, windows, broadcast_bytes).select(ROW).distinct(), "contaminated")
+    return without_rows(found, bad).select(*[F.col(f"`{c}`") for c in docs.columns])

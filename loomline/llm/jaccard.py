@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import GROUP, LOWER, ODD, ROW, WordHash, as_bytes, bounded_batches, dealt, gram_hash, mix, octets, written
+from loomline.llm.common import GROUP, LOWER, ODD, ROW, WordHash, as_bytes, bounded_batches, dealt, gram_hash, mix, octets, without_rows, written
 from loomline.operators.components import connected_components
 
 SHINGLE = 3
@@ -351,6 +351,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bounded_batches(docs.sparkSession)
     numbered = dealt(docs, text_col, group_bytes)
     found = jaccard_components(numbered, id_col, text_col, group_bytes=group_bytes, **options)
+    found = written(found.select("row", "id", "class"), "classes")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    kept = found.groupBy("class").agg(first).select(F.col("first.row").alias(ROW))
-    return numbered.join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = found.groupBy("class").agg(first).select(F.col("first.row").alias("row"))
+    copies = written(found.join(kept, "row", "left_anti").select(F.col("row").alias(ROW)), "copies")
+    return without_rows(numbered, copies).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -157,6 +157,14 @@ def test_links_that_no_star_shows(spark):
         assert ordered(found) == ordered(want)
 
 
+def test_rows_are_dropped_either_way(spark):
+    from loomline.llm.common import ROW, without_rows
+
+    df, bad = spark.range(100).select(F.col("id").alias(ROW), (F.col("id") % 7).alias("x")), spark.range(0, 100, 3).select(F.col("id").alias(ROW))
+    for list_bytes in (1 << 20, 0):
+        assert sorted(r[0] for r in without_rows(df, bad, list_bytes).collect()) == [i for i in range(100) if i % 3]
+
+
 def test_join_of_an_empty_table(docs):
     assert jaccard.component_ids(docs.limit(0)).count() == 0
     assert jaccard.one_of_each(docs.limit(0)).count() == 0
