@@ -28,11 +28,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import octets
+from loomline.llm.common import LIST_BYTES, octets, written
 from loomline.operators.components import shared_dir
 
 BUNDLE_BYTES = 8 << 20
 FRAME_BYTES = 256 << 10
+#: Records with one payload that a task may get from a shuffle by payload.
+HOT_COPIES = 4096
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: How every bundle ends: the descriptor (no checksums) and the magic number, little-endian.
@@ -140,9 +142,12 @@ def write(
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.unhex(F.sha1("payload")).alias("sha"))
-    slim = rows.where(F.octet_length("payload") >= least).select("id", "sha")
-    same = slim.groupBy("sha").agg(F.max("id").alias("target"), F.count("*").alias("copies")).where("copies > 1")
-    again = slim.join(same, "sha").where("target is null or id is null or id <= target")
+    slim = written(rows.where(F.octet_length("payload") >= least).select("id", "sha"), "payload-digests")
+    same = written(slim.groupBy("sha").agg(F.max("id").alias("target"), F.count("*").alias("copies")).where("copies > 1"), "shared-payloads")
+    # The few payloads with very many copies travel to their records, if they are few, so that no task gets all of those.
+    hot = same.where(F.col("copies") > HOT_COPIES)
+    side = F.broadcast(hot) if 64 * hot.count() <= LIST_BYTES else hot
+    again = slim.join(side, "sha").unionByName(slim.join(same.where(F.col("copies") <= HOT_COPIES), "sha")).where("target is null or id is null or id <= target")
     again = again.select(F.col("id").alias("of"), F.col("sha").alias("by"), "target", home(F.col("id"), F.col("sha"), n).alias("home")).distinct()
 
     def run(records: pa.Table, revisits: pa.Table) -> pa.Table:

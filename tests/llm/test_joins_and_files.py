@@ -327,7 +327,9 @@ def test_ids_by_part_equal_the_tokenizer():
         assert ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
-def test_archive_round_trip(spark, rows, tmp_path):
+@pytest.mark.parametrize("hot", [warc.HOT_COPIES, 2])
+def test_archive_round_trip(spark, rows, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT_COPIES", hot)
     pages = spark.createDataFrame([(i, f"http://x/{i}\n", t, 1) for i, t in rows], "page_id long, url string, html string, record_type int")
     path = str(tmp_path / "warc")
     found = warc.round_trip(pages, path).collect()
