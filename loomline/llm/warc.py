@@ -33,6 +33,7 @@ from loomline.operators.components import shared_dir
 
 BUNDLE_BYTES = 8 << 20
 FRAME_BYTES = 256 << 10
+BUNDLES_A_TASK = 8
 #: Records with one payload that a task may get from a shuffle by payload.
 HOT_COPIES = 4096
 #: Fixed values of the Zstandard seekable format.
@@ -163,8 +164,10 @@ def write(
             out.append((i, record(i, url, payload, refers)))
         return pa.table({"content": pa.array([bundle(out)] if out else [], pa.binary())})
 
-    dealt = rows.withColumn("bundle", home(F.col("id"), F.col("sha"), n))
-    made = dealt.groupBy("bundle").cogroup(again.groupBy("home")).applyInArrow(run, "content binary")
+    # A task gets about BUNDLES_A_TASK bundles however large the archive is.
+    tasks = n // BUNDLES_A_TASK + 1
+    dealt = rows.withColumn("bundle", home(F.col("id"), F.col("sha"), n)).repartition(tasks, "bundle")
+    made = dealt.groupBy("bundle").cogroup(again.repartition(tasks, "home").groupBy("home")).applyInArrow(run, "content binary")
     made.select(F.col("content").cast("string")).write.option("lineSep", TAIL.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
