@@ -143,32 +143,79 @@ def resampled(x: np.ndarray, rate: int, to: int, half: int = 32) -> np.ndarray:
     return out
 
 
+#: Fixed values of probabilistic YIN: thresholds and how likely each is (a beta(2, 18) density), what a frame without a trough
+#: below them is worth, bins a semitone, octaves a second that a voice may move, chance that voicing changes, silence.
+THRESHOLDS = np.arange(1, 101) / 100
+PRIOR = THRESHOLDS * (1 - THRESHOLDS) ** 17 / np.sum(THRESHOLDS * (1 - THRESHOLDS) ** 17)
+NO_TROUGH, BINS, MOST_OCTAVES_S, SWITCH, SILENT = 0.01, 5, 35.92, 0.01, 1e-4
+
+
+def difference(s: np.ndarray, lags: int) -> np.ndarray:
+    """The cumulative-mean-normalised difference of a frame and itself `lags` later at most."""
+    w = s[:PITCH_FRAME]
+    energy = np.concatenate([[0.0], np.cumsum(s**2)])
+    at = np.arange(lags + 1)
+    d = energy[PITCH_FRAME] + (energy[at + PITCH_FRAME] - energy[at]) - 2 * np.correlate(s, w, "valid")[: lags + 1]
+    mean = np.cumsum(d[1:]) / np.arange(1, lags + 1)
+    return np.concatenate([[1.0], d[1:] / np.maximum(mean, 1e-12)])
+
+
+def pitch_candidates(norm: np.ndarray, rate: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """A frame's candidate frequencies and their probabilities: each threshold gives its share to the first trough below it."""
+    t = np.arange(low, high)
+    t = t[(norm[t] <= norm[t - 1]) & (norm[t] < norm[t + 1])]
+    if not len(t):
+        return np.empty(0), np.empty(0)
+    below = norm[t] < THRESHOLDS[:, None]
+    found = below.any(axis=1)
+    share = np.bincount(below.argmax(axis=1)[found], PRIOR[found], minlength=len(t))
+    share[norm[t].argmin()] += NO_TROUGH * PRIOR[~found].sum()
+    a, b, c = norm[t - 1], norm[t], norm[t + 1]
+    bend = a - 2 * b + c
+    return rate / (t + np.where(bend > 1e-12, 0.5 * (a - c) / np.maximum(bend, 1e-12), 0.0)), share
+
+
 def pitch_track(x: np.ndarray, rate: int = PITCH_RATE) -> np.ndarray:
-    """Fundamental frequency per frame, NaN where unvoiced: the normalised difference function of YIN with its absolute
-    threshold and parabolic refinement."""
+    """Fundamental frequency per frame, NaN where unvoiced: probabilistic YIN, the likeliest path through pitch and voicing."""
     low, high = int(rate / PITCH_HIGH), int(rate / PITCH_LOW) + 1
-    frames = max(0, (len(x) - PITCH_FRAME - high) // PITCH_HOP + 1)
+    frames = max(0, (len(x) - PITCH_FRAME - high - 1) // PITCH_HOP + 1)
     out = np.full(frames, np.nan)
+    if not frames:
+        return out
+    n = int(round(12 * math.log2(PITCH_HIGH / PITCH_LOW) * BINS)) + 1
+    to_bin = lambda f: np.clip(np.round(12 * BINS * np.log2(f / PITCH_LOW)), 0, n - 1).astype(int)
+    reach = max(1, int(MOST_OCTAVES_S * 12 * BINS * PITCH_HOP / rate))
+    step = np.concatenate([np.arange(1, reach + 2), np.arange(reach, 0, -1)]).astype(float)
+    step = np.log(step / step.sum())
+    stay, change = math.log(1 - SWITCH), math.log(SWITCH)
+    candidates, moves = [], np.empty((frames, 2, n), np.int32)
+    score = np.full((2, n), -math.log(2 * n))  # voiced, unvoiced
     for k in range(frames):
-        s = x[k * PITCH_HOP : k * PITCH_HOP + PITCH_FRAME + high]
-        w = s[:PITCH_FRAME]
-        if np.sqrt(np.mean(w**2)) < 1e-4:
-            continue
-        energy = np.concatenate([[0.0], np.cumsum(s**2)])
-        lags = np.arange(high + 1)
-        cross = np.correlate(s, w, "valid")[: high + 1]
-        d = energy[PITCH_FRAME] + (energy[lags + PITCH_FRAME] - energy[lags]) - 2 * cross
-        mean = np.cumsum(d[1:]) / np.arange(1, high + 1)
-        norm = np.concatenate([[1.0], d[1:] / np.maximum(mean, 1e-12)])
-        good = np.flatnonzero(norm[low:high] < 0.15)
-        if not len(good):
-            continue
-        t = low + good[0]
-        while t + 1 < high and norm[t + 1] < norm[t]:
-            t += 1
-        a, b, c = norm[t - 1], norm[t], norm[min(t + 1, high)]
-        shift = 0.5 * (a - c) / (a - 2 * b + c) if a - 2 * b + c > 1e-12 else 0.0
-        out[k] = rate / (t + shift)
+        s = x[k * PITCH_HOP : k * PITCH_HOP + PITCH_FRAME + high + 1]
+        if np.sqrt(np.mean(s[:PITCH_FRAME] ** 2)) < SILENT:
+            freq, share = np.empty(0), np.empty(0)
+        else:
+            freq, share = pitch_candidates(difference(s, high + 1), rate, low, high)
+        candidates.append(freq)
+        seen = np.zeros((2, n))
+        np.add.at(seen[0], to_bin(freq), share)
+        seen[1] = max(0.0, 1 - share.sum()) / n
+        came = np.stack([score + np.array([[stay], [change]]), score + np.array([[change], [stay]])])  # to voiced, to unvoiced
+        voicing = came.argmax(axis=1)
+        padded = np.pad(came.max(axis=1), ((0, 0), (reach, reach)), constant_values=-np.inf)
+        paths = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1, axis=1) + step
+        offset = paths.argmax(axis=2)
+        from_bin = np.clip(np.arange(n) + offset - reach, 0, n - 1)
+        moves[k] = np.take_along_axis(voicing, from_bin, 1) * n + from_bin
+        score = np.take_along_axis(paths, offset[:, :, None], 2)[:, :, 0] + np.log(np.maximum(seen, 1e-12))
+    state = int(score.argmax())
+    for k in range(frames - 1, -1, -1):
+        voiced, at = state < n, state % n
+        if voiced:
+            near = candidates[k][np.abs(to_bin(candidates[k]) - at) <= 1] if len(candidates[k]) else candidates[k]
+            middle = PITCH_LOW * 2 ** (at / (12 * BINS))
+            out[k] = near[np.abs(np.log(near / middle)).argmin()] if len(near) else middle
+        state = int(moves[k, 0 if voiced else 1, at])
     return out
 
 
