@@ -76,28 +76,26 @@ def encoder(vocabulary_path: str) -> Callable[[str], np.ndarray]:
     merged = whole.model.tokenize
     packed = lambda found: array("I", found).tobytes()
     marks = {m: packed(whole.encode(m, add_special_tokens=False).ids) for m in ",.;:!?"}
-    known: dict[str, bytes] = {}  # a word, without the space before it -> ids
-    older: dict[str, bytes] = {}
     openings: dict[str, bytes] = {}  # a text's first word -> ids
 
-    def learn(words: set[str]) -> None:
-        """The ids of words not known. Those of plain letters are one part each, a mark after them another."""
-        other = []
-        for w in words:
-            if w in older:
-                known[w] = older[w]
-                continue
-            bare = w[:-1] if w[-1:] in marks else w
-            if not bare.isalpha() or max(bare) > LAST_LETTER:
-                other.append(w)
-                continue
-            found = known.get(bare) or older.get(bare)
-            if not found:
-                spelt = bare if bare.isascii() else bare.encode().decode("latin-1").translate(ALPHABET)
-                found = packed([t.id for t in merged(SPACE + spelt)])
-            known[w] = found if bare is w else found + marks[w[-1]]
-        if other:
-            known.update((w, packed(e.ids)) for w, e in zip(other, whole.encode_batch_fast([" " + w for w in other], add_special_tokens=False)))
+    class Words(dict):
+        """A word, without the space before it -> ids; words asked for the first time are encoded, or found among older ones."""
+
+        def __missing__(self, word: str) -> bytes:
+            found = self[word] = older.get(word) or encoded(word)
+            return found
+
+    known, older = Words(), Words()
+
+    def encoded(word: str) -> bytes:
+        """Words of plain letters are one part, a mark after them another."""
+        bare = word[:-1] if word[-1:] in marks else word
+        if not bare.isalpha() or max(bare) > LAST_LETTER:
+            return packed(whole.encode(" " + word, add_special_tokens=False).ids)
+        if bare is not word:
+            return known[bare] + marks[word[-1]]
+        spelt = bare if bare.isascii() else bare.encode().decode("latin-1").translate(ALPHABET)
+        return packed([t.id for t in merged(SPACE + spelt)])
 
     def ids(text: str) -> np.ndarray:
         nonlocal known, older
@@ -105,9 +103,8 @@ def encoder(vocabulary_path: str) -> Callable[[str], np.ndarray]:
             return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
         first, *words = text.split(" ")
         if len(known) > WORDS_KEPT:
-            known, older = {}, known
+            known, older = Words(), known
             openings.clear()
-        learn(set(words).difference(known))
         if first not in openings:
             openings[first] = packed(whole.encode(first, add_special_tokens=False).ids)
         return np.frombuffer(openings[first] + b"".join(map(known.__getitem__, words)), np.uint32)
