@@ -208,6 +208,20 @@ def test_pitch(hz):
     assert p["f0_median_hz"] == pytest.approx(hz, rel=0.01) and p["f0_range_st"] < 0.1 and p["voiced_fraction"] > 0.9
 
 
+def test_gliding_pitch_is_followed():
+    """A tone that rises by an octave, with a stronger second harmonic and a pause: no octave errors, and the pause is unvoiced."""
+    t = np.arange(24000) / 16000
+    hz = 120 * 2 ** (t / 1.5)
+    phase = 2 * np.pi * np.cumsum(hz) / 16000
+    x = 0.1 * np.sin(phase) + 0.2 * np.sin(2 * phase)
+    x[9600:12800] = 0
+    f0 = audio.pitch_track(x)
+    middle = (np.arange(len(f0)) * 256 + 512) / 16000
+    want, voiced = 120 * 2 ** (middle / 1.5), np.isfinite(f0)
+    assert np.mean(np.abs(f0[voiced] / want[voiced] - 1) < 0.04) > 0.95
+    assert not voiced[(middle > 0.66) & (middle < 0.74)].any() and voiced[(middle < 0.55) | (middle > 0.9)].mean() > 0.95
+
+
 def test_noise_has_no_pitch():
     noise = 0.3 * np.random.default_rng(0).normal(size=16000)
     p = audio.pitch_profile(audio.wav_bytes(noise, 16000))
