@@ -91,6 +91,19 @@ def test_first_copy_stays(spark):
     assert bytes(found[1]) == text.encode() and bytes(found[2]) == b"a  b"
 
 
+@pytest.mark.parametrize("sizes", [{}, {"group_bytes": 3000, "hot": 2}])
+def test_first_copies_stay_in_every_row(spark, rows, sizes):
+    """keep_first against the plain version: of each window the first place in row order stays, hot or not."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for found, width, units in (
+        (substrings.word_repeats(docs, keep_first=True, **sizes), 35, lambda t: (t or "").encode().split()),
+        (suffixes.byte_repeats(docs, **sizes), 200, lambda t: (t or "").encode()),
+    ):
+        seqs, gone = plain_repeats(rows, width, units, keep_first=True)
+        want = [(i, len(u), len(g)) for (i, _), u, g in zip(rows, seqs, gone)]
+        assert ordered(tuple(r)[:3] for r in found.collect()) == ordered(want) and sum(w[2] for w in want) > 300
+
+
 def test_removed_words_leave_other_columns(docs, rows):
     found = substrings.remove_words(docs)
     assert found.columns == docs.columns and found.count() == len(rows)
