@@ -39,8 +39,8 @@ def normalize_transcript_exact(text: pd.Series) -> pd.Series:
 
 def normalize_transcript(text: Column) -> Column:
     """The normal form that keys are made of: native where all characters are settled, and only the other texts go to Python."""
-    other = text.rlike(f"[^{SETTLED}]")
-    return F.when(other, normalize_transcript_exact(F.when(other, text))).otherwise(normalize_native(text))
+    other = text.rlike(rf"(?![\x00-\x7F])[^{SETTLED}]")  # most characters fail at the first, cheap test
+    return F.coalesce(normalize_transcript_exact(F.when(other, text)), normalize_native(text))
 
 
 def strip_emphasis(text: Column) -> Column:
