@@ -50,7 +50,7 @@ END_TOKEN = 2
 #: Rows of a range while there are few ranges, and from some two thousand ranges on.
 RANGE_ROWS, RANGE_ROWS_MOST = 100_000, 2_000_000
 #: A worker keeps the ids of so many words, and of as many that it looked up before them.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 800_000
 #: So many sequences are opened at once whatever half the need is: the last few need no rounds of their own.
 OPEN_LEAST = 64
 #: A space among white space: there the place before it may lie inside a token. Whatever might count as white space is listed.
@@ -90,12 +90,12 @@ def encoder(vocabulary_path: str) -> Callable[[str], np.ndarray]:
     def encoded(word: str) -> bytes:
         """Words of plain letters are one part, a mark after them another."""
         bare = word[:-1] if word[-1:] in marks else word
-        if not bare.isalpha() or max(bare) > LAST_LETTER:
-            return packed(whole.encode(" " + word, add_special_tokens=False).ids)
-        if bare is not word:
-            return known[bare] + marks[word[-1]]
-        spelt = bare if bare.isascii() else bare.encode().decode("latin-1").translate(ALPHABET)
-        return packed([t.id for t in merged(SPACE + spelt)])
+        if bare.isalpha() and (bare.isascii() or max(bare) <= LAST_LETTER):
+            if bare is not word:
+                return known[bare] + marks[word[-1]]
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(ALPHABET)
+            return array("I", [t.id for t in merged(SPACE + spelt)]).tobytes()
+        return packed(whole.encode(" " + word, add_special_tokens=False).ids)
 
     def ids(text: str) -> np.ndarray:
         nonlocal known, older
