@@ -18,10 +18,11 @@ Full pieces are sequences of their own. A row is a size and two numbers, so roun
 the driver sees counts by range and by size. The number of sequences is that of best-fit decreasing or some hundredths of a
 percent above.
 
-Token ids come from the tokenizer of the vocabulary file. No token crosses the place before a single space, so a text is cut
-there and the ids of its words are kept, each with the space before it; only words not seen lately are encoded, plain ones by
-the tokenizer's model, which spares what it does around it. Texts in which that doesn't hold (a space between other white
-space, or a special token) are encoded whole.
+Token ids are those of the tokenizer of the vocabulary file. No token crosses the place before a single space, so a text is cut
+there and the ids of its words are kept, each with the space before it; only words not seen lately are encoded. Plain words, one
+part each, are merged by a piece encoder over that tokenizer's vocabulary, a third of the cost; every CHECKED-th of them goes through the
+tokenizer's model as well, and a difference is an error. Texts in which words can't be taken by themselves (a space between
+other white space, or a special token) are encoded whole.
 
 Cases: a null or empty text is one piece that holds the end token alone; a very long text is cut into pieces, one shorter than
 the capacity; equal rows are packed one by one; ties are broken by rank; an empty table gives an empty result; only the id and the
@@ -30,6 +31,7 @@ text are read.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -49,8 +51,10 @@ CAPACITY = 1024
 END_TOKEN = 2
 #: Rows of a range while there are few ranges, and from some two thousand ranges on.
 RANGE_ROWS, RANGE_ROWS_MOST = 100_000, 2_000_000
+#: Of so many plain words encoded one is encoded by the tokenizer too.
+CHECKED = 64
 #: A worker keeps the ids of so many words, and of as many that it looked up before them.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 500_000
 #: So many sequences are opened at once whatever half the need is: the last few need no rounds of their own.
 OPEN_LEAST = 64
 #: A space among white space: there the place before it may lie inside a token. Whatever might count as white space is listed.
@@ -69,12 +73,18 @@ LAST_LETTER = "\u024f"
 def encoder(vocabulary_path: str) -> Callable[[str], np.ndarray]:
     """text -> uint32 ids of the tokenizer in vocabulary_path."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
+    import tiktoken
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(vocabulary_path)
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
-    merged = whole.model.tokenize
+    octet = {chr(b): b for b in _PRINTED} | {c: b for b, c in ALPHABET.items()}
+    ranks = {bytes(octet[c] for c in token): i for token, i in whole.get_vocab().items() if token not in special}
+    pieces = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    one_piece, merged = pieces.encode_ordinary, whole.model.tokenize
     packed = lambda found: array("I", found).tobytes()
+    plain = itertools.count()
+
     marks = {m: packed(whole.encode(m, add_special_tokens=False).ids) for m in ",.;:!?"}
     openings: dict[str, bytes] = {}  # a text's first word -> ids
 
@@ -93,8 +103,10 @@ def encoder(vocabulary_path: str) -> Callable[[str], np.ndarray]:
         if bare.isalpha() and (bare.isascii() or max(bare) <= LAST_LETTER):
             if bare is not word:
                 return known[bare] + marks[word[-1]]
-            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(ALPHABET)
-            return array("I", [t.id for t in merged(SPACE + spelt)]).tobytes()
+            found = one_piece(" " + word)
+            if next(plain) % CHECKED == 0 and found != [t.id for t in merged(SPACE + word.encode().decode("latin-1").translate(ALPHABET))]:
+                raise ValueError(f"the vocabulary's pieces and its tokenizer differ on {word!r}")
+            return packed(found)
         return packed(whole.encode(" " + word, add_special_tokens=False).ids)
 
     def ids(text: str) -> np.ndarray:
