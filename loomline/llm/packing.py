@@ -81,7 +81,7 @@ def encoder(vocabulary_path: str) -> Callable[[str], np.ndarray]:
     octet = {chr(b): b for b in _PRINTED} | {c: b for b, c in ALPHABET.items()}
     ranks = {bytes(octet[c] for c in token): i for token, i in whole.get_vocab().items() if token not in special}
     pieces = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    one_piece, merged = pieces.encode_ordinary, whole.model.tokenize
+    one_piece, merged = pieces._core_bpe.encode_single_piece, whole.model.tokenize  # without the search for parts
     packed = lambda found: array("I", found).tobytes()
     plain = itertools.count()
 
@@ -103,7 +103,7 @@ def encoder(vocabulary_path: str) -> Callable[[str], np.ndarray]:
         if bare.isalpha() and (bare.isascii() or max(bare) <= LAST_LETTER):
             if bare is not word:
                 return known[bare] + marks[word[-1]]
-            found = one_piece(" " + word)
+            found = one_piece(b" " + word.encode())
             if next(plain) % CHECKED == 0 and found != [t.id for t in merged(SPACE + word.encode().decode("latin-1").translate(ALPHABET))]:
                 raise ValueError(f"the vocabulary's pieces and its tokenizer differ on {word!r}")
             return packed(found)
