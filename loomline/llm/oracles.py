@@ -1,6 +1,6 @@
 """The same results in DuckDB's SQL, for the operators that SQL can express over whole tables.
 
-op2 (a tree of splits) and op9 (a tokenizer) have none; tests/llm compare them with plain versions instead. op6 has one for
+op2 (a tree of splits), op9 (a tokenizer) and op11 (eigenvectors) have none; tests/llm compare them with plain versions instead. op6 has one for
 pages such as the table's, whose main text is what <article> holds; tests/llm have others."""
 
 from __future__ import annotations
@@ -122,6 +122,35 @@ SELECT doc_id, len(w) AS n_words, len(places) AS n_base, list_min(places) - 1 AS
   array_to_string(list_sort(list_distinct(list_concat(base, coalesce(names, [])))), ',') AS labels, coalesce(score, 0e0) AS score FROM b LEFT JOIN f USING (r)
 """
 
+#: The checksum's table by its rule, then a feature's bytes one at a time, for all features at once.
+OP12 = f"""
+WITH RECURSIVE e(k, i, c) AS (SELECT k, 0, k FROM range(256) t(k) UNION ALL SELECT k, i + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM e WHERE i < 8),
+tab AS (SELECT k, c AS v FROM e WHERE i = 8), byte AS (SELECT upper(printf('%02x', k)) AS x, k FROM tab),
+d AS (SELECT row_number() OVER () AS r, doc_id, {plain_words('text')} AS w FROM documents), b AS (SELECT {plain_words('text')} AS w FROM benchmark),
+g AS (SELECT r, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT * FROM d UNION ALL SELECT NULL, NULL, w FROM b)), range(1, 4) t(n) WHERE i + n - 1 <= len(w)),
+f AS (SELECT DISTINCT g, hex(encode(g)) AS h FROM g),
+crc(g, h, i, c) AS (SELECT g, h, 0, 4294967295 FROM f UNION ALL
+  SELECT g, h, i + 1, xor(crc.c >> 8, tab.v) FROM crc JOIN byte ON byte.x = substr(h, 2 * i + 1, 2) JOIN tab ON tab.k = xor(crc.c & 255, byte.k) WHERE 2 * i < length(h)),
+u AS (SELECT g, xor(c, 4294967295) % 10000 AS k FROM crc WHERE 2 * i = length(h)),
+n AS (SELECT k, count(r) AS s, count(*) - count(r) AS t FROM g JOIN u USING (g) GROUP BY k),
+z AS (SELECT sum(s) AS s, sum(t) AS t FROM n),
+gain AS (SELECT k, floor(1000e0 * ln((n.t + 1)::DOUBLE * (z.s + 10000)::DOUBLE / ((n.s + 1)::DOUBLE * (z.t + 10000)::DOUBLE)))::BIGINT AS v FROM n, z),
+m AS (SELECT r, count(*) AS n, sum(v)::BIGINT AS v FROM g JOIN u USING (g) JOIN gain USING (k) WHERE r IS NOT NULL GROUP BY r),
+a AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(v, 0) AS weight, ('0x' || substr(sha256('42:' || coalesce(doc_id::STRING, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (r)),
+p AS (SELECT *, weight + floor(-1000e0 * ln(-ln((h + 0.5e0) / 4294967296e0)))::BIGINT AS score FROM a),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM p WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank, n_words FROM p LEFT JOIN o USING (r)
+"""
+
+OP13 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r),
+t AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM t WHERE rank <= 10
+"""
+
 ORACLES = {
     "op1_quality_rules": OP1,
     "op3_substring_dedup": OP3,
@@ -131,4 +160,6 @@ ORACLES = {
     "op7_ngram_jaccard_join": OP7,
     "op8_warc_bundles": OP8,
     "op10_license_scan": OP10,
+    "op12_importance_resampling": OP12,
+    "op13_pivot_top_k": OP13,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import decontam, html, jaccard, licenses, oracles, packing, quality, sharding, substrings, suffixes, warc
+from loomline.llm import decontam, html, importance, jaccard, licenses, oracles, packing, pivots, quality, sharding, substrings, suffixes, warc, whitening
 from loomline.llm.common import read
 
 
@@ -52,6 +52,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -64,6 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_bundles": op8_warc_bundles,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_license_scan": op10_license_scan,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_pivot_top_k": op13_pivot_top_k,
     }
 
 
