@@ -9,9 +9,10 @@ from pyspark.sql import types as T
 
 from loomline.functions.text import normalize_transcript
 from loomline.operators import audio, evaluation, gates, relations, scoring, splits
-from loomline.operators.components import connected_components
+from loomline.operators.components import connected_components, cut_lineage
+from loomline.operators.incremental import GroupStore
 from loomline.plans.aggregates import CLAIMS, RANKS, claims, gated
-from loomline.plans.base import norm, query, table
+from loomline.plans.base import fresh_path, norm, query, table
 
 RATIOS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 EXAMPLES = f"ex AS (SELECT doc_id AS id, lang AS style, {norm('text')} AS norm, sha256(text) AS sha, CASE WHEN doc_id % 10 = 0 THEN 's' || (doc_id // 40) ELSE 'f' || doc_id END AS file FROM documents)"
@@ -21,20 +22,30 @@ COMPONENTS = (
     "reach AS (SELECT id AS a, id AS b FROM ex UNION SELECT r.a, e.b FROM reach r JOIN links e ON e.a = r.b), comp AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a)"
 )
 KEYS = ["norm", "sha", "file"]
-#: The greedy placement, a group a step: counts per split and style are lists in the styles' order.
-PLACED = (
-    f"{COMPONENTS}, members AS (SELECT id, 'g_' || root AS group_id, style FROM comp JOIN ex USING (id)), "
-    "styles AS (SELECT style, row_number() OVER (ORDER BY style) AS k, count(*) AS n FROM members GROUP BY style), totals AS (SELECT list(n ORDER BY k) AS total, list_transform(list(n ORDER BY k), lambda x: 0e0) AS none FROM styles), "
-    "cells AS (SELECT group_id, k, count(m.style) AS n FROM (SELECT DISTINCT group_id FROM members) CROSS JOIN styles s LEFT JOIN members m USING (group_id, style) GROUP BY group_id, k), "
-    "queue AS (SELECT *, row_number() OVER (ORDER BY size DESC, md5('1234|' || group_id), group_id) AS i FROM (SELECT group_id, sum(n) AS size, list(n ORDER BY k) AS brings FROM cells GROUP BY group_id)), "
-    "fold AS (SELECT cast(0 AS bigint) AS i, '' AS group_id, '' AS split, none AS a, none AS b, none AS c FROM totals UNION ALL "
-    "SELECT i, group_id, split, CASE WHEN split = 'train' THEN list_transform(a, lambda x, j: x + brings[j]) ELSE a END, CASE WHEN split = 'validation' THEN list_transform(b, lambda x, j: x + brings[j]) ELSE b END, "
-    "CASE WHEN split = 'test' THEN list_transform(c, lambda x, j: x + brings[j]) ELSE c END FROM (SELECT *, CASE WHEN la >= lb AND la >= lc THEN 'train' WHEN lb >= lc THEN 'validation' ELSE 'test' END AS split FROM ("
-    "SELECT q.i, q.group_id, q.brings, f.a, f.b, f.c, "
-    + ", ".join(f"list_sum(list_transform(total, lambda t, j: ({r} * t - {x}[j]) / greatest({r} * t, 1e-9) * brings[j])) AS l{x}" for x, r in (("a", "0.8e0"), ("b", "0.1e0"), ("c", "0.1e0")))
-    + " FROM fold f JOIN queue q ON q.i = f.i + 1 CROSS JOIN totals))), "
-    "placed AS (SELECT group_id, split FROM fold WHERE i > 0), rows AS (SELECT * FROM members JOIN placed USING (group_id))"
-)
+
+
+def greedy(n: str, members: str, start: str = "SELECT NULL AS split, NULL AS style, 0 AS n WHERE false") -> str:
+    """The greedy placement, a group a step, as CTEs that end in placed{n} (group_id, split): counts per split and style are lists
+    in the styles' order. members: a table (id, group_id, style); start: a query (split, style, n) of what is held."""
+    lack = ", ".join(f"list_sum(list_transform(total, lambda t, j: ({r} * t - {x}[j]) / greatest({r} * t, 1e-9) * brings[j])) AS l{x}" for x, r in (("a", "0.8e0"), ("b", "0.1e0"), ("c", "0.1e0")))
+    own = ", ".join(f"list(coalesce({x}, 0)::DOUBLE ORDER BY k) AS {x}" for x in "abc")
+    sides = ", ".join(f"sum(n) FILTER (split = '{s}') AS {x}" for x, s in zip("abc", ("train", "validation", "test")))
+    return (
+        f"held{n} AS ({start}), styles{n} AS (SELECT style, row_number() OVER (ORDER BY style) AS k, sum(n) AS n FROM (SELECT style, count(*) AS n FROM {members} GROUP BY style UNION ALL SELECT style, n FROM held{n}) GROUP BY style), "
+        f"totals{n} AS (SELECT list(n ORDER BY k) AS total, {own} FROM styles{n} LEFT JOIN (SELECT style, {sides} FROM held{n} GROUP BY style) USING (style)), "
+        f"cells{n} AS (SELECT group_id, s.k, s.style, count(m.style) AS n FROM (SELECT DISTINCT group_id FROM {members}) CROSS JOIN styles{n} s LEFT JOIN {members} m USING (group_id, style) GROUP BY group_id, s.k, s.style), "
+        f"shapes{n} AS (SELECT group_id, sum(n) AS size, list(n ORDER BY k) AS brings, '[' || string_agg('{{\"style\":\"' || style || '\",\"n\":' || n || '}}', ',' ORDER BY k) FILTER (n > 0) || ']' AS shape FROM cells{n} GROUP BY group_id), "
+        f"queue{n} AS (SELECT *, row_number() OVER (ORDER BY size DESC, md5('1234|' || shape), shape, md5('1234|' || group_id), group_id) AS i FROM shapes{n}), "
+        f"fold{n} AS (SELECT cast(0 AS bigint) AS i, '' AS group_id, '' AS split, a, b, c FROM totals{n} UNION ALL "
+        "SELECT i, group_id, split, CASE WHEN split = 'train' THEN list_transform(a, lambda x, j: x + brings[j]) ELSE a END, CASE WHEN split = 'validation' THEN list_transform(b, lambda x, j: x + brings[j]) ELSE b END, "
+        "CASE WHEN split = 'test' THEN list_transform(c, lambda x, j: x + brings[j]) ELSE c END FROM (SELECT *, CASE WHEN la >= lb AND la >= lc THEN 'train' WHEN lb >= lc THEN 'validation' ELSE 'test' END AS split FROM ("
+        f"SELECT q.i, q.group_id, q.brings, f.a, f.b, f.c, {lack} FROM fold{n} f JOIN queue{n} q ON q.i = f.i + 1 CROSS JOIN (SELECT total FROM totals{n})))), "
+        f"placed{n} AS (SELECT group_id, split FROM fold{n} WHERE i > 0)"
+    )
+
+
+MEMBERS = "members AS (SELECT id, 'g_' || root AS group_id, style FROM comp JOIN ex USING (id))"
+PLACED = f"{COMPONENTS}, {MEMBERS}, {greedy('', 'members')}, rows AS (SELECT * FROM members JOIN placed USING (group_id))"
 
 
 def examples(spark, sf_dir):
@@ -55,6 +66,15 @@ def o10_1_components(spark, sf_dir):
     return splits.group_examples(examples(spark, sf_dir), "id", KEYS)
 
 
+@query("o10_1_incremental_components", f"WITH RECURSIVE {COMPONENTS} SELECT id, 'g_' || root AS group_id FROM comp")
+def o10_1_incremental_components(spark, sf_dir):
+    """Components of a table that came in three parts, language by language: those of the whole table."""
+    store = GroupStore(spark, fresh_path(spark, "groups"), "id", KEYS)
+    for part in ("style IN ('en', 'de') OR style IS NULL", "style = 'es'", "style NOT IN ('en', 'de', 'es')"):
+        store.extend(examples(spark, sf_dir).where(part))
+    return store.labels()
+
+
 @query(
     "o10_1_edge_components",
     "WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_custkey * 100 + 7 AS b FROM orders), links AS (SELECT a, b FROM e UNION SELECT b, a FROM e), "
@@ -81,6 +101,23 @@ def o10_3_split_violations(spark, sf_dir):
     return splits.verify_splits(split_rows(spark, sf_dir), RATIOS, [*KEYS, "group_id"])
 
 
+SPOKEN = "doc_id AS id, lang AS style, 's' || (doc_id // 40) AS file, doc_id AS start, doc_id + 1 + doc_id % 3 AS stop, CASE WHEN lang = 'en' THEN 'train' ELSE 'test' END AS split"
+
+
+@query(
+    "o10_3_torn_segments",
+    f"WITH s AS (SELECT {SPOKEN} FROM documents), n AS (SELECT *, lead(id) OVER w AS next_id, lead(start) OVER w AS next_start, lead(split) OVER w AS next_split FROM s WINDOW w AS (PARTITION BY file ORDER BY start, id)) "
+    "SELECT 'overlapping segments in two splits' AS \"check\", id || '/' || next_id AS detail FROM n WHERE stop > next_start AND split <> next_split "
+    "UNION ALL SELECT 'prepared file missing', cast(id AS string) FROM s WHERE id NOT IN (SELECT doc_id FROM labels)",
+)
+def o10_3_torn_segments(spark, sf_dir):
+    """Segments of one recording that overlap across splits, and rows whose prepared file (a labelled document) is missing."""
+    rows = table(spark, sf_dir, "documents").selectExpr(*[c.replace("doc_id // 40", "doc_id div 40") for c in SPOKEN.split(", ")])
+    there = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"))
+    found = splits.verify_splits(rows.withColumn("path", F.col("id")), RATIOS, ["file"], segments=("file", "start", "stop"), prepared=there, path="path")
+    return found.where(F.col("check").isin("overlapping segments in two splits", "prepared file missing"))
+
+
 @query("o10_3_balance", f"WITH RECURSIVE {PLACED} SELECT split, cast(count(*) AS bigint) AS n, abs(count(*) / (SELECT count(*) FROM rows) - CASE split WHEN 'train' THEN 0.8e0 ELSE 0.1e0 END) <= 0.02e0 AS within FROM rows GROUP BY split")
 def o10_3_balance(spark, sf_dir):
     rows = split_rows(spark, sf_dir)
@@ -108,24 +145,25 @@ def o10_4_blinding_key(spark, sf_dir):
 
 
 OLD_PLACED = PLACED.replace("FROM documents)", "FROM documents WHERE lang <> 'es')")
+GROWN = (
+    f"{OLD_PLACED}, grown AS (SELECT * FROM (WITH RECURSIVE {COMPONENTS} SELECT id, root, style FROM comp JOIN ex USING (id))), "
+    "touched AS (SELECT root, min(split) AS split, min(group_id) AS group_id FROM grown JOIN rows USING (id) GROUP BY root), "
+    "fresh AS (SELECT id, 'g_' || root AS group_id, style FROM grown WHERE root NOT IN (SELECT root FROM touched)), "
+    + greedy("2", "fresh", "SELECT split, style, count(*) AS n FROM rows GROUP BY split, style")
+)
 
 
 @query(
     "o10_5_extension_invariants",
-    f"WITH RECURSIVE {OLD_PLACED}, grown AS (SELECT * FROM (WITH RECURSIVE {COMPONENTS} SELECT id, root FROM comp)), touched AS (SELECT root, min(split) AS split FROM grown JOIN rows USING (id) GROUP BY root) "
-    "SELECT g.id, coalesce(rows.split, touched.split, 'placed') AS split FROM grown g LEFT JOIN rows ON rows.id = g.id LEFT JOIN touched ON touched.root = g.root",
+    f"WITH RECURSIVE {GROWN} SELECT g.id, coalesce(rows.group_id, touched.group_id, fresh.group_id) AS group_id, coalesce(rows.split, touched.split, placed2.split) AS split "
+    "FROM grown g LEFT JOIN rows ON rows.id = g.id LEFT JOIN touched ON touched.root = g.root LEFT JOIN fresh ON fresh.id = g.id LEFT JOIN placed2 ON placed2.group_id = fresh.group_id",
 )
 def o10_5_extension_invariants(spark, sf_dir):
-    """After an extension: old rows in the splits that they had, new rows of an old component in its split, all others placed."""
-    from loomline.operators.components import cut_lineage
-
+    """After an extension: old rows in the splits that they had, new rows of an old component in its split and group, all others placed."""
     old = cut_lineage(split_rows(spark, sf_dir, "style <> 'es'").select("id", "style", *KEYS, "duration_s", "group_id", "split"))
-    new = examples(spark, sf_dir).where("style = 'es'")
     # The operator would refuse a new row whose keys lie in two old splits; the table has none.
-    grown = splits.extend_splits(old, new, KEYS, RATIOS, 1234)
-    known = old.select("group_id").distinct().withColumn("known", F.lit(True))
-    placed = F.when(F.col("known") | F.col("split").isNull(), F.col("split")).otherwise("placed")
-    return grown.join(known, "group_id", "left").select("id", placed.alias("split"))
+    grown = splits.extend_splits(old, examples(spark, sf_dir).where("style = 'es'"), KEYS, RATIOS, 1234)
+    return grown.select("id", "group_id", "split")
 
 
 @query(
@@ -175,15 +213,14 @@ def o10_8_accepted_and_excluded(spark, sf_dir):
     return out.unionByName(scored.select("doc_id", F.when(F.abs("z") > 6, "outlier").otherwise("accepted").alias("reason")))
 
 
-@query("o10_9_same_assignment_twice", f"WITH RECURSIVE {PLACED} SELECT split, cast(count(*) AS bigint) AS rows, cast(0 AS bigint) AS differing FROM rows GROUP BY split")
+@query("o10_9_same_assignment_twice", f"WITH RECURSIVE {PLACED} SELECT id, split, split AS again FROM rows")
 def o10_9_same_assignment_twice(spark, sf_dir):
-    """The assignment made again from rows in another order, per split of the first."""
+    """Every row's split, and its split when the assignment is made again from rows in another order."""
     rows = examples(spark, sf_dir)
-    rows = rows.join(splits.group_examples(rows, "id", KEYS), "id")
+    rows = cut_lineage(rows.join(splits.group_examples(rows, "id", KEYS), "id").select("id", "group_id", "style"))
     once = splits.place_groups(rows, RATIOS, 1234)
     again = splits.place_groups(rows.repartition(7), RATIOS, 1234).withColumnRenamed("split", "again")
-    both = rows.select("id", "group_id").join(once, "group_id").join(again, "group_id", "left")
-    return both.groupBy("split").agg(F.count("*").alias("rows"), F.count_if(~F.col("split").eqNullSafe(F.col("again"))).alias("differing"))
+    return rows.join(once, "group_id").join(again, "group_id", "left").select("id", "split", "again")
 
 
 @F.pandas_udf(T.BinaryType())
