@@ -29,44 +29,138 @@ def word_errors_native(ref: Column, hyp: Column) -> Column:
     return F.coalesce(empty, fits, F.levenshtein(spell(ref), spell(hyp)))
 
 
-def aligned(ref: list[str], hyp: list[str]) -> tuple[int, int]:
-    """Edit distance of two word lists, and by how many words the reference is ahead where an optimal alignment last matches
-    a word exactly (0 where it matches none).
-
-    One forward pass; of the table only the last row is kept, as two numbers a cell: its cost, and the lead at the last match
-    of the alignment that ends there. Of steps of equal cost a match goes before a swap, a lost word and an added word."""
-    number: dict[str, int] = {}
-    left, right = (np.fromiter((number.setdefault(w, len(number)) for w in side), np.int64, len(side)) for side in (ref, hyp))
-    place = np.arange(len(hyp) + 1)
-    cost, lead = place, np.zeros(len(hyp) + 1, np.int64)
-    for i, word in enumerate(left.tolist(), 1):
-        same = right == word
-        swapped = cost[:-1] + ~same
-        short = np.concatenate([[i], np.minimum(cost[1:] + 1, swapped)])
-        now = np.minimum.accumulate(short - place) + place  # added words run along the row
-        via_swap = now[1:] == swapped
-        # Where a cell's step is an added word, its lead is that of the nearest cell before it whose step is another.
-        own = np.concatenate([[True], via_swap | (now[1:] == cost[1:] + 1)])
-        from_above = np.where(same, i - place[1:], np.where(via_swap, lead[:-1], lead[1:]))
-        lead = np.concatenate([[0], from_above])[np.maximum.accumulate(np.where(own, place, 0))]
-        cost = now
-    return int(cost[-1]), int(lead[-1])
+#: Differences that are looked for along diagonals, at first and at most, before whole columns are computed.
+NEAR, NEAR_AT_MOST = 8, 512
+
+
+def near_distance(ref: list[str], hyp: list[str], most: int) -> tuple[int | None, int]:
+    """The edit distance if it is at most `most`, else None, and how many reference words were reached.
+
+    Of each diagonal only the farthest word that e differences reach is kept, for e from 0 on: the work grows with the square of the
+    distance and once with the length."""
+    n, m = len(ref), len(hyp)
+    goal, far = n - m, {}
+    for e in range(most + 1):
+        now = {}
+        for d in range(-e, e + 1):  # diagonal: reference words less heard words
+            i = 0 if not e else max(far.get(d, -2) + 1, far.get(d - 1, -2) + 1, far.get(d + 1, -2))
+            i = min(i, n, m + d)
+            if i < max(0, d):
+                continue
+            while i < n and i - d < m and ref[i] == hyp[i - d]:
+                i += 1
+            now[d] = i
+        if now.get(goal) == n:
+            return e, n
+        far = now
+    return None, max(far.values(), default=0)
+
+
+class Columns:
+    """The alignment table column by column, a heard word each. A column is two numbers of a bit a reference word: where the cost
+    rises by one from the word before (up) and where it falls by one (down). Python's numbers are as long as the reference,
+    so a column costs some twenty operations on them whatever the texts."""
+
+    def __init__(self, ref: list[str], hyp: list[str]):
+        self.hyp, self.all, self.top = hyp, (1 << len(ref)) - 1, 1 << max(0, len(ref) - 1)
+        self.of: dict[str, int] = {}
+        for i, w in enumerate(ref):
+            self.of[w] = self.of.get(w, 0) | 1 << i
+
+    def step(self, word: str, up: int, down: int) -> tuple[int, int, int, int]:
+        """The next column's (up, down), and where a row's cost rises or falls from the column before."""
+        same = self.of.get(word, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        rises, falls = down | (self.all & ~(level | up)), level & up
+        above = (rises << 1 | 1) & self.all
+        return (falls << 1 & self.all) | (self.all & ~(level | above)), above & level, rises, falls
+
+    def run(self, every: int) -> tuple[int, list[tuple[int, int]]]:
+        """The distance, and the column before each `every` words."""
+        up, down, cost, kept = self.all, 0, self.all.bit_length(), []
+        for j, word in enumerate(self.hyp):
+            if j % every == 0:
+                kept.append((up, down))
+            up, down, rises, falls = self.step(word, up, down)
+            cost += bool(rises & self.top) - bool(falls & self.top)
+        return cost, kept
+
+
+def edit_distance(ref: list[str], hyp: list[str]) -> int:
+    """Word-level edit distance. Equal words at both ends are set aside; few differences are found along diagonals, whose number
+    doubles while the words reached so far promise a fit; else the columns are run."""
+    begun, end = 0, min(len(ref), len(hyp))
+    while begun < end and ref[begun] == hyp[begun]:
+        begun += 1
+    cut = 0
+    while cut < end - begun and ref[-1 - cut] == hyp[-1 - cut]:
+        cut += 1
+    ref, hyp = ref[begun : len(ref) - cut], hyp[begun : len(hyp) - cut]
+    if not ref or not hyp:
+        return len(ref) + len(hyp)
+    most = NEAR
+    while abs(len(ref) - len(hyp)) <= most <= NEAR_AT_MOST:
+        found, reached = near_distance(ref, hyp, most)
+        if found is not None:
+            return found
+        promised = most * len(ref) / max(1, reached)
+        if promised * promised > 4 * len(hyp) * (1 + len(ref) / 2000):  # the columns are cheaper
+            break
+        most *= 2
+    return Columns(ref, hyp).run(len(hyp))[0]
+
+
+def last_match_lead(ref: list[str], hyp: list[str]) -> int:
+    """By how many words the reference is ahead where an optimal alignment last matches a word exactly, 0 where it matches none.
+
+    The alignment is followed back from its end only as far as that match; of steps of equal cost a match goes before a swap, a
+    lost word and an added word. Columns are kept at intervals and made again, interval by interval, as far as they are needed."""
+    i, j = len(ref), len(hyp)
+    if not i or not j:
+        return 0
+    columns, every = Columns(ref, hyp), max(64, int(len(hyp) ** 0.5))
+    kept = None
+    block: list[tuple[int, int, int, int]] = []
+    first = j  # of the heard words whose columns are in `block`
+    while i and j:
+        if ref[i - 1] == hyp[j - 1]:
+            return i - j
+        if j <= first:
+            if kept is None:
+                kept = columns.run(every)[1]
+            first = (j - 1) // every * every
+            up, down = kept[first // every]
+            block = []
+            for word in hyp[first:j]:
+                up, down, rises, falls = columns.step(word, up, down)
+                block.append((up, down, rises, falls))
+        up, down, rises, falls = block[j - 1 - first]
+        at = 1 << (i - 1)
+        rise = bool(up & at) - bool(down & at)
+        before = bool(rises & at >> 1) - bool(falls & at >> 1) if i > 1 else 1  # the row above, from the column before
+        if rise + before == 1:
+            i, j = i - 1, j - 1
+        elif rise == 1:
+            i -= 1
+        else:
+            j -= 1
+    return 0
 
 
 def missing_at_end(ref: list[str], hyp: list[str]) -> int:
     """Reference words after the last matched one, less the heard words after it."""
-    return max(0, len(ref) - len(hyp) - aligned(ref, hyp)[1])
+    return max(0, len(ref) - len(hyp) - last_match_lead(ref, hyp))
 
 
 @F.pandas_udf(T.IntegerType())
 def word_errors(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Word-level edit distance of two word arrays of any vocabulary."""
-    return pd.Series([aligned(list(r), list(h))[0] for r, h in zip(ref, hyp)], dtype="int32")
+    return pd.Series([edit_distance(r.tolist(), h.tolist()) for r, h in zip(ref, hyp)], dtype="int32")
 
 
 @F.pandas_udf(T.IntegerType())
 def trailing_missing(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([missing_at_end(list(r), list(h)) for r, h in zip(ref, hyp)], dtype="int32")
+    return pd.Series([missing_at_end(r.tolist(), h.tolist()) for r, h in zip(ref, hyp)], dtype="int32")
 
 
 def audio_problem(gap_db: Column, duration_s: Column, chars: Column, pace: Column) -> Column:
