@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomline.operators import relations
+from loomline.operators.components import cut_lineage
 from loomline.plans.base import CLIPS, clips, fresh_path, query, table
 from loomline.sinks import files as sinks
-from loomline.sources import files
+from loomline.sinks.committed import mounted, write_files
+from loomline.sinks.resume import ClipLog
+from loomline.sources import archives, files
 from loomline.sources.config import single_rate
+from loomline.streaming import logs, tail
 
 PATHS = [
     "doc_id",
@@ -155,6 +163,91 @@ def o2_4_append_without_done(spark, sf_dir):
     return spark.read.schema("stem string, run string").json(path).groupBy("stem").agg(F.count("*").alias("times"), F.min("run").alias("run"))
 
 
+RESUMED = (
+    f"WITH {CLIPS}, made AS (SELECT doc_id, quality FROM labels) SELECT stem, CASE WHEN doc_id IN (SELECT doc_id FROM made) AND doc_id NOT IN (SELECT doc_id FROM made WHERE quality = 0) THEN 0 ELSE 1 END AS batch FROM clips"
+)
+
+
+@query("o2_4_resume_by_files", RESUMED)
+def o2_4_resume_by_files(spark, sf_dir):
+    """A log of labelled clips some of whose files (those of quality 0) never came: the run that resumes makes those again and all
+    others for the first time, and a batch that is replayed adds nothing."""
+    folder = fresh_path(spark, "resumed")
+    log = ClipLog(spark, f"{folder}/log", f"{folder}/files", "stem string, file string, doc_id bigint", key="stem")
+    rows = clips(spark, sf_dir).select("stem", F.concat("stem", F.lit(".txt")).alias("file"), "doc_id")
+    made = rows.join(table(spark, sf_dir, "labels"), "doc_id")
+    write_files(made.where("quality <> 0").select(F.col("file").alias("name"), F.col("stem").cast("binary").alias("content")), f"{folder}/files")
+    for work, batch in ((made.select(*rows.columns), 0), (rows, 1), (rows, 1)):
+        log.append(work, batch)
+    return log.rows().select("stem", F.col("batch").cast("int").alias("batch"))
+
+
+@query("o2_6_committed_files", "SELECT lang || '/' || doc_id || '.txt' AS name, cast(octet_length(encode(text)) AS bigint) AS bytes, sha256(text) AS sha256 FROM documents JOIN labels USING (doc_id)")
+def o2_6_committed_files(spark, sf_dir):
+    """Labelled documents as files, and what the folder holds then."""
+    folder = fresh_path(spark, "files")
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    write_files(rows.select(F.concat("lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content")), folder)
+    found = files.binary_files(spark, folder, "*")
+    name = F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2))
+    return found.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+#: Documents in one archive of the query, and bytes of its stretches.
+PACKED, STRETCH = 100, 1 << 16
+
+
+def packed_documents(spark, sf_dir):
+    """Tar archives of PACKED documents each, in the shared folder; returns their paths."""
+    folder = fresh_path(spark, "archives")
+    rows = table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("name"), "text", F.expr(f"doc_id div {PACKED}").alias("block"))
+
+    def pack(group):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for name, text in zip(group.column("name").to_pylist(), group.column("text").to_pylist()):
+                info = tarfile.TarInfo(name)
+                info.size = len(text.encode())
+                tar.addfile(info, io.BytesIO(text.encode()))
+        return pa.table({"name": [f"{group.column('block')[0]}.tar"], "content": pa.array([out.getvalue()], pa.binary())})
+
+    write_files(rows.groupBy("block").applyInArrow(pack, "name string, content binary"), folder)
+    return [str(mounted(r[0])) for r in files.binary_files(spark, folder, "*.tar").select("path").collect()]  # an archive a row
+
+
+TAR = "SELECT doc_id // 100 || '.tar' AS archive, lang || '/' || doc_id || '.txt' AS name, cast(octet_length(encode(text)) AS bigint) AS size, sha256(text) AS sha256 FROM documents WHERE lang <> 'fr'"
+
+
+@query("o1_5_tar_members", TAR)
+def o1_5_tar_members(spark, sf_dir):
+    """The members of archives by their index, stretch by stretch; one language is left where it is."""
+    index = cut_lineage(archives.tar_index(spark, packed_documents(spark, sf_dir), ["en/*", "de/*", "es/*"]), "tar-index")
+    found = archives.tar_contents(index, STRETCH)
+    return found.select(F.substring_index("archive", "/", -1).alias("archive"), "name", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query("o1_5_tar_source", TAR)
+def o1_5_tar_source(spark, sf_dir):
+    """The same through the data source, whose partitions are stretches."""
+    spark.dataSource.register(archives.TarSource)
+    found = spark.read.format("loomline_tar").option("patterns", "en/*,de/*,es/*").option("run_bytes", STRETCH).load(",".join(packed_documents(spark, sf_dir)))
+    return found.select(F.substring_index("archive", "/", -1).alias("archive"), "name", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query("o12_followed_log", "SELECT event_id, event_type FROM events")
+def o12_followed_log(spark, sf_dir):
+    """Events logged as JSON lines in two goes, followed by a stream that ends and starts again in between: each line once."""
+    folder = fresh_path(spark, "followed")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type")
+    spark.dataSource.register(tail.TailSource)
+    for early in (True, False):
+        rows.where((F.col("event_type") < "m") == early).write.mode("append").json(f"{folder}/log")
+        lines = spark.readStream.format("loomline_tail").load(f"{mounted(folder)}/log/*.json")
+        logs.follow(lines, f"{folder}/table", f"{folder}/state").awaitTermination()
+    line = F.from_json("line", "event_id bigint, event_type string")
+    return spark.read.parquet(f"{folder}/table").select(line.alias("r")).select("r.*")
+
+
 @query("o2_8_provenance", f"WITH {CLIPS} SELECT speaker, cast(count(*) AS bigint) AS files, cast(sum(octet_length(encode(text))) AS bigint) AS bytes, min(sha256(text)) AS first_sha256 FROM clips GROUP BY speaker")
 def o2_8_provenance(spark, sf_dir):
     rows = clips(spark, sf_dir).groupBy("speaker")

@@ -11,11 +11,12 @@ from datetime import UTC, datetime
 from hashlib import md5, sha256
 from pathlib import Path
 from typing import Any
-from uuid import uuid4
 from xml.sax.saxutils import escape, quoteattr
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from loomline.operators.components import cut_lineage
 
 
 def utc_now() -> str:
@@ -39,15 +40,17 @@ def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key is not in the log yet; returns how many."""
+    """Append the rows whose key is not in the log yet, one a key; returns how many. One writer at a time; for batches that may be
+    replayed, and logs whose files may go, see `resume`."""
     spark = df.sparkSession
+    fresh = df.dropDuplicates([key])
     try:
         have = spark.read.schema(df.schema).json(path)
-        fresh = df.join(have.select(key), key, "left_anti").select(*df.columns)
-    except Exception as e:  # no log yet
-        if "PATH_NOT_FOUND" not in str(e):
+        fresh = fresh.join(have.select(key), key, "left_anti").select(*df.columns)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # no log yet
             raise
-        fresh = df
+    fresh = cut_lineage(fresh, "fresh")  # computed once, counted and written from there
     n = fresh.count()
     if n:
         fresh.write.mode("append").option("ignoreNullFields", "false").json(path)
@@ -94,26 +97,6 @@ def provenance(path: str | Path, source: str, files: list[str | Path]) -> dict[s
     return record
 
 
-def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
-    """Write one file a row from where the row is, to a folder that all executors share; returns (name, bytes) as written."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            sizes = []
-            for n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                target = Path(folder) / n
-                target.parent.mkdir(parents=True, exist_ok=True)
-                part = target.with_name(f".{target.name}.{uuid4().hex}")
-                part.write_bytes(c)
-                part.replace(target)
-                sizes.append(len(c))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "bytes"])
-
-    return df.select(F.col(name), F.col(content)).mapInArrow(run, "name string, bytes bigint")
-
-
 def blinded_page(folder: str | Path, name: str, title: str, trials: list[dict[str, Any]], key: dict[str, Any], key_folder: str | Path, secrets: Iterable[str]) -> Path:
     """An HTML page of blinded trials (label, text) and, in a folder outside the page's, the key that tells labels apart. Raises if
     the key would lie inside the page's folder, or the page or its name would give one of the secret words away."""

@@ -8,13 +8,11 @@ import tarfile
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomline.functions.text import base_name, is_junk, parse_stem
 
@@ -120,36 +118,6 @@ def extract_tar(archive: str | Path, dest: str | Path, patterns: list[str]) -> d
     return counts
 
 
-class TarSource(DataSource):
-    """spark.read.format("loomline_tar").option("patterns", "*.wav").load("a.tar,b.tar"): members as rows, a task an archive."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "loomline_tar"
-
-    def schema(self) -> str:
-        return "archive string, name string, size bigint, content binary"
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return TarReader(self.options)
-
-
-class TarReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths = [p for p in options["path"].split(",") if p]
-        self.patterns = options.get("patterns", "*").split(",")
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with tarfile.open(partition.value) as tar:
-            for member in tar:
-                if member.isfile() and any(fnmatch.fnmatch(member.name, p) for p in self.patterns):
-                    safe_member(member.name, Path("/nowhere"))
-                    yield partition.value, member.name, member.size, tar.extractfile(member).read()
-
-
 def remote_head(url: str) -> dict[str, str | int | None]:
     """Size, etag, date and range support of a URL."""
     with urllib.request.urlopen(urllib.request.Request(url, method="HEAD")) as r:
