@@ -1,14 +1,19 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut at block-level tags into flat text blocks. Each block carries its word count and link density, those of the
-blocks before and after it, its share of the page's unlinked words, and what the markup hints at: whether it lies in an
-element that is named, by tag or by a whole word of its class, id or role, as an article's or as a side region's. A name is a hint,
-no verdict: `body` and `html` give none, names such as has-sidebar say nothing of the element itself, and an element that
-holds the article or nearly all text is a wrapper, whatever its name. A decision tree trained here on a labelled table of
-blocks (labelled.py) decides which blocks are main text.
+A page is cut at block-level tags into flat text blocks. Each block carries its word count and link density, those of the two
+blocks before and the two after it, and what the markup hints at: whether it lies in an element that is named, by tag or by a
+whole word of its class, id or role, as an article's or as a side region's. A name is a hint, no verdict: `body` and `html` give
+none, names such as has-sidebar say nothing of the element itself, and an element that holds the article or nearly all text
+is a wrapper, whatever its name. A decision tree trained here on a labelled table of blocks (labelled.py), half of whose
+pages have no names, decides which blocks are main text: where nothing is named, words and links decide. No feature depends on
+how long the page is.
+
+Markup is read in one pass whose work grows with the page's length, whatever is unclosed or stray: a comment or a tag that
+never ends takes the rest of the page with it; a quote that never ends, or ends inside a word, ends with its tag; a closing
+tag without an open element is nothing.
 
 Cases: null or empty html gives an empty text and 0 characters; unclosed and stray tags, comments, and script or style
-text with tags inside are handled; a very long page is scanned once, tag by tag; equal rows give equal rows, a row each;
+text with tags inside are handled; a very long page is read once, tag by tag; equal rows give equal rows, a row each;
 an empty table gives an empty result; only the id, url and html are read.
 """
 
@@ -42,12 +47,14 @@ SIDE_NAMES = {
 }
 TALK_NAMES = {"comment", "comments", "respond", "reply", "replies", "discussion", "disqus"}
 #: Last words of a name that leave the meaning to the word before, and first words that turn it away from the element.
-PART_NAMES = {"list", "box", "wrapper", "wrap", "container", "inner", "area", "section", "block", "unit", "item", "form", "text", "body", "title", "links", "message", "panel", "thread", "row", "top"}
+PART_NAMES = {"list", "box", "wrapper", "wrap", "container", "inner", "area", "section", "block", "unit", "item", "form", "text", "body", "title", "links", "message", "panel", "thread", "row", "top", "left", "right", "bottom", "col", "column"}
 TURNING_NAMES = {"has", "no", "with", "without", "is", "not", "category", "tag", "type", "format", "layout", "template", "hide", "show"}
 HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 PARTS = re.compile(r"[^a-z]+")
-COMMENTS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+NO_TAG = re.compile(r"</[^<>]{0,64}>")
+TAG_STEP = re.compile(r">|=[ \t\n\r\f]*[\"']")
+AFTER_QUOTE = " \t\n\r\f/>"
 NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 SPACE = re.compile(r"\s+")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -70,31 +77,57 @@ def hint(called: str) -> tuple[bool, bool, bool]:
 
 
 class Region:
-    """An element hinted to be a side region."""
+    """An element hinted to be a side region, inside another one or none."""
 
-    def __init__(self, talk: bool):
-        self.talk, self.words, self.holds_main = talk, 0, False
+    __slots__ = ("parent", "talk", "begun", "words", "holds_main", "side")
+
+    def __init__(self, parent: Region | None, talk: bool, begun: int):
+        self.parent, self.talk, self.begun, self.words, self.holds_main, self.side = parent, talk, begun, 0, False, None
 
     def wraps(self, total: int) -> bool:
         """An element around the article, or around nearly all text, is no side region; one of comments holds articles of its own."""
         return self.words >= 0.9 * total or (self.holds_main and not self.talk)
 
 
+def in_side(region: Region | None, total: int) -> bool:
+    """Whether the region or one around it is a side region; each region is judged once."""
+    chain = []
+    while region is not None and region.side is None:
+        chain.append(region)
+        region = region.parent
+    known = region is not None and region.side
+    for r in reversed(chain):
+        known = r.side = known or not r.wraps(total)
+    return bool(known)
+
+
 @dataclass
 class Block:
     text: str
     words: int
     linked: int
     in_main: bool
-    regions: tuple[Region, ...]
+    region: Region | None
     heading: bool
 
 
 class Element:
-    __slots__ = ("name", "main", "region")
+    __slots__ = ("name", "main", "region", "outer", "is_open")
+
+    def __init__(self, name: str, main: bool, region: Region | None, outer: Region | None):
+        self.name, self.main, self.region, self.outer, self.is_open = name, main, region, outer, True
+
 
-    def __init__(self, name: str, main: bool, region: Region | None):
-        self.name, self.main, self.region = name, main, region
+def tag_end(html: str, at: int) -> int:
+    """The place after the > that ends the tag whose name ends at `at`; -1 if there is none."""
+    while m := TAG_STEP.search(html, at):
+        if m[0] == ">":
+            return m.end()
+        close = html.find(html[m.end() - 1], m.end())
+        if close < 0 or html[close + 1 : close + 2] not in AFTER_QUOTE:
+            return html.find(">", m.end()) + 1 or -1
+        at = close + 1
+    return -1
 
 
 class Page:
@@ -103,17 +136,40 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[Block] = []
         self.parts: list[str] = []
-        self.linked = self.mains = self.headings = 0
+        self.linked = self.mains = self.headings = self.words = 0
         self.in_link = False
-        self.open: list[Element] = []
-        self.regions: list[Region] = []
-        html = html if "<!" not in html and "<?" not in html else without_comments(html)
-        at = 0
-        while m := TAG.search(html, at):
-            self.add(html[at : m.start()])
-            at = self.tag(html, m[1], m[2].lower(), m[3], m.end())
-        self.add(html[at:])
+        self.open: list[Element] = []  # those that were closed out of turn stay until what is above them goes
+        self.solid: list[Element] = []  # those of `open` that don't flow within a line
+        self.named: dict[str, list[Element]] = {}
+        self.region: Region | None = None
+        at = begun = 0
+        while (lt := html.find("<", at)) >= 0:
+            closing = html.startswith("/", lt + 1)
+            name = TAG_NAME.match(html, lt + 1 + closing)
+            if name:
+                end = tag_end(html, name.end())
+            elif html.startswith(("!", "?"), lt + 1):
+                end = self.declaration_end(html, lt)
+            elif closing and (m := NO_TAG.match(html, lt)):
+                end = m.end()
+            else:
+                at = lt + 1
+                continue
+            self.add(html[begun:lt])
+            if name and end > 0:
+                end = self.tag(html, closing, name[0].lower(), html[name.end() : end - 1], end)
+            at = begun = end if end > 0 else len(html)
+        self.add(html[begun:])
         self.flush()
+        self.close_to(0)
+
+    def declaration_end(self, html: str, lt: int) -> int:
+        """The end of a comment or declaration; -1 if it has none."""
+        for begin, end, skip in (("<!--", "-->", 2), ("<![CDATA[", "]]>", 9), ("<", ">", 1)):
+            if html.startswith(begin, lt):
+                found = html.find(end, lt + skip)
+                return found + len(end) if found >= 0 else -1
+        return -1
 
     def add(self, raw: str) -> None:
         if raw:
@@ -126,9 +182,8 @@ class Page:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             n = text.count(" ") + 1
-            for r in self.regions:
-                r.words += n
-            self.blocks.append(Block(text, n, min(self.linked, n), self.mains > 0, tuple(self.regions), self.headings > 0))
+            self.words += n
+            self.blocks.append(Block(text, n, min(self.linked, n), self.mains > 0, self.region, self.headings > 0))
         self.parts, self.linked = [], 0
 
     def push(self, name: str, rest: str) -> None:
@@ -136,26 +191,46 @@ class Page:
         main, side, talk = hint(called) if called else (False, False, False)
         side = (side or talk or name in SIDE_TAGS) and not (name == "header" and self.mains)
         main = (main or name in MAIN_TAGS) and not side
-        region = Region(talk) if side else None
         if main:
-            for r in self.regions:
-                r.holds_main = True
-        if region:
-            self.regions.append(region)
+            r = self.region
+            while r is not None and not r.holds_main:
+                r.holds_main, r = True, r.parent
+        element = Element(name, main, Region(self.region, talk, self.words) if side else None, self.region)
+        if element.region:
+            self.region = element.region
         self.mains += main
         self.headings += name in HEADINGS
-        self.open.append(Element(name, main, region))
-
-    def pop(self, k: int, last: int | None = None) -> None:
-        """Close the elements from place k on (or k alone)."""
-        for e in self.open[k:last]:
+        self.open.append(element)
+        if name not in INLINE:
+            self.solid.append(element)
+        self.named.setdefault(name, []).append(element)
+
+    def shut(self, e: Element) -> None:
+        """An element ends."""
+        if e.is_open:
+            e.is_open = False
             self.mains -= e.main
             self.headings -= e.name in HEADINGS
             if e.region:
-                self.regions.remove(e.region)
-        del self.open[k:last]
-
-    def tag(self, html: str, closing: str, name: str, rest: str, at: int) -> int:
+                e.region.words = self.words - e.region.begun
+                if self.region is e.region:
+                    self.region = e.outer
+
+    def close_to(self, depth: int) -> None:
+        """All elements above a depth end."""
+        while len(self.open) > depth:
+            e = self.open.pop()
+            self.shut(e)
+            for stack in (self.named[e.name], self.solid):
+                if stack and stack[-1] is e:
+                    stack.pop()
+
+    def close(self, e: Element) -> None:
+        """An element and all that it holds end."""
+        while e.is_open:
+            self.close_to(len(self.open) - 1)
+
+    def tag(self, html: str, closing: bool, name: str, rest: str, at: int) -> int:
         """Take a tag in; returns where the text after it begins."""
         empty = rest.rstrip().endswith("/")
         if name in RAW and not closing:
@@ -174,63 +249,45 @@ class Page:
         if name in VOID or (empty and not closing):
             return at
         if closing:
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k].name == name:
-                    self.pop(k, k + 1 if inline else None)
-                    break
+            same = self.named.get(name)
+            if same and inline:
+                self.shut(same.pop())
+            elif same:
+                self.close(same[-1])
         else:
-            if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):
-                self.close_implied(name)
+            if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and self.solid and self.solid[-1].name == name:
+                self.close(self.solid[-1])  # a new paragraph, item or cell ends the last one of its kind
             self.push(name, rest)
         return at
 
-    def close_implied(self, name: str) -> None:
-        """A new paragraph, item or cell ends the last one of its kind that is still open, up to the next container."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].name == name:
-                self.pop(k)
-                return
-            if self.open[k].name not in INLINE:
-                return
-
 
 def blocks(html: str) -> list[Block]:
     """Flat text blocks in page order."""
     return Page(html).blocks
 
 
-def without_comments(html: str) -> str:
-    """Comments and declarations outside raw-text elements become nothing."""
-    kept, at = [], 0
-    opener = re.compile(r"<(script|style|textarea|title)\b[^>]*>", re.I)
-    while True:
-        m, c = opener.search(html, at), COMMENTS.search(html, at)
-        if c and (not m or c.start() < m.start()):
-            kept.append(html[at : c.start()])
-            at = c.end()
-        elif m:
-            end = re.compile(rf"</{m[1]}\s*>", re.I).search(html, m.end())
-            stop = end.end() if end else len(html)
-            kept.append(html[at:stop])
-            at = stop
-        else:
-            kept.append(html[at:])
-            return "".join(kept)
+#: Which feature tells whether the page has an element that is named as an article's.
+ANYWHERE = 12
 
 
 def feature_rows(page: list[Block]) -> list[tuple[float, ...]]:
-    none = Block("", 0, 0, False, (), False)
-    around = [none, *page, none]
-    total, plain = sum(b.words for b in page), sum(b.words - b.linked for b in page) or 1
+    """Of each block its words and link density, those of two blocks before and two after it, the larger and the smaller number of
+    unlinked words next to it, the hints, and the unlinked words of the page's longest block."""
+    none = Block("", 0, 0, False, None, False)
+    around = [none, none, *page, none, none]
+    total = sum(b.words for b in page)
     anywhere = float(any(b.in_main for b in page))
     links = lambda b: b.linked / b.words if b.words else 0.0
+    plain = lambda b: b.words - b.linked
+    longest = max(map(plain, page), default=0)
     return [
-        (b.words, links(b), p.words, links(p), n.words, links(n), float(b.in_main), float(any(not r.wraps(total) for r in b.regions)), anywhere, float(b.heading), (b.words - b.linked) / plain)
-        for p, b, n in zip(around, around[1:], around[2:])
-    ]
+        (b.words, links(b), p.words, links(p), n.words, links(n), max(plain(p), plain(n)), min(plain(p), plain(n)), plain(pp), plain(nn),
+         float(b.in_main), float(in_side(b.region, total)), anywhere, float(b.heading), longest)
+        for pp, p, b, n, nn in zip(around, around[1:], around[2:], around[3:], around[4:])
+    ]
 
 
-def train(rows: list[tuple[float, ...]], labels: list[bool], least: int = 3, depth: int = 8):
+def train(rows: list[tuple[float, ...]], labels: list[bool], least: int = 6, depth: int = 8):
     """A binary decision tree by Gini impurity: (feature, threshold, left, right) or a leaf's label."""
     n, yes = len(labels), sum(labels)
     best = None
@@ -249,7 +306,8 @@ def train(rows: list[tuple[float, ...]], labels: list[bool], least: int = 3, dep
         return yes * 2 > n
     _, f, cut = best
     sides = [[(r, y) for r, y in zip(rows, labels) if (r[f] <= cut) == low] for low in (True, False)]
-    return (f, cut, *(train([r for r, _ in s], [y for _, y in s], least, depth - 1) for s in sides))
+    low, high = (train([r for r, _ in s], [y for _, y in s], least, depth - 1) for s in sides)
+    return low if low is high else (f, cut, low, high)  # two leaves of one label are one
 
 
 def labelled(pages: list[str]) -> tuple[list[tuple[float, ...]], list[bool]]:
@@ -264,7 +322,10 @@ def labelled(pages: list[str]) -> tuple[list[tuple[float, ...]], list[bool]]:
 
 @lru_cache(maxsize=1)
 def trained():
-    return train(*labelled(labelled_pages()))
+    """A tree whose first question is whether the page names its article at all: each side is trained on its own pages."""
+    rows, labels = labelled(labelled_pages())
+    sides = [[(r, y) for r, y in zip(rows, labels) if r[ANYWHERE] == told] for told in (0.0, 1.0)]
+    return (ANYWHERE, 0.5, *(train([r for r, _ in s], [y for _, y in s]) for s in sides))
 
 
 def is_main(tree, row: tuple[float, ...]) -> bool:

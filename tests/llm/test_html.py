@@ -1,5 +1,6 @@
 """Page extraction on pages that the tree has not seen."""
 
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -54,13 +55,69 @@ def test_held_out_blocks():
     assert wrong(tree, labelled_pages(200, seed=5)) < 0.05
 
 
-def test_neighbours_decide_where_no_name_does():
-    """The tree uses words and links, of the block or around it, not only names."""
+def test_words_and_links_decide_where_no_name_does():
+    """Of pages that don't name their article, words and links of the block and of those around it decide."""
 
     def used(tree):
         return set() if isinstance(tree, bool) else {tree[0]} | used(tree[2]) | used(tree[3])
 
-    assert used(html.trained()) & set(range(6)) and {6, 7} <= used(html.trained())
+    root, _, nameless, named = html.trained()
+    assert root == html.ANYWHERE and {0, 1, 6, 7} <= used(nameless) and {10, 11} <= used(named)
+
+
+PROSE = " ".join(["word"] * 40)
+BOILERPLATE = (
+    "Copyright 2024 Example Inc. All rights reserved.", "We use cookies to improve your experience on this site.", "Terms of use and privacy policy", "Sign in", "Share this page",
+    "<a href='/a'>A long list of links to other stories on this site that may be of interest to its readers</a>",
+)
+
+
+@pytest.mark.parametrize("count", [1, 2, 30, 240, 400, 5000])
+def test_pages_of_any_length_keep_their_text(count):
+    """Equal paragraphs in a plain element: all stay, however many there are, and what stands around them goes."""
+    tree = html.trained()
+    article = f"<div>{f'<p>{PROSE}</p>' * count}</div>"
+    assert html.main_text(f"<body>{article}</body>", tree).split("\n") == [PROSE] * count
+    around = "<body>" + "".join(f"<div><p>{b}</p></div>" for b in BOILERPLATE) + article + "".join(f"<p>{b}</p>" for b in BOILERPLATE) + "</body>"
+    assert html.main_text(around, tree).split("\n") == [PROSE] * count
+    boxed = f"<body><div class='sidebar-left'><p>{PROSE}</p></div>{article}</body>"
+    assert html.main_text(boxed, tree).split("\n") == [PROSE] * count
+
+
+def test_pages_of_a_few_words():
+    tree = html.trained()
+    for page, text in (("Hello", "Hello"), ("<p>Hello <b>world</b></p>", "Hello world"), ("<p>a</p><p>b c</p>", "a\nb c"), ("<ul><li><a>Home</a></li></ul><p>Just a few words.</p>", "Just a few words.")):
+        assert html.main_text(page, tree) == text
+
+
+def test_broken_markup():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    assert texts("<p class=\"x>Hello</p><p class=\"y\">World</p>") == ["Hello", "World"]
+    assert texts("<p class='x>Hello") == ["Hello"]
+    assert texts("<div data-x=\"<b>hi</b>\">in</div><a title='a > b'>t</a>") == ["in", "t"]
+    assert texts("a < b & 3 <4 </ x>c <!doctype html>d<!-- e > -- f -->g<![CDATA[<p>h</p>]]>i") == ["a < b & 3 <4 c dgi"]
+    assert texts("kept <p title='a") == ["kept"] and texts("kept <!-- lost") == ["kept"] and texts("kept <scr") == ["kept"]
+    assert texts("<b><i>x</b>y</i>z</i></b></p><p>q") == ["xyz", "q"]
+    nested = html.blocks("<nav><div><article>a</article></div></nav><article>b<nav>c<p>d</nav>e</article>f")
+    assert [(b.text, b.in_main) for b in nested] == [("a", True), ("b", True), ("c", True), ("d", True), ("e", True), ("f", False)]
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<a ", "<!-- -->", "<!--", "<div></p>", "<b>", "<nav>x", "<nav><article>x", "<p class=\"x>y", "<", "&", "<ul><li>a", "<table><tr><td>x", "<script>", "</p>", "<p ='", "= ", "<span class=ad>x</b>"],
+)
+def test_work_grows_with_the_length(part):
+    """A page eight times as long takes about eight times as long: far from the square."""
+    tree = html.trained()
+
+    def seconds(size):
+        page = part * (size // len(part))
+        began = time.process_time()
+        html.main_text(page, tree)
+        return time.process_time() - began
+
+    seconds(20_000)
+    assert seconds(800_000) < 24 * max(seconds(100_000), 0.02)
 
 
 LONG = "The harbour was built by the town itself, stone by stone, over the forty years that followed the great flood."
