@@ -18,6 +18,23 @@ ENDINGS = {"n't": " not", "'re": " are", "'ve": " have", "'ll": " will", "'m": "
 IS_WORDS = {"it", "he", "she", "that", "there", "what", "who", "where", "here", "how"}
 FILLERS = {"hm", "hmm", "mm", "mhm", "mmm", "uh", "um", "er", "erm"}
 TITLES = {"mr": "mister", "mrs": "missus", "dr": "doctor", "st": "saint", "prof": "professor", "vs": "versus", "etc": "et cetera"}
+#: British endings with the American ones, the shortest word they are changed in, and words that end so by themselves.
+SPELLINGS = (("ours", "ors", 6), ("oured", "ored", 7), ("ouring", "oring", 8), ("ourable", "orable", 8), ("ourite", "orite", 8), ("ourful", "orful", 8), ("our", "or", 5),
+             ("isations", "izations", 10), ("isation", "ization", 9), ("ised", "ized", 7), ("ises", "izes", 7), ("ising", "izing", 8), ("ise", "ize", 6),
+             ("ysed", "yzed", 6), ("yses", "yzes", 6), ("ysing", "yzing", 7), ("yse", "yze", 5), ("elled", "eled", 7), ("elling", "eling", 8), ("eller", "eler", 7), ("ogues", "ogs", 8), ("ogue", "og", 7),
+             ("tres", "ters", 6), ("tre", "ter", 5))
+UNCHANGED = {
+    "hours", "yours", "flour", "floured", "flouring", "scour", "devour", "devoured", "devouring", "detour", "contour", "contours", "velour", "troubadour", "glamour", "paramour", "tours", "pours", "fours", "sours",
+    "exercise", "exercised", "exercises", "exercising", "surprise", "surprised", "surprises", "surprising", "promise", "promised", "promises", "promising", "otherwise", "likewise", "advertise", "advertised", "advertising",
+    "advise", "advised", "advises", "advising", "revise", "revised", "revises", "revising", "supervise", "supervised", "supervising", "comprise", "comprised", "comprises", "comprising", "enterprise", "enterprises", "expertise", "precise",
+    "concise", "paradise", "franchise", "disguise", "disguised", "improvise", "improvised", "compromise", "compromised", "merchandise", "televise", "televised", "despise", "despised", "demise", "devise", "devised", "devising", "treatise", "tortoise",
+    "porpoise", "arising", "raising", "praising", "poising", "noising", "noises", "poised", "raised", "praised", "bruised", "cruised", "bruises", "cruises", "cruising", "bruising", "praises", "raises", "precisely", "premise", "premises", "surmise",
+    "spelled", "spelling", "speller", "smelled", "smelling", "dwelled", "dwelling", "dweller", "swelled", "swelling", "yelled", "yelling", "selling", "seller", "telling", "teller", "propelled", "propelling", "compelled", "compelling", "expelled",
+    "expelling", "rebelled", "rebelling", "excelled", "excelling", "quelled", "shelled", "shelling", "felled", "welling", "welled", "dialogue", "prologue", "epilogue", "vogue", "rogue", "analyses",
+}
+#: Words spelt apart from any rule.
+SPELT = {"grey": "gray", "defence": "defense", "offence": "offense", "licence": "license", "pretence": "pretense", "programme": "program", "programmes": "programs", "tyre": "tire", "tyres": "tires", "kerb": "curb",
+         "plough": "plow", "cheque": "check", "cheques": "checks", "storey": "story", "pyjamas": "pajamas", "mum": "mom", "aluminium": "aluminum", "sceptical": "skeptical", "cosy": "cozy", "jewellery": "jewelry"}
 ASIDES = re.compile(r"[<\[][^>\]]*[>\]]|\([^)]*\)")
 WORD = re.compile(r"\d+(?:\.\d+)?|[^\W\d_]+(?:'[^\W\d_]+)?")
 
@@ -64,11 +81,21 @@ def in_digits(words: list[str]) -> list[str]:
     return out
 
 
+def american(word: str) -> str:
+    """A British spelling as the American one; others as they are."""
+    if word in SPELT or word in UNCHANGED:
+        return SPELT.get(word, word)
+    for british, own, least in SPELLINGS:
+        if len(word) >= least and word.endswith(british):
+            return word.removesuffix(british) + own
+    return word
+
+
 def english_words(text: str) -> list[str]:
     plain = unicodedata.normalize("NFKC", ASIDES.sub(" ", text)).lower().replace("’", "'").replace("%", " percent ")
     plain = re.sub(r"(?<=\d),(?=\d{3})", "", plain)
     words = [x for w in WORD.findall(plain) if w not in FILLERS for x in spelt_out(w)]
-    return in_digits([y for w in words for y in TITLES.get(w, w).split()])
+    return in_digits([american(y) for w in words for y in TITLES.get(w, w).split()])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from math import comb, lgamma, log
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,21 +94,46 @@ def spearman(df: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> DataF
 
 
 def robust_z(df: DataFrame, keys: list[str], ratio: str, out: str = "z") -> DataFrame:
-    """0.6745 (x - median) / MAD within each group; a MAD of 0 counts as 1e-9."""
+    """0.6745 (x - median) / MAD within each group; a MAD of 0 counts as 1e-9. Every row stays: without a value it has no z."""
     middle = order_statistics(df, keys, {"median_": (ratio, 0.5)})
-    off = df.join(middle, keys).withColumn("off_", F.abs(F.col(ratio) - F.col("median_")))
+    off = with_group(df, middle, keys).withColumn("off_", F.abs(F.col(ratio) - F.col("median_")))
     spread = order_statistics(off, keys, {"mad_": ("off_", 0.5)})
     z = F.lit(0.6745) * (F.col(ratio) - F.col("median_")) / F.when(F.col("mad_") == 0, F.lit(1e-9)).otherwise(F.col("mad_"))
-    return off.join(spread, keys).withColumn(out, z).drop("off_", "median_", "mad_")
+    return with_group(off, spread, keys).withColumn(out, z).drop("off_", "median_", "mad_")
+
+
+def with_group(df: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row with what `of` says of its group, null where it says nothing; a null key is a group like any other."""
+    named = of.select(*[F.col(k).alias(f"key{i}_") for i, k in enumerate(keys)], *[c for c in of.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"key{i}_")) for i, k in enumerate(keys)]
+    return df.join(named, same, "left").drop(*[f"key{i}_" for i in range(len(keys))])
 
 
 def binomial_tail(k: int, n: int) -> float:
     """P(X >= k) for n fair coin flips."""
-    from math import comb
-
     return sum(comb(n, i) for i in range(k, n + 1)) / 2**n
 
 
+def binomial_tail_of(k: Column, n: Column) -> Column:
+    """P(X >= k) for n fair coin flips, of columns; null for null. Terms are added as logarithms, so n may be large."""
+
+    @F.pandas_udf("double")
+    def run(wins: pd.Series, flips: pd.Series) -> pd.Series:
+        def tail(k: float, n: float) -> float | None:
+            if np.isnan(k) or np.isnan(n):
+                return None
+            i = np.arange(max(int(k), 0), int(n) + 1, dtype=np.float64)
+            if int(k) <= 0 or not len(i):
+                return float(int(k) <= 0)
+            steps = np.log((n - i[:-1]) / (i[:-1] + 1))  # from one term to the next
+            first = lgamma(n + 1) - lgamma(i[0] + 1) - lgamma(n - i[0] + 1) - n * log(2)
+            return float(np.exp(first + np.concatenate([[0.0], np.cumsum(steps)])).sum())
+
+        return pd.Series([tail(a, b) for a, b in zip(wins.astype("float64"), flips.astype("float64"))], dtype="float64")
+
+    return run(k, n)
+
+
 def micro_rate(errors: Column, words: Column) -> Column:
     """Sum of errors over sum of words."""
     return F.try_divide(F.sum(errors), F.sum(words))

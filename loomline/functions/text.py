@@ -137,3 +137,9 @@ def argmax_first(scores: Column, classes: list[str]) -> Column:
     """The class with the largest score in a map; of equal ones the first in the order of `classes`."""
     values = F.array(*[F.coalesce(F.try_element_at(scores, F.lit(c)), F.lit(float("-inf"))) for c in classes])
     return F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position(values, F.array_max(values)).cast("int"))
+
+
+def kept_words(column: Column) -> Column:
+    """The words of a transcript's key that hold a letter or digit; none of a null."""
+    words = F.filter(F.split(normalize_transcript(column), " "), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    return F.coalesce(words, F.array().cast("array<string>"))

@@ -10,9 +10,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.sources.archives import opened
+
 FRAME_S = 0.02
 #: Amplitude floors of the level and of the end gap, full scale, and frames needed for levels.
 LEVEL_FLOOR, GAP_FLOOR, FULL_SCALE, LEAST_FRAMES = 1e-10, 1e-9, 0.999, 5
@@ -27,6 +30,10 @@ MEASURE = (
 FIELDS = [f.split()[0] for f in MEASURE.split(", ")]
 
 
+#: The longest format chunk: that of the extensible form.
+FMT_BYTES = 40
+
+
 @dataclass
 class Header:
     subtype: str
@@ -39,15 +46,22 @@ class Header:
 
 def header(content: bytes) -> Header:
     """The fmt and data chunks of a RIFF/WAVE file; raises ValueError on anything else."""
-    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+    return header_of(io.BytesIO(content))
+
+
+def header_of(f) -> Header:
+    """The same of a file that can be sought in: chunk by chunk, and of a chunk only its head and at most FMT_BYTES of its format."""
+    start = f.read(12)
+    if start[:4] != b"RIFF" or start[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
     at, fmt = 12, None
-    while at + 8 <= len(content):
-        name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
+    while len(head := f.read(8)) == 8:
+        name, size = head[:4], struct.unpack("<I", head[4:])[0]
         if name == b"fmt ":
-            tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", content, at + 8)
-            if tag == 0xFFFE and size >= 40:
-                tag = struct.unpack_from("<H", content, at + 32)[0]
+            body = f.read(min(size, FMT_BYTES))
+            tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", body)
+            if tag == 0xFFFE and len(body) >= 26:
+                tag = struct.unpack_from("<H", body, 24)[0]
             fmt = (tag, bits, channels, rate)
         elif name == b"data":
             if fmt is None:
@@ -57,6 +71,7 @@ def header(content: bytes) -> Header:
                 raise ValueError(f"unsupported coding {tag}/{bits}")
             return Header(SUBTYPES[tag, bits], rate, channels, size // (channels * bits // 8), (tag, bits), slice(at + 8, at + 8 + size))
         at += 8 + size + (size & 1)
+        f.seek(at)
     raise ValueError("no data chunk")
 
 
@@ -292,18 +307,33 @@ def resampled_wav(content: Column, rate: int) -> Column:
     return _struct_udf(lambda c: prepared(c, rate), "wav binary, length_error bigint, level_error_db double")(content)
 
 
-def header_problems(content: Column, rate: int = 48000) -> Column:
+def said_of(f, rate: int) -> str:
     """What is wrong with a WAV header: not WAV, no frames, another rate, not mono; joined by '; ', empty if nothing."""
+    try:
+        h = header_of(f)
+    except (ValueError, struct.error) as e:
+        return f"not WAV: {e}"
+    found = [(h.frames <= 0, "no frames"), (h.rate != rate, f"{h.rate} Hz"), (h.channels != 1, f"{h.channels} channels")]
+    return "; ".join(text for bad, text in found if bad)
+
+
+def header_problems(content: Column, rate: int = 48000) -> Column:
+    """What is wrong with the header of a file that is in memory."""
+    return _struct_udf(lambda raw: {"p": said_of(io.BytesIO(raw), rate)}, "p string")(content)["p"]
 
-    def problems(raw: bytes) -> dict:
-        try:
-            h = header(raw)
-        except (ValueError, struct.error) as e:
-            return {"p": f"not WAV: {e}"}
-        found = [(h.frames <= 0, "no frames"), (h.rate != rate, f"{h.rate} Hz"), (h.channels != 1, f"{h.channels} channels")]
-        return {"p": "; ".join(text for bad, text in found if bad)}
 
-    return _struct_udf(problems, "p string")(content)["p"]
+def scanned_headers(paths: DataFrame, rate: int = 48000, path: str = "path") -> DataFrame:
+    """(path, problems) of WAV files of any size: each is opened where the row is and only its header is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, found = batch.column(0).to_pylist(), []
+            for name in names:
+                with opened(name) as f:
+                    found.append(said_of(f, rate))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "problems"])
+
+    return paths.select(F.col(path).alias("path")).mapInArrow(run, "path string, problems string")
 
 
 def inventory(files: DataFrame, transcripts: DataFrame, pitch_sample: DataFrame | None = None) -> DataFrame:

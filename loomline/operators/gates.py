@@ -176,3 +176,16 @@ def select_speaker(ranking: DataFrame, pinned: str | None = None) -> str:
     if best is None:
         raise ValueError("no speaker is eligible")
     return best["speaker"]
+
+
+def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, rows) of every rule: how many rows break it, all rules in one pass. rules: name -> the condition that must hold; null breaks it."""
+    counts = df.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(f"r{i}_") for i, c in enumerate(rules.values())])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"r{i}_").alias("rows")) for i, n in enumerate(rules)])))
+
+
+def require(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """The same rows; one that breaks a rule ends whatever reads them, with the rule's name."""
+    for name, holds in rules.items():
+        df = df.where(F.coalesce(holds, F.lit(False)) | F.raise_error(F.lit(f"a row breaks the rule {name!r}")).cast("boolean"))
+    return df

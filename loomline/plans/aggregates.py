@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from loomline.functions import stats
 from loomline.functions.text import item_group, normalize_transcript
 from loomline.operators import evaluation, gates, relations
+from loomline.operators.components import cut_lineage
 from loomline.plans.base import CLIPS, RUNS, clips, norm, query, runs, table
 from loomline.plans.joins import PAIRS, RATED, pair_rows, rated
 from loomline.plans.scalars import GATED, gated
@@ -291,7 +293,15 @@ def o5_26_centroid_similarity(spark, sf_dir):
 
 @query("o5_27_counters", "SELECT cast(count(*) AS bigint) AS seen, cast(count(*) FILTER (WHERE n_chars > 0) AS bigint) AS filled, cast(count(*) FILTER (WHERE lang = 'en') AS bigint) AS english FROM documents")
 def o5_27_counters(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("seen"), F.count_if(F.col("n_chars") > 0).alias("filled"), F.count_if(F.col("lang") == "en").alias("english"))
+    """Counters of an extraction, taken while its rows are written: one pass gives both."""
+    found = Observation()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    counted = docs.observe(found, F.count("*").alias("seen"), F.count_if(F.col("n_chars") > 0).alias("filled"), F.count_if(F.col("lang") == "en").alias("english"))
+    kept = cut_lineage(counted.where("n_chars > 0"), "extracted")
+    counts = kept.agg(F.count("*").alias("written_"))
+    # What was written is read again and must be as many rows as the counter says.
+    same = F.when(F.col("written_") == found.get["filled"], F.lit(found.get["filled"])).otherwise(F.raise_error(F.lit("rows and counters differ")).cast("bigint"))
+    return counts.select(F.lit(found.get["seen"]).cast("bigint").alias("seen"), same.cast("bigint").alias("filled"), F.lit(found.get["english"]).cast("bigint").alias("english"))
 
 
 @query("o5_28_real_time_factor", f"WITH {RUNS} SELECT run, round(sum(duration_s) / sum(1 + arousal), 6) AS rtf FROM runs GROUP BY run")
@@ -307,10 +317,15 @@ def o5_29_steps_per_epoch(spark, sf_dir):
 
 @query(
     "o5_30_binomial_tail",
-    "WITH c AS (SELECT j, factorial(14) / (factorial(j) * factorial(14 - j)) AS ways FROM (SELECT unnest(range(0, 15))::int AS j)) SELECT cast(a.j AS int) AS k, cast(14 AS int) AS n, round(cast(sum(b.ways) AS double) / 16384, 12) AS p FROM c a JOIN c b ON b.j >= a.j GROUP BY a.j",
+    "WITH g AS (SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS k FROM documents JOIN labels USING (doc_id) GROUP BY lang, source), "
+    "t AS (SELECT lang, source, n, k, unnest(range(k, n + 1)) AS i FROM g) SELECT lang, source, cast(n AS bigint) AS n, cast(k AS bigint) AS k, "
+    "round(sum(exp(lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) - n * ln(2e0))), 9) AS p FROM t GROUP BY lang, source, n, k",
 )
 def o5_30_binomial_tail(spark, sf_dir):
-    return spark.createDataFrame([(k, 14, round(stats.binomial_tail(k, 14), 12)) for k in range(15)], "k int, n int, p double")
+    """How likely it is by chance that so many of a cell's labelled documents are good."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    cells = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("k"))
+    return cells.withColumn("p", F.round(stats.binomial_tail_of(F.col("k"), F.col("n")), 9))
 
 
 RANKS = (

@@ -13,6 +13,8 @@ from loomline.operators.components import connected_components, cut_lineage
 from loomline.operators.incremental import GroupStore
 from loomline.plans.aggregates import CLAIMS, RANKS, claims, gated
 from loomline.plans.base import fresh_path, norm, query, table
+from loomline.sinks.committed import write_files
+from loomline.sources.files import binary_files
 
 RATIOS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 EXAMPLES = f"ex AS (SELECT doc_id AS id, lang AS style, {norm('text')} AS norm, sha256(text) AS sha, CASE WHEN doc_id % 10 = 0 THEN 's' || (doc_id // 40) ELSE 'f' || doc_id END AS file FROM documents)"
@@ -270,6 +272,18 @@ def o1_12_wav_header_problems(spark, sf_dir):
     return found.select("doc_id", F.when(F.col("p").startswith("not WAV"), "not WAV").otherwise(F.col("p")).alias("problems"))
 
 
+@query(
+    "o1_12_wav_header_ranges",
+    "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'not WAV' ELSE array_to_string(list_filter([CASE WHEN doc_id % 6 = 0 THEN 'no frames' END, CASE WHEN doc_id % 5 = 0 THEN '44100 Hz' END, CASE WHEN doc_id % 2 = 1 THEN '2 channels' END], lambda x: x IS NOT NULL), '; ') END AS problems FROM labels",
+)
+def o1_12_wav_header_ranges(spark, sf_dir):
+    """The same of files in a folder, of which only headers are read."""
+    folder = fresh_path(spark, "wav")
+    write_files(table(spark, sf_dir, "labels").select(F.concat("doc_id", F.lit(".wav")).alias("name"), odd_clip("doc_id").alias("content")), folder)
+    found = audio.scanned_headers(binary_files(spark, folder).select("path"))
+    return found.select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("bigint").alias("doc_id"), F.when(F.col("problems").startswith("not WAV"), "not WAV").otherwise(F.col("problems")).alias("problems"))
+
+
 @query(
     "o1_13_wav_decode",
     "SELECT doc_id, cast(100 * (doc_id % 6) AS bigint) AS decoded_frames, cast(CASE WHEN doc_id % 6 > 0 THEN (doc_id % 4) * (1 + doc_id % 2) ELSE 0 END AS bigint) AS nonfinite_samples FROM labels WHERE doc_id % 13 <> 0",
@@ -344,6 +358,16 @@ def o11_10_measure_cache(spark, sf_dir):
     return scoring.extend_cache(files.where("doc_id % 4 <> 0"), cache, LengthScorer()).select("sha256", "value")
 
 
+@query("o11_10_bucketed_cache", "SELECT doc_id, cast(octet_length(encode(text)) AS string) AS bytes FROM documents")
+def o11_10_bucketed_cache(spark, sf_dir):
+    """A cache that is filled with a quarter of the documents, extended by all of them, and asked for each."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    cache = scoring.MeasureCache(spark, fresh_path(spark, "measures"), 16)
+    cache.extend(files.where("doc_id % 4 = 0"), LengthScorer())
+    cache.extend(files, LengthScorer())
+    return cache.values(files.select("doc_id", F.sha2("content", 256).alias("sha256")), "bytes").select("doc_id", "bytes")
+
+
 @query("o11_8_vector_similarity", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def o11_8_vector_similarity(spark, sf_dir):
     unit = evaluation.unit_vectors(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "unit")

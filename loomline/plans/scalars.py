@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomline.functions import align, text
+from loomline.functions import align, english, text
 from loomline.operators import gates
 from loomline.plans.base import CLIPS, RUNS, clips, norm, query, runs, table
 
@@ -210,8 +210,15 @@ def o9_14_audio_problems(spark, sf_dir):
 
 @query("o9_15_kept_words", f"SELECT conv_id, turn, cast(len(list_filter(string_split({norm('text')}, ' '), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))) AS int) AS words FROM conversations")
 def o9_15_kept_words(spark, sf_dir):
-    words = F.filter(F.split(text.normalize_transcript(F.col("text")), " "), lambda w: w.rlike(r"[\p{L}\p{N}]"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(words).alias("words"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(text.kept_words(F.col("text"))).alias("words"))
+
+
+@query("o9_15_english_errors")
+def o9_15_english_errors(spark, sf_dir):
+    """Word errors of each turn against the next one, over English words."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", english.english_kept_words("text").alias("w"))
+    later = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("h"))
+    return rows.join(later, ["conv_id", "turn"]).select("conv_id", "turn", F.size("w").alias("words"), align.word_errors(F.col("w"), F.col("h")).alias("errors"))
 
 
 @query("o9_16_sentence_pieces")

@@ -8,14 +8,14 @@ import tarfile
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomline.operators import relations
+from loomline.operators import gates, relations
 from loomline.operators.components import cut_lineage
 from loomline.plans.base import CLIPS, clips, fresh_path, query, table
 from loomline.sinks import files as sinks
 from loomline.sinks.committed import mounted, write_files
 from loomline.sinks.resume import ClipLog
 from loomline.sources import archives, files
-from loomline.sources.config import single_rate
+from loomline.sources.config import check_ratios, single_rate
 from loomline.streaming import logs, tail
 
 PATHS = [
@@ -248,10 +248,16 @@ def o12_followed_log(spark, sf_dir):
     return spark.read.parquet(f"{folder}/table").select(line.alias("r")).select("r.*")
 
 
-@query("o2_8_provenance", f"WITH {CLIPS} SELECT speaker, cast(count(*) AS bigint) AS files, cast(sum(octet_length(encode(text))) AS bigint) AS bytes, min(sha256(text)) AS first_sha256 FROM clips GROUP BY speaker")
+@query(
+    "o2_8_provenance",
+    "SELECT 'labelled documents' AS source, lang || '/' || doc_id || '.txt' AS file, cast(octet_length(encode(text)) AS bigint) AS bytes, sha256(text) AS sha256, md5(text) AS md5 FROM documents JOIN labels USING (doc_id)",
+)
 def o2_8_provenance(spark, sf_dir):
-    rows = clips(spark, sf_dir).groupBy("speaker")
-    return rows.agg(F.count("*").alias("files"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes"), F.min(F.sha2(F.col("text").cast("binary"), 256)).alias("first_sha256"))
+    """What a folder of retrieved files holds, file by file."""
+    folder = fresh_path(spark, "retrieved")
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    write_files(rows.select(F.concat("lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content")), folder)
+    return sinks.provenance_rows(files.binary_files(spark, folder, "*"), str(mounted(folder)), "labelled documents").drop("retrieved_at")
 
 
 FROZEN = "SELECT doc_id FROM documents WHERE doc_id % 10 = 3"
@@ -326,12 +332,23 @@ def o3_12_checkpoints_with_weights(spark, sf_dir):
     return last.join(names.select(files.checkpoint_step(F.col("name")).alias("step")).distinct(), "step", "left_semi")
 
 
-@query("o3_13_assertions", "SELECT cast(count(*) AS bigint) AS rows, cast(0 AS bigint) AS without_language FROM documents")
+RULES = {"language known": "lang IS NOT NULL", "at least 60 characters": "n_chars >= 60", "length as counted": "length(text) = n_chars", "labelled": "quality IS NOT NULL", "good": "quality = 1", "not toxic": "toxic = 0"}
+JUDGED = "j AS (SELECT documents.*, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+@query(
+    "o3_13_assertions",
+    f"WITH {JUDGED} " + " UNION ALL ".join(f"SELECT '{n}' AS rule, cast(count(*) FILTER (WHERE ({c}) IS NOT TRUE) AS bigint) AS rows FROM j" for n, c in RULES.items())
+    + " UNION ALL SELECT 'passed what is required', count(*) FILTER (WHERE lang IS NOT NULL) FROM j",
+)
 def o3_13_assertions(spark, sf_dir):
-    """A violated rule ends the query: the check sits in the plan."""
-    docs = table(spark, sf_dir, "documents")
-    checked = docs.select(F.when(F.col("lang").isNull(), F.raise_error(F.lit("a document has no language")).cast("int")).otherwise(0).alias("bad"))
-    return checked.agg(F.count("*").alias("rows"), F.sum(F.col("bad").cast("bigint")).alias("without_language"))
+    """How many rows break each rule; then those rules that must hold, which end the query if they don't: shares of the languages, and a known language."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    found = gates.violations(rows, {n: F.expr(c) for n, c in RULES.items()})
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    check_ratios({k: n / sum(counts.values()) for k, n in counts.items()})
+    passed = gates.require(rows, {"language known": F.col("lang").isNotNull()}).agg(F.count("*").alias("rows")).select(F.lit("passed what is required").alias("rule"), "rows")
+    return found.unionByName(passed)
 
 
 @query(

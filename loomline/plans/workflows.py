@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.align import completeness, trailing_missing, word_errors
+from loomline.functions.english import english_kept_words
 from loomline.functions.stats import auc, robust_z, spearman
-from loomline.functions.text import chars_per_active_second, normalize_transcript
+from loomline.functions.text import chars_per_active_second, kept_words, normalize_transcript
 from loomline.operators import evaluation, gates, relations, splits
 from loomline.operators.components import cut_lineage
 
@@ -64,37 +65,59 @@ def inventory(measured: DataFrame, transcripts: DataFrame, official: DataFrame,
     }
 
 
+#: How far a prepared clip's length (frames) and level (dB) may be off.
+LENGTH_OFF, LEVEL_OFF = 2, 0.1
+
+
 def prepare(candidates: DataFrame, choice: Choice = Choice()) -> dict[str, DataFrame]:
     """Accepted examples with leak-free splits, exclusions with reasons, the split report and violated rules (empty if the
-    splits hold). candidates: stem, style, text, norm, sha256, duration_s, issues."""
+    splits hold); every candidate is in one of the first two. candidates: stem, style, text, norm, sha256, duration_s, issues; where they have them,
+    source_file (a group's key, too), start_s and end_s (segments of that file), length_error and level_error_db (of the prepared clip)."""
     rows = candidates.withColumn("id", F.col("stem"))
-    gated = rows.where(~gates.usable(F.col("issues"))).select("id", "style", F.col("issues.code").alias("reasons"))
-    marked = cut_lineage(relations.mark_duplicates(rows.where(gates.usable(F.col("issues"))), "sha256", "id"))
-    copies = marked.where("duplicate_of is not null").select("id", "style", F.array(F.lit("duplicate_audio")).alias("reasons"))
-    rate = marked.where("duplicate_of is null").withColumn("rate", F.length("text") / F.col("duration_s"))
+    has = lambda *names: all(c in candidates.columns for c in names)
+    out = lambda df, *reasons: df.select("id", "style", F.array(*map(F.lit, reasons)).alias("reasons"))
+    good = gates.usable(F.col("issues"))
+    gated = rows.where(~good).select("id", "style", F.col("issues.code").alias("reasons"))
+    off = F.lit(False)
+    if has("length_error", "level_error_db"):
+        off = F.coalesce((F.col("length_error") > LENGTH_OFF) | (F.abs("level_error_db") > LEVEL_OFF), F.lit(True))
+    changed = out(rows.where(good & off), "resample_changed")
+    marked = cut_lineage(relations.mark_duplicates(rows.where(good & ~off), "sha256", "id"))
+    copies = out(marked.where("duplicate_of is not null"), "duplicate_audio")
+    rate = marked.where("duplicate_of is null").withColumn("rate", F.try_divide(F.length("text"), F.col("duration_s")))
     scored = cut_lineage(robust_z(rate, ["style"], "rate"))
-    odd = F.abs("z") > choice.outlier_z
-    outliers = scored.where(odd).select("id", "style", F.array(F.lit("unusual_pace")).alias("reasons"))
-    accepted = scored.where(~odd).drop("z", "rate", "duplicate_of")
+    outliers = out(scored.where(F.abs("z") > choice.outlier_z), "unusual_pace").unionByName(out(scored.where("z is null"), "unknown_pace"))
+    accepted = scored.where(F.abs("z") <= choice.outlier_z).drop("z", "rate", "duplicate_of")
     n = accepted.count()
     if n < choice.least_accepted:
         raise ValueError(f"only {n} examples were accepted, {choice.least_accepted} are needed")
-    keys = ["norm", "sha256"]
+    keys = ["norm", "sha256", *(["source_file"] if has("source_file") else [])]
     grouped = accepted.join(splits.group_examples(accepted, "id", keys), "id")
     examples = cut_lineage(grouped.join(splits.place_groups(grouped, choice.ratios, choice.seed), "group_id"))
+    segments = ("source_file", "start_s", "end_s") if has("source_file", "start_s", "end_s") else None
     return {
         "examples": examples,
-        "exclusions": gated.unionByName(copies).unionByName(outliers),
+        "exclusions": gated.unionByName(changed).unionByName(copies).unionByName(outliers),
         "report": splits.split_report(examples),
-        "violations": splits.verify_splits(examples, choice.ratios, [*keys, "group_id"]),
+        "violations": splits.verify_splits(examples, choice.ratios, [*keys, "group_id"], segments=segments),
     }
 
 
-def score(scored: DataFrame, rated: DataFrame | None = None) -> dict[str, DataFrame]:
+#: How texts become the words of an error rate, by name.
+NORMALISERS = {"plain": kept_words, "english": english_kept_words}
+
+
+def score(scored: DataFrame, rated: DataFrame | None = None, normaliser: str = "english") -> dict[str, DataFrame]:
     """Cells, completeness with intervals and, with ratings, their agreement with the measures.
 
-    scored: run, style, grp, item_id, seed, clip_id, ref, hyp (word arrays), problem, arousal, voicing, speaker_sim."""
-    rows = scored.withColumn("errors", word_errors(F.col("ref"), F.col("hyp"))).withColumn("words", F.size("ref")).withColumn("missing", trailing_missing(F.col("ref"), F.col("hyp")))
+    scored: run, style, grp, item_id, seed, clip_id, ref, hyp, problem, arousal, voicing, speaker_sim. ref and hyp are texts, which the
+    normaliser makes words of, or arrays of words that are taken as they are."""
+    to_words = NORMALISERS[normaliser]
+    rows = scored
+    for side in ("ref", "hyp"):
+        if dict(scored.dtypes)[side] == "string":
+            rows = rows.withColumn(side, to_words(F.col(side)))
+    rows = rows.withColumn("errors", word_errors(F.col("ref"), F.col("hyp"))).withColumn("words", F.size("ref")).withColumn("missing", trailing_missing(F.col("ref"), F.col("hyp")))
     rows = cut_lineage(rows.withColumn("flag", completeness(F.col("missing"), F.col("words"), F.col("problem"), F.col("errors"))))
     out = {
         "clips": rows,

@@ -15,6 +15,7 @@ from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomline.operators.components import cut_lineage
 
@@ -97,6 +98,13 @@ def provenance(path: str | Path, source: str, files: list[str | Path]) -> dict[s
     return record
 
 
+def provenance_rows(files: DataFrame, folder: str, source: str) -> DataFrame:
+    """The same for any number of files (binaryFile rows), a row each: source, file below the folder, bytes, checksums, time of retrieval."""
+    below = F.substring_index("path", folder.rstrip("/") + "/", -1)
+    sums = (F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    return files.select(F.lit(source).alias("source"), below.alias("file"), F.col("length").alias("bytes"), *sums, F.lit(utc_now()).alias("retrieved_at"))
+
+
 def blinded_page(folder: str | Path, name: str, title: str, trials: list[dict[str, Any]], key: dict[str, Any], key_folder: str | Path, secrets: Iterable[str]) -> Path:
     """An HTML page of blinded trials (label, text) and, in a folder outside the page's, the key that tells labels apart. Raises if
     the key would lie inside the page's folder, or the page or its name would give one of the secret words away."""

@@ -42,7 +42,7 @@ class ClipLog:
         return counted.withColumn("nth_", F.row_number().over(newest)).where("nth_ = 1").drop("nth_")
 
     def listing(self) -> DataFrame:
-        """(file) below `files`, by Spark's own listing; no content is read."""
+        """(file) below `files`, by Spark's own listing, which passes over files without a byte: they count as not there. No content is read."""
         try:
             found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.files)
         except AnalysisException as e:

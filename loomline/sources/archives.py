@@ -8,6 +8,7 @@ all executors can open, or URIs of a store that pyarrow knows. Archives must not
 from __future__ import annotations
 
 import fnmatch
+import re
 import tarfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -32,6 +33,7 @@ INDEX = "archive string, name string, start bigint, at bigint, size bigint"
 @contextmanager
 def opened(path: str):
     """A file that can be sought in."""
+    path = re.sub(r"^file:(//)?(?=/)", "", path)
     store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     with store.open_input_file(name) as f:
         yield f
