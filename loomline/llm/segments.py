@@ -12,9 +12,12 @@ Consecutive windows that share a minimiser form a segment (a super-k-mer). Equal
 
 A minimiser with more than HOT places would overfill a bucket, so its segments are cut into windows (segments whose
 minimiser is the whole window) and step 2 is repeated for these: their digests are counted, and only windows whose digest
-occurs more than once travel. They travel as packed strings, equal ones of a group merged; they are counted by Spark's own
-aggregate over the strings, which combines before it shuffles, and the counts are joined with the groups that hold them, so no
-task gathers a hot window's places. Windows are compared by their units on both ways; nothing is capped.
+occurs more than once travel. They travel as packed strings, equal ones of a group merged, and are counted by Spark's own
+aggregate over the strings. Windows are compared by their units on both ways; nothing is capped.
+
+Minimisers, digests and hot windows all come as rows of (key, group), which are shuffled to their key's total. A key that very
+many groups hold would gather a row of each in one task, so such keys are looked for in a share of the groups: their rows stay where
+they are, are summed there before the sums travel, and the totals are sent to them.
 
 Longer texts than PIECE units are hashed piece by piece, so a text costs a small multiple of itself.
 """
@@ -29,14 +32,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import GROUP, ROW, as_bytes, bounded_batches, dealt, gram_hash, octets, sliding_min, written
+from loomline.llm.common import GROUP, LIST_BYTES, ROW, as_bytes, bounded_batches, dealt, gram_hash, octets, sliding_min, written
 
 GROUP_BYTES = 4 << 20
 #: Places of one minimiser that a bucket gathers: some 50 MB of packed strings, were all of them different.
 HOT = 131_072
+#: Keys that some MANY groups hold are looked for in a 1/SHARE of the groups; bytes of such a key, with its totals.
+MANY, SHARE, KEY_BYTES = 4096, 64, 512
 #: Units handled at once; longer documents are cut into pieces that overlap by a window less one unit.
 PIECE = 1 << 20
 
@@ -163,12 +168,31 @@ def window_digests(unit: Unit, grouped: DataFrame, wanted: DataFrame, text_col:
     return grouped.groupBy(GROUP).cogroup(wanted.groupBy("wanted_by")).applyInArrow(run, schema)
 
 
-def repeated(counted: DataFrame, key: str, home: str) -> DataFrame:
-    """The rows of keys with more than one place, and `total`. The rows are shuffled once, for the sums and for the join."""
-    # Both readers of the shuffle ask the same of it, or it would be made twice.
-    dealt_out = counted.where(F.col(key).isNotNull() & F.col(home).isNotNull()).repartition(key)
-    totals = dealt_out.groupBy(key).agg(F.sum("n").alias("total"), F.min(home).alias("some_")).where("total > 1 and some_ is not null")
-    return dealt_out.join(totals.select(key, "total", "some_"), key).where((F.col(home) >= F.col("some_")) & (F.col("n") > 0)).select(key, home, "total")
+def with_totals(rows: DataFrame, key: str, home: str, totals: list[Column], keep: str, share: int = SHARE, many: int = MANY) -> DataFrame:
+    """The rows whose key's totals pass `keep`, with the totals. They are shuffled once, for the sums and for the join; those of keys that
+    about `many` groups or more hold, by a 1/share of the groups, are not shuffled at all."""
+
+    def shuffled(part: DataFrame) -> DataFrame:
+        dealt_out = part.repartition(key)  # both readers of the shuffle ask the same of it, or it would be made twice
+        return dealt_out.join(dealt_out.groupBy(key).agg(*totals).where(keep), key)
+
+    counted = rows.where(F.pmod(F.xxhash64(home), F.lit(share)) == 0).groupBy(key).agg(F.count("*").alias("held_"))
+    hot = written(counted.where(F.col("held_") >= max(2, many // share)).select(key), "hot-keys")
+    n = hot.count()
+    if not n:
+        return shuffled(rows)
+    sent = F.broadcast if n * KEY_BYTES <= LIST_BYTES else lambda df: df
+    mine = rows.join(sent(hot), key)
+    sums = mine.groupBy(key).agg(*totals).where(keep)
+    return shuffled(rows.join(sent(hot), key, "left_anti")).unionByName(mine.join(sent(sums), key))
+
+
+def repeated(counted: DataFrame, key: str, home: str, **hot_keys: int) -> DataFrame:
+    """The rows of keys with more than one place, and `total`."""
+    rows = counted.where(F.col(key).isNotNull() & F.col(home).isNotNull())
+    totals = [F.sum("n").alias("total"), F.min(home).alias("some_")]
+    found = with_totals(rows, key, home, totals, "total > 1 and some_ is not null", **hot_keys)
+    return found.where((F.col(home) >= F.col("some_")) & (F.col("n") > 0)).select(key, home, "total")
 
 
 def shipped(unit: Unit, grouped: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
@@ -270,12 +294,12 @@ def bucket_spans(unit: Unit, sent: DataFrame, keep_first: bool) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "home bigint, spans binary")
 
 
-def hot_spans(unit: Unit, windows: DataFrame, keep_first: bool) -> DataFrame:
+def hot_spans(unit: Unit, windows: DataFrame, keep_first: bool, **hot_keys: int) -> DataFrame:
     """The same for windows of hot minimisers, which the groups hold one by one: counts go to the places, not places to a task."""
-    first = F.array_min(F.transform(F.arrays_zip("rows", "starts"), lambda p: F.struct(p["rows"].alias("r"), p["starts"].alias("s"))))
-    windows = windows.where("packed is not null and home is not null").repartition("packed")
-    counted = windows.groupBy("packed").agg(F.sum(F.size("rows")).alias("n"), F.min(first).alias("first"), F.min("home").alias("some_"))
-    counted = counted.where("n > 1 and some_ is not null").drop("n")
+    place = F.array_min(F.transform(F.arrays_zip("rows", "starts"), lambda p: F.struct(p["rows"].alias("r"), p["starts"].alias("s"))))
+    held = written(windows.where("packed is not null and home is not null"), "hot-windows")
+    totals = [F.sum(F.size("rows")).alias("n"), F.min(place).alias("first"), F.min("home").alias("some_")]
+    found = with_totals(held, "packed", "home", totals, "n > 1 and some_ is not null", **hot_keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,8 +310,8 @@ def hot_spans(unit: Unit, windows: DataFrame, keep_first: bool) -> DataFrame:
                 spans.append(np.stack([row, start, start + unit.window], 1)[later].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary())], names=["home", "spans"])
 
-    held = windows.join(counted, "packed").where("home >= some_").select("home", "rows", "starts", "first.r", "first.s")
-    return held.mapInArrow(run, "home bigint, spans binary")
+    picked = found.where("home >= some_").select("home", "rows", "starts", "first.r", "first.s")
+    return picked.mapInArrow(run, "home bigint, spans binary")
 
 
 def united(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,7 +343,7 @@ def with_repeats(
     sent = shipped(unit, grouped, wants.where("not hot"), text_col)
     spans = bucket_spans(unit, sent.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")), keep_first)
     if not heavy.isEmpty():
-        again = repeated(window_digests(unit, grouped, heavy, text_col), "digest", "home")
+        again = repeated(written(window_digests(unit, grouped, heavy, text_col), "hot-digests"), "digest", "home")
         wants = wants.where("hot").unionByName(again.select(F.lit(None).cast("bigint").alias("least"), F.col("home").alias("wanted_by"), F.lit(True).alias("hot"), "digest"))
         spans = spans.unionByName(hot_spans(unit, shipped(unit, grouped, wants, text_col).select("packed", "rows", "starts", "home"), keep_first))
 

@@ -4,9 +4,11 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loomline.llm import decontam, quality, substrings, suffixes
+from loomline.llm import decontam, quality, segments, substrings, suffixes
 from loomline.llm.common import ALNUM
 
 from .conftest import ordered
@@ -172,3 +174,29 @@ def test_empty_tables(docs):
     items = docs.selectExpr("doc_id as item_id", "text")
     assert decontam.decontaminate(none, items).count() == 0
     assert not any(r.contaminated for r in decontam.decontaminate(docs, items.limit(0)).collect())
+
+
+def test_a_key_that_every_group_holds_stays_where_it_is(spark):
+    """Half of the rows are one key: the totals are those of a plain sum, and no task gathers that key."""
+    rows = spark.range(0, 40_000, 1, 16).selectExpr("id AS home", "CASE WHEN id % 2 = 0 THEN 7 ELSE id % 900 + 100 END AS k", "id % 3 AS n")
+    totals = [F.sum("n").alias("total"), F.min("home").alias("some_")]
+    found = segments.with_totals(rows, "k", "home", totals, "total > 1", share=8, many=800)
+    want = rows.join(rows.groupBy("k").agg(*totals).where("total > 1"), "k")
+    assert sorted(map(tuple, found.select("home", "k", "n", "total", "some_").collect())) == sorted(map(tuple, want.select("home", "k", "n", "total", "some_").collect()))
+    tasks = [r["count"] for r in found.where("k = 7").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) >= 8 and max(tasks) <= 5_000
+    again = segments.repeated(rows, "k", "home", share=8, many=800)
+    assert again.count() == want.where("n > 0").count()
+
+
+def test_hot_windows_of_many_groups(spark):
+    """One window in 3,000 groups, and others: spans as from a plain count, the hot one's from many tasks."""
+    unit = substrings.words(2, 1)
+    rows = [(b"hot one", [i], [5], i) for i in range(3000)] + [(b"twice", [i, i], [1, 9], i) for i in range(0, 40, 2)] + [(b"once", [50], [3], 50), (b"two homes", [60], [4], 60), (b"two homes", [61], [2], 61)]
+    windows = spark.createDataFrame([(bytearray(p), r, s, h) for p, r, s, h in rows], "packed binary, rows array<bigint>, starts array<bigint>, home bigint").repartition(8)
+    for keep_first in (False, True):
+        found = segments.hot_spans(unit, windows, keep_first, share=8, many=800)
+        spans = sorted(tuple(x) for r in found.collect() for x in np.frombuffer(r.spans, np.int64).reshape(-1, 3).tolist())
+        all_places = [(r, s) for p, rs, ss, _ in rows for r, s in zip(rs, ss) if p != b"once"]
+        first = {(0, 5), (0, 1), (60, 4)} if keep_first else set()
+        assert spans == sorted((r, s, s + 2) for r, s in all_places if (r, s) not in first)
