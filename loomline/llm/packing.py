@@ -18,11 +18,10 @@ Full pieces are sequences of their own. A row is a size and two numbers, so roun
 the driver sees counts by range and by size. The number of sequences is that of best-fit decreasing or some hundredths of a
 percent above.
 
-Token ids are those of the tokenizer of the vocabulary file. No token crosses the place before a single space, so a text is cut
-there and the ids of its words are kept, each with the space before it; only words not seen lately are encoded. Plain words, one
-part each, are merged by a piece encoder over that tokenizer's vocabulary, a third of the cost; every CHECKED-th of them goes through the
-tokenizer's model as well, and a difference is an error. Texts in which words can't be taken by themselves (a space between
-other white space, or a special token) are encoded whole.
+Token ids are those of the tokenizer of the vocabulary file. Where that is a plain byte-level one whose merges are in the order of its
+ids, texts of characters that every Unicode version classes alike are encoded by a rank encoder over the same vocabulary, at a
+fraction of the cost; one in CHECKED of them goes through the tokenizer as well, and a difference is an error. All others (rare
+characters, special tokens, very long runs of white space, other tokenizers) go through the tokenizer itself. Nothing is kept between texts.
 
 Cases: a null or empty text is one piece that holds the end token alone; a very long text is cut into pieces, one shorter than
 the capacity; equal rows are packed one by one; ties are broken by rank; an empty table gives an empty result; only the id and the
@@ -32,10 +31,10 @@ text are read.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
@@ -51,75 +50,62 @@ CAPACITY = 1024
 END_TOKEN = 2
 #: Rows of a range while there are few ranges, and from some two thousand ranges on.
 RANGE_ROWS, RANGE_ROWS_MOST = 100_000, 2_000_000
-#: Of so many plain words encoded one is encoded by the tokenizer too.
+#: Of so many texts that the rank encoder takes one is encoded by the tokenizer too.
 CHECKED = 64
-#: A worker keeps the ids of so many words, and of as many that it looked up before them.
-WORDS_KEPT = 500_000
 #: So many sequences are opened at once whatever half the need is: the last few need no rounds of their own.
 OPEN_LEAST = 64
-#: A space among white space: there the place before it may lie inside a token. Whatever might count as white space is listed.
-UNCUT = re.compile(r"[S] (?:[S]|\Z)".replace("S", r"\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"))
-
-
-#: How byte-level vocabularies spell bytes, printable ones as themselves, others from U+0100 on; the space so spelt.
+#: How byte-level vocabularies spell bytes, printable ones as themselves, others from U+0100 on; and how they part texts.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-SPACE = ALPHABET[32]
-#: Letters up to here are letters in every Unicode version.
-LAST_LETTER = "\u024f"
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that may be classed otherwise by another Unicode version: all but Latin, Greek, Cyrillic, Hebrew and Arabic letters,
+#: kana, Han and Hangul, and common punctuation. BLANK: white space too long for an engine that looks ahead.
+RARE = re.compile(
+    r"[^\x00-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481\u048a-\u04ff\u05d0-\u05ea\u0621-\u064a\u2010-\u2027\u2030-\u205e\u20ac\u3001-\u3003\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
+)
+BLANK, BLANK_LEAST = re.compile(r"\s{50000}"), 50_000
+
+
+def rank_encoder(vocabulary_path: str):
+    """An encoder over the same vocabulary, for byte-level tokenizers that merge in the order of their ids; None for others."""
+    import tiktoken
+
+    with open(vocabulary_path, encoding="utf-8") as f:
+        said = json.load(f)
+    model, parting = said["model"], said.get("pre_tokenizer") or {}
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if model.get("type") != "BPE" or said.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or {k: parting.get(k) for k in plain} != plain:
+        return None
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if None in merged or any(a >= b for a, b in itertools.pairwise(merged)):
+        return None
+    special = {t["content"] for t in said.get("added_tokens", [])}
+    octet = {chr(b): b for b in _PRINTED} | {c: b for b, c in ALPHABET.items()}
+    ranks = {bytes(octet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding("ranks", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
 
 
 @lru_cache(maxsize=1)
 def encoder(vocabulary_path: str) -> Callable[[str], np.ndarray]:
     """text -> uint32 ids of the tokenizer in vocabulary_path."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
-    import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(vocabulary_path)
+    whole, ranks = Tokenizer.from_file(vocabulary_path), rank_encoder(vocabulary_path)
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
-    octet = {chr(b): b for b in _PRINTED} | {c: b for b, c in ALPHABET.items()}
-    ranks = {bytes(octet[c] for c in token): i for token, i in whole.get_vocab().items() if token not in special}
-    pieces = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    one_piece, merged = pieces._core_bpe.encode_single_piece, whole.model.tokenize  # without the search for parts
-    packed = lambda found: array("I", found).tobytes()
-    plain = itertools.count()
-
-    marks = {m: packed(whole.encode(m, add_special_tokens=False).ids) for m in ",.;:!?"}
-    openings: dict[str, bytes] = {}  # a text's first word -> ids
-
-    class Words(dict):
-        """A word, without the space before it -> ids; words asked for the first time are encoded, or found among older ones."""
-
-        def __missing__(self, word: str) -> bytes:
-            found = self[word] = older.get(word) or encoded(word)
-            return found
-
-    known, older = Words(), Words()
-
-    def encoded(word: str) -> bytes:
-        """Words of plain letters are one part, a mark after them another."""
-        bare = word[:-1] if word[-1:] in marks else word
-        if bare.isalpha() and (bare.isascii() or max(bare) <= LAST_LETTER):
-            if bare is not word:
-                return known[bare] + marks[word[-1]]
-            found = one_piece(b" " + word.encode())
-            if next(plain) % CHECKED == 0 and found != [t.id for t in merged(SPACE + word.encode().decode("latin-1").translate(ALPHABET))]:
-                raise ValueError(f"the vocabulary's pieces and its tokenizer differ on {word!r}")
-            return packed(found)
-        return packed(whole.encode(" " + word, add_special_tokens=False).ids)
+    count = itertools.count()
+
+    def exact(text: str) -> np.ndarray:
+        return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def ids(text: str) -> np.ndarray:
-        nonlocal known, older
-        if UNCUT.search(text) or any(s in text for s in special):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        first, *words = text.split(" ")
-        if len(known) > WORDS_KEPT:
-            known, older = Words(), known
-            openings.clear()
-        if first not in openings:
-            openings[first] = packed(whole.encode(first, add_special_tokens=False).ids)
-        return np.frombuffer(openings[first] + b"".join(map(known.__getitem__, words)), np.uint32)
+        odd = not text.isascii() and RARE.search(text) or len(text) > BLANK_LEAST and BLANK.search(text)
+        if ranks is None or odd or any(s in text for s in special):
+            return exact(text)
+        found = np.array(ranks.encode_ordinary(text), np.uint32)
+        if next(count) % CHECKED == 0 and not np.array_equal(found, exact(text)):
+            raise ValueError(f"the vocabulary's ranks and its tokenizer differ on {text[:200]!r}")
+        return found
 
     return ids
 

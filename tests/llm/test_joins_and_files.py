@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -314,7 +315,7 @@ def test_packing(docs, rows):
     assert packing.best_fit(docs.limit(0), files.path("byte_bpe_50k.json")).count() == 0
 
 
-def test_ids_by_part_equal_the_tokenizer():
+def test_ids_by_rank_equal_the_tokenizer(tmp_path, monkeypatch):
     tokenizers, files = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     whole = tokenizers.Tokenizer.from_file(files.path("byte_bpe_50k.json"))
     ids = packing.encoder(files.path("byte_bpe_50k.json"))
@@ -323,8 +324,23 @@ def test_ids_by_part_equal_the_tokenizer():
     texts += ["".join(chr(c) for c in rng.integers(1, 0x2FFF, 60)) for _ in range(100)]
     mixed = [*(chr(c) for c in range(1, 0x600)), *(" " * 900), *("\n\t\r\u00a0\u3000\u2028" * 40), *("aé9.,!'s" * 90)]
     texts += ["".join(rng.choice(mixed, 60)) for _ in range(1500)] + [" a", "a ", "a  b", "a   b", "a \nb", "a\n b", "a\n \nb", "a \n\n c", "b\n ", " ", "  ", "\n", "it 's  so"]
+    texts += [" " * 60_000 + "a", "\n" * 3000, "x" * 30_000, "Здравствуй, мир", "価格は五百円です", "مرحبا بالعالم", "“quoted” – dash… €5", "a" + "\u0301" * 40]
     for t in texts:
-        assert ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+        assert ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)[:200]
+    assert packing.rank_encoder(files.path("byte_bpe_50k.json")) is not None
+    # Another kind of tokenizer, and one whose merges are not in the order of its ids, are asked themselves.
+    other = tokenizers.Tokenizer.from_file(files.path("word_bpe_49k.json"))
+    assert packing.rank_encoder(files.path("word_bpe_49k.json")) is None
+    assert packing.encoder.__wrapped__(files.path("word_bpe_49k.json"))("Some words, here.").tolist() == other.encode("Some words, here.", add_special_tokens=False).ids
+    said = json.loads(open(files.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    said["model"]["merges"][:2] = said["model"]["merges"][1::-1]
+    (tmp_path / "turned.json").write_text(json.dumps(said), encoding="utf-8")
+    assert packing.rank_encoder(str(tmp_path / "turned.json")) is None
+    # A difference that is met is an error.
+    monkeypatch.setattr(packing, "PARTS", r"\S+|\s+")
+    wrong = packing.encoder.__wrapped__(files.path("byte_bpe_50k.json"))
+    with pytest.raises(ValueError, match="differ"):
+        wrong("two words, one mark")
 
 
 @pytest.mark.parametrize("hot", [warc.HOT_COPIES, 2])
