@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators import gates, relations
 from loomline.operators.components import cut_lineage
+from loomline.plans import reports
 from loomline.plans.base import CLIPS, clips, fresh_path, query, table
 from loomline.sinks import files as sinks
 from loomline.sinks.committed import mounted, write_files
@@ -360,3 +361,19 @@ def o2_3_summary_report(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean")).orderBy("lang").collect()  # a row a language
     lines = sinks.markdown_table(["lang", "n", "mean"], rows, {"mean": ".1f"}).splitlines()
     return spark.createDataFrame(list(enumerate(lines)), "nth int, line string")
+
+
+THIRDS = "CASE doc_id % 3 WHEN 0 THEN 'test' ELSE 'train' END"
+
+
+@query(
+    "o2_3_split_report",
+    f"WITH e AS (SELECT {THIRDS} AS split, lang AS style, n_chars AS s FROM documents), g AS (SELECT split, style, 0 AS whole, count(*) AS n, sum(s) AS s FROM e GROUP BY split, style UNION ALL SELECT split, 'total', 1, count(*), sum(s) FROM e GROUP BY split) "
+    "SELECT cast(row_number() OVER (ORDER BY split, whole, style) - 1 AS int) AS nth, '| ' || split || ' | ' || style || ' | ' || n || ' | ' || cast(s // 3600 AS bigint) || ':' || lpad(cast(cast(s % 3600 // 60 AS bigint) AS string), 2, '0') || ':' || lpad(cast(cast(s % 60 AS bigint) AS string), 2, '0') || ' |' AS line FROM g",
+)
+def o2_3_split_report(spark, sf_dir):
+    """The rows of a split report: clips and time per split and language, with totals."""
+    rows = table(spark, sf_dir, "documents").selectExpr(f"{THIRDS} AS split", "lang AS style", "cast(n_chars AS double) AS duration_s")
+    found = reports.split_table(rows).collect()  # a row a split and language
+    lines = sinks.markdown_table(["split", "style", "clips", "time"], found).splitlines()[2:]
+    return spark.createDataFrame(list(enumerate(lines)), "nth int, line string")

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from loomline.plans import workflows
+from pyspark.sql import functions as F
+
+from loomline.plans import reports, workflows
 
 WORDS = "river stone house light green walk moon seven path water".split()
 
@@ -47,6 +49,12 @@ def test_inventory_and_prepare(corpus):
     assert total == found["candidates"].count()
     with pytest.raises(ValueError, match="accepted"):
         workflows.prepare(found["candidates"], workflows.Choice(least_accepted=10_000))
+    told = reports.inventory_report(found)
+    assert "| duplicate_audio | 1 |" in told and "| no_transcript | 10 |" in told and "## Claims" in told and "| ex01 | default | - | 100 |" in told
+    splits = reports.split_report(made)
+    total = made["examples"].where("split = 'train'").count()
+    assert f"| train | total | {total} |" in splits and "| duplicate_audio |" in splits and splits.index("| train | sad |") < splits.index("| train | total |")
+    assert "| default |" in reports.calibration_report(found["clips"], ["f0_median_hz", "speech_level_dbfs"])
 
 
 def test_score(spark):
@@ -62,4 +70,9 @@ def test_score(spark):
     assert {r.run: (r.k, r.n) for r in out["incomplete"].collect()} == {"v0": (10, 30), "v1": (0, 30)}
     assert {(r.run, r.style): r.wer for r in out["cells"].collect()}["v0", "default"] == pytest.approx(0.4)
     assert sum(r.clips for r in out["completeness"].collect()) == 60 and out["completeness"].first().grp == "short"
+    told = reports.score_report(out)
+    assert "40.0%" in told and "## Calm clips heard as sad" in told
+    assert "## Runs" in reports.completeness_report(out) and "| v1 | 0 | 30 | 0.0% |" in reports.completeness_report(out)
+    answered = reports.ratings_report(rated.withColumn("style", F.lit("sad")))
+    assert "| run | style | ratings | neutral | sad | mean naturalness |" in answered and "| v0 | sad | 20 | 35% | 65% |" in answered
     assert 0 <= out["rated_auc"].first().auc <= 1 and out["rated_rank"].first().n == 40
