@@ -11,6 +11,7 @@ from loomline.functions.text import normalize_transcript
 from loomline.operators import audio, evaluation, gates, relations, scoring, splits
 from loomline.operators.components import connected_components, cut_lineage
 from loomline.operators.incremental import GroupStore
+from loomline.plans import workflows
 from loomline.plans.aggregates import CLAIMS, RANKS, claims, gated
 from loomline.plans.base import fresh_path, norm, query, table
 from loomline.sinks.committed import write_files
@@ -192,7 +193,7 @@ def o10_7_eligible_speakers(spark, sf_dir):
 
 
 ACCEPT = (
-    "passed AS (SELECT doc_id, lang, n_chars, length(text) / (n_chars / 60e0 + doc_id % 3) AS r, sha256(text) AS sha FROM documents WHERE n_chars >= 60), "
+    "passed AS (SELECT doc_id, lang, n_chars, length(text) / (n_chars / 60e0 + doc_id % 3) AS r, sha256(text) AS sha FROM documents WHERE n_chars >= 60 AND doc_id % 37 <> 0 AND doc_id % 41 <> 0), "
     "first AS (SELECT *, min(doc_id) OVER (PARTITION BY sha) AS f FROM passed), u AS (SELECT * FROM first WHERE f = doc_id), "
     "m AS (SELECT *, median(r) OVER (PARTITION BY lang) AS med FROM u), d AS (SELECT *, median(abs(r - med)) OVER (PARTITION BY lang) AS mad FROM m), "
     "z AS (SELECT *, 0.6745e0 * (r - med) / CASE WHEN mad = 0 THEN 1e-9 ELSE mad END AS z FROM d)"
@@ -201,18 +202,17 @@ ACCEPT = (
 
 @query(
     "o10_8_accepted_and_excluded",
-    f"WITH {ACCEPT} SELECT doc_id, 'gate' AS reason FROM documents WHERE n_chars < 60 UNION ALL SELECT doc_id, 'duplicate_audio' FROM first WHERE f <> doc_id UNION ALL SELECT doc_id, CASE WHEN abs(z) > 6 THEN 'outlier' ELSE 'accepted' END FROM z",
+    f"WITH {ACCEPT} SELECT doc_id, 'too_short' AS reason FROM documents WHERE n_chars < 60 UNION ALL SELECT doc_id, 'resample_changed' FROM documents WHERE n_chars >= 60 AND (doc_id % 37 = 0 OR doc_id % 41 = 0) "
+    "UNION ALL SELECT doc_id, 'duplicate_audio' FROM first WHERE f <> doc_id UNION ALL SELECT doc_id, CASE WHEN abs(z) > 6 THEN 'unusual_pace' ELSE 'accepted' END FROM z",
 )
 def o10_8_accepted_and_excluded(spark, sf_dir):
-    from loomline.functions.stats import robust_z
-
-    docs = table(spark, sf_dir, "documents")
-    passed = docs.where("n_chars >= 60").select("doc_id", "lang", (F.length("text") / (F.col("n_chars") / 60 + F.col("doc_id") % 3)).alias("r"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    marked = relations.mark_duplicates(passed, "sha", "doc_id")
-    scored = robust_z(marked.where("duplicate_of is null").select("doc_id", "lang", "r"), ["lang"], "r")
-    out = docs.where("n_chars < 60").select("doc_id", F.lit("gate").alias("reason"))
-    out = out.unionByName(marked.where("duplicate_of is not null").select("doc_id", F.lit("duplicate_audio").alias("reason")))
-    return out.unionByName(scored.select("doc_id", F.when(F.abs("z") > 6, "outlier").otherwise("accepted").alias("reason")))
+    short = F.array(F.struct(F.lit("too_short").alias("code"), F.lit("under 60 characters").alias("detail")))
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("stem"), F.col("lang").alias("style"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), (F.col("n_chars") / 60 + F.col("doc_id") % 3).alias("duration_s"),
+        F.when(F.col("n_chars") < 60, short).otherwise(F.filter(short, lambda x: F.lit(False))).alias("issues"), F.expr("CASE WHEN doc_id % 37 = 0 THEN 3 ELSE 2 END").alias("length_error"), F.expr("CASE WHEN doc_id % 41 = 0 THEN -0.2D ELSE 0.1D END").alias("level_error_db"),
+    )
+    accepted, excluded = workflows.accept(rows)
+    return accepted.select(F.col("id").alias("doc_id"), F.lit("accepted").alias("reason")).unionByName(excluded.select(F.col("id").alias("doc_id"), F.col("reasons")[0].alias("reason")))
 
 
 @query("o10_9_same_assignment_twice", f"WITH RECURSIVE {PLACED} SELECT id, split, split AS again FROM rows")

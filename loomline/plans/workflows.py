@@ -69,17 +69,15 @@ def inventory(measured: DataFrame, transcripts: DataFrame, official: DataFrame,
 LENGTH_OFF, LEVEL_OFF = 2, 0.1
 
 
-def prepare(candidates: DataFrame, choice: Choice = Choice()) -> dict[str, DataFrame]:
-    """Accepted examples with leak-free splits, exclusions with reasons, the split report and violated rules (empty if the
-    splits hold); every candidate is in one of the first two. candidates: stem, style, text, norm, sha256, duration_s, issues; where they have them,
-    source_file (a group's key, too), start_s and end_s (segments of that file), length_error and level_error_db (of the prepared clip)."""
+def accept(candidates: DataFrame, choice: Choice = Choice()) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows, and exclusions (id, style, reasons); every candidate is in one of them. In this order: gates, what preparing has changed
+    (where length_error and level_error_db are there), copies, unusual or unknown pace within the style."""
     rows = candidates.withColumn("id", F.col("stem"))
-    has = lambda *names: all(c in candidates.columns for c in names)
     out = lambda df, *reasons: df.select("id", "style", F.array(*map(F.lit, reasons)).alias("reasons"))
     good = gates.usable(F.col("issues"))
     gated = rows.where(~good).select("id", "style", F.col("issues.code").alias("reasons"))
     off = F.lit(False)
-    if has("length_error", "level_error_db"):
+    if {"length_error", "level_error_db"} <= set(candidates.columns):
         off = F.coalesce((F.col("length_error") > LENGTH_OFF) | (F.abs("level_error_db") > LEVEL_OFF), F.lit(True))
     changed = out(rows.where(good & off), "resample_changed")
     marked = cut_lineage(relations.mark_duplicates(rows.where(good & ~off), "sha256", "id"))
@@ -88,6 +86,15 @@ def prepare(candidates: DataFrame, choice: Choice = Choice()) -> dict[str, DataF
     scored = cut_lineage(robust_z(rate, ["style"], "rate"))
     outliers = out(scored.where(F.abs("z") > choice.outlier_z), "unusual_pace").unionByName(out(scored.where("z is null"), "unknown_pace"))
     accepted = scored.where(F.abs("z") <= choice.outlier_z).drop("z", "rate", "duplicate_of")
+    return accepted, gated.unionByName(changed).unionByName(copies).unionByName(outliers)
+
+
+def prepare(candidates: DataFrame, choice: Choice = Choice()) -> dict[str, DataFrame]:
+    """Accepted examples with leak-free splits, exclusions with reasons, the split report and violated rules (empty if the
+    splits hold). candidates: stem, style, text, norm, sha256, duration_s, issues; where they have them, source_file (a group's key,
+    too), start_s and end_s (segments of that file), length_error and level_error_db (of the prepared clip)."""
+    has = lambda *names: all(c in candidates.columns for c in names)
+    accepted, exclusions = accept(candidates, choice)
     n = accepted.count()
     if n < choice.least_accepted:
         raise ValueError(f"only {n} examples were accepted, {choice.least_accepted} are needed")
@@ -97,16 +104,12 @@ def prepare(candidates: DataFrame, choice: Choice = Choice()) -> dict[str, DataF
     segments = ("source_file", "start_s", "end_s") if has("source_file", "start_s", "end_s") else None
     return {
         "examples": examples,
-        "exclusions": gated.unionByName(changed).unionByName(copies).unionByName(outliers),
+        "exclusions": exclusions,
         "report": splits.split_report(examples),
         "violations": splits.verify_splits(examples, choice.ratios, [*keys, "group_id"], segments=segments),
     }
 
 
-#: How texts become the words of an error rate, by name.
-NORMALISERS = {"plain": kept_words, "english": english_kept_words}
-
-
 def score(scored: DataFrame, rated: DataFrame | None = None, normaliser: str = "english") -> dict[str, DataFrame]:
     """Cells, completeness with intervals and, with ratings, their agreement with the measures.
 
