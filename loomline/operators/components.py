@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import re
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -30,10 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return own_dir()
 
 
+#: Tables written to cut lineage, with the process that wrote them.
+WRITTEN: list[tuple[int, str]] = []
+
+
+@atexit.register
+def remove_written() -> None:
+    """Tables written to cut lineage go when the process that reads them ends; those in a store without a path stay for its own rules."""
+    while WRITTEN:
+        process, path = WRITTEN.pop()
+        path = re.sub(r"^file:(//)?(?=/)", "", path)
+        if process == os.getpid() and path.startswith("/"):
+            shutil.rmtree(path, ignore_errors=True)
+
+
 def cut_lineage(df: DataFrame, name: str = "loop") -> DataFrame:
-    """Write df under the shared folder and read it back."""
+    """Write df under the shared folder and read it back. The table lasts as long as this process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append((os.getpid(), path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

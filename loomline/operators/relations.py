@@ -13,6 +13,20 @@ def with_transcripts(clips: DataFrame, transcripts: DataFrame, key: str = "stem"
     return clips.join(transcripts, key, "left")
 
 
+def with_measures(clips: DataFrame, measures: DataFrame, key: str) -> DataFrame:
+    """Measured clips with their measures: by key, as rows have no position. A clip that was measured twice ends whatever reads it."""
+    twice = F.raise_error(F.lit("a clip was measured twice")).cast("boolean")
+    once = measures.withColumn("n_", F.count("*").over(Window.partitionBy(key))).where((F.col("n_") == 1) | twice).drop("n_")
+    return clips.join(once, key)
+
+
+def differing_ids(a: DataFrame, b: DataFrame, id_col: str, split: str = "split") -> DataFrame:
+    """(split, differing): of each split the ids that only one of two lists has there; 0 where they agree."""
+    side = lambda df, name: df.select(id_col, split).distinct().withColumn(name, F.lit(True))
+    both = side(a, "a_").join(side(b, "b_"), [id_col, split], "full_outer")
+    return both.groupBy(split).agg(F.count_if(F.col("a_").isNull() | F.col("b_").isNull()).alias("differing"))
+
+
 def only_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the left side without a partner; keys compare as values, nulls included."""
     r = right.select(*keys).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomline.functions.stats import robust_z
 from loomline.functions.text import normalize_transcript
 from loomline.operators import evaluation, gates, relations
-from loomline.plans.base import CLIPS, RUNS, clips, norm, query, runs, table
+from loomline.plans.base import CLIP, CLIPS, RUNS, clips, norm, query, runs, table
 
 
 def labels(spark, sf_dir):
@@ -21,7 +21,7 @@ def o4_1_with_transcripts(spark, sf_dir):
 
 @query("o4_2_measured_by_key", f"WITH {CLIPS} SELECT c.stem, l.toxic FROM clips c JOIN labels l USING (doc_id)")
 def o4_2_measured_by_key(spark, sf_dir):
-    return clips(spark, sf_dir).join(labels(spark, sf_dir), "doc_id").select("stem", "toxic")
+    return relations.with_measures(clips(spark, sf_dir), labels(spark, sf_dir).select("doc_id", "toxic"), "doc_id").select("stem", "toxic")
 
 
 @query("o4_3_audio_without_transcript", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -143,9 +143,8 @@ def o4_17_two_datasets(spark, sf_dir):
     "(SELECT doc_id, doc_id % 3 AS split FROM documents) a FULL JOIN (SELECT doc_id, doc_id % 3 AS split FROM labels) b ON a.doc_id = b.doc_id AND a.split = b.split GROUP BY 1",
 )
 def o4_18_split_files_agree(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).alias("split"), F.lit(1).alias("a"))
-    b = labels(spark, sf_dir).select("doc_id", (F.col("doc_id") % 3).alias("split"), F.lit(1).alias("b"))
-    return a.join(b, ["doc_id", "split"], "full_outer").groupBy("split").agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("differing"))
+    a, b = (df.select("doc_id", (F.col("doc_id") % 3).alias("split")) for df in (table(spark, sf_dir, "documents"), labels(spark, sf_dir)))
+    return relations.differing_ids(a, b, "doc_id")
 
 
 SEGMENTS = "SELECT event_id, user_id, value AS start, value + event_id % 4 AS stop FROM events"
@@ -236,9 +235,12 @@ def o7_4_stratified_sample(spark, sf_dir):
     return relations.stratified_sample(table(spark, sf_dir, "documents"), ["source", "lang"], "doc_id", 5, "1234").select("doc_id")
 
 
-@query("o7_5_other_speakers", sample_sql("source, lang", 15, "other", "source <> 'src0' AND doc_id % 5 > 1"))
+SUBSTYLE = next(c for c in CLIP if c.endswith(" AS substyle")).removesuffix(" AS substyle")
+
+
+@query("o7_5_other_speakers", sample_sql("source, lang", 15, "other", f"source <> 'src0' AND ({SUBSTYLE}) IS NULL"))
 def o7_5_other_speakers(spark, sf_dir):
-    others = table(spark, sf_dir, "documents").where("source <> 'src0' and doc_id % 5 > 1")
+    others = clips(spark, sf_dir).where("speaker <> 'src0' and substyle is null").withColumnsRenamed({"speaker": "source", "style": "lang"})
     return relations.stratified_sample(others, ["source", "lang"], "doc_id", 15, "other").select("doc_id")
 
 

@@ -324,12 +324,12 @@ def o1_15_single_rate(spark, sf_dir):
 
 @query(
     "o3_12_checkpoints_with_weights",
-    f"WITH {EVALS_SQL}, last AS (SELECT step, arg_max(loss, line) AS loss FROM evals GROUP BY step) SELECT step, loss FROM last WHERE step IN (SELECT event_id % 370 FROM events WHERE user_id % 3 = 0)",
+    f"WITH {EVALS_SQL}, last AS (SELECT step, arg_max(loss, line) AS loss FROM evals GROUP BY step) SELECT step, loss FROM last WHERE step IN (SELECT event_id % 370 FROM events WHERE event_type = 'purchase')",
 )
 def o3_12_checkpoints_with_weights(spark, sf_dir):
     losses = files.eval_losses(table(spark, sf_dir, "events").selectExpr(*EVALS))
     last = losses.groupBy("step").agg(F.max_by("loss", "line").alias("loss"))
-    names = table(spark, sf_dir, "events").where("user_id % 3 = 0").select(F.concat(F.lit("checkpoint-"), (F.col("event_id") % 370).cast("string"), F.lit("-epoch-1")).alias("name"))
+    names = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.concat(F.lit("checkpoint-"), (F.col("event_id") % 370).cast("string"), F.lit("-epoch-1")).alias("name"))
     return last.join(names.select(files.checkpoint_step(F.col("name")).alias("step")).distinct(), "step", "left_semi")
 
 

@@ -1,6 +1,7 @@
 """Operators that abort: rediscovery, fingerprints, speaker choice, extended evaluation sets, blinded pages."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,31 @@ def test_order_statistics_of_one_hot_group(spark):
     assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
     placed = {r.x: r.place for r in stats.places(df.where("k = 'b'"), ["k"], ["x"]).collect()}
     assert placed == {1.0: 1, 2.0: 2}
+
+
+def test_written_tables_go_with_their_process(spark, tmp_path, monkeypatch):
+    """What cuts lineage lasts until the process ends, and only that process removes it."""
+    from loomline.operators import components
+
+    monkeypatch.setattr(components, "WRITTEN", [])
+    df = components.cut_lineage(spark.range(10), "kept")
+    (process, path), = components.WRITTEN
+    path = path.removeprefix("file:")
+    assert df.count() == 10 and os.path.isdir(path) and process == os.getpid()
+    components.WRITTEN[:] = [(process + 1, path), (process, "s3://store/x")]
+    components.remove_written()
+    assert os.path.isdir(path) and components.WRITTEN == []
+    components.WRITTEN.append((process, path))
+    components.remove_written()
+    assert not os.path.isdir(path)
+
+
+def test_measures_and_lists_are_told_apart(spark):
+    clips = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, stem string")
+    once = spark.createDataFrame([(1, 0.5), (2, 0.7)], "id int, x double")
+    assert sorted(r.stem for r in relations.with_measures(clips, once, "id").collect()) == ["a", "b"]
+    with pytest.raises(Exception, match="measured twice"):
+        relations.with_measures(clips, once.union(once.limit(1)), "id").collect()
+    a = spark.createDataFrame([(1, "train"), (2, "test"), (3, "test")], "id int, split string")
+    b = spark.createDataFrame([(1, "train"), (2, "train"), (3, "test"), (3, "test")], "id int, split string")
+    assert {r.split: r.differing for r in relations.differing_ids(a, b, "id").collect()} == {"train": 1, "test": 1}
