@@ -272,6 +272,15 @@ def o1_12_wav_header_problems(spark, sf_dir):
     return found.select("doc_id", F.when(F.col("p").startswith("not WAV"), "not WAV").otherwise(F.col("p")).alias("problems"))
 
 
+@query("o2_5_audio_files", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'PCM_16' WHEN 1 THEN 'PCM_24' ELSE 'FLOAT' END AS subtype, cast(8000 AS bigint) AS frames FROM labels")
+def o2_5_audio_files(spark, sf_dir):
+    """Clips written in the three codings of prepared, paged and generated audio, and read back sample by sample."""
+    folder = fresh_path(spark, "audio")
+    write_files(table(spark, sf_dir, "labels").select(F.concat("doc_id", F.lit(".wav")).alias("name"), tone("doc_id").alias("content")), folder)
+    back = binary_files(spark, folder).select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("bigint").alias("doc_id"), audio.measured(F.col("content")).alias("m"))
+    return back.select("doc_id", "m.subtype", F.col("m.decoded_frames").alias("frames"))
+
+
 @query(
     "o1_12_wav_header_ranges",
     "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'not WAV' ELSE array_to_string(list_filter([CASE WHEN doc_id % 6 = 0 THEN 'no frames' END, CASE WHEN doc_id % 5 = 0 THEN '44100 Hz' END, CASE WHEN doc_id % 2 = 1 THEN '2 channels' END], lambda x: x IS NOT NULL), '; ') END AS problems FROM labels",
