@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from math import comb, lgamma, log
+from math import comb, log
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,23 +113,15 @@ def binomial_tail(k: int, n: int) -> float:
 
 
 def binomial_tail_of(k: Column, n: Column) -> Column:
-    """P(X >= k) for n fair coin flips, of columns; null for null. Terms are added as logarithms, so n may be large."""
-
-    @F.pandas_udf("double")
-    def run(wins: pd.Series, flips: pd.Series) -> pd.Series:
-        def tail(k: float, n: float) -> float | None:
-            if np.isnan(k) or np.isnan(n):
-                return None
-            i = np.arange(max(int(k), 0), int(n) + 1, dtype=np.float64)
-            if int(k) <= 0 or not len(i):
-                return float(int(k) <= 0)
-            steps = np.log((n - i[:-1]) / (i[:-1] + 1))  # from one term to the next
-            first = lgamma(n + 1) - lgamma(i[0] + 1) - lgamma(n - i[0] + 1) - n * log(2)
-            return float(np.exp(first + np.concatenate([[0.0], np.cumsum(steps)])).sum())
-
-        return pd.Series([tail(a, b) for a, b in zip(wins.astype("float64"), flips.astype("float64"))], dtype="float64")
-
-    return run(k, n)
+    """P(X >= k) for n fair coin flips, of columns; null for null. Terms are kept as logarithms, so n may be large."""
+    first = F.struct((n.cast("double") * -log(2)).alias("term"), F.lit(0.0).alias("sum"))
+
+    def step(held: Column, i: Column) -> Column:
+        to_next = F.log(i.cast("double") / (n - i + 1))  # from the term of i to that of i - 1
+        return F.struct((held["term"] + to_next).alias("term"), (held["sum"] + F.exp(held["term"])).alias("sum"))
+
+    from_the_top = F.sequence(n.cast("bigint"), F.greatest(k, F.lit(1)).cast("bigint"), F.lit(-1).cast("bigint"))
+    return F.when(k.isNull() | n.isNull(), None).when(k <= 0, 1.0).when(k > n, 0.0).otherwise(F.aggregate(from_the_top, first, step, lambda held: held["sum"]))
 
 
 def micro_rate(errors: Column, words: Column) -> Column:
