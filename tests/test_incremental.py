@@ -173,3 +173,14 @@ def test_extension_through_chains_of_new_rows(spark):
     torn = old.unionByName(spark.createDataFrame([(4, "a", "x", None, 1.0, "g_4", "test")], old.schema))
     with pytest.raises(ValueError, match="already join two splits"):
         splits.extend_splits(torn, spark.createDataFrame(new[4:5], SCHEMA), KEYS, RATIOS, 1)
+
+
+def test_extension_that_meets_two_splits_and_goes_on(spark):
+    """With clash="least" such rows join the first split and group by name; old rows stay, and the rest is as before."""
+    old = spark.createDataFrame([(1, "a", "x", "s1", 1.0, "g_1", "train"), (2, "a", "y", "s2", 1.0, "g_2", "test"), (3, "b", "z", None, 1.0, "g_3", "train")], SCHEMA + ", group_id string, split string")
+    new = spark.createDataFrame([(10, "a", "x", "t", 1.0), (11, "a", "y", "t", 1.0), (12, "b", "z", "u", 1.0), (13, "b", "v", "w", 1.0)], SCHEMA)
+    grown = {r.id: (r.group_id, r.split) for r in splits.extend_splits(old, new, KEYS, RATIOS, 1, clash="least").collect()}
+    assert [grown[i] for i in (1, 2, 3)] == [("g_1", "train"), ("g_2", "test"), ("g_3", "train")]
+    assert grown[10] == grown[11] == ("g_1", "test") and grown[12] == ("g_3", "train") and grown[13][0] == "g_13" and len(grown) == 7
+    with pytest.raises(ValueError, match="clash is"):
+        splits.extend_splits(old, new, KEYS, RATIOS, 1, clash="first")
