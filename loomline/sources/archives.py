@@ -25,8 +25,8 @@ from loomline.sources.files import safe_member
 
 #: Bytes of an archive that one task reads.
 RUN_BYTES = 64 << 20
-#: Content that travels at once; a larger member travels alone.
-BATCH_BYTES = 4 << 20
+#: Content and members that travel at once; a larger member is its batch's last.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
 INDEX = "archive string, name string, start bigint, at bigint, size bigint"
 
 
@@ -93,35 +93,42 @@ def tar_index(spark: SparkSession, archives: list[str], patterns: list[str] | No
     return paths.mapInArrow(run, INDEX)
 
 
+def batched(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Members (archive, name, size, content) in batches of about BATCH_BYTES."""
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
+    held, full = [], 0
+    for row in rows:
+        held.append(row)
+        full += len(row[3])
+        if full >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=["archive", "name", "size", "content"])
+            held, full = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=["archive", "name", "size", "content"])
+
+
 def tar_contents(index: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     """(archive, name, size, content) of an index's members, or of those that are left of it after a filter. Members go to tasks by
     stretches of their archive; each task opens an archive once and reads what it needs in order."""
     slim = index.select("archive", "name", "start", "at", "size", F.expr(f"start div {run_bytes}").alias("run_"))
     dealt = slim.repartition("archive", "run_").sortWithinPartitions("archive", "start").drop("run_")
 
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        by = {}
+        for archive, name, _, at, size in zip(*(c.to_pylist() for c in batch.columns)):
+            by.setdefault(archive, []).append((name, at, size))
+        for archive, wanted in by.items():
+            with opened(archive) as f:
+                for name, at, size in wanted:
+                    f.seek(at)
+                    content = f.read(size)
+                    if len(content) != size:
+                        raise tarfile.ReadError(f"{archive} ends inside {name!r}")
+                    yield archive, name, size, content
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[tuple] = []
-            by = {}
-            for archive, name, _, at, size in zip(*(c.to_pylist() for c in batch.columns)):
-                by.setdefault(archive, []).append((name, at, size))
-            for archive, wanted in by.items():
-                with opened(archive) as f:
-                    for name, at, size in wanted:
-                        f.seek(at)
-                        content = f.read(size)
-                        if len(content) != size:
-                            raise tarfile.ReadError(f"{archive} ends inside {name!r}")
-                        held.append((archive, name, size, content))
-                        if sum(r[2] for r in held) >= BATCH_BYTES:
-                            yield as_batch(held)
-                            held = []
-            if held:
-                yield as_batch(held)
-
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["archive", "name", "size", "content"])
+            yield from batched(rows(batch))
 
     return dealt.mapInArrow(run, "archive string, name string, size bigint, content binary")
 
@@ -150,7 +157,11 @@ class TarReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition((path, *stretch)) for path in self.paths for stretch in runs(path, self.run_bytes)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        """In batches of bounded bytes: rows would travel by ten thousands, whatever they hold."""
+        return batched(self.rows(partition))
+
+    def rows(self, partition: InputPartition) -> Iterator[tuple]:
         path, start, stop = partition.value
         with opened(path) as f:
             for member in members(path, self.patterns, start, stop):

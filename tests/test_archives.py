@@ -198,3 +198,18 @@ def test_offsets(tmp_path):
     assert tail.offset_of(str(path)) is None
     assert tail.new_bytes([10, 1, 2], [20, 1, 2]) == (10, 20) and tail.new_bytes([10, 1, 2], [20, 1, 3]) == (0, 20)
     assert tail.new_bytes([10, 1, 2], [5, 1, 2]) == (0, 5) and tail.new_bytes(None, [5, 1, 2]) == (0, 5)
+
+
+def test_the_source_reads_members_in_bounded_batches(tmp_path, monkeypatch):
+    """However many members a stretch has, few megabytes of them leave at once."""
+    monkeypatch.setattr(archives, "BATCH_BYTES", 1000)
+    path = tmp_path / "many.tar"
+    with tarfile.open(path, "w") as tar:
+        for i in range(50):
+            info = tarfile.TarInfo(f"{i}.txt")
+            info.size = 300
+            tar.addfile(info, io.BytesIO(bytes([i]) * 300))
+    reader = archives.TarReader({"path": str(path)})
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert len(batches) > 10 and all(sum(map(len, b.column(3).to_pylist())) <= 1300 for b in batches)
+    assert [(n, c) for b in batches for n, c in zip(b.column(1).to_pylist(), b.column(3).to_pylist())] == [(f"{i}.txt", bytes([i]) * 300) for i in range(50)]
