@@ -271,3 +271,24 @@ def test_cache(spark):
     cache = spark.createDataFrame(new)
     assert scoring.extend_cache(files, cache, Counting()).isEmpty()
     assert {r.path: r.length for r in scoring.cached_values(files, cache, "length").collect()} == {"a": "2", "b": "2", "c": "3"}
+
+
+def test_pitch_of_clips_taken_together():
+    """Clips of many lengths, among them none, tracked at once: each as if it were alone, tones at their pitch."""
+    rng = np.random.default_rng(3)
+    tones = [0.3 * np.sin(2 * np.pi * f * np.arange(n) / 16000) for f, n in ((110, 9000), (220, 3000), (330, 24000), (150, 0), (150, 1200))]
+    clips = [*tones, np.zeros(5000), 0.1 * rng.standard_normal(7000), *tones[:3] * 30]
+    together = audio.pitch_tracks(clips)
+    assert all(np.array_equal(a, audio.pitch_track(x), equal_nan=True) for a, x in zip(together, clips[:8]))
+    assert [round(float(np.nanmedian(t))) for t in together[:3]] == [110, 220, 330] and len(together[3]) == len(together[4]) == 0 and np.isnan(together[5]).all()
+
+
+def test_resampling_places_are_exact():
+    """Places that fall on input samples, which quotients in doubles miss by a rounding."""
+    x = np.random.default_rng(1).standard_normal(700)
+    y, reach = audio.resampled(x, 7, 5), 45
+    padded = np.concatenate([np.zeros(reach), x, np.zeros(reach + 1)])
+    for i in range(0, 500, 5):  # sample i lies on input sample 7 i / 5
+        d = -np.arange(-reach + 1, reach + 1)
+        want = (padded[7 * i // 5 + 1 : 7 * i // 5 + 1 + 2 * reach] * np.sinc(d * 5 / 7) * np.i0(10 * np.sqrt(np.maximum(0, 1 - (d / reach) ** 2))) / np.i0(10)).sum() * 5 / 7
+        assert abs(y[i] - want) < 1e-9
