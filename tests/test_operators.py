@@ -292,3 +292,21 @@ def test_resampling_places_are_exact():
         d = -np.arange(-reach + 1, reach + 1)
         want = (padded[7 * i // 5 + 1 : 7 * i // 5 + 1 + 2 * reach] * np.sinc(d * 5 / 7) * np.i0(10 * np.sqrt(np.maximum(0, 1 - (d / reach) ** 2))) / np.i0(10)).sum() * 5 / 7
         assert abs(y[i] - want) < 1e-9
+
+
+def test_rounds_of_components_shrink(spark, monkeypatch):
+    """Edges of a round are those between the roots of the one before, each once."""
+    from loomline.operators import components
+
+    real, left = components.cut_lineage, []
+
+    def seen(df, *name):
+        out = real(df, *name)
+        left.extend([out.count()] if out.columns == ["a", "b"] else [])
+        return out
+
+    monkeypatch.setattr(components, "cut_lineage", seen)
+    edges = [(i, 1000 + i % 7) for i in range(300)] + [(i, i + 1) for i in range(2000, 2064)] + [(5, 5), (9999, 9999)]
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert left == sorted(left, reverse=True) and left[0] == len(edges) and left[1] < 300 and left[-1] == 0 and len(left) <= 4
+    assert all(found[i] == i % 7 for i in range(300)) and all(found[i] == 2000 for i in range(2000, 2065)) and found[9999] == 9999
