@@ -310,3 +310,10 @@ def test_rounds_of_components_shrink(spark, monkeypatch):
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert left == sorted(left, reverse=True) and left[0] == len(edges) and left[1] < 300 and left[-1] == 0 and len(left) <= 4
     assert all(found[i] == i % 7 for i in range(300)) and all(found[i] == 2000 for i in range(2000, 2065)) and found[9999] == 9999
+
+
+def test_verification_makes_its_rows_once(spark):
+    """What the checks read is a written table, not the plan of the rows."""
+    df = spark.createDataFrame(example_rows(30, ["a", "b"]), SCHEMA).withColumn("split", F.lit("train")).withColumn("slow", F.rand(1))
+    plan = splits.verify_splits(df, RATIOS, KEYS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "verified" not in plan and "LogicalRDD" not in plan and "rand(" not in plan and plan.count("Relation [") >= 6
