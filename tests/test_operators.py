@@ -317,3 +317,11 @@ def test_verification_makes_its_rows_once(spark):
     df = spark.createDataFrame(example_rows(30, ["a", "b"]), SCHEMA).withColumn("split", F.lit("train")).withColumn("slow", F.rand(1))
     plan = splits.verify_splits(df, RATIOS, KEYS)._jdf.queryExecution().optimizedPlan().toString()
     assert "verified" not in plan and "LogicalRDD" not in plan and "rand(" not in plan and plan.count("Relation [") >= 6
+
+
+def test_hiss_before_a_tone_is_not_voiced():
+    """Clips whose hiss the path alone follows for five frames and more: the voiced share is the tone's."""
+    from loomline.plans.graphs import half_voiced_clips
+
+    ids = [7511, 43476, 26542, 42188, 49804]
+    assert [round(p["voiced_fraction"], 1) for p in audio.pitch_profiles(half_voiced_clips(ids))] == [round(1 - i % 5 / 5, 1) for i in ids]
