@@ -229,7 +229,7 @@ def o1_5_tar_members(spark, sf_dir):
 
 @query("o1_5_tar_source", TAR)
 def o1_5_tar_source(spark, sf_dir):
-    """The same through the data source, whose partitions are stretches."""
+    """The same through the data source, whose partitions are stretches or, of many archives, several."""
     spark.dataSource.register(archives.TarSource)
     found = spark.read.format("loomline_tar").option("patterns", "en/*,de/*,es/*").option("run_bytes", STRETCH).load(",".join(packed_documents(spark, sf_dir)))
     return found.select(F.substring_index("archive", "/", -1).alias("archive"), "name", "size", F.sha2("content", 256).alias("sha256"))

@@ -11,6 +11,7 @@ import fnmatch
 import re
 import tarfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -27,6 +28,8 @@ from loomline.sources.files import safe_member
 RUN_BYTES = 64 << 20
 #: Content and members that travel at once; a larger member is its batch's last.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
+#: Partitions of the source while they hold less than RUN_BYTES each, and archives whose sizes are asked for at once.
+PARTITIONS, ASKED = 256, 16
 INDEX = "archive string, name string, start bigint, at bigint, size bigint"
 
 
@@ -62,6 +65,11 @@ def members(path: str, patterns: list[str], start: int = 0, stop: int | None = N
             yield member
 
 
+def size_of(path: str) -> int:
+    with opened(path) as f:
+        return f.size()
+
+
 def runs(path: str, run_bytes: int) -> list[tuple[int, int]]:
     """(start, stop) of stretches of about run_bytes that begin at a header; the jumps are made here, only the stretches are kept."""
     out, begun = [], None
@@ -134,8 +142,9 @@ def tar_contents(index: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
 
 
 class TarSource(DataSource):
-    """spark.read.format("loomline_tar").option("patterns", "*.wav").load("a.tar,b.tar"): members as rows. Each stretch of an archive, of
-    option `run_bytes`, is a partition."""
+    """spark.read.format("loomline_tar").option("patterns", "*.wav").load("a.tar,b.tar"): members as rows. A partition holds stretches of
+    archives, of option `run_bytes` together or, where these would be over PARTITIONS, of an equal share of all bytes up to RUN_BYTES: a task
+    costs the driver the same whatever it reads."""
 
     @classmethod
     def name(cls) -> str:
@@ -154,22 +163,37 @@ class TarReader(DataSourceReader):
         self.patterns = options.get("patterns", "*").split(",")
         self.run_bytes = int(options.get("run_bytes", RUN_BYTES))
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"paths": []}  # tasks have those of their partition
+
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition((path, *stretch)) for path in self.paths for stretch in runs(path, self.run_bytes)]
+        """Only archives that are cut have their headers read here."""
+        with ThreadPoolExecutor(ASKED) as pool:
+            sizes = list(pool.map(size_of, self.paths))
+        most = max(self.run_bytes, min(RUN_BYTES, sum(sizes) // PARTITIONS))
+        out, held, full = [], [], 0
+        for path, size in zip(self.paths, sizes):
+            for start, stop in runs(path, most) if size > most else [(0, size)]:
+                held.append((path, start, stop))
+                full += stop - start
+                if full >= most:
+                    out.append(InputPartition(held))
+                    held, full = [], 0
+        return out + [InputPartition(held)] if held else out
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         """In batches of bounded bytes: rows would travel by ten thousands, whatever they hold."""
         return batched(self.rows(partition))
 
     def rows(self, partition: InputPartition) -> Iterator[tuple]:
-        path, start, stop = partition.value
-        with opened(path) as f:
-            for member in members(path, self.patterns, start, stop):
-                f.seek(member.offset_data)
-                content = f.read(member.size)
-                if len(content) != member.size:
-                    raise tarfile.ReadError(f"{path} ends inside {member.name!r}")
-                yield path, member.name, member.size, content
+        for path, start, stop in partition.value:
+            with opened(path) as f:
+                for member in members(path, self.patterns, start, stop):
+                    f.seek(member.offset_data)
+                    content = f.read(member.size)
+                    if len(content) != member.size:
+                        raise tarfile.ReadError(f"{path} ends inside {member.name!r}")
+                    yield path, member.name, member.size, content
 
 
 def lacking_files(index: DataFrame, present: DataFrame) -> DataFrame:

@@ -213,3 +213,28 @@ def test_the_source_reads_members_in_bounded_batches(tmp_path, monkeypatch):
     batches = [b for p in reader.partitions() for b in reader.read(p)]
     assert len(batches) > 10 and all(sum(map(len, b.column(3).to_pylist())) <= 1300 for b in batches)
     assert [(n, c) for b in batches for n, c in zip(b.column(1).to_pylist(), b.column(3).to_pylist())] == [(f"{i}.txt", bytes([i]) * 300) for i in range(50)]
+
+
+def test_many_archives_are_few_partitions(spark, tmp_path, monkeypatch):
+    """Small archives share partitions and are not opened for their headers; a large one among them is still cut."""
+    import pickle
+
+    contents, paths = {}, []
+    for i in range(40):
+        made = {f"{i}/{k}.txt": bytes([i, k]) * 300 for k in range(40 if i == 7 else 3)}
+        make_tar(tmp_path / f"{i:02}.tar", made)
+        contents |= made
+        paths.append(str(tmp_path / f"{i:02}.tar"))
+    monkeypatch.setattr(archives, "PARTITIONS", 10)
+    cut, runs = [], archives.runs
+    monkeypatch.setattr(archives, "runs", lambda path, size: cut.append(path) or runs(path, size))
+    reader = archives.TarReader({"path": ",".join(paths), "run_bytes": "512"})
+    parts = reader.partitions()
+    assert 8 <= len(parts) <= 11 and set(cut) <= {paths[7]} and len({p for part in parts for p, _, _ in part.value}) == 40
+    sent = pickle.loads(pickle.dumps(reader))
+    assert not sent.paths
+    rows = [(n, c) for p in parts for b in sent.read(p) for n, c in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
+    assert dict(rows) == contents and len(rows) == len(contents)
+    spark.dataSource.register(archives.TarSource)
+    found = spark.read.format("loomline_tar").option("run_bytes", 512).load(",".join(paths))
+    assert {r.name: bytes(r.content) for r in found.collect()} == contents
