@@ -3,25 +3,119 @@
 from __future__ import annotations
 
 import fnmatch
+import os
+import re
 import shutil
 import tarfile
 import time
 import urllib.error
 import urllib.request
+from collections.abc import Iterator
+from itertools import batched
 from pathlib import Path, PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.functions.text import base_name, is_junk, parse_stem
+from loomline.operators.components import cut_lineage
 
 CLIP_PARTS = ("speaker", "style", "corpus", "file")
 
 
+#: Files of a folder that Spark's own listing may hold in the driver.
+DRIVER_LISTS = 10_000
+#: A task reads so many files or bytes; bytes of content that travel at once, and names.
+TASK_FILES, TASK_BYTES, BATCH_BYTES, BATCH_ROWS = 5000, 16 << 20, 4 << 20, 10_000
+
+
+def shown(name: str) -> bool:
+    """Whether Spark's listing goes into a folder, or takes a file, of this name."""
+    return not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+
+
+def entries(folder: str, deep: bool) -> Iterator[str]:
+    """What a folder shows: its files and folders or, `deep`, the files of all folders below."""
+    todo = [folder]
+    while todo:
+        with os.scandir(todo.pop()) as found:
+            for entry in found:
+                if not shown(entry.name):
+                    continue
+                if deep and entry.is_dir():
+                    todo.append(entry.path)
+                else:
+                    yield entry.path
+
+
+def large_folder(root: str, pattern: str) -> str | None:
+    """The path of a mounted folder of more files than DRIVER_LISTS; None of any other place, and of patterns that are more than * and ?."""
+    path = re.sub(r"^file:(//)?(?=/)", "", root)
+    if re.search(r"[][*?{}\\]|^\w+:", path) or re.search(r"[][{}\\]", pattern) or not os.path.isdir(path):
+        return None
+    path = os.path.abspath(path)
+    return path if any(i == DRIVER_LISTS for i, _ in enumerate(entries(path, True))) else None
+
+
+def listing(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(path, modificationTime, length) of a large folder's files as a table. One task lists the folder itself, many ask for what it holds."""
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for some in batched(entries(path, False), BATCH_ROWS):
+                    yield pa.RecordBatch.from_pydict({"path": list(some)})
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int]]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for file in entries(path, True) if os.path.isdir(path) else (path,):
+                    if fnmatch.fnmatchcase(os.path.basename(file), pattern) and (stat := os.stat(file)).st_size:
+                        yield f"file:{file}", stat.st_mtime_ns // 1_000_000 * 1000, stat.st_size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batched(below(batches), BATCH_ROWS):
+            path, changed, length = zip(*some)
+            yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(changed, pa.timestamp("us", "UTC")), pa.array(length, pa.int64())], names=["path", "modificationTime", "length"])
+
+    held = spark.createDataFrame([(folder,)], "path string").coalesce(1).mapInArrow(top, "path string")
+    dealt = held.repartition(2 * spark.sparkContext.defaultParallelism)
+    return cut_lineage(dealt.mapInArrow(run, "path string, modificationTime timestamp, length bigint"), "listing")
+
+
+def dealt_out(found: DataFrame, task_bytes: int | None = None) -> DataFrame:
+    """A listing in as many parts as its files, or their bytes, ask for."""
+    n = found.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    return found.repartition(max(found.sparkSession.sparkContext.defaultParallelism, n.files // TASK_FILES + 1, n.bytes // task_bytes + 1 if task_bytes else 1))
+
+
+def listed_files(spark: SparkSession, root: str, pattern: str = "*.wav") -> DataFrame:
+    """(path, modificationTime, length) of every matching file below root. The driver holds DRIVER_LISTS of them at most, if root is a mounted folder."""
+    folder = large_folder(root, pattern)
+    if folder is None:
+        return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root).drop("content")
+    return dealt_out(listing(spark, folder, pattern))
+
+
 def binary_files(spark: SparkSession, root: str, pattern: str = "*.wav") -> DataFrame:
-    """(path, modificationTime, length, content) of every matching file below root; content is read only if it is used."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    """The same with their content, which is read only if it is used where the folder is no large one (`listed_files` never reads it)."""
+    folder = large_folder(root, pattern)
+    if folder is None:
+        return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, held, begun, full = batch.column(0).to_pylist(), [], 0, 0
+            for i, name in enumerate(names):
+                held.append(Path(name.removeprefix("file:")).read_bytes())
+                full += len(held[-1])
+                if full >= BATCH_BYTES or i + 1 == len(names):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begun, len(held)).columns, pa.array(held, pa.binary())], names=["path", "modificationTime", "length", "content"])
+                    held, begun, full = [], i + 1, 0
+
+    found = dealt_out(listing(spark, folder, pattern), TASK_BYTES)
+    return found.mapInArrow(read, "path string, modificationTime timestamp, length bigint, content binary")
 
 
 def discovered(paths: DataFrame, root: str, path: str = "path") -> tuple[DataFrame, DataFrame]:

@@ -238,3 +238,24 @@ def test_many_archives_are_few_partitions(spark, tmp_path, monkeypatch):
     spark.dataSource.register(archives.TarSource)
     found = spark.read.format("loomline_tar").option("run_bytes", 512).load(",".join(paths))
     assert {r.name: bytes(r.content) for r in found.collect()} == contents
+
+
+def test_the_driver_holds_no_names_of_files(tmp_path, monkeypatch):
+    """What a task says of its files does not grow with them, and names that repeat are found over several files of digests."""
+    import pickle
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(committed, "COMPARED", 40)
+    monkeypatch.setattr(committed, "HELD", 7)
+    names = [f"d{i % 3}/é\n{i}" for i in range(1500)]
+    batch = lambda n: pa.RecordBatch.from_pydict({"name": n, "content": [x.encode() for x in n]})
+    writer = committed.FileWriter(str(tmp_path / "out"), False)
+    told = [writer.write(iter([batch(names[:1200])])), writer.write(iter([batch(names[1200:])]))]
+    assert max(len(pickle.dumps(t)) for t in told) < 600
+    writer.commit(told)
+    assert files_below(tmp_path / "out") == {n: n.encode() for n in names} and os.listdir(tmp_path) == ["out"]
+    again = committed.FileWriter(str(tmp_path / "new"), True)
+    with pytest.raises(ValueError, match="3 rows are named 'twice'"):
+        again.commit([again.write(iter([batch([*names, "twice"])])), again.write(iter([batch(["twice", "once", "twice"])]))])
+    assert not os.path.exists(tmp_path / "new") and os.listdir(tmp_path) == ["out"]

@@ -176,3 +176,20 @@ def test_stream(spark, tmp_path):
     assert sorted(r.clip_id for r in found.collect()) == ["c1", "c2", "c3"]
     totals = {r.run: (r.clips, r.seconds) for r in logs.run_totals(found).collect()}
     assert totals == {"a": (2, 3.0), "b": (1, 1.5)}
+
+
+def test_a_large_folder_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Above the driver's bound the same files, of the same times and contents, as Spark's own listing finds: not hidden or empty ones."""
+    root = tmp_path / "a b%20c"
+    for name, content in (("x.wav", b"one"), ("sub/y.wav", b"two"), ("sub/deep/z.wav", b"three" * 9), ("sub/k=1/n.wav", b"4"), ("sub/empty.wav", b""), ("_no/v.wav", b"n"), ("sub/.h/v.wav", b"n"), ("._x.wav", b"n"), ("x.txt", b"n")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+    columns = ["path", "modificationTime", "length", "content"]
+    own = sorted(files.binary_files(spark, str(root)).select(columns).collect())
+    assert len(own) == 4
+    monkeypatch.setattr(files, "DRIVER_LISTS", 3)
+    monkeypatch.setattr(files, "BATCH_BYTES", 4)
+    monkeypatch.setattr(files, "large_folder", lambda *a, f=files.large_folder: f(*a) or pytest.fail("taken for a small one"))
+    assert sorted(files.binary_files(spark, str(root)).select(columns).collect()) == own
+    assert sorted(files.listed_files(spark, f"file:{root}").collect()) == [r[:3] for r in own]
+    assert files.listed_files(spark, str(root), "?.none").count() == 0
