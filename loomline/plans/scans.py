@@ -213,7 +213,7 @@ def packed_documents(spark, sf_dir):
         return pa.table({"name": [f"{group.column('block')[0]}.tar"], "content": pa.array([out.getvalue()], pa.binary())})
 
     write_files(rows.groupBy("block").applyInArrow(pack, "name string, content binary"), folder)
-    return [str(mounted(r[0])) for r in files.binary_files(spark, folder, "*.tar").select("path").collect()]  # an archive a row
+    return [str(mounted(r[0])) for r in files.listed_files(spark, folder, "*.tar").select("path").collect()]  # an archive a row
 
 
 TAR = "SELECT doc_id // 100 || '.tar' AS archive, lang || '/' || doc_id || '.txt' AS name, cast(octet_length(encode(text)) AS bigint) AS size, sha256(text) AS sha256 FROM documents WHERE lang <> 'fr'"

@@ -58,3 +58,15 @@ def test_entry_without_the_training_data_folder():
 
     code = "import sys; sys.modules['loomline.llm'] = None; import __spark_entry__ as e; assert 'pipeline' not in e.queries() and len(e.queries()) > 100"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120)
+
+
+@pytest.mark.parametrize("name", ["o1_12_wav_header_ranges", "o2_5_audio_files"])
+def test_written_clips_are_not_listed_by_the_driver(spark, duck, monkeypatch, name):
+    """With more files than the driver may hold: the same rows, no listing of Spark's own, and of headers no contents in the plan."""
+    from loomline.sources import files
+
+    monkeypatch.setattr(files, "DRIVER_LISTS", 20)
+    found = registry.queries()[name](spark, DATA)
+    plan = found._jdf.queryExecution().toString()
+    assert "binaryfile" not in plan.lower() and ("content" in plan) == (name == "o2_5_audio_files")
+    assert ordered(found.collect()) == ordered(duck.execute(registry.oracle_sql()[name]).fetchall())
